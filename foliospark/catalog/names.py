@@ -347,8 +347,7 @@ TEST_RULES = [
 
 
 def _verdict(df, key, content_rules):
-    df = df.withColumn("folded", C.fold_case(col("text")))
-    v = df.select(key, C.classify_text(col("text"), col("folded"), content_rules).alias("v"))
+    v = df.select(key, C.classify_text(col("text"), content_rules).alias("v"))
     return v.select(key, "v.doc_type", "v.confidence", F.size("v.signals").alias("n_signals"))
 
 
@@ -587,19 +586,16 @@ def _(spark, sf):
 
 @query(
     "t2_clean_long_answer",
-    r"""WITH s AS (SELECT doc_id, string_split_regex(replace(replace(replace(t, '. ', '.' || chr(1)), '! ', '!' || chr(1)), '? ', '?' || chr(1)), chr(1)) AS parts, t
+    r"""SELECT doc_id, chars, CASE WHEN length(p) < 50 AND p LIKE '%.' THEN trim(left(p, length(p) - 1)) ELSE p END AS picked FROM (
+    WITH s AS (SELECT doc_id, string_split_regex(replace(replace(replace(t, '. ', '.' || chr(1)), '! ', '!' || chr(1)), '? ', '?' || chr(1)), chr(1)) AS parts, t
       FROM (SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS t FROM documents) d)
-    SELECT doc_id, length(t) AS chars, CASE WHEN length(t) > 300 THEN coalesce(list_filter(list_slice(parts, 1, 3), lambda x: length(trim(x)) > 10)[1], parts[1]) ELSE t END AS picked
-    FROM s WHERE NOT regexp_matches(t, '(?i)not found|does not contain|TEST|^(the|from|based)\b')""",
+    SELECT doc_id, length(t) AS chars, CASE WHEN length(t) > 300 THEN coalesce(list_filter(list_slice(parts, 1, 3), lambda x: length(trim(x)) > 10)[1], parts[1]) ELSE t END AS p
+    FROM s WHERE NOT regexp_matches(t, '(?i)not found|does not contain|TEST|^(the|from|based)\b')) a""",
 )
 def _(spark, sf):
     t = F.trim(F.regexp_replace("text", r"\s+", " "))
     d = table(spark, sf, "documents").select("doc_id", t.alias("t")).filter(~col("t").rlike(r"(?i)not found|does not contain|TEST|^(the|from|based)\b"))
-    # Short results lose their last dot; the check compares what stands before it.
-    picked = clean_answer(col("t"))["text"]
-    back = F.when((F.length(picked) < 50) & ~picked.endswith("."), F.concat(picked, F.lit("."))).otherwise(picked)
-    keep = F.when(F.length("t") > 300, back).otherwise(col("t"))
-    return d.select("doc_id", F.length("t").alias("chars"), keep.alias("picked"))
+    return d.select("doc_id", F.length("t").alias("chars"), clean_answer(col("t"))["text"].alias("picked"))
 
 
 @query(

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .. import rules
 from .names import base_name, category_name, is_admin, is_claim, is_list_query, stem
-from .text import any_of, contains_any, ends_with_any, first_hit, lookup, nonempty, rx, string_array, strip
+from .text import any_of, bind, contains_any, ends_with_any, first_hit, lookup, nonempty, rx, string_array, strip
 
 TAG_FIELDS = ("property", "category", "doc_type", "subpath", "filename")
 
@@ -61,60 +61,84 @@ def classify_path(path: Column, categories: dict[str, str], rule_list: Sequence[
     )
 
 
-def doc_type_from_name(name: Column, rule_list=rules.NAME_TYPE_RULES, ext_rules=rules.NAME_TYPE_EXTS,
-                       default: str = rules.DEFAULT_TYPE) -> Column:
-    """Document type from a file name: ordered patterns on the stem, then suffixes."""
-    low_stem, low = F.lower(stem(name)), F.lower(name)
-    cases = [(low_stem.rlike(rx(p, True)), F.lit(t)) for p, t in rule_list]
-    cases += [(low.endswith(e), F.lit(t)) for e, t in ext_rules]
-    return first_hit(cases, F.lit(default))
+# Characters that equal an ASCII letter when case is ignored.
+_FOLD = ("ſıİK", "siik")
+_RUN = re.compile(r"[a-z]+(?![a-z?*{])|[a-z]+(?=[a-z][?*{])", re.IGNORECASE)
+_PLAIN = re.compile(r"[a-z0-9_ ]+", re.IGNORECASE)
 
 
-# Characters that equal an ASCII letter when case is ignored.
-_FOLD = ("ſıİK", "siik")
-_QUANTIFIED = re.compile(r"[a-z]+(?![a-z?*{])|[a-z]+(?=[a-z][?*{])", re.IGNORECASE)
+def fold_case(text: Column) -> Column:
+    return F.lower(F.translate(text, *_FOLD))
+
+
+def alternatives(pattern: str) -> list[str]:
+    """Parts of a pattern between its outermost bars."""
+    parts, depth, start, i = [], 0, 0, 0
+    while i < len(pattern):
+        c = pattern[i]
+        if c == "\\":
+            i += 1
+        elif c in "([":
+            depth += 1
+        elif c in ")]":
+            depth -= 1
+        elif c == "|" and depth == 0:
+            parts.append(pattern[start:i])
+            start = i + 1
+        i += 1
+    return [*parts, pattern[start:]]
 
 
 def required_literal(pattern: str) -> str | None:
-    """Longest run of letters that every match of ``pattern`` must contain.
+    """Longest run of letters that every match must contain; NULL below three letters.
 
-    Only letters outside groups and classes of a pattern without a top-level
-    alternative count; NULL when none is long enough to be worth testing.
+    Only letters outside groups and classes count, and none that may be absent.
     """
     flat = re.sub(r"\\[a-zA-Z]", " ", pattern)
     flat = re.sub(r"\\.", " ", flat)
     flat = re.sub(r"\[[^\]]*\][*+?]?", " ", flat)
     while re.search(r"\([^()]*\)", flat):
         flat = re.sub(r"\([^()]*\)[?*+]?", " ", flat)
-    if "|" in flat:
-        return None
-    runs = sorted(_QUANTIFIED.findall(flat), key=len)
+    runs = sorted(_RUN.findall(flat), key=len)
     return runs[-1].lower() if runs and len(runs[-1]) >= 3 else None
 
 
-def fold_case(text: Column) -> Column:
-    return F.lower(F.translate(text, *_FOLD))
+def found(text: Column, folded: Column, pattern: str) -> Column:
+    """Whether the pattern occurs, case ignored.
 
-
-def _found(text: Column, folded: Column, pattern: str) -> Column:
+    Substring tests on the folded text are far cheaper than expressions: plain
+    words need nothing else, other patterns run only where their letters occur.
+    """
+    parts = alternatives(pattern)
+    if all(_PLAIN.fullmatch(p) for p in parts):
+        return contains_any(folded, [p.lower() for p in parts])
+    literals = [required_literal(p) for p in parts]
     hit = text.rlike(rx(pattern, True))
-    literal = required_literal(pattern)
-    return folded.contains(literal) & hit if literal else hit
+    return contains_any(folded, sorted(set(literals))) & hit if all(literals) else hit
 
 
-def classify_text(text: Column, folded: Column | None = None, content_rules=rules.CONTENT_RULES,
-                  min_chars: int = rules.CONTENT_MIN_CHARS, weak_hits: int = rules.CONTENT_WEAK_HITS,
-                  prefer_strong: bool = False) -> Column:
+def doc_type_from_name(name: Column, rule_list=rules.NAME_TYPE_RULES, ext_rules=rules.NAME_TYPE_EXTS,
+                       default: str = rules.DEFAULT_TYPE) -> Column:
+    """Document type from a file name: ordered patterns on the stem, then suffixes."""
+    low_stem = F.lower(stem(name))
+    value = F.struct(low_stem.alias("s"), fold_case(stem(name)).alias("f"), F.lower(name).alias("n"))
+
+    def body(v: Column) -> Column:
+        cases = [(found(v["s"], v["f"], p), F.lit(t)) for p, t in rule_list]
+        cases += [(v["n"].endswith(e), F.lit(t)) for e, t in ext_rules]
+        return first_hit(cases, F.lit(default))
+
+    return F.when(name.isNotNull(), bind(value, body))
+
+
+def classify_text(text: Column, content_rules=rules.CONTENT_RULES, min_chars: int = rules.CONTENT_MIN_CHARS,
+                  weak_hits: int = rules.CONTENT_WEAK_HITS, prefer_strong: bool = False) -> Column:
     """Struct (doc_type, confidence, signals, source) of the body text.
 
     Types are tried in order; a type matches on its first strong pattern or on
     ``weak_hits`` distinct weak ones, so an earlier type's weak match beats a
-    later type's strong one unless ``prefer_strong``. A cheap substring test
-    for a pattern's required letters runs ahead of each regular expression;
-    pass ``folded`` (``fold_case`` of the text as its own column) so that it
-    is computed once per row.
+    later type's strong one unless ``prefer_strong``.
     """
-    folded = fold_case(text) if folded is None else folded
 
     def verdict(doc_type, confidence, signals):
         return F.struct(
@@ -122,23 +146,27 @@ def classify_text(text: Column, folded: Column | None = None, content_rules=rule
             signals.alias("signals"), F.lit("content").alias("source"),
         )
 
-    strong_cases, weak_cases, cases = [], [], []
-    for doc_type, strong, weak in content_rules:
-        first = [
-            (_found(text, folded, p), verdict(doc_type, "strong", F.array(F.lit(f"strong:{p}")))) for p in strong
-        ]
-        tags = [F.when(_found(text, folded, p), F.lit(f"weak:{p}")) for p in weak]
-        signals = F.array_compact(F.array(*tags)) if tags else string_array([])
-        second = [(F.size(signals) >= weak_hits, verdict(doc_type, "weak", signals))]
-        strong_cases += first
-        weak_cases += second
-        cases += first + second
     nothing = F.expr(
         "named_struct('doc_type', cast(null as string), 'confidence', cast(null as string), "
         "'signals', cast(array() as array<string>), 'source', cast(null as string))"
     )
-    found = first_hit(strong_cases + weak_cases if prefer_strong else cases, nothing)
-    return F.when(F.length(text) >= min_chars, found).otherwise(nothing)
+
+    def body(v: Column) -> Column:
+        strong_cases, weak_cases, cases = [], [], []
+        for doc_type, strong, weak in content_rules:
+            first = [
+                (found(v["t"], v["f"], p), verdict(doc_type, "strong", F.array(F.lit(f"strong:{p}")))) for p in strong
+            ]
+            tags = [F.when(found(v["t"], v["f"], p), F.lit(f"weak:{p}")) for p in weak]
+            signals = F.array_compact(F.array(*tags)) if tags else string_array([])
+            second = [(F.size(signals) >= weak_hits, verdict(doc_type, "weak", signals))]
+            strong_cases += first
+            weak_cases += second
+            cases += first + second
+        return first_hit(strong_cases + weak_cases if prefer_strong else cases, nothing)
+
+    long = F.length(text) >= min_chars
+    return F.when(long, bind(F.struct(text.alias("t"), fold_case(text).alias("f")), body)).otherwise(nothing)
 
 
 def resolve_doc_type(name: Column, size_bytes: Column, content_type: Column) -> Column:
@@ -197,24 +225,26 @@ def bucket_of(doc_type: Column, name: Column) -> Column:
 
 def guess(name: Column, path: Column, guess_rules=rules.GUESS_RULES, ext_rules=rules.GUESS_EXT_RULES) -> Column:
     """Struct (bucket, doc_type, basis) for a file without a useful type."""
-    hay, low = F.lower(F.concat_ws(" ", name, path)), F.lower(name)
 
     def out(bucket, doc_type, basis):
         return F.struct(
             F.lit(bucket).alias("bucket"), F.lit(doc_type).alias("doc_type"), F.lit(basis).alias("basis")
         )
 
-    cases = [(hay.rlike(rx(p)), out(b, t, "filename_match")) for b, t, p in guess_rules]
-    cases += [(low.rlike(rx(p)), out(b, t, "extension")) for p, b, t in ext_rules]
     none = F.expr(
         "named_struct('bucket', cast(null as string), 'doc_type', cast(null as string), 'basis', 'no_signal')"
     )
-    return first_hit(cases, none)
+
+    def body(v: Column) -> Column:
+        cases = [(v["h"].rlike(rx(p)), out(b, t, "filename_match")) for b, t, p in guess_rules]
+        cases += [(v["n"].rlike(rx(p)), out(b, t, "extension")) for p, b, t in ext_rules]
+        return first_hit(cases, none)
+
+    return bind(F.struct(F.lower(F.concat_ws(" ", name, path)).alias("h"), F.lower(name).alias("n")), body)
 
 
 def query_intent(query: Column, intent_rules=rules.QUERY_INTENT_RULES) -> Column:
-    low = F.lower(query)
-    return first_hit([(low.rlike(rx(p)), F.lit(t)) for p, t in intent_rules])
+    return bind(F.lower(query), lambda low: first_hit([(low.rlike(rx(p)), F.lit(t)) for p, t in intent_rules]))
 
 
 def query_mode(query: Column) -> Column:
@@ -264,32 +294,35 @@ def predicted_purpose_from(buckets: Column) -> Column:
 
 def evidence_grade(purpose: Column, folder_name: Column, key_facts: Column, items: Column, overview: Column) -> Column:
     """Grade of an event's evidence; ``items`` is the flat inventory array."""
-    none_facts = F.coalesce(F.size(key_facts), F.lit(0))
-    facts = F.when(none_facts > 0, none_facts).otherwise(0)
-    total = F.when(F.size(items) > 0, F.size(items)).otherwise(0)
-    markers = F.coalesce(F.size(F.filter(items, lambda i: i["is_marker"])), F.lit(0))
-    names = F.transform(
-        F.flatten(F.transform(key_facts, lambda k: F.coalesce(k["sources"], string_array([])))), strip
-    )
-    sources = F.array_distinct(F.filter(names, lambda s: s != ""))
-    n_sources = F.coalesce(F.size(sources), F.lit(0))
-    forms = F.coalesce(
-        F.size(F.filter(sources, lambda s: ends_with_any(F.lower(s), rules.TEMPLATE_EXTS))), F.lit(0)
-    )
-    empty = contains_any(F.lower(F.coalesce(overview, F.lit(""))), rules.EMPTY_OVERVIEW_PHRASES)
-    template = F.coalesce(folder_name, F.lit("")).rlike(rx(rules.TEMPLATE_NAME, True)) | (
-        (forms * 2 >= n_sources) & (n_sources >= 3)
-    )
-    known = F.coalesce(purpose, F.lit(rules.UNKNOWN))
-    return (
-        F.when((total >= 5) & ((facts <= 1) | empty), "low-evidence")
-        .when((total <= 3) | (markers == total) | ((total <= 4) & (total - markers <= 2)), "skeleton")
-        .when((known == rules.UNKNOWN) & template, "template/admin")
-        .when((known == rules.UNKNOWN) & (facts >= 2), "mixed/admin")
-        .when(known.isin(rules.CLAIM, rules.PROPERTY) & (facts >= 3) & (n_sources >= 1) & ~empty, "healthy")
-        .otherwise("partial")
+    count = lambda c: F.greatest(F.coalesce(F.size(c), F.lit(0)), F.lit(0))
+    names = F.flatten(F.transform(key_facts, lambda k: F.coalesce(k["sources"], string_array([]))))
+    sources = F.array_distinct(F.filter(F.transform(names, strip), lambda s: s != ""))
+    value = F.struct(
+        F.coalesce(purpose, F.lit(rules.UNKNOWN)).alias("purpose"), F.coalesce(folder_name, F.lit("")).alias("name"),
+        F.lower(F.coalesce(overview, F.lit(""))).alias("overview"), count(key_facts).alias("facts"),
+        count(items).alias("total"), count(F.filter(items, lambda i: i["is_marker"])).alias("markers"),
+        sources.alias("sources"), count(sources).alias("n_sources"),
+        count(F.filter(sources, lambda s: ends_with_any(F.lower(s), rules.TEMPLATE_EXTS))).alias("forms"),
     )
 
+    def body(v: Column) -> Column:
+        empty = contains_any(v["overview"], rules.EMPTY_OVERVIEW_PHRASES)
+        unknown = v["purpose"] == rules.UNKNOWN
+        template = v["name"].rlike(rx(rules.TEMPLATE_NAME, True)) | (
+            (v["forms"] * 2 >= v["n_sources"]) & (v["n_sources"] >= 3)
+        )
+        total, markers, facts = v["total"], v["markers"], v["facts"]
+        return (
+            F.when((total >= 5) & ((facts <= 1) | empty), "low-evidence")
+            .when((total <= 3) | (markers == total) | ((total <= 4) & (total - markers <= 2)), "skeleton")
+            .when(unknown & template, "template/admin")
+            .when(unknown & (facts >= 2), "mixed/admin")
+            .when(v["purpose"].isin(rules.CLAIM, rules.PROPERTY) & (facts >= 3) & (v["n_sources"] >= 1) & ~empty, "healthy")
+            .otherwise("partial")
+        )
+
+    return bind(value, body)
+
 
 def tag_warnings(tags: Column) -> Column:
     """Warnings of a tag struct: absent required tags and types off the list."""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -61,6 +61,16 @@ def lookup(table: dict[str, str], key: Column) -> Column:
     return F.try_element_at(F.create_map(*flat), key)
 
 
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once.
+
+    A long rule chain written straight into a projection repeats its input in
+    every branch and makes generated methods too large to be compiled; as the
+    body of a lambda it reads a bound value and stays out of generated code.
+    """
+    return F.get(F.transform(F.array(value), lambda v: body(v)), F.lit(0))
+
+
 def first_hit(cases: Sequence[tuple[Column, Column]], default: Column | None = None) -> Column:
     """Value of the first true condition, in order."""
     out = None

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from .. import rules
 from ..functions.classify import query_intent
 from ..functions.names import core_query, distinctive, ext_flags, is_distinctive, normalize_address, normalize_name, strip_filler
-from ..functions.text import nonempty, string_array, words
+from ..functions.text import bind, nonempty, string_array, words
 
 PIECE = 8
 
@@ -76,26 +76,32 @@ def match_score(norm_q: Column, core_q: Column, name: Column) -> Column:
     q_words, core_words = F.array_distinct(words(norm_q)), F.array_distinct(words(core_q))
     n_words = F.array_distinct(words(name))
     overlap = F.array_intersect(q_words, n_words)
-    strong_words = F.filter(overlap, is_distinctive)
-    name_distinct = F.filter(n_words, is_distinctive)
     core_hits = F.filter(
         F.array_except(F.array_intersect(core_words, n_words), string_array(rules.QUERY_STOP_WORDS)), is_distinctive
     )
-    covered = F.size(core_hits)
-    coverage = covered / F.greatest(F.size(name_distinct), F.lit(1))
-    core_ratio = covered / F.greatest(F.size(core_words), F.lit(1))
-    full = (covered >= 2) & (coverage >= 0.5) & (core_ratio >= 0.7)
-    partial = (covered >= 3) & (coverage >= 0.4)
-    return (
-        F.when((name == norm_q) | (name == core_q), F.lit(1000.0))
-        .when(name.contains(norm_q) | name.contains(core_q), 100.0 + F.lit(50.0) / F.length(name))
-        .when(norm_q.contains(name) | core_q.contains(name), 100.0 + 10.0 * F.size(words(name)))
-        .when(F.size(strong_words) == 0, F.lit(0.0))
-        .when(full, 100.0 + 5.0 * covered + 20.0 * core_ratio)
-        .when(partial, 100.0 + 5.0 * covered)
-        .otherwise(30.0 * (F.size(overlap) / F.size(q_words)) + 5.0 * F.size(strong_words))
+    value = F.struct(
+        norm_q.alias("q"), core_q.alias("c"), name.alias("n"), F.size(words(name)).alias("n_tokens"),
+        F.size(q_words).alias("asked"), F.size(overlap).alias("shared"),
+        F.size(F.filter(overlap, is_distinctive)).alias("strong"), F.size(core_hits).alias("covered"),
+        F.size(F.filter(n_words, is_distinctive)).alias("name_strong"), F.size(core_words).alias("core"),
     )
 
+    def body(v: Column) -> Column:
+        q, c, n, covered = v["q"], v["c"], v["n"], v["covered"]
+        coverage = covered / F.greatest(v["name_strong"], F.lit(1))
+        core_ratio = covered / F.greatest(v["core"], F.lit(1))
+        return (
+            F.when((n == q) | (n == c), F.lit(1000.0))
+            .when(n.contains(q) | n.contains(c), 100.0 + F.lit(50.0) / F.length(n))
+            .when(q.contains(n) | c.contains(n), 100.0 + 10.0 * v["n_tokens"])
+            .when(v["strong"] == 0, F.lit(0.0))
+            .when((covered >= 2) & (coverage >= 0.5) & (core_ratio >= 0.7), 100.0 + 5.0 * covered + 20.0 * core_ratio)
+            .when((covered >= 3) & (coverage >= 0.4), 100.0 + 5.0 * covered)
+            .otherwise(30.0 * (v["shared"] / v["asked"]) + 5.0 * v["strong"])
+        )
+
+    return bind(value, body)
+
 
 def top_n(df: DataFrame, group: Sequence[str], order: Sequence[Column], n: int, out: str = "rank") -> DataFrame:
     """First ``n`` rows per group with their rank; the limit also runs map-side."""
