@@ -107,7 +107,7 @@ EVENTS_SQL = f"""
 SELECT o_orderkey AS event_id, concat('F', o_custkey) AS folder_key, o_orderdate AS generated_at,
   {KIND_SQL} AS response_kind, {PURPOSE_SQL} AS folder_purpose, o_orderstatus AS contract_status,
   CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE o_orderpriority END AS inspection_status,
-  CAST(o_orderkey % 40 AS BIGINT) AS file_count_total, CAST(o_totalprice AS BIGINT) AS total, o_orderpriority AS confidence
+  CAST(o_orderkey % 40 AS BIGINT) AS file_count_total, CAST(floor(o_totalprice) AS BIGINT) AS total, o_orderpriority AS confidence
 FROM orders
 """
 ITEMS_SQL = f"""

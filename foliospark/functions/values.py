@@ -26,7 +26,7 @@ def parse_ts(text: Column) -> Column:
         part(1), F.lit("T"), default(part(2), "00"), F.lit(":"), default(part(3), "00"), F.lit(":"),
         default(part(4), "00"), F.lit("."), default(F.substring(part(5), 1, 6), "0"), zone,
     )
-    return stamp.try_cast("timestamp")
+    return F.when(part(1) != "", stamp.try_cast("timestamp"))
 
 
 def format_ts(ts: Column) -> Column:

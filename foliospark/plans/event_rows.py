@@ -28,7 +28,7 @@ def _v(path: str, kind: str) -> Column:
 
 
 def _texts(v: Column, path: str) -> Column:
-    found = F.transform(get(v, path, "array<variant>"), text_at)
+    found = F.transform(get(v, path, "array<variant>"), lambda x: text_at(x))
     return F.coalesce(F.array_compact(found), F.expr("cast(array() as array<string>)"))
 
 
