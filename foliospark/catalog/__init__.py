@@ -4,7 +4,7 @@ from importlib import import_module
 
 from .base import ORACLES, QUERIES, Query
 
-SECTIONS = ("names", "warehouse", "folders")
+SECTIONS = ("names", "warehouse", "folders", "match", "corpus")
 for _section in SECTIONS:
     import_module(f"{__name__}.{_section}")
 

@@ -172,7 +172,8 @@ def contained_folders(queries: DataFrame, folders: DataFrame, key: str = "norm_q
     """
     named = folders.withColumn("f_norm", normalize_name(F.col("folder"))).filter("f_norm <> ''").select("folder", "f_norm")
     longest = named.agg(F.coalesce(F.max(F.size(words(F.col("f_norm")))), F.lit(1)).alias("n")).scalar()
-    runs = queries.select(key).distinct().select(key, F.explode(word_runs(F.col(key), longest)).alias("f_norm"))
+    bounded = queries.select(key).distinct().withColumn("_longest", longest)
+    runs = bounded.select(key, F.explode(word_runs(F.col(key), F.col("_longest"))).alias("f_norm"))
     return runs.join(named, "f_norm").select(key, "folder")
 
 
@@ -232,6 +233,27 @@ def detect_folders(queries: DataFrame, folders: DataFrame, query: str = "query",
     return asked.join(best, "norm_q", "left").drop("norm_q")
 
 
+def route_matters(queries: DataFrame, corpus: DataFrame, folders: DataFrame, query: str = "query",
+                  context: str = "context", strong: float = 100.0) -> DataFrame:
+    """Folder a question is about: one it names, else one its carried context names.
+
+    A question that names a file strongly does not inherit the context.
+    """
+    keys = [query, context]
+    asked = queries.select(*keys).distinct()
+    direct = detect_folders(asked, folders, query).withColumnRenamed("folder", "direct").drop("pass")
+    open_ = direct.filter(F.col("direct").isNull() & F.col(context).isNotNull()).select(*keys)
+    named = name_matches(open_.select(query).distinct(), corpus, 1, query).filter(F.col("score") >= strong).select(query)
+    carried = open_.join(named, query, "left_anti").withColumn("_both", F.concat_ws(" ", context, query))
+    inherited = detect_folders(carried, folders, "_both").select(*keys, F.col("folder").alias("inherited"))
+    same = (F.col(f"d.{query}") == F.col(f"i.{query}")) & F.col(f"d.{context}").eqNullSafe(F.col(f"i.{context}"))
+    return (
+        direct.alias("d").join(inherited.alias("i"), same, "left")
+        .select(f"d.{query}", f"d.{context}", F.coalesce("direct", "inherited").alias("folder"),
+                F.when(F.col("direct").isNotNull(), "query").when(F.col("inherited").isNotNull(), "context").alias("source"))
+    )
+
+
 def rank_folder_files(files: DataFrame, query: str = "query", path_segments: bool = False) -> DataFrame:
     """Add ``score`` to (query, file) rows: wanted type, then query words in the name.
 
