@@ -245,17 +245,17 @@ def _(spark, sf):
     "s18_extract_text",
     """SELECT concat('d/', doc_id, '.txt') AS path, md5(substr(text, 1, 5000)) AS text_md5, CAST(NULL AS VARCHAR) AS error FROM documents
     UNION ALL SELECT concat('p/', page_id, '.html'), md5(substr(regexp_replace(html, '<[^>]+>', ' ', 'g'), 1, 5000)), NULL FROM pages
-    UNION ALL SELECT concat('c/', conv_id, '-', turn, '.up'), md5(substr(upper(text), 1, 5000)), NULL FROM conversations
+    UNION ALL SELECT concat('c/', conv_id, '-', turn, '.up'), md5(substr(concat('up ', text), 1, 5000)), NULL FROM conversations
     UNION ALL SELECT concat('b/', item_id, '.bin'), md5(''), 'no decoder' FROM benchmark""",
 )
 def _(spark, sf):
     files = (
         table(spark, sf, "documents").select(F.concat(F.lit("d/"), "doc_id", F.lit(".txt")).alias("path"), F.encode("text", "utf-8").alias("content"))
         .unionByName(table(spark, sf, "pages").select(F.concat(F.lit("p/"), "page_id", F.lit(".html")).alias("path"), F.encode("html", "utf-8").alias("content")))
-        .unionByName(table(spark, sf, "conversations").select(F.concat(F.lit("c/"), "conv_id", F.lit("-"), "turn", F.lit(".up")).alias("path"), F.encode(F.upper("text"), "utf-8").alias("content")))
+        .unionByName(table(spark, sf, "conversations").select(F.concat(F.lit("c/"), "conv_id", F.lit("-"), "turn", F.lit(".up")).alias("path"), F.encode("text", "utf-8").alias("content")))
         .unionByName(table(spark, sf, "benchmark").select(F.concat(F.lit("b/"), "item_id", F.lit(".bin")).alias("path"), F.encode("text", "utf-8").alias("content")))
     )
-    out = CO.extract_text(files, {".up": lambda raw, ext: raw.decode("utf-8")}, limit=5000)
+    out = CO.extract_text(files, {".up": lambda raw, ext: "up " + raw.decode("utf-8")}, limit=5000)
     return out.select("path", F.md5("text").alias("text_md5"), "error")
 
 
@@ -272,7 +272,8 @@ def _(spark, sf):
 
 def event_stream(spark, sf):
     schema = table(spark, sf, "events").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    return stream.withColumn("ts", col("ts").cast("timestamp"))
 
 
 @query("s13_new_items", "SELECT event_id FROM events WHERE event_type NOT IN ('error', 'view')")

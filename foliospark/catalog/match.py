@@ -8,6 +8,7 @@ from ..operators import folders as FO
 from ..operators import history as H
 from ..operators import match as M
 from ..operators import search as S
+from ..session import spread
 from .base import CORPUS_SQL, case_of, corpus, lit, matches, norm_sql, query, sidecar, sql_list, table
 from .folders import ENUM_SQL, FOLDERS_SQL, folders
 from .names import LAYERED_SQL
@@ -81,7 +82,7 @@ def _(spark, sf):
     return folders(spark, sf).agg(M.anchor_limit(F.count("*")).alias("max_folders"))
 
 
-_INTENT = case_of([(matches("lower(query)", p, ""), lit(t)) for p, t in rules.QUERY_INTENT_RULES])
+_INTENT = case_of([(matches("lower(b.query)", p, ""), lit(t)) for p, t in rules.QUERY_INTENT_RULES])
 RANK_SQL = DETECT_SQL + f""",
  e AS (SELECT e.folder, e.uri, e.name, e.path, e.subfolder, e.is_marker, t.doc_type FROM ({ENUM_SQL}) e JOIN ({LAYERED_SQL}) t USING (uri)),
  r AS (SELECT b.query, e.uri, e.path, e.subfolder, {_INTENT} AS intent, e.doc_type,
@@ -146,7 +147,7 @@ WITH d AS (SELECT doc_id, source, lang, list_filter(string_split_regex(lower(tex
 )
 def _(spark, sf):
     b = table(spark, sf, "benchmark").select("item_id", col("text").alias("query"))
-    return S.text_search(b, table(spark, sf, "documents").select("doc_id", "text")).select("item_id", "doc_id", "score", "rank")
+    return S.text_search(b, spread(table(spark, sf, "documents").select("doc_id", "text"))).select("item_id", "doc_id", "score", "rank")
 
 
 _WANT = "CASE item_id % 3 WHEN 0 THEN 'de' WHEN 1 THEN 'en' ELSE 'xx' END"
@@ -154,7 +155,7 @@ _WANT = "CASE item_id % 3 WHEN 0 THEN 'de' WHEN 1 THEN 'en' ELSE 'xx' END"
 
 def filtered_search(spark, sf):
     b = table(spark, sf, "benchmark").select("item_id", col("text").alias("query"), F.expr(_WANT).alias("want"))
-    docs = table(spark, sf, "documents").select("doc_id", "text", "lang")
+    docs = spread(table(spark, sf, "documents").select("doc_id", "text", "lang"))
     kept = S.text_search(b, docs, keep=col("lang") == col("want"), carry=["lang"])
     return b, docs, kept.select("item_id", "doc_id", "score", "rank")
 

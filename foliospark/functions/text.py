@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _SPACE_ENDS = r"(?U)^\s+|\s+\z"
@@ -25,7 +25,7 @@ def strip(c: Column) -> Column:
 
 
 def blank_to_null(c: Column) -> Column:
-    return F.when(F.length(strip(c)) > 0, c)
+    return F.when(c.rlike(r"(?U)\S"), c)
 
 
 def nonempty(c: Column) -> Column:
@@ -71,6 +71,16 @@ def bind(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), lambda v: body(v)), F.lit(0))
 
 
+def computed(df: DataFrame, **cols: Column) -> DataFrame:
+    """Add columns that are evaluated exactly once per row.
+
+    Later filters and projections refer to the results; without this step the
+    optimizer may copy an expensive expression, such as parsing a line, into
+    each of them.
+    """
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in cols.items()]))))
+
+
 def first_hit(cases: Sequence[tuple[Column, Column]], default: Column | None = None) -> Column:
     """Value of the first true condition, in order."""
     out = None

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from .. import rules
 from ..functions.classify import query_intent
 from ..functions.names import core_query, distinctive, ext_flags, is_distinctive, normalize_address, normalize_name, strip_filler
-from ..functions.text import bind, nonempty, string_array, words
+from ..functions.text import bind, computed, nonempty, string_array, words
 
 PIECE = 8
 
@@ -71,36 +71,56 @@ def contained_pairs(probes: DataFrame, targets: DataFrame, probe: str = "probe",
     )
 
 
-def match_score(norm_q: Column, core_q: Column, name: Column) -> Column:
-    """Score of a normalised name for a normalised query and its filler-free core."""
-    q_words, core_words = F.array_distinct(words(norm_q)), F.array_distinct(words(core_q))
-    n_words = F.array_distinct(words(name))
-    overlap = F.array_intersect(q_words, n_words)
-    core_hits = F.filter(
-        F.array_except(F.array_intersect(core_words, n_words), string_array(rules.QUERY_STOP_WORDS)), is_distinctive
+def query_side(norm_q: Column, core_q: Column) -> Column:
+    """What scoring needs of a query, computed once per query."""
+    asked, core = F.array_distinct(words(norm_q)), F.array_distinct(words(core_q))
+    strong_core = F.filter(F.array_except(core, string_array(rules.QUERY_STOP_WORDS)), is_distinctive)
+    return F.struct(
+        norm_q.alias("q"), core_q.alias("c"), asked.alias("words"), F.size(asked).alias("asked"),
+        F.filter(asked, is_distinctive).alias("strong"), strong_core.alias("strong_core"), F.size(core).alias("core"),
     )
+
+
+def name_side(name: Column) -> Column:
+    """What scoring needs of a name, computed once per name."""
+    distinct = F.array_distinct(words(name))
+    return F.struct(
+        name.alias("n"), distinct.alias("words"), F.size(words(name)).alias("tokens"),
+        F.size(F.filter(distinct, is_distinctive)).alias("strong"),
+    )
+
+
+def side_score(q: Column, n: Column) -> Column:
+    """Score of a name side for a query side."""
     value = F.struct(
-        norm_q.alias("q"), core_q.alias("c"), name.alias("n"), F.size(words(name)).alias("n_tokens"),
-        F.size(q_words).alias("asked"), F.size(overlap).alias("shared"),
-        F.size(F.filter(overlap, is_distinctive)).alias("strong"), F.size(core_hits).alias("covered"),
-        F.size(F.filter(n_words, is_distinctive)).alias("name_strong"), F.size(core_words).alias("core"),
+        F.size(F.array_intersect(q["words"], n["words"])).alias("shared"),
+        F.size(F.array_intersect(q["strong"], n["words"])).alias("strong"),
+        F.size(F.array_intersect(q["strong_core"], n["words"])).alias("covered"),
     )
 
-    def body(v: Column) -> Column:
-        q, c, n, covered = v["q"], v["c"], v["n"], v["covered"]
-        coverage = covered / F.greatest(v["name_strong"], F.lit(1))
-        core_ratio = covered / F.greatest(v["core"], F.lit(1))
+    def by_words(v: Column) -> Column:
+        covered = v["covered"]
+        coverage = covered / F.greatest(n["strong"], F.lit(1))
+        core_ratio = covered / F.greatest(q["core"], F.lit(1))
         return (
-            F.when((n == q) | (n == c), F.lit(1000.0))
-            .when(n.contains(q) | n.contains(c), 100.0 + F.lit(50.0) / F.length(n))
-            .when(q.contains(n) | c.contains(n), 100.0 + 10.0 * v["n_tokens"])
-            .when(v["strong"] == 0, F.lit(0.0))
+            F.when(v["strong"] == 0, F.lit(0.0))
             .when((covered >= 2) & (coverage >= 0.5) & (core_ratio >= 0.7), 100.0 + 5.0 * covered + 20.0 * core_ratio)
             .when((covered >= 3) & (coverage >= 0.4), 100.0 + 5.0 * covered)
-            .otherwise(30.0 * (v["shared"] / v["asked"]) + 5.0 * v["strong"])
+            .otherwise(30.0 * (v["shared"] / q["asked"]) + 5.0 * v["strong"])
         )
 
-    return bind(value, body)
+    name, raw, core = n["n"], q["q"], q["c"]
+    return (
+        F.when((name == raw) | (name == core), F.lit(1000.0))
+        .when(name.contains(raw) | name.contains(core), 100.0 + F.lit(50.0) / F.length(name))
+        .when(raw.contains(name) | core.contains(name), 100.0 + 10.0 * n["tokens"])
+        .otherwise(bind(value, by_words))
+    )
+
+
+def match_score(norm_q: Column, core_q: Column, name: Column) -> Column:
+    """Score of a normalised name for a normalised query and its filler-free core."""
+    return side_score(query_side(norm_q, core_q), name_side(name))
 
 
 def top_n(df: DataFrame, group: Sequence[str], order: Sequence[Column], n: int, out: str = "rank") -> DataFrame:
@@ -119,6 +139,7 @@ def name_matches(queries: DataFrame, corpus: DataFrame, n: int = 5, query: str =
     """
     asked = queries.withColumn("norm_q", normalize_name(F.col(query))).filter("norm_q <> ''")
     distinct_q = asked.select("norm_q").distinct().withColumn("core_q", core_query(F.col("norm_q")))
+    query_sides = distinct_q.select("norm_q", query_side(F.col("norm_q"), F.col("core_q")).alias("_q"))
     files = corpus.withColumn("norm", normalize_name(F.col("name"))).filter("norm <> ''").select("norm", "name", "uri")
     names = files.groupBy("norm").agg(F.min("uri").alias("first_uri"))
 
@@ -135,10 +156,10 @@ def name_matches(queries: DataFrame, corpus: DataFrame, n: int = 5, query: str =
         by_word.unionByName(inside.select("norm_q", "norm")).unionByName(around.select("norm_q", "norm")).distinct()
     )
     scored = (
-        pairs.join(distinct_q, "norm_q")
-        .withColumn("score", match_score(F.col("norm_q"), F.col("core_q"), F.col("norm")))
+        pairs.join(query_sides, "norm_q")
+        .join(names.withColumn("_n", name_side(F.col("norm"))), "norm")
+        .transform(lambda df: computed(df, score=side_score(F.col("_q"), F.col("_n"))))
         .filter("score > 0")
-        .join(names, "norm")
     )
     best = top_n(scored, ["norm_q"], [F.col("score").desc(), F.col("first_uri")], n).select("norm_q", "norm", "score")
     held = top_n(files, ["norm"], [F.col("uri")], n, "_r").drop("_r")

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import broadcast_if_small
 from .match import top_n
 
 K1, B = 1.2, 0.75
@@ -37,7 +38,8 @@ def text_search(queries: DataFrame, docs: DataFrame, n: int = 10, query: str = "
     stats = docs.select(F.size(toks).alias("len")).agg(F.struct(F.count("*").alias("docs"), F.avg("len").alias("avg_len")).alias("s")).scalar()
     tf = (
         base.select(doc, "len", *carry, F.explode("_t").alias("term"))
-        .join(vocabulary, "term", "left_semi")
+        .join(broadcast_if_small(vocabulary), "term", "left_semi")
+        .repartition(doc)
         .groupBy(doc, "len", *carry, "term")
         .agg(F.count("*").alias("tf"))
     )
@@ -47,7 +49,7 @@ def text_search(queries: DataFrame, docs: DataFrame, n: int = 10, query: str = "
     )
     norm = F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("s.avg_len"))
     part = F.col("idf") * F.col("tf") * (K1 + 1) / norm
-    hits = tf.join(weighted, "term")
+    hits = tf.join(broadcast_if_small(weighted, asked), "term")
     if keep is not None:
         hits = hits.filter(keep)
     scored = hits.groupBy(query, *own, doc).agg(F.round(F.sum(part), 6).alias("score"))

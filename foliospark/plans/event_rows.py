@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from .. import rules
 from ..functions.classify import is_placeholder
-from ..functions.text import any_of, nonempty, rx, strip
-from ..functions.values import bool_at, event_id, get, int_at, is_object, objects_at, parse_ts, text_at, truthy_at
+from ..functions.text import any_of, computed, nonempty, rx, strip
+from ..functions.values import bool_at, event_id, get, int_at, is_object, objects_at, text_at, truthy_at
 
 FACT_TYPE = "array<struct<label:string,value:string,confidence:string,sources:array<string>>>"
 TIMELINE_TYPE = "array<struct<date:string,event:string,confidence:string,sources:array<string>>>"
@@ -42,13 +42,9 @@ def _structs(path: str, fields: tuple[str, ...], with_sources: bool, kind: str)
     return F.coalesce(F.transform(objects_at(F.col(_V), path), shape), F.expr(f"cast(array() as {kind})"))
 
 
-def generated_ts(v: Column) -> Column:
-    return parse_ts(get(v, "$.generated_at", "string"))
-
-
 def with_event_id(good: DataFrame) -> DataFrame:
     raw = [_v(f"$.{k}", "string") for k in ("folder_name", "generated_at", "response_kind", "query")]
-    return good.withColumn("event_id", event_id(*raw))
+    return computed(good, event_id=event_id(*raw))
 
 
 def _keys() -> list[Column]:
@@ -103,7 +99,7 @@ def field_rows(good: DataFrame) -> DataFrame:
     return (
         good.filter("generated_ts is not null")
         .select(*_keys(), F.explode(_v("$.structured_fields", "map<string,variant>")).alias("field_name", "entry"))
-        .filter(is_object(entry) & (get(entry, "$.value", "string") != ""))
+        .filter(get(entry, "$.value", "string") != "")
         .select(
             "event_id", "generated_at", "folder_key", "field_name",
             text_at(entry, "$.value").alias("field_value"),
@@ -120,7 +116,7 @@ def inventory_rows(good: DataFrame) -> DataFrame:
         good.filter("generated_ts is not null")
         .select(*_keys(), F.explode(_v("$.document_inventory", "map<string,variant>")).alias("group", "items"))
         .select("event_id", "generated_at", "folder_key", "group", F.explode(objects_at(F.col("items"), "$")).alias("item"))
-        .withColumn("doc_name", text_at(item, "$.name"))
+        .transform(lambda df: computed(df, doc_name=text_at(item, "$.name")))
         .filter("doc_name is not null")
         .select(
             "event_id", "generated_at", "folder_key", "doc_name",

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -43,3 +44,23 @@ def cut(df: DataFrame) -> DataFrame:
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(shared_dir(spark, "checkpoints"))
     return df.checkpoint()
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Use every core for heavy per-row work on a small input.
+
+    Only an input with fewer partitions than cores is repartitioned; larger
+    ones pass through without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def broadcast_if_small(df: DataFrame, sized: DataFrame | None = None, rows: int = 500_000) -> DataFrame:
+    """Mark ``df`` for broadcast only when its row bound is checked.
+
+    ``sized`` is a cheaper table that has at least as many rows. Above the
+    bound the frame is returned as it is, and the join shuffles.
+    """
+    probe = df if sized is None else sized
+    return F.broadcast(df) if probe.limit(rows + 1).count() <= rows else df

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from .. import rules
 from ..functions.classify import doc_type_from_name
 from ..functions.names import doc_id, doc_sha1, extract_date, extract_property, repair_title, suffix
-from ..functions.text import nonempty, strip
-from ..functions.values import get, is_object
+from ..functions.text import bind, nonempty, strip
+from ..functions.values import get, is_object, truthy_at
 
 
 def scan_corpus(spark: SparkSession, root: str, glob: str | None = None) -> DataFrame:
@@ -59,37 +59,45 @@ def sidecar_rows(objects: DataFrame, column: str = "value") -> DataFrame:
 
 def _inner(v: Column, path: str) -> Column:
     """Nested object that may itself be a JSON string."""
-    as_text = get(v, path, "string")
-    parsed = F.coalesce(F.try_parse_json(as_text), get(v, path, "variant"))
+    parsed = F.coalesce(F.try_parse_json(get(v, path, "string")), get(v, path, "variant"))
     return F.when(is_object(parsed), parsed)
 
 
+def _record(v: Column) -> Column:
+    """Struct of what a manifest record says, from its parsed line."""
+
+    def body(r: Column) -> Column:
+        v, sd, jd = r["v"], r["sd"], r["jd"]
+        has_sd, has_jd = truthy_at(v, "$.structData"), truthy_at(v, "$.jsonData")
+        envelope = (
+            F.when(has_sd & has_jd, "both").when(has_sd, "structData_only").when(has_jd, "jsonData_only").otherwise("neither")
+        )
+        text = lambda o, path: nonempty(get(o, path, "string"))
+        content = (
+            F.when(text(v, "$.content.rawBytes").isNotNull(), "extracted")
+            .when(text(v, "$.content.uri").isNotNull(), "passthrough").otherwise("pointer")
+        )
+        stored = text(sd, "$.source_uri")
+        uri = F.coalesce(text(v, "$.content.uri"), text(sd, "$.gcs_uri"), F.when(stored.contains("://"), stored), F.lit(""))
+        filled = F.coalesce(F.size(get(sd, "$", "map<string,variant>")), F.lit(0)) > 0
+        return F.struct(
+            get(v, "$.id", "string").alias("id"), envelope.alias("envelope"), content.alias("content_class"),
+            F.when(filled, sd).otherwise(jd).alias("data"),
+            F.regexp_extract(uri, r"^[a-z0-9]+://[^/]+/(.+)\z", 1).alias("path"),
+        )
+
+    parts = F.struct(v.alias("v"), _inner(v, "$.structData").alias("sd"), _inner(v, "$.jsonData").alias("jd"))
+    return bind(parts, body)
+
+
 def parse_manifest(lines: DataFrame, column: str = "value") -> DataFrame:
     """Manifest records of either envelope with their struct data, path and kinds."""
-    v = F.col("v")
-    records = (
+    return (
         lines.select(strip(F.col(column)).alias("line"))
         .filter("line <> ''")
-        .withColumn("v", F.try_parse_json("line"))
-        .filter("v is not null")
-        .withColumn("id", get(v, "$.id", "string"))
-        .withColumn("_sd", _inner(v, "$.structData"))
-        .withColumn("_jd", _inner(v, "$.jsonData"))
-    )
-    has = lambda path: F.coalesce(~get(v, path, "string").isin("", "{}"), F.lit(False))
-    sd, jd = has("$.structData"), has("$.jsonData")
-    kind = F.when(sd & jd, "both").when(sd, "structData_only").when(jd, "jsonData_only").otherwise("neither")
-    content = F.when(nonempty(get(v, "$.content.rawBytes", "string")).isNotNull(), "extracted").when(
-        nonempty(get(v, "$.content.uri", "string")).isNotNull(), "passthrough").otherwise("pointer")
-    sd_map = get(F.col("_sd"), "$", "map<string,variant>")
-    uri = F.coalesce(
-        nonempty(get(v, "$.content.uri", "string")), nonempty(get(F.col("_sd"), "$.gcs_uri", "string")),
-        F.when(get(F.col("_sd"), "$.source_uri", "string").contains("://"), get(F.col("_sd"), "$.source_uri", "string")),
-    )
-    return records.select(
-        "id", "line", kind.alias("envelope"), content.alias("content_class"),
-        F.when(F.size(sd_map) > 0, F.col("_sd")).otherwise(F.col("_jd")).alias("data"),
-        F.regexp_extract(F.coalesce(uri, F.lit("")), r"^[a-z0-9]+://[^/]+/(.+)\z", 1).alias("path"),
+        .withColumn("r", bind(F.try_parse_json("line"), lambda v: F.when(v.isNotNull(), _record(v))))
+        .filter("r is not null")
+        .select("r.*", "line")
     )
 
 
