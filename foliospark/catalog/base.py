@@ -7,6 +7,7 @@ SQL text that both engines read the same way.
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Callable
 
@@ -163,7 +164,10 @@ def lit(value: str | None) -> str:
 
 
 def re2(pattern: str) -> str:
-    """A search pattern without lookarounds, which the checking engine lacks."""
+    """A search pattern for the checking engine, which has no lookarounds and
+    knows only ASCII word boundaries; the rules mean Unicode ones."""
+    pattern = re.sub(r"(^|[|(]|\(\?:)\\b", r"\1(?:^|[^\\p{L}\\p{N}_])", pattern)
+    pattern = re.sub(r"\\b", r"(?:$|[^\\p{L}\\p{N}_])", pattern)
     return (
         pattern.replace("(?<![a-z0-9])", "(^|[^a-z0-9])").replace("(?![a-z0-9])", "($|[^a-z0-9])")
         .replace(r"(?<!\d)", r"(^|[^0-9])").replace(r"(?!\d)", r"($|[^0-9])")

@@ -16,6 +16,7 @@ from .. import rules
 from ..functions.classify import query_intent
 from ..functions.names import core_query, distinctive, ext_flags, is_distinctive, normalize_address, normalize_name, strip_filler
 from ..functions.text import bind, computed, nonempty, string_array, words
+from ..session import cut
 
 PIECE = 8
 
@@ -138,10 +139,10 @@ def name_matches(queries: DataFrame, corpus: DataFrame, n: int = 5, query: str =
     by score and then uri, exact.
     """
     asked = queries.withColumn("norm_q", normalize_name(F.col(query))).filter("norm_q <> ''")
-    distinct_q = asked.select("norm_q").distinct().withColumn("core_q", core_query(F.col("norm_q")))
+    distinct_q = cut(asked.select("norm_q").distinct().withColumn("core_q", core_query(F.col("norm_q"))))
     query_sides = distinct_q.select("norm_q", query_side(F.col("norm_q"), F.col("core_q")).alias("_q"))
     files = corpus.withColumn("norm", normalize_name(F.col("name"))).filter("norm <> ''").select("norm", "name", "uri")
-    names = files.groupBy("norm").agg(F.min("uri").alias("first_uri"))
+    names = cut(files.groupBy("norm").agg(F.min("uri").alias("first_uri")))
 
     by_word = (
         distinct_q.select("norm_q", F.explode(F.filter(F.array_distinct(words(F.col("norm_q"))), is_distinctive)).alias("word"))
@@ -206,9 +207,9 @@ def detect_folders(queries: DataFrame, folders: DataFrame, query: str = "query",
     contained name, 3 shared rare words, 4 all distinctive words of the folder.
     Ties go to the longer name, then the smaller one.
     """
-    named = folders.select("folder").distinct().withColumn("f_norm", normalize_name(F.col("folder"))).filter("f_norm <> ''")
+    named = cut(folders.select("folder").distinct().withColumn("f_norm", normalize_name(F.col("folder"))).filter("f_norm <> ''"))
     asked = queries.withColumn("norm_q", normalize_name(F.col(query)))
-    q = asked.filter("norm_q <> ''").select("norm_q").distinct()
+    q = cut(asked.filter("norm_q <> ''").select("norm_q").distinct())
 
     equal_keys = q.select("norm_q", F.explode(F.array_distinct(F.array("norm_q", strip_filler(F.col("norm_q"))))).alias("f_norm"))
     equal = equal_keys.join(named, "f_norm").select("norm_q", "folder", F.lit(1).alias("pass"), F.lit(0).alias("s1"), F.lit(0).alias("s2"))
@@ -262,7 +263,7 @@ def route_matters(queries: DataFrame, corpus: DataFrame, folders: DataFrame, que
     """
     keys = [query, context]
     asked = queries.select(*keys).distinct()
-    direct = detect_folders(asked, folders, query).withColumnRenamed("folder", "direct").drop("pass")
+    direct = cut(detect_folders(asked, folders, query).withColumnRenamed("folder", "direct").drop("pass"))
     open_ = direct.filter(F.col("direct").isNull() & F.col(context).isNotNull()).select(*keys)
     named = name_matches(open_.select(query).distinct(), corpus, 1, query).filter(F.col("score") >= strong).select(query)
     carried = open_.join(named, query, "left_anti").withColumn("_both", F.concat_ws(" ", context, query))
@@ -313,7 +314,7 @@ def name_union(queries: DataFrame, corpus: DataFrame, n: int = 50) -> DataFrame:
 
     ``queries`` has ``query_id, query, folder``.
     """
-    subject = queries.withColumn("subject", folder_subject(F.col("folder"), F.col("query")))
+    subject = cut(queries.withColumn("subject", folder_subject(F.col("folder"), F.col("query"))))
     hits = name_matches(subject, corpus, n, "subject").join(corpus.select("uri", "path"), "uri")
     parts = F.split("path", "/")
     flags = ext_flags(F.col("name"))

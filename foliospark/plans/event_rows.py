@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import rules
 from ..functions.classify import is_placeholder
-from ..functions.text import any_of, computed, nonempty, rx, strip
+from ..functions.text import any_of, bind, computed, first_hit, nonempty, rx, strip
 from ..functions.values import bool_at, event_id, get, int_at, is_object, objects_at, text_at, truthy_at
 
 FACT_TYPE = "array<struct<label:string,value:string,confidence:string,sources:array<string>>>"
@@ -269,12 +269,6 @@ def _null() -> Column:
     return F.lit(None).cast("string")
 
 
-def _from_entry(entry: Column, value: str) -> Column:
-    return F.when(
-        entry.isNotNull(), _triple(nonempty(entry[value]), entry["confidence"], F.get(entry["sources"], F.lit(0)))
-    )
-
-
 def facts_to_fields(key_facts: Column, label_rules=rules.FACT_LABEL_RULES) -> Column:
     """Map of field -> triple picked from the key facts.
 
@@ -284,18 +278,23 @@ def facts_to_fields(key_facts: Column, label_rules=rules.FACT_LABEL_RULES) -> Co
     """
     state = f"map<string,{TRIPLE_TYPE}>"
 
+    def open_field(acc: Column, label: Column) -> Column:
+        cases = [
+            (label.rlike(rx(any_of(patterns), True)) & ~F.map_contains_key(acc, F.lit(field)), F.lit(field))
+            for field, patterns in label_rules
+        ]
+        return F.when(label != "", first_hit(cases))
+
     def fold(acc: Column, fact: Column) -> Column:
         label = F.lower(strip(F.coalesce(fact["label"], F.lit(""))))
-        open_hit = None
-        for field, patterns in label_rules:
-            cond = label.rlike(rx(any_of(patterns), True)) & ~F.map_contains_key(acc, F.lit(field))
-            open_hit = F.when(cond, field) if open_hit is None else open_hit.when(cond, field)
-        value = nonempty(fact["value"])
-        triple = F.when(
-            ~is_placeholder(open_hit, value), _triple(value, fact["confidence"], F.get(fact["sources"], F.lit(0)))
-        ).otherwise(F.expr(f"cast(null as {TRIPLE_TYPE})"))
-        grown = F.map_concat(acc, F.create_map(open_hit, triple))
-        return F.when((label != "") & open_hit.isNotNull(), grown).otherwise(acc)
+
+        def grow(hit: Column) -> Column:
+            value = nonempty(fact["value"])
+            kept = _triple(value, fact["confidence"], F.get(fact["sources"], F.lit(0)))
+            triple = F.when(~is_placeholder(hit, value), kept).otherwise(F.expr(f"cast(null as {TRIPLE_TYPE})"))
+            return F.when(hit.isNotNull(), F.map_concat(acc, F.create_map(hit, triple))).otherwise(acc)
+
+        return bind(bind(label, lambda text: open_field(acc, text)), grow)
 
     return F.aggregate(key_facts, F.expr(f"cast(map() as {state})"), fold)
 
@@ -331,26 +330,32 @@ def structured_fields(folder_name: Column, purpose: Column, key_facts: Column, t
     Folders of unknown purpose keep only their identity fields.
     """
     empty = _triple(_null(), _null(), _null())
-    known = F.coalesce(purpose, F.lit("")) != rules.UNKNOWN
-    found, dates, statuses = facts_to_fields(key_facts), timeline_dates(timeline), best_statuses(open_items)
-    entries = []
-    for field in rules.FIELD_NAMES:
+    dates, statuses = timeline_dates(timeline), best_statuses(open_items)
+    value = F.struct(
+        nonempty(folder_name).alias("folder_name"), nonempty(purpose).alias("folder_purpose"),
+        (F.coalesce(purpose, F.lit("")) != rules.UNKNOWN).alias("known"), facts_to_fields(key_facts).alias("facts"),
+        *[c.alias(f"date_{f}") for f, c in dates.items()], *[c.alias(f) for f, c in statuses.items()],
+    )
+
+    def cell(v: Column, field: str) -> Column:
         if field in ("folder_name", "folder_purpose"):
-            value = nonempty(folder_name if field == "folder_name" else purpose)
-            cell = F.when(value.isNotNull(), _triple(value, F.lit("high"), _null()))
-        elif field in statuses:
-            status = statuses[field]
-            cell = F.when(known & status.isNotNull(), _triple(status, F.lit("high"), _null()))
-        else:
-            fact = F.try_element_at(found, F.lit(field))
-            cell = F.when(known, fact)
-            if field in dates:
-                cell = F.when(
-                    known, F.when(fact["value"].isNotNull(), fact).otherwise(
-                        F.coalesce(_from_entry(dates[field], "date"), fact))
-                )
-        entries += [F.lit(field), F.coalesce(cell, empty)]
-    return F.create_map(*entries)
+            return F.when(v[field].isNotNull(), _triple(v[field], F.lit("high"), _null()))
+        if field in statuses:
+            return F.when(v["known"] & v[field].isNotNull(), _triple(v[field], F.lit("high"), _null()))
+        fact = F.try_element_at(v["facts"], F.lit(field))
+        if field not in dates:
+            return F.when(v["known"], fact)
+        dated = v[f"date_{field}"]
+        stand_in = F.when(
+            dated.isNotNull(), _triple(dated["date"], dated["confidence"], F.get(dated["sources"], F.lit(0)))
+        )
+        return F.when(v["known"], F.when(fact["value"].isNotNull(), fact).otherwise(F.coalesce(stand_in, fact)))
+
+    def body(v: Column) -> Column:
+        entries = [x for f in rules.FIELD_NAMES for x in (F.lit(f), F.coalesce(cell(v, f), empty))]
+        return F.create_map(*entries)
+
+    return bind(value, body)
 
 
 # -- contract check --------------------------------------------------------
