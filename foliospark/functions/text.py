@@ -81,6 +81,15 @@ def computed(df: DataFrame, **cols: Column) -> DataFrame:
     return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in cols.items()]))))
 
 
+def explode_once(df: DataFrame, array: Column, *names: str) -> DataFrame:
+    """Rows of an array or map that is computed once per input row.
+
+    A plain ``explode`` also filters empty arrays, and that filter would compute
+    an expensive array a second time.
+    """
+    return computed(df, _list=array).select(*df.columns, F.explode("_list").alias(*names))
+
+
 def first_hit(cases: Sequence[tuple[Column, Column]], default: Column | None = None) -> Column:
     """Value of the first true condition, in order."""
     out = None

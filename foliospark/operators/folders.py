@@ -14,12 +14,12 @@ from pyspark.sql import functions as F
 from .. import rules
 from ..functions.classify import bucket_of, doc_type_or_name, predicted_purpose_from, purpose_from
 from ..functions.names import distinctive, doc_id, normalize_name, path_folders, path_parts, suffix
-from ..functions.text import ends_with_any, strip, words
+from ..functions.text import computed, ends_with_any, explode_once, strip, words
 
 
 def folder_set(corpus: DataFrame, prefix: str = "mirror/") -> DataFrame:
     """Distinct folder names anywhere below the prefix."""
-    return corpus.select(F.explode(path_folders(F.col("path"), prefix)).alias("folder")).distinct()
+    return explode_once(corpus.select("path"), path_folders(F.col("path"), prefix), "folder").select("folder").distinct()
 
 
 def folder_word_counts(folders: DataFrame) -> DataFrame:
@@ -48,7 +48,7 @@ def folder_hits(corpus: DataFrame, extensions: Sequence[str] | None = rules.SEAR
     files = corpus if extensions is None else corpus.filter(ends_with_any(F.lower("name"), extensions))
     parts = F.split(F.col("path"), "/")
     norms = F.transform(F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0))), normalize_name)
-    spread = files.withColumn("_norms", norms).withColumn("_parts", parts)
+    spread = computed(files, _norms=norms, _parts=parts)
     hits = F.transform(
         F.col("_norms"),
         lambda n, i: F.struct(n.alias("folder_norm"), i.alias("pos"), (F.array_position(F.col("_norms"), n) == i + 1).alias("first")),
@@ -56,7 +56,7 @@ def folder_hits(corpus: DataFrame, extensions: Sequence[str] | None = rules.SEAR
     kept = F.filter(hits, lambda h: (h["folder_norm"] != "") & h["first"])
     below = F.when(F.col("h.pos") + 1 < F.size("_parts") - 1, F.get(F.col("_parts"), F.col("h.pos") + 1)).otherwise("")
     return (
-        spread.withColumn("h", F.explode(kept))
+        explode_once(spread, kept, "h")
         .withColumn("subfolder", below)
         .withColumn("folder_norm", F.col("h.folder_norm"))
         .withColumn("is_marker", ends_with_any(F.lower("name"), rules.MARKER_EXTS))

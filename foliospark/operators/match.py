@@ -15,14 +15,14 @@ from pyspark.sql import functions as F
 from .. import rules
 from ..functions.classify import query_intent
 from ..functions.names import core_query, distinctive, ext_flags, is_distinctive, normalize_address, normalize_name, strip_filler
-from ..functions.text import bind, computed, nonempty, string_array, words
+from ..functions.text import bind, computed, explode_once, nonempty, string_array, words
 from ..session import cut
 
 PIECE = 8
 
 
 def _word_rows(df: DataFrame, text: str, out: str = "word") -> DataFrame:
-    return df.withColumn(out, F.explode(F.array_distinct(words(F.col(text)))))
+    return explode_once(df, F.array_distinct(words(F.col(text))), out)
 
 
 def word_pieces(vocabulary: DataFrame, word: str = "word", size: int = PIECE) -> DataFrame:
@@ -37,7 +37,7 @@ def word_pieces(vocabulary: DataFrame, word: str = "word", size: int = PIECE) ->
             F.sequence(F.lit(1), F.least(F.lit(size), F.length(word) - s + 1)), lambda n: F.substring(F.col(word), s, n)
         ),
     )
-    return vocabulary.select(word, F.explode(F.array_distinct(F.flatten(per_start))).alias("piece"))
+    return explode_once(vocabulary.select(word), F.array_distinct(F.flatten(per_start)), "piece")
 
 
 def contained_pairs(probes: DataFrame, targets: DataFrame, probe: str = "probe", target: str = "target") -> DataFrame:
@@ -145,7 +145,7 @@ def name_matches(queries: DataFrame, corpus: DataFrame, n: int = 5, query: str =
     names = cut(files.groupBy("norm").agg(F.min("uri").alias("first_uri")))
 
     by_word = (
-        distinct_q.select("norm_q", F.explode(F.filter(F.array_distinct(words(F.col("norm_q"))), is_distinctive)).alias("word"))
+        explode_once(distinct_q.select("norm_q"), F.filter(F.array_distinct(words(F.col("norm_q"))), lambda w: is_distinctive(w)), "word")
         .join(_word_rows(names.select("norm"), "norm"), "word")
         .select("norm_q", "norm")
     )
@@ -195,7 +195,7 @@ def contained_folders(queries: DataFrame, folders: DataFrame, key: str = "norm_q
     named = folders.withColumn("f_norm", normalize_name(F.col("folder"))).filter("f_norm <> ''").select("folder", "f_norm")
     longest = named.agg(F.coalesce(F.max(F.size(words(F.col("f_norm")))), F.lit(1)).alias("n")).scalar()
     bounded = queries.select(key).distinct().withColumn("_longest", longest)
-    runs = bounded.select(key, F.explode(word_runs(F.col(key), F.col("_longest"))).alias("f_norm"))
+    runs = explode_once(bounded, word_runs(F.col(key), F.col("_longest")), "f_norm").drop("_longest")
     return runs.join(named, "f_norm").select(key, "folder")
 
 

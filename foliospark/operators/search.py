@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import computed
 from ..session import broadcast_if_small
 from .match import top_n
 
@@ -34,7 +35,7 @@ def text_search(queries: DataFrame, docs: DataFrame, n: int = 10, query: str = "
     asked = queries.select(query, *own).distinct().withColumn("term", F.explode(F.array_distinct(tokens(F.col(query)))))
     vocabulary = asked.select("term").distinct()
     toks = tokens(F.col(text))
-    base = docs.select(doc, *carry, toks.alias("_t")).withColumn("len", F.size("_t"))
+    base = computed(docs.select(doc, text, *carry), _t=toks).select(doc, *carry, "_t", F.size("_t").alias("len"))
     stats = docs.select(F.size(toks).alias("len")).agg(F.struct(F.count("*").alias("docs"), F.avg("len").alias("avg_len")).alias("s")).scalar()
     tf = (
         base.select(doc, "len", *carry, F.explode("_t").alias("term"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import rules
 from ..functions.classify import is_placeholder
-from ..functions.text import any_of, bind, computed, first_hit, nonempty, rx, strip
+from ..functions.text import any_of, bind, computed, explode_once, first_hit, nonempty, rx, strip
 from ..functions.values import bool_at, event_id, get, int_at, is_object, objects_at, text_at, truthy_at
 
 FACT_TYPE = "array<struct<label:string,value:string,confidence:string,sources:array<string>>>"
@@ -54,6 +54,10 @@ def _keys() -> list[Column]:
     ]
 
 
+def _dated(good: DataFrame) -> DataFrame:
+    return good.filter("generated_ts is not null")
+
+
 def event_rows(good: DataFrame, loader_version: str = "1", loaded_at: Column | None = None) -> DataFrame:
     """Parent rows. Lines without a readable time are left to ``undated``."""
     v = F.col(_V)
@@ -97,8 +101,8 @@ def field_rows(good: DataFrame) -> DataFrame:
     """One row per structured field that has a value; white space counts as one."""
     entry = F.col("entry")
     return (
-        good.filter("generated_ts is not null")
-        .select(*_keys(), F.explode(_v("$.structured_fields", "map<string,variant>")).alias("field_name", "entry"))
+        explode_once(_dated(good), _v("$.structured_fields", "map<string,variant>"), "field_name", "entry")
+        .select(*_keys(), "field_name", "entry")
         .filter(get(entry, "$.value", "string") != "")
         .select(
             "event_id", "generated_at", "folder_key", "field_name",
@@ -113,9 +117,9 @@ def inventory_rows(good: DataFrame) -> DataFrame:
     """One row per named document; the bucket defaults to the group it is in."""
     item = F.col("item")
     return (
-        good.filter("generated_ts is not null")
-        .select(*_keys(), F.explode(_v("$.document_inventory", "map<string,variant>")).alias("group", "items"))
-        .select("event_id", "generated_at", "folder_key", "group", F.explode(objects_at(F.col("items"), "$")).alias("item"))
+        explode_once(_dated(good), _v("$.document_inventory", "map<string,variant>"), "group", "items")
+        .select(*_keys(), "group", "items")
+        .transform(lambda df: explode_once(df, objects_at(F.col("items"), "$"), "item"))
         .transform(lambda df: computed(df, doc_name=text_at(item, "$.name")))
         .filter("doc_name is not null")
         .select(
@@ -132,11 +136,8 @@ def open_item_rows(good: DataFrame) -> DataFrame:
     """One row per checklist line that has a label and a status."""
     item = F.col("item")
     return (
-        good.filter("generated_ts is not null")
-        .select(
-            *_keys(), text_at(F.col(_V), "$.checklist_name").alias("checklist_name"),
-            F.explode(objects_at(F.col(_V), "$.open_items")).alias("item"),
-        )
+        explode_once(_dated(good), objects_at(F.col(_V), "$.open_items"), "item")
+        .select(*_keys(), text_at(F.col(_V), "$.checklist_name").alias("checklist_name"), "item")
         .select(
             "event_id", "generated_at", "folder_key", "checklist_name",
             text_at(item, "$.label").alias("label"), text_at(item, "$.bucket").alias("bucket"),
@@ -250,9 +251,9 @@ def normalize_summary(loose: DataFrame, summary: str = "v", generated_at: Column
         F.coalesce(sources, empty(SOURCE_TYPE)).alias("sources"),
         nonempty(F.lower(F.col("confidence"))).alias("confidence"),
     )
-    return shaped.withColumn(
-        "structured_fields",
-        structured_fields(
+    return computed(
+        shaped,
+        structured_fields=structured_fields(
             F.col("folder_name"), F.col("folder_purpose"), F.col("key_facts"), F.col("timeline"), F.col("open_items")
         ),
     )
