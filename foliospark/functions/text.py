@@ -7,7 +7,11 @@ from collections.abc import Callable, Iterable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_SPACE_ENDS = r"(?U)^\s+|\s+\z"
+# Every character that counts as white space at the ends of a string.
+WHITE_SPACE = (
+    " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
 
 
 def rx(pattern: str, ignore_case: bool = False) -> str:
@@ -15,13 +19,19 @@ def rx(pattern: str, ignore_case: bool = False) -> str:
     return ("(?iUd)" if ignore_case else "(?Ud)") + pattern
 
 
+def strip_long(column: str) -> Column:
+    """``strip`` of a column of long strings, touched only where an end needs it."""
+    c, space = F.col(column), F.lit(WHITE_SPACE)
+    return F.when(space.contains(F.left(c, F.lit(1))) | space.contains(F.right(c, F.lit(1))), strip(c)).otherwise(c)
+
+
 def any_of(patterns: Iterable[str]) -> str:
     return "|".join(f"(?:{p})" for p in patterns)
 
 
 def strip(c: Column) -> Column:
     """Trim every kind of white space, not only blanks."""
-    return F.regexp_replace(c, _SPACE_ENDS, "")
+    return F.btrim(c, F.lit(WHITE_SPACE))
 
 
 def blank_to_null(c: Column) -> Column:

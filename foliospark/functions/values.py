@@ -17,6 +17,7 @@ _STAMP = (
 def parse_ts(text: Column) -> Column:
     """UTC timestamp of an ISO string; without a zone it is UTC, junk is NULL."""
     s = strip(text)
+    usual = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}(?:\.[0-9]{1,6})?Z\z"
     part = lambda i: F.regexp_extract(s, _STAMP, i)
     default = lambda c, d: F.when(c == "", d).otherwise(c)
     digits = F.regexp_replace(part(6), ":", "")
@@ -26,7 +27,7 @@ def parse_ts(text: Column) -> Column:
         part(1), F.lit("T"), default(part(2), "00"), F.lit(":"), default(part(3), "00"), F.lit(":"),
         default(part(4), "00"), F.lit("."), default(F.substring(part(5), 1, 6), "0"), zone,
     )
-    return F.when(part(1) != "", stamp.try_cast("timestamp"))
+    return F.when(s.rlike(usual), s.try_cast("timestamp")).when(part(1) != "", stamp.try_cast("timestamp"))
 
 
 def format_ts(ts: Column) -> Column:
