@@ -30,8 +30,10 @@ def asked(spark, sf):
     return spark.sql(ASKED_SQL)
 
 
-SCORE_SQL = f"""
-WITH q AS (SELECT query, {norm_sql('query')} AS nq FROM ({ASKED_SQL}) a),
+def score_sql(source: str, text: str = "query") -> str:
+    """Brute-force scores of every (query, file) pair: CTEs ending in ``s``."""
+    return f"""
+WITH q AS (SELECT query, {norm_sql(text)} AS nq FROM ({source}) a),
  c AS (SELECT *, array_to_string(list_filter(string_split(nq, ' '), lambda w: w NOT IN ({STOP})), ' ') AS c0 FROM q WHERE nq <> ''),
  d AS (SELECT query, nq, CASE WHEN c0 = '' THEN nq ELSE c0 END AS cq FROM c),
  f AS (SELECT uri, name, {norm_sql('name')} AS n FROM {K}),
@@ -46,6 +48,9 @@ WITH q AS (SELECT query, {norm_sql('query')} AS nq FROM ({ASKED_SQL}) a),
    ELSE 30.0::DOUBLE * (len(ov) * 1.0::DOUBLE / len(qw)) + 5.0::DOUBLE * len(od) END AS score FROM z)"""
 
 
+SCORE_SQL = score_sql(ASKED_SQL)
+
+
 @query(
     "m1_name_matches",
     SCORE_SQL + " SELECT query, uri, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, uri) AS rank FROM s WHERE score > 0) t WHERE rank <= 5",
@@ -55,8 +60,12 @@ def _(spark, sf):
 
 
 FOLDER_NORM = f"(SELECT folder, {norm_sql('folder')} AS fn FROM ({FOLDERS_SQL}) f0 WHERE {norm_sql('folder')} <> '')"
-DETECT_SQL = f"""
-WITH q AS (SELECT query, {norm_sql('query')} AS nq FROM ({ASKED_SQL}) a),
+
+
+def detect_sql(source: str) -> str:
+    """Brute-force folder detection over every (query, folder) pair: CTEs ending in ``best``."""
+    return f"""
+WITH q AS (SELECT query, {norm_sql('query')} AS nq FROM ({source}) a),
  c AS (SELECT *, array_to_string(list_filter(string_split(nq, ' '), lambda w: w NOT IN ({STOP})), ' ') AS sq, {SPLIT.format('nq')} AS qw FROM q WHERE nq <> ''),
  f AS (SELECT folder, fn, {SPLIT.format('fn')} AS fw FROM {FOLDER_NORM} g),
  freq AS (SELECT w, count(*) AS n FROM (SELECT unnest(string_split(fn, ' ')) AS w FROM f) u GROUP BY 1),
@@ -72,6 +81,9 @@ WITH q AS (SELECT query, {norm_sql('query')} AS nq FROM ({ASKED_SQL}) a),
  best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY pass, s1 DESC, s2 DESC, length(folder) DESC, folder) AS rn FROM p) t WHERE rn = 1)"""
 
 
+DETECT_SQL = detect_sql(ASKED_SQL)
+
+
 @query("m2_detect_folder", DETECT_SQL + " SELECT q.query, best.folder, best.pass FROM q LEFT JOIN best ON q.query = best.query")
 def _(spark, sf):
     return M.detect_folders(asked(spark, sf), folders(spark, sf))
@@ -108,7 +120,18 @@ def _(spark, sf):
     return M.top_n(table(spark, sf, "orders"), ["o_custkey"], [col("o_totalprice").desc(), col("o_orderkey")], 3).select("o_custkey", "o_orderkey", "rank")
 
 
-@query("m5_name_union")
+FOUND_SQL = DETECT_SQL + " SELECT q.query, best.folder FROM q LEFT JOIN best ON q.query = best.query"
+_FOLDER_WORDS = f"array_to_string(list_filter(string_split({norm_sql('folder')}, ' '), lambda w: {DIST} AND w NOT IN ({NOISE})), ' ')"
+SUBJECT_SQL = f"SELECT query, coalesce(nullif({_FOLDER_WORDS}, ''), query) AS subject FROM ({FOUND_SQL}) fd"
+
+
+@query(
+    "m5_name_union",
+    score_sql(SUBJECT_SQL, "subject") + f"""
+  SELECT t.query, sb.subject, t.uri, split_part(t.uri, '/', -2) AS subfolder, t.uri LIKE '%.html' AS is_marker, round(t.score, 6) AS score
+  FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, uri) AS rank FROM s WHERE score > 0) t JOIN ({SUBJECT_SQL}) sb ON sb.query = t.query
+  WHERE rank <= 50 AND regexp_matches(lower(t.name), '\\.(pdf|docx|doc|xlsx|xls|csv|txt|pptx|ppt|md|html)$')""",
+)
 def _(spark, sf):
     found = M.detect_folders(asked(spark, sf), folders(spark, sf))
     return M.name_union(found, corpus(spark, sf), 50).select("query", "subject", "uri", "subfolder", "is_marker", F.round("score", 6).alias("score"))
@@ -188,7 +211,19 @@ def _(spark, sf):
     return H.carry_context(t, "conv_id", "turn", "ctx", block=4).select("conv_id", "turn", "carried")
 
 
-@query("m9_matter_routing")
+_CONTEXT = "CASE WHEN length(query) % 2 = 0 THEN '4 Brand#9' END"
+_OPEN_SQL = f"SELECT query, {_CONTEXT} AS context FROM ({FOUND_SQL}) fd WHERE folder IS NULL AND {_CONTEXT} IS NOT NULL"
+_STRONG_SQL = score_sql(f"SELECT query FROM ({_OPEN_SQL}) op") + " SELECT DISTINCT query FROM s WHERE score >= 100"
+_CARRIED_SQL = f"SELECT query, concat(context, ' ', query) AS both_text FROM ({_OPEN_SQL}) op WHERE query NOT IN ({_STRONG_SQL})"
+_INHERITED_SQL = detect_sql(f"SELECT DISTINCT both_text AS query FROM ({_CARRIED_SQL}) ca") + f" SELECT cb.query, best.folder FROM ({_CARRIED_SQL}) cb JOIN best ON best.query = cb.both_text"
+
+
+@query(
+    "m9_matter_routing",
+    f"""SELECT fd.query, {_CONTEXT.replace('query', 'fd.query')} AS context, coalesce(fd.folder, inh.folder) AS folder,
+      CASE WHEN fd.folder IS NOT NULL THEN 'query' WHEN inh.folder IS NOT NULL THEN 'context' END AS source
+    FROM ({FOUND_SQL}) fd LEFT JOIN ({_INHERITED_SQL}) inh ON inh.query = fd.query""",
+)
 def _(spark, sf):
     k, f = corpus(spark, sf), folders(spark, sf)
     q = asked(spark, sf).withColumn("context", F.when(F.length("query") % 2 == 0, F.lit("4 Brand#9")))
