@@ -225,13 +225,14 @@ def _(spark, sf):
 
 @query(
     "s17_table_rows_to_docs",
-    """WITH l AS (SELECT l_suppkey, l_orderkey, l_linenumber, l_partkey, l_returnflag, row_number() OVER (PARTITION BY l_suppkey, l_orderkey % 50 ORDER BY l_orderkey, l_linenumber, l_partkey, l_returnflag) AS rn,
-        count(*) OVER (PARTITION BY l_suppkey, l_orderkey % 50) AS n, l_orderkey % 50 AS g FROM lineitem)
+    """WITH l AS (SELECT l_suppkey, l_orderkey, l_linenumber, l_partkey, l_returnflag, row_number() OVER (PARTITION BY l_suppkey, l_orderkey // 256 ORDER BY l_orderkey, l_linenumber, l_partkey, l_returnflag) AS rn,
+        count(*) OVER (PARTITION BY l_suppkey, l_orderkey // 256) AS n, l_orderkey // 256 AS g FROM lineitem)
     SELECT concat('tbl_', substr(md5(concat('s', l_suppkey, '_t', g + 1, '_', rn)), 1, 16)) AS id, concat('[s', l_suppkey, '] Order: ', l_orderkey, CASE WHEN l_returnflag = 'N' THEN '' ELSE concat(' | col_1: ', l_returnflag) END, ' | Part no: ', l_partkey) AS text
     FROM l WHERE n >= 4""",
 )
 def _(spark, sf):
-    li = table(spark, sf, "lineitem").withColumn("g", col("l_orderkey") % 50)
+    # A table holds one supplier's lines of 256 orders, which bounds its rows.
+    li = table(spark, sf, "lineitem").withColumn("g", F.expr("l_orderkey div 256"))
     cells = F.array(F.concat(F.lit(" "), "l_orderkey"), F.when(col("l_returnflag") == "N", "  ").otherwise(col("l_returnflag")), F.concat("l_partkey", F.lit("\n")))
     header = F.array(F.array(F.lit("Order"), F.lit(" "), F.lit("Part  no")))
     rows = li.groupBy("l_suppkey", "g").agg(F.array_sort(F.collect_list(F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_returnflag", cells.alias("c")))).alias("r"))

@@ -10,41 +10,44 @@ from pyspark.sql import functions as F
 from ..rules import RUN_GAP_SECONDS
 
 
-def _seconds(ts: str) -> Column:
-    return F.unix_micros(F.col(ts).cast("timestamp")) / F.lit(1_000_000)
+def _micros(ts: str) -> Column:
+    return F.unix_micros(F.col(ts).cast("timestamp"))
 
 
-def runs(df: DataFrame, ts: str, gap_seconds: int = RUN_GAP_SECONDS, key: Sequence[str] = (),
-         bucket: str = "day") -> DataFrame:
+def _slot(ts: str, seconds: int) -> Column:
+    """Number of the time's slot of that many seconds."""
+    width = F.lit(seconds * 1_000_000).cast("bigint")
+    return ((_micros(ts) - F.pmod(_micros(ts), width)) / width).cast("bigint")
+
+
+def runs(df: DataFrame, ts: str, gap_seconds: int = RUN_GAP_SECONDS, key: Sequence[str] = ()) -> DataFrame:
     """Runs of rows no more than the gap apart: key, start, end, rows.
 
-    Works on distinct times. Runs are first found inside time buckets, in
-    parallel, and each is one row; only those few rows are then stitched across
-    bucket edges in time order, where two runs join when their gap allows it.
+    Two rows in the same slot of gap length are always in the same run, so each
+    slot shrinks, map-side, to its first time, last time and count. What is
+    ordered afterwards is one row per key and active slot (at 15 minutes, at
+    most 96 a day), however many rows a key has.
     """
     key = list(key)
-    times = df.filter(F.col(ts).isNotNull()).groupBy(*key, ts).agg(F.count("*").alias("_n"))
-    slot = times.withColumn("_slot", F.date_trunc(bucket, F.col(ts)))
-
-    def chain(rows: DataFrame, group: list[str], start: str, end: str, n: str) -> DataFrame:
-        w = Window.partitionBy(*group).orderBy(start)
-        gap = _seconds(start) - F.lag(_seconds(end)).over(w)
-        opens = F.when(gap.isNull() | (gap > gap_seconds), 1).otherwise(0)
-        return (
-            rows.withColumn("_open", opens)
-            .withColumn("_run", F.sum("_open").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-            .groupBy(*group, "_run")
-            .agg(F.min(start).alias("run_start"), F.max(end).alias("run_end"), F.sum(n).alias("n"))
-            .drop("_run")
-        )
-
-    local = chain(slot, [*key, "_slot"], ts, ts, "_n").drop("_slot")
-    return chain(local, key, "run_start", "run_end", "n")
-
-
-def latest_run(df: DataFrame, ts: str, gap_seconds: int = RUN_GAP_SECONDS, bucket: str = "day") -> DataFrame:
+    slots = (
+        df.filter(F.col(ts).isNotNull())
+        .groupBy(*key, _slot(ts, gap_seconds).alias("_slot"))
+        .agg(F.min(ts).alias("run_start"), F.max(ts).alias("run_end"), F.count("*").alias("n"))
+    )
+    w = Window.partitionBy(*key).orderBy("_slot")
+    gap = _micros("run_start") - F.lag(_micros("run_end")).over(w)
+    return (
+        slots.withColumn("_open", F.when(gap.isNull() | (gap > gap_seconds * 1_000_000), 1).otherwise(0))
+        .withColumn("_run", F.sum("_open").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+        .groupBy(*key, "_run")
+        .agg(F.min("run_start").alias("run_start"), F.max("run_end").alias("run_end"), F.sum("n").alias("n"))
+        .drop("_run")
+    )
+
+
+def latest_run(df: DataFrame, ts: str, gap_seconds: int = RUN_GAP_SECONDS) -> DataFrame:
     """The last run over all rows, as one row."""
-    found = runs(df, ts, gap_seconds, bucket=bucket)
+    found = runs(df, ts, gap_seconds)
     return found.agg(F.max_by(F.struct("run_start", "run_end", "n"), "run_start").alias("r")).select("r.*")
 
 
@@ -54,13 +57,12 @@ def trailing_counts(df: DataFrame, ts: str, seconds: int = 60) -> DataFrame:
     Every time is counted in its own time slot and carried into the next one,
     so slots are independent and no single task sees the whole line.
     """
-    per_time = df.groupBy(ts).agg(F.count("*").alias("at_time")).withColumn("_s", _seconds(ts))
-    slot = F.floor(F.col("_s") / seconds)
+    per_time = df.groupBy(ts).agg(F.count("*").alias("at_time"))
+    slot = _slot(ts, seconds)
     spread = per_time.withColumn("_own", slot).withColumn(
         "_slot", F.explode(F.array(F.col("_own"), F.col("_own") + 1))
     )
-    micros = F.unix_micros(F.col(ts).cast("timestamp"))
-    w = Window.partitionBy("_slot").orderBy(micros).rangeBetween(-seconds * 1_000_000, 0)
+    w = Window.partitionBy("_slot").orderBy(_micros(ts)).rangeBetween(-seconds * 1_000_000, 0)
     return (
         spread.withColumn("trailing", F.sum("at_time").over(w))
         .filter("_slot = _own")
