@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .. import rules
 from ..functions.classify import is_placeholder
 from ..functions.text import any_of, bind, computed, explode_once, first_hit, nonempty, rx, strip
-from ..functions.values import bool_at, event_id, get, int_at, is_object, objects_at, text_at, truthy_at
+from ..functions.values import bool_at, event_id, get, int_at, objects_at, text_at, truthy_at
 
 FACT_TYPE = "array<struct<label:string,value:string,confidence:string,sources:array<string>>>"
 TIMELINE_TYPE = "array<struct<date:string,event:string,confidence:string,sources:array<string>>>"
