@@ -4,7 +4,7 @@ from importlib import import_module
 
 from ._registry import ORACLES, QUERIES, Query
 
-_QUERY_MODULES = ("op5_chat", "op10_mixing")
+_QUERY_MODULES = ("op5_chat", "op9_language", "op10_mixing")
 
 
 def queries() -> dict[str, Query]:
