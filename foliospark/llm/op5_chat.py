@@ -60,34 +60,37 @@ def reply_paths(messages: DataFrame, branches: int = 1) -> DataFrame:
             "conv", "node", "up", F.lit(1).cast("long").alias("depth"), F.col("score").alias("total")
         ), "chat-reach",
     )
-    levels, left = [reach], reach.filter("up is not null").count()
+    rooted, active = reach.filter("up is null"), reach.filter("up is not null")
+    levels, left = [], active.count()
     while left:
-        far = reach.select(
+        levels.append(active)
+        # Nodes that have met their root are only looked up, so a few long chains cost little.
+        far = rooted.unionByName(active).select(
             F.col("conv").alias("c"), F.col("node").alias("n"), F.col("up").alias("further"),
             F.col("depth").alias("d"), F.col("total").alias("t"),
         )
         reach = keep(
-            reach.join(far, (F.col("conv") == F.col("c")) & (F.col("up") == F.col("n")), "left").select(
-                "conv", "node", F.col("further").alias("up"),
-                (F.col("depth") + F.coalesce("d", F.lit(0))).alias("depth"),
-                (F.col("total") + F.coalesce("t", F.lit(0.0))).alias("total"),
+            active.join(far, (F.col("conv") == F.col("c")) & (F.col("up") == F.col("n"))).select(
+                "conv", "node", F.col("further").alias("up"), (F.col("depth") + F.col("d")).alias("depth"),
+                (F.col("total") + F.col("t")).alias("total"),
             ), "chat-reach",
         )
-        before, left = left, reach.filter("up is not null").count()
+        rooted, active = rooted.unionByName(reach.filter("up is null")), reach.filter("up is not null")
+        before, left = left, active.count()
         if left == before:
             break  # circles only
-        levels.append(reach)
-    rooted = reach.filter("up is null").select("conv", "node", "depth", "total")
-    parents = levels[0].filter("up is not null").select("conv", F.col("up").alias("node")).distinct()
+    parents = nodes.join(ids, (F.col("conv") == F.col("c")) & (F.col("parent") == F.col("up")), "left_semi").select(
+        "conv", F.col("parent").alias("node")
+    ).distinct()
     best = Window.partitionBy("conv").orderBy(F.desc("total"), "node")
     chosen = (
         rooted.join(parents, ["conv", "node"], "left_anti")
         .withColumn("branch", F.row_number().over(best)).filter(F.col("branch") <= branches)
         .select("conv", F.col("node").alias("leaf"), "branch", "node")
     )
-    for level in levels[: len(levels) - 1] if left == 0 else levels:
+    for level in levels:
         chosen = keep(chosen, "chat-path")
-        hop = level.filter("up is not null").select("conv", "node", "up")
+        hop = level.select("conv", "node", "up")
         chosen = chosen.unionByName(
             chosen.join(hop, ["conv", "node"]).select("conv", "leaf", "branch", F.col("up").alias("node"))
         )
