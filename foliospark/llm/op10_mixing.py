@@ -89,8 +89,8 @@ def mix(
 ) -> DataFrame:
     """Every document with the words that the mixture takes of it.
 
-    Adds nothing but ``doc_id, nth, size, source, source_size, target, copies``
-    to the ids; ``nth`` numbers rows that repeat one id. Null texts have size
+    Returns ``doc_id, nth, body, source, size, source_size, target, copies``;
+    ``nth`` numbers rows that repeat one id, ``body`` is a hash of the text. Null texts have size
     0, a null source is a source of its own and comes last. Rows without an id
     take part like others. Empty tables give no rows; other columns are
     ignored. The same rows give the same mix in any order and on any cluster:
@@ -103,7 +103,7 @@ def mix(
     # Null ids stay apart by their text, so that they do not meet in one task.
     known = sized.filter("doc_id is not null").withColumn("nth", F.row_number().over(repeat).cast("long"))
     unknown = sized.filter("doc_id is null").withColumn("nth", F.col("body"))
-    rows = keep(known.unionByName(unknown).drop("body"), "mix-sizes")
+    rows = keep(known.unionByName(unknown), "mix-sizes")
     goal = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, max_copies)
     ranked = keep(pareto_ranks(rows, keep(goal, "mix-targets"), seed), "mix-ranks")
 
@@ -154,11 +154,32 @@ def mix(
     filled = placed.join(last, F.col("source").eqNullSafe(F.col("fs")), "left")
     extra = F.coalesce((F.col("doc_id").eqNullSafe(F.col("fd")) & (F.col("nth") == F.col("fn"))).cast("int"), F.lit(0))
     return filled.select(
-        "doc_id", "nth", "source", "size", "source_size", "target",
+        "doc_id", "nth", "body", "source", "size", "source_size", "target",
         (F.col("certain") + F.col("chosen") + extra).cast("long").alias("copies"),
     )
 
 
+def mixed_documents(docs: DataFrame, **choices) -> DataFrame:
+    """The mixture itself: every row of ``docs`` as often as it is taken, numbered by ``copy`` from 1.
+
+    Takes the arguments of :func:`mix`. A column ``copy`` is replaced.
+    """
+    keys = ["_id", "_source", "_body"]
+    taken = (
+        mix(docs, **choices).groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("body").alias("_body"))
+        .agg(F.sum("copies").cast("int").alias("_copies"), F.count("*").alias("_rows")).filter("_copies > 0")
+    )
+    same = (
+        F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source"))
+        & (F.xxhash64("text") == F.col("_body"))
+    )
+    rows = docs.drop("copy").join(taken, same)
+    # Rows alike in id, source and text share one count, so one of them stands for all.
+    alike = rows.filter("_rows > 1").dropDuplicates(keys)
+    rows = rows.filter("_rows = 1").unionByName(alike)
+    return rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).drop(*keys, "_copies", "_rows")
+
+
 @query("op10_mixing")
 def op10_mixing(spark, sf_dir):
     mixed = mix(table(spark, sf_dir, "documents"))
