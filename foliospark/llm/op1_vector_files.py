@@ -39,6 +39,10 @@ def cell_edges(vectors: DataFrame) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     return {d: (np.array(lo, np.float64), np.array(hi, np.float64)) for d, (lo, hi) in out.items()}
 
 
+#: Of vectors without components.
+_NO_EDGES = (np.empty(0), np.empty(0))
+
+
 def _blocks(edges, size: int):
     """Pack rows ``id, v, least`` into blocks: cells of one byte a component, and exact values beside them."""
 
@@ -48,7 +52,7 @@ def _blocks(edges, size: int):
         def flush(dim):
             ids, values, least = zip(*held.pop(dim), strict=True)
             exact = np.array(values, np.int64).reshape(len(ids), dim)
-            lo, hi = edges[dim]
+            lo, hi = edges.get(dim, _NO_EDGES)
             cells = np.clip((exact - lo) * (CELLS / np.maximum(hi - lo + 1, 1)), 0, CELLS - 1).astype(np.uint8)
             place = (ids[0] * 0x9E3779B97F4A7C15 & (1 << 64) - 1) >> 33
             return pa.RecordBatch.from_arrays(
@@ -87,10 +91,10 @@ def _bounds(queries: np.ndarray, cells: np.ndarray, lo: np.ndarray, hi: np.ndarr
 
 def _matrices(row, edges):
     """Query ids, least scores and values, and ids, cells and edges of one pair of blocks."""
-    dim = row["dim"]
-    queries = np.frombuffer(row["query_values"], np.int64).reshape(-1, dim)
-    cells = np.frombuffer(row["cells"], np.uint8).reshape(-1, dim)
-    return np.array(row["query_ids"]), np.array(row["query_least"], float), queries, np.array(row["ids"]), cells, *edges[dim]
+    dim, asked, ids = row["dim"], np.array(row["query_ids"]), np.array(row["ids"])
+    queries = np.frombuffer(row["query_values"], np.int64).reshape(len(asked), dim)
+    cells = np.frombuffer(row["cells"], np.uint8).reshape(len(ids), dim)
+    return asked, np.array(row["query_least"], float), queries, ids, cells, *edges.get(dim, _NO_EDGES)
 
 
 def _lower_bounds(edges, k: int):
@@ -119,7 +123,7 @@ def _exact_scores(edges, k: int):
             for at in range(batch.num_rows):
                 row = batch.slice(at, 1).to_pylist()[0]
                 asked, least, queries, ids, cells, lo, hi = _matrices(row, edges)
-                exact = np.frombuffer(row["exact"], np.int64).reshape(-1, row["dim"])
+                exact = np.frombuffer(row["exact"], np.int64).reshape(len(ids), row["dim"])
                 _, upper = _bounds(queries.astype(float), cells, lo, hi)
                 upper[asked[:, None] == ids[None, :]] = -np.inf
                 out = []
