@@ -27,7 +27,7 @@ _STRUCTURED = "|".join((_IPV4, _DATE, _SSN, _PHONE, _CARD))
 #: One match is a value of one kind, set off from letters and digits around it.
 PATTERN = (
     rf"(?<![A-Za-z0-9._%+\-]){_EMAIL}|(?<![A-Za-z0-9])(?:{_SECRET}|{_AWS}|{_IBAN})(?![A-Za-z0-9])"
-    rf"|(?<![A-Za-z0-9.+\-/(])(?:{_STRUCTURED})(?![A-Za-z0-9]|[.\-/]\d)"
+    rf"|(?<![A-Za-z0-9.+\-/])(?:{_STRUCTURED})(?![A-Za-z0-9]|[.\-/]\d)"
 )
 #: What any value needs; most texts have none of these and are passed over quickly.
 HINT = "[0-9@]|AKIA"
