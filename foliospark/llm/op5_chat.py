@@ -61,6 +61,7 @@ def reply_paths(messages: DataFrame, branches: int = 1) -> DataFrame:
         ), "chat-reach",
     )
     rooted, active = reach.filter("up is null"), reach.filter("up is not null")
+    parents = active.select("conv", F.col("up").alias("node")).distinct()
     levels, left = [], active.count()
     while left:
         levels.append(active)
@@ -79,9 +80,7 @@ def reply_paths(messages: DataFrame, branches: int = 1) -> DataFrame:
         before, left = left, active.count()
         if left == before:
             break  # circles only
-    parents = nodes.join(ids, (F.col("conv") == F.col("c")) & (F.col("parent") == F.col("up")), "left_semi").select(
-        "conv", F.col("parent").alias("node")
-    ).distinct()
+    rooted = keep(rooted.select("conv", "node", "depth", "total"), "chat-rooted")
     best = Window.partitionBy("conv").orderBy(F.desc("total"), "node")
     chosen = (
         rooted.join(parents, ["conv", "node"], "left_anti")
