@@ -2,14 +2,17 @@
 
 from pyspark.sql import functions as F
 
+from .. import rules
 from ..functions import classify as C
 from ..functions import names as N
+from ..operators import folders as FO
 from ..operators import reports as R
 from ..sources import corpus as CO
 from ..streaming import streams as ST
 from .base import CORPUS_SQL, SIDECAR_SQL, corpus, name_type_sql, query, run_dir, sidecar, table
+from .folders import PASSED_SQL
 from .names import CATEGORIES, HEURISTICS, TAGGED_SQL
-from .warehouse import DATED, MONTH, event_lines
+from .warehouse import LOADED_SQL, event_lines, loaded
 
 col = F.col
 K = f"({CORPUS_SQL}) k"
@@ -38,12 +41,41 @@ def _(spark, sf):
     return sized.filter("bytes = size_bytes").select(F.substring_index("value", "|", 1).cast("bigint").alias("n"), (F.length(name) + 1).alias("size_bytes"))
 
 
+@query(
+    "s1_scan_to_manifest",
+    """SELECT concat('F', p_partkey % 20, '/sub ', p_partkey % 3) AS folder, count(*) AS files, 'text/plain' AS mime FROM part GROUP BY 1""",
+)
+def _(spark, sf):
+    # Files written below two levels of folders, listed, their folders found, a manifest built and read again.
+    root = run_dir(spark, "mirror")
+    rows = table(spark, sf, "part").select(
+        F.concat(F.lit("F"), col("p_partkey") % 20).alias("a"), F.concat(F.lit("sub "), col("p_partkey") % 3).alias("b"),
+        col("p_partkey").cast("string").alias("value"))
+    rows.write.partitionBy("a", "b").text(f"{root}/mirror")
+    files = CO.scan_corpus(spark, root, "*.txt", "mirror/a=F")
+    path = F.regexp_replace(F.regexp_replace("path", "a=|b=", ""), "%20", " ")
+    files = files.withColumn("path", path)
+    folders = FO.folder_set(files)
+    records = CO.build_manifest(files, F.struct(
+        F.get(N.path_folders(path), F.lit(0)).alias("property"), F.get(N.path_folders(path), F.lit(1)).alias("category"),
+        F.lit("").alias("doc_type"), F.lit("").alias("subpath"), col("name").alias("filename")))
+    CO.write_manifest(records, f"{root}/manifest")
+    back = CO.read_manifest(spark, f"{root}/manifest").select(
+        "id", F.variant_get("data", "$.property", "string").alias("p"), F.variant_get("data", "$.category", "string").alias("c"))
+    seen = back.join(folders.select(col("folder").alias("p")), "p", "left_semi").join(folders.select(col("folder").alias("c")), "c", "left_semi")
+    seen = seen.join(records.select("id", col("content.mimeType").alias("mime")), "id").select(F.concat("p", F.lit("/"), "c").alias("folder"), "mime").distinct()
+    lines = rows.groupBy(F.concat("a", F.lit("/"), "b").alias("folder")).agg(F.count("*").alias("files"))
+    return lines.join(seen, "folder")
+
+
 @query("s4_sidecar", f"SELECT uri, doc_type FROM ({SIDECAR_SQL}) s")
 def _(spark, sf):
-    # One small object per file, each with a stray non-text value.
-    objects = sidecar(spark, sf).select(F.to_json(F.create_map("uri", "doc_type")).alias("o")).select(
-        F.regexp_replace("o", r"\}$", ',"stray":{"a":1},"n":7}').alias("value"))
-    return CO.sidecar_rows(objects)
+    # Sidecar files of one object each, with stray values that are no text.
+    path = run_dir(spark, "sidecar")
+    rows = sidecar(spark, sf).withColumn("part", F.pmod(F.xxhash64("uri"), F.lit(32)))
+    objects = rows.groupBy("part").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("uri", "doc_type")))).alias("o"))
+    objects.select("part", F.regexp_replace("o", r"\}$", ',"stray":{"a":1},"n":7}').alias("value")).write.partitionBy("part").text(path)
+    return CO.read_sidecar(spark, path)
 
 
 @query("s6_resume", f"SELECT uri FROM {K} WHERE file_no % 3 = 0")
@@ -244,9 +276,9 @@ def _(spark, sf):
 
 @query(
     "s18_extract_text",
-    """SELECT concat('d/', doc_id, '.txt') AS path, md5(substr(text, 1, 5000)) AS text_md5, CAST(NULL AS VARCHAR) AS error FROM documents
-    UNION ALL SELECT concat('p/', page_id, '.html'), md5(substr(regexp_replace(html, '<[^>]+>', ' ', 'g'), 1, 5000)), NULL FROM pages
-    UNION ALL SELECT concat('c/', conv_id, '-', turn, '.up'), md5(substr(concat('up ', text), 1, 5000)), NULL FROM conversations
+    """SELECT concat('d/', doc_id, '.txt') AS path, md5(text) AS text_md5, CAST(NULL AS VARCHAR) AS error FROM documents
+    UNION ALL SELECT concat('p/', page_id, '.html'), md5(regexp_replace(html, '<[^>]+>', ' ', 'g')), NULL FROM pages
+    UNION ALL SELECT concat('c/', conv_id, '-', turn, '.up'), md5(concat('up ', text)), NULL FROM conversations
     UNION ALL SELECT concat('b/', item_id, '.bin'), md5(''), 'no decoder' FROM benchmark""",
 )
 def _(spark, sf):
@@ -256,7 +288,7 @@ def _(spark, sf):
         .unionByName(table(spark, sf, "conversations").select(F.concat(F.lit("c/"), "conv_id", F.lit("-"), "turn", F.lit(".up")).alias("path"), F.encode("text", "utf-8").alias("content")))
         .unionByName(table(spark, sf, "benchmark").select(F.concat(F.lit("b/"), "item_id", F.lit(".bin")).alias("path"), F.encode("text", "utf-8").alias("content")))
     )
-    out = CO.extract_text(files, {".up": lambda raw, ext: "up " + raw.decode("utf-8")}, limit=5000)
+    out = CO.extract_text(files, {".up": lambda raw, ext: "up " + raw.decode("utf-8")})
     return out.select("path", F.md5("text").alias("text_md5"), "error")
 
 
@@ -283,11 +315,11 @@ def _(spark, sf):
     return ST.run_to_table(ST.new_items(feed).select("event_id"), run_dir(spark, "feed"), "append")
 
 
-@query("x2_stream_hourly", "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H') AS hour, count(*) AS calls FROM events GROUP BY 1")
+@query("x2_stream_hourly", PASSED_SQL)
 def _(spark, sf):
-    hourly = ST.hourly_calls(event_stream(spark, sf), "ts", (1, 3, 10))
+    hourly = ST.hourly_calls(event_stream(spark, sf), "ts", rules.CALL_THRESHOLDS)
     out = ST.run_to_table(hourly, run_dir(spark, "hourly"), "update", ["hour"])
-    return out.select(F.date_format("hour", "yyyy-MM-dd HH").alias("hour"), "calls")
+    return out.select(F.date_format("hour", "yyyy-MM-dd HH").alias("hour"), "calls", F.array_join("passed", ",").alias("passed"))
 
 
 @query(
@@ -328,23 +360,13 @@ def _(spark, sf):
     return spark.read.parquet(f"{path}/rows")
 
 
-@query(
-    "x1_stream_load",
-    f"""SELECT 'events' AS t, count(*) AS n FROM orders WHERE {DATED}
-    UNION ALL SELECT 'inventory', count(*) FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE {DATED} AND l_linenumber <> 5""",
-)
+@query("x1_stream_load", LOADED_SQL)
 def _(spark, sf):
     root = run_dir(spark, "stream")
-    lines = event_lines(spark, sf, MONTH)
+    lines = event_lines(spark, sf)
     lines.write.text(f"{root}/log")
     ST.stream_load(spark, f"{root}/log", f"{root}/tables", f"{root}/checkpoint").awaitTermination()
     # The same lines arrive again in new files; nothing may double.
     lines.write.mode("append").text(f"{root}/log")
     ST.stream_load(spark, f"{root}/log", f"{root}/tables", f"{root}/checkpoint").awaitTermination()
-    out = None
-    for name in ("events", "inventory"):
-        n = spark.read.parquet(f"{root}/tables/{name}").agg(F.count("*").alias("n")).select(F.lit(name).alias("t"), "n")
-        out = n if out is None else out.unionByName(n)
-    return out
-
-
+    return loaded(spark, f"{root}/tables")

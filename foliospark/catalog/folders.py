@@ -383,6 +383,15 @@ def _(spark, sf):
     return R.samples_per(guesses(spark, sf), ["guess_bucket"], ["name", "uri"], 8).select("guess_bucket", "uri", "sample")
 
 
+@query(
+    "w8_read_limit",
+    f"""SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN {rules.LIST_LIMIT} WHEN 1 THEN {rules.FACT_READ_LIMIT} ELSE {rules.SYNTHESIS_READ_LIMIT} END AS read_limit FROM orders""",
+)
+def _(spark, sf):
+    asked = F.expr("CASE o_orderkey % 3 WHEN 0 THEN 'list all files' WHEN 1 THEN 'what is the price' ELSE 'tell me more' END")
+    return table(spark, sf, "orders").select("o_orderkey", R.read_limit(asked).alias("read_limit"))
+
+
 @query("w8_head", f"SELECT uri, size_bytes FROM {K} ORDER BY size_bytes DESC, uri LIMIT 100")
 def _(spark, sf):
     return R.head(corpus(spark, sf).select("uri", "size_bytes"), [col("size_bytes").desc(), col("uri")], rules.LIST_LIMIT)
@@ -397,11 +406,10 @@ def _today(spark, sf):
     return table(spark, sf, "events").agg(F.max(F.to_date("ts")).alias("d")).scalar()
 
 
-@query("a26_daily_usage", f"SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS n FROM events WHERE CAST(ts AS DATE) >= {_LAST_DAY} - INTERVAL 20 DAY GROUP BY 1")
+@query("a26_daily_usage", f"SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS n FROM events WHERE CAST(ts AS DATE) >= {_LAST_DAY} + INTERVAL 80 DAY - INTERVAL 90 DAY GROUP BY 1")
 def _(spark, sf):
-    log = table(spark, sf, "events").withColumn("_today", _today(spark, sf))
-    kept = log.filter(F.to_date("ts") >= F.date_sub("_today", 20)).drop("_today")
-    return R.daily_usage(kept, "ts", F.lit("1900-01-01").cast("date"), 0).withColumn("day", col("day").cast("string"))
+    # As seen 80 days after the last event, so that the window of 90 days cuts the log.
+    return R.daily_usage(table(spark, sf, "events"), "ts", F.date_add(_today(spark, sf), 80)).withColumn("day", col("day").cast("string"))
 
 
 @query("a26_usage_totals", "SELECT count(*) FILTER (WHERE CAST(ts AS DATE) = DATE '2024-01-15') AS today, count(*) FILTER (WHERE strftime(ts, '%Y-%m') = '2024-01') AS this_month, count(*) AS all_time FROM events")
@@ -444,16 +452,30 @@ def _(spark, sf):
     return _stamped(H.latest_run(table(spark, sf, "events"), "ts"))
 
 
-@query("x2_hourly_thresholds", "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H') AS hour, count(*) AS calls, CAST((count(*) >= 1) AS INTEGER) + CAST((count(*) >= 3) AS INTEGER) + CAST((count(*) >= 10) AS INTEGER) AS passed FROM events GROUP BY 1")
+PASSED_SQL = f"""SELECT strftime(h, '%Y-%m-%d %H') AS hour, calls, array_to_string(list_filter({list(rules.CALL_THRESHOLDS)}, lambda t: t <= calls), ',') AS passed
+  FROM (SELECT date_trunc('hour', ts) AS h, count(*) AS calls FROM events GROUP BY 1) x"""
+
+
+@query("x2_hourly_thresholds", PASSED_SQL)
 def _(spark, sf):
-    h = H.hourly_thresholds(table(spark, sf, "events"), "ts", (1, 3, 10))
-    return h.select(F.date_format("hour", "yyyy-MM-dd HH").alias("hour"), "calls", F.size("passed").alias("passed"))
+    h = H.hourly_thresholds(table(spark, sf, "events"), "ts", rules.CALL_THRESHOLDS)
+    return h.select(F.date_format("hour", "yyyy-MM-dd HH").alias("hour"), "calls", F.array_join("passed", ",").alias("passed"))
+
+
+_TRAILING = "SELECT a.event_id, count(*) AS trailing, count(*) >= {cap} AS at_cap FROM events a JOIN events b ON epoch_us(b.ts) <= epoch_us(a.ts) AND epoch_us(b.ts) >= epoch_us(a.ts) - {us} GROUP BY 1"
+
+
+@query("x3_trailing_rate", _TRAILING.format(cap=rules.MINUTE_CALL_CAP, us=60_000_000))
+def _(spark, sf):
+    e = table(spark, sf, "events")
+    return e.select("event_id", "ts").join(H.trailing_counts(e, "ts", 60, rules.MINUTE_CALL_CAP), "ts").select("event_id", "trailing", "at_cap")
 
 
-@query("x3_trailing_rate", "SELECT a.event_id, count(*) AS trailing FROM events a JOIN events b ON epoch_us(b.ts) <= epoch_us(a.ts) AND epoch_us(b.ts) >= epoch_us(a.ts) - 600000000 GROUP BY 1")
+@query("x3_trailing_rate_wide", _TRAILING.format(cap=5, us=600_000_000))
 def _(spark, sf):
+    # The events are sparse: ten minutes and a cap of five reach both sides of the comparison.
     e = table(spark, sf, "events")
-    return e.select("event_id", "ts").join(H.trailing_counts(e, "ts", 600), "ts").select("event_id", "trailing")
+    return e.select("event_id", "ts").join(H.trailing_counts(e, "ts", 600, 5), "ts").select("event_id", "trailing", "at_cap")
 
 
 # -- set operations ---------------------------------------------------------

@@ -240,7 +240,7 @@ def _(spark, sf):
 
 
 _ADDR = "SELECT DISTINCT concat(c_custkey % 60, CASE c_custkey % 4 WHEN 0 THEN ' Brand 1 Street' WHEN 1 THEN ' brand' WHEN 2 THEN ' water Ave' ELSE ' Unknown Rd' END) AS address FROM customer"
-_ANORM = "trim(regexp_replace(regexp_replace(lower(trim({0})), '\\b(" + "|".join(rules.STREET_WORDS) + ")\\b', '', 'g'), '[^a-z0-9]+', ' ', 'g'))"
+_ANORM = "trim(regexp_replace(regexp_replace(lower(trim({0})), '" + rules.STREET_PATTERN + "', '', 'g'), '[^a-z0-9]+', ' ', 'g'))"
 
 
 @query(

@@ -164,7 +164,7 @@ _ADDRESS = "concat(c_custkey, ' ', c_mktsegment, CASE c_custkey % 4 WHEN 0 THEN
 
 @query(
     "n14_normalize_address",
-    f"""SELECT c_custkey, trim(regexp_replace(regexp_replace(lower({_ADDRESS}), '\\b({'|'.join(rules.STREET_WORDS)})\\b', '', 'g'), '[^a-z0-9]+', ' ', 'g')) AS address FROM customer""",
+    f"""SELECT c_custkey, trim(regexp_replace(regexp_replace(lower({_ADDRESS}), '{rules.STREET_PATTERN}', '', 'g'), '[^a-z0-9]+', ' ', 'g')) AS address FROM customer""",
 )
 def _(spark, sf):
     return table(spark, sf, "customer").select("c_custkey", N.normalize_address(F.expr(_ADDRESS)).alias("address"))
@@ -324,7 +324,7 @@ def _(spark, sf):
     return corpus(spark, sf).select("file_no", C.doc_type_from_name(col("name")).alias("doc_type"))
 
 
-def content_sql(source: str, content_rules, key: str = "doc_id") -> str:
+def content_sql(source: str, content_rules, key: str = "doc_id", min_chars: int = 0) -> str:
     """Check SQL of the content rules: type, confidence and number of signals."""
     cols, cases_t, cases_c, cases_n = [], [], [], []
     for i, (t, strong, weak) in enumerate(content_rules):
@@ -334,7 +334,7 @@ def content_sql(source: str, content_rules, key: str = "doc_id") -> str:
         cases_t.append((f"s{i} OR w{i} >= 2", lit(t)))
         cases_c += [(f"s{i}", "'strong'"), (f"w{i} >= 2", "'weak'")]
         cases_n += [(f"s{i}", "1"), (f"w{i} >= 2", f"w{i}")]
-    long = f"length(text) >= {rules.CONTENT_MIN_CHARS}"
+    long = f"length(text) >= {min_chars}"
     return f"""SELECT {key}, CASE WHEN long THEN {case_of(cases_t)} END AS doc_type, CASE WHEN long THEN {case_of(cases_c)} END AS confidence,
       CAST(CASE WHEN long THEN {case_of(cases_n, '0')} ELSE 0 END AS INTEGER) AS n_signals
       FROM (SELECT {key}, {long} AS long, {', '.join(cols)} FROM ({source}) src) m"""
@@ -347,8 +347,8 @@ TEST_RULES = [
 ]
 
 
-def _verdict(df, key, content_rules):
-    v = spread(df).select(key, C.classify_text(col("text"), content_rules).alias("v"))
+def _verdict(df, key, content_rules, min_chars=0):
+    v = spread(df).select(key, C.classify_text(col("text"), content_rules, min_chars).alias("v"))
     return v.select(key, "v.doc_type", "v.confidence", F.size("v.signals").alias("n_signals"))
 
 
@@ -357,6 +357,11 @@ def _(spark, sf):
     return _verdict(texts(spark, sf), "doc_id", rules.CONTENT_RULES)
 
 
+@query("c5_content_type_long_texts", content_sql("SELECT doc_id, text FROM documents", TEST_RULES, min_chars=rules.CONTENT_MIN_CHARS))
+def _(spark, sf):
+    return _verdict(table(spark, sf, "documents"), "doc_id", TEST_RULES, rules.CONTENT_MIN_CHARS)
+
+
 @query("c5_content_type_test_rules", content_sql("SELECT doc_id, text FROM documents", TEST_RULES))
 def _(spark, sf):
     return _verdict(table(spark, sf, "documents"), "doc_id", TEST_RULES)
@@ -365,15 +370,24 @@ def _(spark, sf):
 _RESOLVED = f"SELECT k.*, c.doc_type AS content_type FROM {K} LEFT JOIN ({content_sql(TEXT_SQL, rules.CONTENT_RULES)}) c ON c.doc_id = k.file_no"
 
 
+def _resolved(spark, sf, pointer_bytes=None):
+    content = _verdict(texts(spark, sf), "doc_id", rules.CONTENT_RULES).select(col("doc_id").alias("file_no"), col("doc_type").alias("content_type"))
+    joined = corpus(spark, sf).join(content, "file_no", "left")
+    return joined.select("file_no", C.resolve_doc_type(col("name"), col("size_bytes"), col("content_type"), pointer_bytes).alias("doc_type"))
+
+
+@query("c6_resolved_type", f"SELECT file_no, coalesce(content_type, {name_type_sql('name')}) AS doc_type FROM ({_RESOLVED}) r")
+def _(spark, sf):
+    return _resolved(spark, sf)
+
+
 @query(
-    "c6_resolved_type",
-    f"""SELECT file_no, CASE WHEN lower(name) LIKE '%.pdf' AND size_bytes > 8388608 THEN 'large_pdf_pointer'
+    "c6_large_pdf_pointers",
+    f"""SELECT file_no, CASE WHEN lower(name) LIKE '%.pdf' AND size_bytes > {rules.LARGE_PDF_BYTES} THEN 'large_pdf_pointer'
       ELSE coalesce(content_type, {name_type_sql('name')}) END AS doc_type FROM ({_RESOLVED}) r""",
 )
 def _(spark, sf):
-    content = _verdict(texts(spark, sf), "doc_id", rules.CONTENT_RULES).select(col("doc_id").alias("file_no"), col("doc_type").alias("content_type"))
-    joined = corpus(spark, sf).join(content, "file_no", "left")
-    return joined.select("file_no", C.resolve_doc_type(col("name"), col("size_bytes"), col("content_type")).alias("doc_type"))
+    return _resolved(spark, sf, rules.LARGE_PDF_BYTES)
 
 
 LAYERED_SQL = f"SELECT k.*, coalesce(nullif(s.doc_type, ''), {name_type_sql('name')}) AS doc_type FROM {K} LEFT JOIN ({SIDECAR_SQL}) s USING (uri)"
@@ -585,24 +599,39 @@ def _(spark, sf):
     return table(spark, sf, "orders").select("o_orderkey", clean_answer(F.expr(ANSWER_SQL)).alias("a")).select("o_orderkey", "a.*")
 
 
+def _without_preambles(text: str) -> str:
+    for pattern in rules.PREAMBLES:
+        text = f"trim(regexp_replace({text}, {lit(pattern)}, '', 'i'))"
+    return text
+
+
 @query(
     "t2_clean_long_answer",
-    r"""SELECT doc_id, chars, CASE WHEN length(p) < 50 AND p LIKE '%.' THEN trim(left(p, length(p) - 1)) ELSE p END AS picked FROM (
-    WITH s AS (SELECT doc_id, string_split_regex(replace(replace(replace(t, '. ', '.' || chr(1)), '! ', '!' || chr(1)), '? ', '?' || chr(1)), chr(1)) AS parts, t
-      FROM (SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS t FROM documents) d)
-    SELECT doc_id, length(t) AS chars, CASE WHEN length(t) > 300 THEN coalesce(list_filter(list_slice(parts, 1, 3), lambda x: length(trim(x)) > 10)[1], parts[1]) ELSE t END AS p
-    FROM s WHERE NOT regexp_matches(t, '(?i)not found|does not contain|TEST|^(the|from|based)\b')) a""",
-)
-def _(spark, sf):
+    f"""WITH d AS (SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t FROM documents
+      UNION ALL SELECT 1000000000 + doc_id, concat('Based on the provided documents, ', left(trim(regexp_replace(text, '\\s+', ' ', 'g')), 200)) FROM documents
+      UNION ALL SELECT 2000000000 + doc_id, concat(left(trim(regexp_replace(text, '\\s+', ' ', 'g')), 400), ' This is not mentioned in the files.') FROM documents),
+    s AS (SELECT doc_id, t, string_split_regex(replace(replace(replace(t, '. ', '.' || chr(1)), '! ', '!' || chr(1)), '? ', '?' || chr(1)), chr(1)) AS parts,
+      ({" OR ".join(f"contains(lower(t), {lit(p)})" for p in rules.FAIL_PHRASES)}) OR (contains(t, 'TEST') AND length(t) < 20) AS failed FROM d),
+    p AS (SELECT doc_id, t, failed, CASE WHEN length(t) > 300 THEN coalesce(list_filter(list_transform(list_slice(parts, 1, 3), lambda x: trim(x)),
+      lambda x: length(x) > 10 AND NOT ({" OR ".join(f"starts_with(lower(x), {lit(p)})" for p in rules.PREAMBLE_STARTS)}))[1], parts[1]) ELSE t END AS one FROM s),
+    o AS (SELECT doc_id, t, failed, {_without_preambles("one")} AS p FROM p),
+    e AS (SELECT doc_id, t, failed, CASE WHEN length(p) < 50 AND p LIKE '%.' THEN trim(left(p, length(p) - 1)) ELSE p END AS p FROM o)
+    SELECT doc_id, length(t) AS chars, CASE WHEN t <> '' AND NOT failed AND p <> '' THEN p ELSE {lit(rules.NOT_AVAILABLE)} END AS picked FROM e""",
+)
+def _(spark, sf):
+    # All texts; each again behind a preamble, and again with a failure phrase at its end.
     t = F.trim(F.regexp_replace("text", r"\s+", " "))
-    d = table(spark, sf, "documents").select("doc_id", t.alias("t")).filter(~col("t").rlike(r"(?i)not found|does not contain|TEST|^(the|from|based)\b"))
+    d = table(spark, sf, "documents").select("doc_id", t.alias("t"))
+    led = d.select((col("doc_id") + 1_000_000_000).alias("doc_id"), F.concat(F.lit("Based on the provided documents, "), F.left("t", F.lit(200))).alias("t"))
+    failed = d.select((col("doc_id") + 2_000_000_000).alias("doc_id"), F.concat(F.left("t", F.lit(400)), F.lit(" This is not mentioned in the files.")).alias("t"))
+    d = d.unionByName(led).unionByName(failed)
     return d.select("doc_id", F.length("t").alias("chars"), clean_answer(col("t"))["text"].alias("picked"))
 
 
 @query(
     "t3_fill_template",
-    """SELECT o_orderkey, concat('Pay ', o_totalprice, ' by ', CASE WHEN o_orderkey % 2 = 0 THEN concat('', o_orderpriority) ELSE '{{ due date }}' END,
-      ' to {{who', o_custkey % 3, '}}; total ', o_totalprice, '.') AS filled FROM orders""",
+    """SELECT o_orderkey, concat('Pay ', o_totalprice, ' by ', CASE WHEN o_orderkey % 2 = 0 THEN concat('', o_orderpriority) ELSE 'Not Available' END,
+      ' to Not Available; total ', o_totalprice, '.') AS filled FROM orders""",
 )
 def _(spark, sf):
     o = table(spark, sf, "orders")

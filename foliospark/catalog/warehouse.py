@@ -111,7 +111,7 @@ CHANGES = """WITH p AS (SELECT event_id, folder_key, {ts} AS stamp, {a} AS a, {b
     CHANGES.format(ts=ISO.format("generated_at"), a="contract_status", b="inspection_status", src=E, cond="response_kind = 'folder_summary'"),
 )
 def _(spark, sf):
-    changed = Q.status_changes(events(spark, sf), bucket="year")
+    changed = Q.status_changes(events(spark, sf))
     return changed.withColumn("generated_at", F.date_format("generated_at", "yyyy-MM-dd'T'HH:mm:ss'Z'"))
 
 
@@ -221,10 +221,14 @@ def _(spark, sf):
     )
 
 
-@query("s5_name_list", "SELECT doc_id, trim(split_part(text, chr(10), 1)) AS name FROM documents WHERE trim(split_part(text, chr(10), 1)) NOT LIKE '#%' AND trim(split_part(text, chr(10), 1)) <> ''")
+@query(
+    "s5_name_list",
+    "SELECT name, count(*) AS n FROM (SELECT trim(unnest(string_split(text, chr(10)))) AS name FROM documents) l WHERE name <> '' AND name NOT LIKE '#%' GROUP BY 1",
+)
 def _(spark, sf):
-    first = table(spark, sf, "documents").select("doc_id", F.substring_index("text", "\n", 1).alias("line"))
-    return L.filter_name_lines(first, "line").select("doc_id", "name")
+    path = run_dir(spark, "names")
+    table(spark, sf, "documents").select("text").write.text(path)
+    return L.read_name_list(spark, path).groupBy("name").agg(F.count("*").alias("n"))
 
 
 _TS_FORMS = """CASE o_orderkey % 6 WHEN 0 THEN concat(d, 'T10:20:30Z') WHEN 1 THEN concat(d, 'T10:20:30.250Z') WHEN 2 THEN concat(d, 'T10:20:30+02:00')
@@ -437,7 +441,7 @@ def _(spark, sf):
 def _version(spark, sf, cond: str, tag: str):
     """Event rows of a range of orders, their payload marked with a version."""
     e = table(spark, sf, "orders").filter(cond).select(
-        col("o_orderkey").cast("string").alias("event_id"), F.to_date(F.expr(MONTH)).alias("event_date"), col("o_orderpriority").alias("response_kind"),
+        col("o_orderkey").cast("string").alias("event_id"), F.to_date("o_orderdate").alias("event_date"), col("o_orderpriority").alias("response_kind"),
         F.expr(PURPOSE_SQL).alias("folder_purpose"), F.concat(F.lit(tag), F.when(col("o_orderkey") % 5 == 0, 0).otherwise(F.lit(1 if tag == "b" else 0))).alias("_p"))
     return e.withColumn("payload_json", F.when(col("event_id").cast("bigint") % 5 == 0, "same").otherwise(col("_p"))).withColumn("loaded_at", F.lit(tag)).drop("_p")
 
@@ -450,12 +454,11 @@ _A, _B = "o_orderkey % 10 < 7", "o_orderkey % 10 >= 4"
     f"SELECT concat('', o_orderkey) AS event_id, CASE WHEN {_B} THEN 'b' ELSE 'a' END AS loaded_at FROM orders",
 )
 def _(spark, sf):
-    path = run_dir(spark, "upsert")
-    W.write_table(_version(spark, sf, _A, "a"), path, W.CLUSTER_KEYS["events"])
-    staging = W.latest_staging(_version(spark, sf, _B, "b").unionByName(_version(spark, sf, _B, "b")))
-    days = [r[0] for r in staging.select("event_date").distinct().collect()]
-    W.write_table(W.upsert(W.read_days(spark, path, days), staging), path, W.CLUSTER_KEYS["events"])
-    return spark.read.parquet(path).select("event_id", "loaded_at")
+    root = run_dir(spark, "upsert")
+    first, again = _version(spark, sf, _A, "a"), _version(spark, sf, _B, "b")
+    for n, rows in enumerate((first, W.latest_staging(again.unionByName(again)))):
+        W.write_table(rows.withColumn("version", F.lit(f"v{n}")), f"{root}/events", W.CLUSTER_KEYS["events"], "append")
+    return W.current(spark, root).select("event_id", "loaded_at")
 
 
 @query(
@@ -488,13 +491,12 @@ def _(spark, sf):
 
 @query(
     "s10_write_table",
-    f"""SELECT response_kind, folder_key, strftime(generated_at, '%Y-%m-01') AS event_date, count(*) AS n FROM {E} GROUP BY 1, 2, 3""",
+    f"""SELECT event_id, response_kind, folder_key, strftime(generated_at, '%Y-%m-%d') AS event_date FROM {E}""",
 )
 def _(spark, sf):
     path = run_dir(spark, "table")
-    W.write_table(W.with_day(events(spark, sf).withColumn("generated_at", F.date_trunc("month", "generated_at"))), path, W.CLUSTER_KEYS["events"])
-    t = spark.read.parquet(path)
-    return t.groupBy("response_kind", "folder_key", col("event_date").cast("string").alias("event_date")).agg(F.count("*").alias("n"))
+    W.write_table(W.with_day(events(spark, sf)), path, W.CLUSTER_KEYS["events"], part="event_date")
+    return spark.read.parquet(path).select("event_id", "response_kind", "folder_key", col("event_date").cast("string").alias("event_date"))
 
 
 @query(
@@ -506,24 +508,49 @@ def _(spark, sf):
     return W.duplicate_ids(o)
 
 
-@query(
-    "load_twice",
-    f"""SELECT 'events' AS t, count(*) AS n FROM orders WHERE {DATED}
-    UNION ALL SELECT 'fields_long', count(*) FILTER (WHERE {DATED}) + count(*) FILTER (WHERE {DATED} AND o_orderkey % 3 <> 0) FROM orders
-    UNION ALL SELECT 'inventory', count(*) FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE {DATED} AND l_linenumber <> 5
-    UNION ALL SELECT 'open_items', count(*) FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE {DATED} AND NOT (l_linestatus = 'O' AND l_linenumber = 6)""",
-)
+#: Rows of the four tables after a load, by event and what tells them apart.
+LOADED_SQL = f"""SELECT 'events' AS t, {EID} AS event_id, '' AS what FROM orders WHERE {DATED}
+    UNION ALL SELECT 'fields_long', {EID}, 'estimate_total' FROM orders WHERE {DATED}
+    UNION ALL SELECT 'fields_long', {EID}, 'contract_status' FROM orders WHERE {DATED} AND o_orderkey % 3 <> 0
+    UNION ALL SELECT 'inventory', {EID}, concat(l_returnflag, ' doc ', l_partkey) FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE {DATED} AND l_linenumber <> 5
+    UNION ALL SELECT 'open_items', {EID}, concat('item ', l_returnflag, ' ', l_linenumber) FROM orders JOIN lineitem ON l_orderkey = o_orderkey
+      WHERE {DATED} AND NOT (l_linestatus = 'O' AND l_linenumber = 6)"""
+
+
+def loaded(spark, root):
+    """The current rows of all four tables."""
+    what = {
+        "events": F.lit(""), "fields_long": col("field_name"), "inventory": F.concat_ws(" ", "bucket", "doc_name"),
+        "open_items": F.concat_ws(" ", "label", "strict_count"),
+    }
+    parts = [W.current(spark, root, n).select(F.lit(n).alias("t"), "event_id", w.alias("what")) for n, w in what.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+
+
+@query("load_twice", LOADED_SQL)
 def _(spark, sf):
     root = run_dir(spark, "load")
-    # Months stand for days here: the seven years of orders make 80 partitions, not 2,400.
-    good = L.split_lines(L.parse_lines(event_lines(spark, sf, MONTH)))[0]
+    good = L.split_lines(L.parse_lines(event_lines(spark, sf)))[0]
     W.load(spark, good, root)
     W.load(spark, good, root)
-    out = None
-    for name in ("events", *W.CHILDREN):
-        n = spark.read.parquet(f"{root}/{name}").agg(F.count("*").alias("n")).select(F.lit(name).alias("t"), "n")
-        out = n if out is None else out.unionByName(n)
-    return out
+    return loaded(spark, root)
+
+
+@query(
+    "reload_replaces_children",
+    f"SELECT * FROM ({LOADED_SQL}) l WHERE t NOT IN ('inventory', 'open_items')",
+)
+def _(spark, sf):
+    # The same events come again without documents and open items, then unchanged, then the tables are compacted.
+    root = run_dir(spark, "reload")
+    lines = event_lines(spark, sf)
+    bare = lines.withColumn("value", F.regexp_replace("value", r'"document_inventory":\{.*?\},"open_items":\[.*?\]', '"document_inventory":{},"open_items":[]'))
+    parse = lambda df: L.split_lines(L.parse_lines(df))[0]
+    W.load(spark, parse(lines), root)
+    W.load(spark, parse(bare), root)
+    W.load(spark, parse(bare), root, only_changed=True)
+    W.compact(spark, root)
+    return loaded(spark, root)
 
 
 @query("s7_event_sink", f"SELECT concat('', event_id) AS event_id, folder_key, contract_status, inspection_status FROM {E}")

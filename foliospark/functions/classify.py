@@ -131,13 +131,14 @@ def doc_type_from_name(name: Column, rule_list=rules.NAME_TYPE_RULES, ext_rules=
     return F.when(name.isNotNull(), bind(value, body))
 
 
-def classify_text(text: Column, content_rules=rules.CONTENT_RULES, min_chars: int = rules.CONTENT_MIN_CHARS,
+def classify_text(text: Column, content_rules=rules.CONTENT_RULES, min_chars: int = 0,
                   weak_hits: int = rules.CONTENT_WEAK_HITS, prefer_strong: bool = False) -> Column:
     """Struct (doc_type, confidence, signals, source) of the body text.
 
     Types are tried in order; a type matches on its first strong pattern or on
     ``weak_hits`` distinct weak ones, so an earlier type's weak match beats a
-    later type's strong one unless ``prefer_strong``.
+    later type's strong one unless ``prefer_strong``. A caller who trusts only
+    longer texts passes ``min_chars``, below which no type is given.
     """
 
     def verdict(doc_type, confidence, signals):
@@ -169,12 +170,15 @@ def classify_text(text: Column, content_rules=rules.CONTENT_RULES, min_chars: in
     return F.when(long, bind(F.struct(text.alias("t"), fold_case(text).alias("f")), body)).otherwise(nothing)
 
 
-def resolve_doc_type(name: Column, size_bytes: Column, content_type: Column) -> Column:
-    """Stored type: large PDFs are pointers, then content evidence, then the name."""
-    large = F.lower(name).endswith(".pdf") & (size_bytes > rules.LARGE_PDF_BYTES)
-    return F.when(large, F.lit(rules.LARGE_PDF_TYPE)).otherwise(
-        F.coalesce(content_type, doc_type_from_name(name))
-    )
+def resolve_doc_type(name: Column, size_bytes: Column, content_type: Column, pointer_bytes: int | None = None) -> Column:
+    """Stored type: content evidence, else the name.
+
+    With ``pointer_bytes``, PDFs above that size are pointers, whatever they say.
+    """
+    typed = F.coalesce(content_type, doc_type_from_name(name))
+    if pointer_bytes is None:
+        return typed
+    return F.when(F.lower(name).endswith(".pdf") & (size_bytes > pointer_bytes), F.lit(rules.LARGE_PDF_TYPE)).otherwise(typed)
 
 
 def doc_type_or_name(stored: Column, name: Column) -> Column:
@@ -182,10 +186,11 @@ def doc_type_or_name(stored: Column, name: Column) -> Column:
     return F.coalesce(nonempty(stored), doc_type_from_name(name))
 
 
-def needs_ocr(path: Column, size_bytes: Column) -> Column:
+def needs_ocr(path: Column, size_bytes: Column, scan_bytes: int = rules.SCAN_MIN_BYTES) -> Column:
+    """Whether a file looks like a scan: a scanner's name, or a name of digits alone and more than ``scan_bytes``."""
     s = stem(F.substring_index(path, "/", -1))
     return s.rlike(rx(rules.SCAN_NAME, True)) | (
-        (F.coalesce(size_bytes, F.lit(0)) > rules.SCAN_MIN_BYTES) & s.rlike(rx(r"^\d+$"))
+        (F.coalesce(size_bytes, F.lit(0)) > scan_bytes) & s.rlike(rx(r"^\d+$"))
     )
 
 

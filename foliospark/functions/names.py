@@ -85,10 +85,11 @@ def extract_property(path: Column, scope: str = "", prefix: str = "mirror") -> C
 
 
 def path_folders(path: Column, prefix: str = "mirror/") -> Column:
-    """Folder names between the prefix and the file, without blank and dot names."""
-    depth = len([p for p in prefix.strip("/").split("/") if p])
-    parts = F.split(path, "/")
-    inner = F.slice(parts, depth + 1, F.greatest(F.size(parts) - depth - 1, F.lit(0)))
+    """Folder names above the file, below the prefix where the path has it; no blank and dot names."""
+    lead = prefix.strip("/") + "/"
+    below = path if lead == "/" else F.when(path.startswith(lead), F.substr(path, F.lit(len(lead) + 1))).otherwise(path)
+    parts = F.split(below, "/")
+    inner = F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0)))
     return F.filter(F.transform(inner, strip), lambda s: (s != "") & ~s.startswith("."))
 
 
@@ -192,8 +193,7 @@ def name_pattern(name: Column) -> Column:
 
 
 def normalize_address(text: Column) -> Column:
-    street = rx(r"\b(" + "|".join(rules.STREET_WORDS) + r")\b")
-    bare = F.regexp_replace(strip(F.lower(text)), street, "")
+    bare = F.regexp_replace(strip(F.lower(text)), rx(rules.STREET_PATTERN), "")
     return F.trim(F.regexp_replace(bare, r"[^a-z0-9]+", " "))
 
 

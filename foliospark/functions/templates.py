@@ -44,8 +44,8 @@ def placeholder_queries(names: DataFrame, query_map: DataFrame, name: str = "pla
 
 
 def fill_templates(templates: DataFrame, answers: DataFrame, key: str = "template_id",
-                   text: str = "text") -> DataFrame:
-    """Replace every placeholder by its template's answer; unanswered ones stay.
+                   text: str = "text", missing: str = rules.NOT_AVAILABLE) -> DataFrame:
+    """Replace every placeholder by its template's answer, or by ``missing`` where it has none.
 
     Templates without placeholders skip the join. The answers of one template
     are as few as its placeholders, so folding them is a bounded group.
@@ -57,14 +57,11 @@ def fill_templates(templates: DataFrame, answers: DataFrame, key: str = "templat
         .groupBy(key)
         .agg(F.map_from_entries(F.collect_list(F.struct("placeholder", "answer"))).alias("_answers"))
     )
-    # Split at the placeholders; odd pieces are names, even ones literal text.
-    pieces = F.split(F.regexp_replace(F.col(text), rx(r"\{\{(.+?)\}\}"), "\u0000$1\u0000"), "\u0000")
-    filled = F.transform(
-        pieces,
-        lambda p, i: F.when(i % 2 == 0, p).otherwise(
-            F.coalesce(F.try_element_at(F.col("_answers"), strip(p)), F.concat(F.lit("{{"), p, F.lit("}}")))
-        ),
-    )
+    pattern = rx(r"\{\{(.+?)\}\}")
+    names = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), strip)
+    answered = F.transform(names, lambda n: F.coalesce(F.try_element_at(F.col("_answers"), n), F.lit(missing)))
+    # The text between the placeholders is one piece longer than the names.
+    filled = F.zip_with(F.split(text, pattern, -1), answered, lambda p, a: F.concat(p, F.coalesce(a, F.lit(""))))
     return (
         named.join(pairs, key, "left")
         .withColumn("filled", F.array_join(filled, ""))

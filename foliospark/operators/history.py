@@ -51,8 +51,8 @@ def latest_run(df: DataFrame, ts: str, gap_seconds: int = RUN_GAP_SECONDS) -> Da
     return found.agg(F.max_by(F.struct("run_start", "run_end", "n"), "run_start").alias("r")).select("r.*")
 
 
-def trailing_counts(df: DataFrame, ts: str, seconds: int = 60) -> DataFrame:
-    """Rows in the ``seconds`` up to each distinct time, ends included.
+def trailing_counts(df: DataFrame, ts: str, seconds: int = 60, cap: int | None = None) -> DataFrame:
+    """Rows in the ``seconds`` up to each distinct time, ends included; ``at_cap`` where they reach ``cap``.
 
     Every time is counted in its own time slot and carried into the next one,
     so slots are independent and no single task sees the whole line.
@@ -63,11 +63,12 @@ def trailing_counts(df: DataFrame, ts: str, seconds: int = 60) -> DataFrame:
         "_slot", F.explode(F.array(F.col("_own"), F.col("_own") + 1))
     )
     w = Window.partitionBy("_slot").orderBy(_micros(ts)).rangeBetween(-seconds * 1_000_000, 0)
-    return (
+    counted = (
         spread.withColumn("trailing", F.sum("at_time").over(w))
         .filter("_slot = _own")
         .select(ts, "at_time", "trailing")
     )
+    return counted if cap is None else counted.withColumn("at_cap", F.col("trailing") >= cap)
 
 
 def hourly_thresholds(df: DataFrame, ts: str, thresholds: Sequence[int]) -> DataFrame:

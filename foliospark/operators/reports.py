@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import rules
+from ..functions.classify import query_mode
 from ..functions.names import suffix
+from ..functions.text import first_hit
 
 
 def counted(df: DataFrame, *by: str | Column, name: str = "n") -> DataFrame:
@@ -290,6 +292,12 @@ def samples_per(df: DataFrame, group: Sequence[str], order: Sequence[str], n: in
     return df.withColumn("sample", F.row_number().over(w)).filter(F.col("sample") <= n)
 
 
+def read_limit(query: Column) -> Column:
+    """How many documents a query may read, by its mode."""
+    limits = (("list", rules.LIST_LIMIT), ("fact", rules.FACT_READ_LIMIT))
+    return first_hit([(query_mode(query) == mode, F.lit(n)) for mode, n in limits], F.lit(rules.SYNTHESIS_READ_LIMIT))
+
+
 def head(df: DataFrame, order: Sequence[str], n: int) -> DataFrame:
     return df.orderBy(*order).limit(n)
 

@@ -11,29 +11,53 @@ from pyspark.sql import functions as F
 from .. import rules
 from ..functions.classify import doc_type_from_name
 from ..functions.names import doc_id, doc_sha1, extract_date, extract_property, repair_title, suffix
-from ..functions.text import bind, nonempty, strip
+from ..functions.text import bind, first_hit, nonempty, strip
 from ..functions.values import get, is_object, truthy_at
 
 
-def scan_corpus(spark: SparkSession, root: str, glob: str | None = None) -> DataFrame:
-    """Listing of the files below ``root``. Contents are never read: only the
-    path, time and length columns of the binary source are selected."""
+def scan_corpus(spark: SparkSession, root: str, glob: str | None = None, prefix: str = "") -> DataFrame:
+    """Listing of the files below ``root``, or below ``root/prefix``, with paths from ``root``.
+
+    Contents are never read: only the path, time and length columns of the
+    binary source are selected. The driver lists the folders; for a very large
+    store pass an inventory table of (uri, size_bytes, updated) to ``listing``.
+    """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    return listing(reader.load(root).select(F.col("path").alias("uri"), F.col("length").alias("size_bytes"), F.col("modificationTime").alias("updated")), root)
+    # A prefix may end inside a name: its last whole folder is listed.
+    folder = prefix.lstrip("/").rpartition("/")[0]
+    files = reader.load(f"{root.rstrip('/')}/{folder}".rstrip("/"))
+    return listing(files.select(F.col("path").alias("uri"), F.col("length").alias("size_bytes"), F.col("modificationTime").alias("updated")), root, prefix)
 
 
-def listing(files: DataFrame, root: str) -> DataFrame:
-    """Corpus columns of a (uri, size_bytes, updated) listing; directory markers dropped."""
-    base = root.rstrip("/") + "/"
-    tail = F.col("uri").substr(F.locate(base, F.col("uri")) + len(base), F.lit(1 << 20))
-    return (
+def _qualified(uri: Column) -> Column:
+    """A uri with its scheme; local paths get ``file:`` and one leading slash, as the engine lists them."""
+    bare = F.regexp_replace(uri, "^file:/*", "/")
+    return F.when(bare.startswith("/"), F.concat(F.lit("file:"), F.regexp_replace(bare, "^/+", "/"))).otherwise(bare)
+
+
+def listing(files: DataFrame, root: str, prefix: str = "") -> DataFrame:
+    """Corpus columns of a (uri, size_bytes, updated) inventory; directory markers dropped.
+
+    ``path`` is what follows ``root``; a uri outside of it fails the query. Only
+    paths that start with ``prefix`` stay. ``content_type`` follows from the
+    suffix, where the inventory has no such column.
+    """
+    base = _qualified(F.lit(root.rstrip("/") + "/"))
+    uri = _qualified(F.col("uri"))
+    outside = F.raise_error(F.concat(F.lit(f"not below {root}: "), F.col("uri")))
+    rows = (
         files.filter(~F.col("uri").endswith("/"))
-        .withColumn("path", tail)
+        .withColumn("path", F.when(uri.startswith(base), F.substr(uri, F.length(base) + 1)).otherwise(outside))
+        .filter(F.col("path").startswith(prefix.lstrip("/")))
         .withColumn("name", F.substring_index("uri", "/", -1))
         .withColumn("ext", suffix(F.col("name")))
     )
+    if "content_type" in files.columns:
+        return rows
+    known = first_hit([(F.col("ext") == e, F.lit(t)) for e, t in rules.MIME_TYPES], F.lit(rules.DEFAULT_MIME))
+    return rows.withColumn("content_type", known)
 
 
 def read_sidecar(spark: SparkSession, path: str) -> DataFrame:
@@ -288,42 +312,47 @@ def plain_text(content: Column, ext: Column) -> Column:
     return F.when(ext.isin(*rules.HTML_EXTS), F.regexp_replace(raw, r"<[^>]+>", " ")).when(ext.isin(*rules.TEXT_EXTS), raw)
 
 
-def extract_text(files: DataFrame, decoders: dict[str, Decoder] | None = None, limit: int = rules.MAX_TEXT_CHARS) -> DataFrame:
-    """Add ``text`` and ``error`` to (path, content) rows.
+def extract_text(files: DataFrame, decoders: dict[str, Decoder] | None = None, limit: int | None = None) -> DataFrame:
+    """Add ``text`` and ``error`` to (path, content) rows, whole texts unless ``limit`` cuts them.
 
     Plain and HTML files are decoded by the engine. Other suffixes go, in Arrow
-    batches, through the given decoders; without one their text is empty.
+    batches, through the given decoders, if any; without one their text is
+    empty. Files are read once.
     """
-    ext = suffix(F.substring_index("path", "/", -1))
-    typed = files.withColumn("ext", ext)
-    known = list(rules.TEXT_EXTS + rules.HTML_EXTS)
-    plain = typed.filter(F.col("ext").isin(known)).withColumn("text", plain_text(F.col("content"), F.col("ext"))).withColumn("error", F.lit(None).cast("string"))
-    other = typed.filter(~F.col("ext").isin(known))
+    ext = F.col("ext")
+    known = ext.isin(*rules.TEXT_EXTS, *rules.HTML_EXTS)
+    typed = files.withColumn("ext", suffix(F.substring_index("path", "/", -1)))
+    typed = typed.withColumn("text", plain_text(F.col("content"), ext)).withColumn(
+        "content", F.when(~known | ext.isNull(), F.col("content"))
+    )
     if not decoders:
-        rest = other.withColumn("text", F.lit("")).withColumn("error", F.lit("no decoder"))
+        typed = typed.withColumn("error", F.when(~known | ext.isNull(), "no decoder"))
+        typed = typed.withColumn("text", F.when(F.col("error").isNotNull(), "").otherwise(F.col("text")))
     else:
-        table = dict(decoders)
+        table, plain = dict(decoders), frozenset(rules.TEXT_EXTS + rules.HTML_EXTS)
 
         def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
                 texts, errors = [], []
-                for content, kind in zip(pdf["content"], pdf["ext"]):
-                    text, error = "", None
-                    try:
-                        if kind in table:
-                            text = table[kind](content, kind)
-                        else:
-                            error = "no decoder"
-                    except Exception as exc:  # a broken file must not fail the job
-                        error = f"{type(exc).__name__}: {exc}"
+                for content, kind, text in zip(pdf["content"], pdf["ext"], pdf["text"]):
+                    error = None
+                    if kind not in plain:
+                        text = ""
+                        try:
+                            if kind in table:
+                                text = table[kind](content, kind)
+                            else:
+                                error = "no decoder"
+                        except Exception as exc:  # a broken file must not fail the job
+                            error = f"{type(exc).__name__}: {exc}"
                     texts.append(text)
                     errors.append(error)
                 yield pdf.assign(text=texts, error=errors)
 
-        fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in other.schema.fields)
-        rest = other.mapInPandas(decode, f"{fields}, text string, error string")
-    both = plain.unionByName(rest)
-    return both.withColumn("text", F.substring("text", 1, limit)).drop("content")
+        fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in typed.schema.fields)
+        typed = typed.mapInPandas(decode, f"{fields}, error string")
+    done = typed.drop("content")
+    return done if limit is None else done.withColumn("text", F.substring("text", 1, limit))
 
 
 def cache_path(path: Column) -> Column:
