@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from itertools import combinations
 from math import comb
@@ -22,8 +23,10 @@ PERCENT = 75
 SMALL, RATIO = 64, 4
 #: Parts of a group, and how many of them a signature covers.
 GROUP, COVER = 1, 1
-#: Cells of the table that tells frequent signatures, and how many frequent cells are kept.
-CELL_BITS, HEAVY_CELLS = 20, 1 << 16
+#: Cells of the table of signature frequencies, and how many of them travel in one row.
+CELL_BITS, CHUNK_BITS = 22, 13
+#: Bits of the filter that passes the texts of candidate pairs.
+FILTER_BITS = 23
 #: Turns of candidates: by leaders, and in the last one all pairs that are still apart.
 TURNS = 3
 _C1, _C2, _C3 = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)
@@ -122,37 +125,66 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | None, np.nd
             yield i.as_py(), shingle_set(data.to_pybytes() if data is not None else b"", WORDS)
 
 
-_SET_SCHEMA = "doc_id long, n long, f1 long, f2 long, cell int, hits long"
+def sketch(features: np.ndarray) -> bytes:
+    """Parities of a set's features over a power of two of cells, two cells and more for each feature."""
+    cells = 64
+    while cells < 2 * features.size:
+        cells *= 2
+    place = (mix(features ^ _C2) & np.uint64(cells - 1)).astype(np.int64)
+    return np.packbits(np.bincount(place, minlength=cells).astype(np.uint8) & 1, bitorder="little").tobytes()
+
+
+def least_difference(a: bytes, b: bytes) -> int:
+    """A lower bound of the features in which two sets differ: each changes one parity.
+
+    The larger sketch is folded, since its cells are a refinement of the smaller one's.
+    """
+    x, y = (np.frombuffer(v, np.uint8) for v in (a, b))
+    if x.size < y.size:
+        x, y = y, x
+    if x.size > y.size:
+        x = np.bitwise_xor.reduce(x.reshape(-1, y.size), axis=0)
+    return int(np.bitwise_count(x ^ y).sum())
+
+
+_SET_SCHEMA = "doc_id long, n long, f1 long, f2 long, sketch binary, chunk int, hits binary"
 
 
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Size and fingerprint per row; then the cells that many signatures of this task fall into."""
-    cells, seen, rows = np.zeros(1 << CELL_BITS, np.int64), _Seen(), []
+    """Size, fingerprint and sketch per row; then how many signatures of this task fall into each cell."""
+    cells, seen, rows = np.zeros(1 << CELL_BITS, np.uint32), _Seen(), []
 
     def batch_of(rows):
-        kinds = [pa.int64()] * 4 + [pa.int32(), pa.int64()]
-        cols = zip(*rows, strict=True)
+        kinds = [pa.int64()] * 4 + [pa.binary(), pa.int32(), pa.binary()]
         return pa.RecordBatch.from_arrays(
-            [pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], [x.split()[0] for x in _SET_SCHEMA.split(", ")]
+            [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)],
+            [x.split()[0] for x in _SET_SCHEMA.split(", ")],
         )
 
     for i, features in _sets(batches):
         mark = fingerprint(features)
-        rows.append((i, features.size, *mark, None, None))
+        rows.append((i, features.size, *mark, sketch(features), None, None))
         if features.size and seen.new(mark):
-            found = signatures(features)
-            np.add.at(cells, (found >> np.uint64(64 - CELL_BITS)).astype(np.int64), 1)
-        if len(rows) == 4096:
+            np.add.at(cells, (signatures(features) >> np.uint64(64 - CELL_BITS)).astype(np.int64), 1)
+        if len(rows) == 2048:
             yield batch_of(rows)
             rows = []
-    mean = cells.mean()
-    often = np.flatnonzero(cells >= 6 + 4 * mean)
-    often = often[np.argsort(-cells[often], kind="stable")[:4096]]
-    rows += [(None, -1, None, None, int(c), int(cells[c])) for c in often]
+    for chunk, part in enumerate(cells.reshape(-1, 1 << CHUNK_BITS)):
+        if part.any():
+            rows.append((None, None, None, None, None, chunk, zlib.compress(part.tobytes(), 1)))
     if rows:
         yield batch_of(rows)
 
 
+def _levels(group: pa.Table) -> pa.Table:
+    """Frequency levels of a chunk of cells over all tasks, one byte a cell."""
+    total = np.zeros(1 << CHUNK_BITS, np.uint64)
+    for hits in group.column("hits"):
+        total += np.frombuffer(zlib.decompress(hits.as_buffer()), np.uint32)
+    level = np.minimum(255, np.rint(8 * np.log2(1 + total))).astype(np.uint8)
+    return pa.table({"chunk": group.column("chunk")[:1], "level": pa.array([level.tobytes()], pa.binary())})
+
+
 def _emit(heavy: np.ndarray):
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, ids, sigs, held = _Seen(), [], [], 0
@@ -189,8 +221,49 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["a", "b"])
 
 
-def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs ``(a, b)`` that link, by their whole texts ``(doc, text)``."""
+def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs that their sketches do not rule out; a missing sketch rules out nothing."""
+    for batch in batches:
+        keep = []
+        for na, nb, ka, kb in zip(*(batch.column(c) for c in ("n_a", "n_b", "k_a", "k_b")), strict=True):
+            room = (na.as_py() + nb.as_py()) * (100 - PERCENT) // (100 + PERCENT)
+            keep.append(not (ka.is_valid and kb.is_valid) or least_difference(ka.as_buffer(), kb.as_buffer()) <= room)
+        yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+
+def near_pairs(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """The pairs ``(a, b)`` whose sets can be similar enough, by ``sketches`` of ``(doc, n_max, sketch)``.
+
+    No pair that links is lost, since a sketch only ever hides differences.
+    """
+    side = lambda s: sketches.select(F.col("doc").alias(s), F.col("n_max").alias(f"n_{s}"), F.col("sketch").alias(f"k_{s}"))
+    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_near, "a long, b long")
+
+
+def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """``(doc, text)`` of the documents whose id is in ``ids (doc)``.
+
+    A filter of a fixed number of bits, built in Spark and small enough to be
+    broadcast at any size of the data, passes over most other texts before the
+    join; the join alone decides.
+    """
+    place = F.pmod(F.xxhash64("doc"), F.lit(1 << FILTER_BITS))
+    bits = ids.select(place.alias("p")).groupBy(F.bitmap_bucket_number("p").alias("bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits")
+    )
+    rows = docs.select(F.col("doc_id").alias("doc"), "text").withColumn("p", place)
+    rows = rows.withColumn("bucket", F.bitmap_bucket_number("p")).withColumn("at", F.bitmap_bit_position("p"))
+    byte = F.conv(F.hex(F.substr("bits", (F.floor(F.col("at") / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    rows = rows.join(F.broadcast(bits), "bucket").filter(
+        F.shiftrightunsigned(byte, 0).bitwiseAND(F.expr("shiftleft(1, cast(at % 8 as int))")) != 0
+    )
+    return rows.select("doc", "text").join(ids, "doc", "left_semi")
+
+
+def verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """The pairs ``(a, b)`` that link, by the whole texts of their documents."""
+    ends = pairs.select(F.col("a").alias("doc")).unionAll(pairs.select(F.col("b").alias("doc"))).distinct()
+    texts = keep(texts_of(docs, keep(ends, "shingle-ends")), "shingle-texts")
     right = pairs.join(texts.select(F.col("doc").alias("b"), F.col("text").alias("text_b")), "b")
     both = right.join(texts.select(F.col("doc").alias("a"), F.col("text").alias("text_a")), "a")
     return both.mapInArrow(_linked, "a long, b long")
@@ -214,23 +287,23 @@ def classes(docs: DataFrame) -> DataFrame:
     candidates: first each with the smallest id of its signature, then, as long
     as signatures hold more than one component, with the member of the largest
     degree, and at last every pair in different components, so that no link is
-    lost. Candidates are verified on whole texts.
+    lost. Candidates that the parities of their sets do not rule out are
+    verified on whole texts.
     """
     docs = docs.select("doc_id", "text")
     described = keep(docs.mapInArrow(_describe, _SET_SCHEMA), "shingle-sets")
-    rows = described.filter("n >= 0").drop("cell", "hits")
-    often = (
-        described.filter("n < 0").groupBy("cell").agg(F.sum("hits").alias("hits")).orderBy(F.desc("hits"), "cell")
-        .limit(HEAVY_CELLS).collect()  # a fixed bound
+    rows = described.filter("chunk is null").drop("chunk", "hits")
+    levels = described.filter("chunk is not null").select("chunk", "hits").groupBy("chunk").applyInArrow(
+        _levels, "chunk int, level binary"
     )
     heavy = np.zeros(1 << CELL_BITS, np.uint8)
-    for r in often:
-        heavy[r["cell"]] = min(255, 1 + int(4 * np.log2(r["hits"])))
+    for r in levels.collect():  # one byte a cell, a fixed bound
+        heavy[r["chunk"] << CHUNK_BITS : (r["chunk"] + 1) << CHUNK_BITS] = np.frombuffer(r["level"], np.uint8)
 
     # One document stands for each set; ids with several sets tie their classes together.
     rep = rows.filter("n > 0 and doc_id is not null").groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("rep"))
     known = keep(
-        rows.filter("n > 0 and doc_id is not null").join(rep, ["f1", "f2", "n"]).select("doc_id", "rep", "n"), "shingle-reps"
+        rows.filter("n > 0 and doc_id is not null").join(rep, ["f1", "f2", "n"]).select("doc_id", "rep", "n", "sketch"), "shingle-reps"
     )
     equal = known.filter("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).distinct()
 
@@ -240,18 +313,18 @@ def classes(docs: DataFrame) -> DataFrame:
         .withColumn("many", F.min("doc").over(by_sig) < F.max("doc").over(by_sig)).filter("many").select("sig", "doc")
     )
     shared = keep(shared, "shingle-shared")
+    # A document with several sets stands for itself and has no sketch.
     sizes = known.groupBy(F.col("doc_id").alias("doc")).agg(
         F.max("n").alias("n_max"), F.min("n").alias("n_min"),
         F.when(F.min("rep") < F.max("rep"), F.col("doc_id")).otherwise(F.min("rep")).alias("rep"),
+        F.when(F.min("rep") == F.max("rep"), F.first("sketch")).alias("sketch"),
     )
     # Copies of one set in different tasks become their representative.
-    held = shared.join(sizes, "doc").select("sig", F.col("rep").alias("doc"), "n_min", "n_max").distinct()
+    held = shared.join(sizes.drop("sketch"), "doc").select("sig", F.col("rep").alias("doc"), "n_min", "n_max").distinct()
     held = held.withColumn("many", F.min("doc").over(by_sig) < F.max("doc").over(by_sig)).filter("many").drop("many")
     held = keep(held, "shingle-buckets")
 
-    wanted = held.select(F.col("doc").alias("doc_id")).distinct()
-    texts = keep(docs.join(wanted, "doc_id", "left_semi").select(F.col("doc_id").alias("doc"), "text"), "shingle-texts")
-
+    nodes = keep(sizes.filter("doc = rep").join(held.select("doc").distinct(), "doc", "left_semi"), "shingle-sketches")
     tried = links = None
     for turn in range(TURNS):
         last_turn = turn == TURNS - 1
@@ -276,7 +349,8 @@ def classes(docs: DataFrame) -> DataFrame:
         found = keep(found, "shingle-pairs")
         if turn and not last_turn and found.isEmpty():
             continue
-        good = keep(verify(found, texts), "shingle-links")
+        near = keep(near_pairs(found, nodes), "shingle-near")
+        good = keep(verify(near, docs), "shingle-links")
         links = good if links is None else links.unionByName(good)
         tried = found if tried is None else tried.unionByName(found)
         if not last_turn:
