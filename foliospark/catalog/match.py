@@ -8,7 +8,7 @@ from ..operators import folders as FO
 from ..operators import history as H
 from ..operators import match as M
 from ..operators import search as S
-from ..session import spread
+from ..session import cut
 from .base import CORPUS_SQL, case_of, corpus, lit, matches, norm_sql, query, sidecar, sql_list, table
 from .folders import ENUM_SQL, FOLDERS_SQL, folders
 from .names import LAYERED_SQL
@@ -170,7 +170,7 @@ WITH d AS (SELECT doc_id, source, lang, list_filter(string_split_regex(lower(tex
 )
 def _(spark, sf):
     b = table(spark, sf, "benchmark").select("item_id", col("text").alias("query"))
-    return S.text_search(b, spread(table(spark, sf, "documents").select("doc_id", "text"))).select("item_id", "doc_id", "score", "rank")
+    return S.text_search(b, table(spark, sf, "documents").select("doc_id", "text").repartition("doc_id")).select("item_id", "doc_id", "score", "rank")
 
 
 _WANT = "CASE item_id % 3 WHEN 0 THEN 'de' WHEN 1 THEN 'en' ELSE 'xx' END"
@@ -178,9 +178,10 @@ _WANT = "CASE item_id % 3 WHEN 0 THEN 'de' WHEN 1 THEN 'en' ELSE 'xx' END"
 
 def filtered_search(spark, sf):
     b = table(spark, sf, "benchmark").select("item_id", col("text").alias("query"), F.expr(_WANT).alias("want"))
-    docs = spread(table(spark, sf, "documents").select("doc_id", "text", "lang"))
-    kept = S.text_search(b, docs, keep=col("lang") == col("want"), carry=["lang"])
-    return b, docs, kept.select("item_id", "doc_id", "score", "rank")
+    docs = table(spark, sf, "documents").select("doc_id", "text", "lang").repartition("doc_id")
+    scores = cut(S.text_scores(b, docs, carry=["lang"], own=["item_id", "want"]))
+    kept = S.best_hits(b, scores, keep=col("lang") == col("want"), own=["item_id", "want"])
+    return b, scores, kept.select("item_id", "doc_id", "score", "rank")
 
 
 _FILTERED = f"(SELECT item_id, doc_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM (SELECT item_id, doc_id, round(sum(part), 6) AS score FROM h WHERE lang = {_WANT} GROUP BY 1, 2) s) r WHERE rank <= 10)"
@@ -197,8 +198,8 @@ def _(spark, sf):
     BM25_SQL + f" SELECT item_id, doc_id, score, rank, false AS fell_back FROM {_FILTERED} x UNION ALL SELECT item_id, doc_id, score, rank, true FROM {_ALL} y WHERE item_id NOT IN (SELECT item_id FROM {_FILTERED} z)",
 )
 def _(spark, sf):
-    b, docs, kept = filtered_search(spark, sf)
-    everything = S.text_search(b.drop("want"), docs.drop("lang")).select("item_id", "doc_id", "score", "rank")
+    b, scores, kept = filtered_search(spark, sf)
+    everything = S.best_hits(b, scores, own=["item_id", "want"]).select("item_id", "doc_id", "score", "rank")
     return S.with_fallback(kept, everything, "item_id")
 
 

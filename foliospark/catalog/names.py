@@ -7,7 +7,6 @@ from ..functions import classify as C
 from ..functions import names as N
 from ..functions.templates import clean_answer, fill_templates, placeholder_queries, placeholders
 from ..operators.folders import with_doc_type
-from ..session import spread
 from .base import (
     CORPUS_SQL, EVENTS_SQL, ITEMS_SQL, SIDECAR_SQL, TEXT_SQL, bucket_sql, case_of, corpus, events, items, lit, matches,
     name_type_sql, norm_sql, query, sidecar, sql_list, stem_sql, table, texts,
@@ -348,7 +347,7 @@ TEST_RULES = [
 
 
 def _verdict(df, key, content_rules, min_chars=0):
-    v = spread(df).select(key, C.classify_text(col("text"), content_rules, min_chars).alias("v"))
+    v = df.repartition(key).select(key, C.classify_text(col("text"), content_rules, min_chars).alias("v"))
     return v.select(key, "v.doc_type", "v.confidence", F.size("v.signals").alias("n_signals"))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import computed
-from ..session import broadcast_if_small
+from ..session import cut
 from .match import top_n
 
 K1, B = 1.2, 0.75
@@ -19,43 +19,58 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda t: t != "")
 
 
-def text_search(queries: DataFrame, docs: DataFrame, n: int = 10, query: str = "query", text: str = "text",
-                doc: str = "doc_id", keep: Column | None = None, carry: Sequence[str] = ()) -> DataFrame:
-    """BM25 over whole texts: columns of ``queries``, the document id, score and rank.
+def text_scores(queries: DataFrame, docs: DataFrame, query: str = "query", text: str = "text", doc: str = "doc_id",
+                carry: Sequence[str] = (), own: Sequence[str] = ()) -> DataFrame:
+    """BM25 scores over whole texts: ``query``, ``own``, the document id, ``carry`` and score of every hit.
 
-    ``keep`` is a condition on pairs, over columns of the two sides; the
-    document side offers those named in ``carry``. Statistics are those of all
-    documents. Documents are read once: their words meet the query vocabulary
-    before anything is shuffled, so only words somebody asked for move on, and
-    these are partitioned by document, which serves the term counts and the
-    scores alike. Equal queries are scored once unless a condition tells them
-    apart.
+    Documents are read and their words taken once: the words meet the query
+    vocabulary before anything is shuffled, so only words somebody asked for
+    move on, and one mark per document that carries its length. These term
+    counts are written; statistics, document frequencies and scores come from
+    them. Queries are numbered, and only numbers go through the joins.
     """
-    own = [c for c in queries.columns if keep is not None and c != query]
-    asked = queries.select(query, *own).distinct().withColumn("term", F.explode(F.array_distinct(tokens(F.col(query)))))
-    vocabulary = asked.select("term").distinct()
-    toks = tokens(F.col(text))
-    base = computed(docs.select(doc, text, *carry), _t=toks).select(doc, *carry, "_t", F.size("_t").alias("len"))
-    stats = docs.select(F.size(toks).alias("len")).agg(F.struct(F.count("*").alias("docs"), F.avg("len").alias("avg_len")).alias("s")).scalar()
-    tf = (
-        base.select(doc, "len", *carry, F.explode("_t").alias("term"))
-        .join(broadcast_if_small(vocabulary), "term", "left_semi")
-        .repartition(doc)
+    asked = cut(queries.select(query, *own).distinct().withColumn("_q", F.monotonically_increasing_id()))
+    terms = asked.select("_q", F.explode(F.array_distinct(tokens(F.col(query)))).alias("term"))
+    mark = F.lit("")
+    vocabulary = terms.select("term").unionByName(terms.sparkSession.range(1).select(mark.alias("term"))).distinct()
+    base = computed(docs.select(doc, text, *carry), _t=tokens(F.col(text))).select(doc, *carry, "_t", F.size("_t").alias("len"))
+    counts = cut(
+        base.select(doc, "len", *carry, F.explode(F.concat("_t", F.array(mark))).alias("term"))
+        .join(vocabulary, "term", "left_semi")
         .groupBy(doc, "len", *carry, "term")
         .agg(F.count("*").alias("tf"))
     )
+    marks, tf = counts.filter("term = ''"), counts.filter("term <> ''")
+    stats = marks.agg(F.struct(F.sum("tf").alias("docs"), (F.sum(F.col("len") * F.col("tf")) / F.sum("tf")).alias("avg_len")).alias("s")).scalar()
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    weighted = asked.join(df, "term").withColumn("s", stats).withColumn(
+    weighted = terms.join(df, "term").withColumn("s", stats).withColumn(
         "idf", F.log(1 + (F.col("s.docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    )
-    norm = F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("s.avg_len"))
+    ).select("_q", "term", "idf", F.col("s.avg_len").alias("avg_len"))
+    norm = F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len"))
     part = F.col("idf") * F.col("tf") * (K1 + 1) / norm
-    hits = tf.join(broadcast_if_small(weighted, asked), "term")
-    if keep is not None:
-        hits = hits.filter(keep)
-    scored = hits.groupBy(query, *own, doc).agg(F.round(F.sum(part), 6).alias("score"))
-    best = top_n(scored, [query, *own], [F.col("score").desc(), F.col(doc)], n)
-    return queries.join(best, [query, *own])
+    scored = tf.join(weighted, "term").groupBy("_q", doc, *carry).agg(F.round(F.sum(part), 6).alias("score"))
+    return scored.join(asked, "_q").drop("_q")
+
+
+def text_search(queries: DataFrame, docs: DataFrame, n: int = 10, query: str = "query", text: str = "text",
+                doc: str = "doc_id", keep: Column | None = None, carry: Sequence[str] = ()) -> DataFrame:
+    """Best ``n`` documents per query: columns of ``queries``, the document id, score and rank.
+
+    ``keep`` is a condition on pairs, over columns of the two sides; the
+    document side offers those named in ``carry``. Statistics are those of all
+    documents. Equal queries are scored once unless a condition tells them
+    apart.
+    """
+    own = [c for c in queries.columns if keep is not None and c != query]
+    return best_hits(queries, text_scores(queries, docs, query, text, doc, carry, own), n, query, doc, keep, own)
+
+
+def best_hits(queries: DataFrame, scores: DataFrame, n: int = 10, query: str = "query", doc: str = "doc_id",
+              keep: Column | None = None, own: Sequence[str] = ()) -> DataFrame:
+    """The cut of ``text_search`` over scores that are there already."""
+    hits = scores if keep is None else scores.filter(keep)
+    best = top_n(hits, [query, *own], [F.col("score").desc(), F.col(doc)], n)
+    return queries.join(best.select(query, *own, doc, "score", "rank"), [query, *own])
 
 
 def with_fallback(filtered: DataFrame, unfiltered: DataFrame, key: str) -> DataFrame:

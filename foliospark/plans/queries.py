@@ -30,13 +30,20 @@ def latest_rows(df: DataFrame, key: str, ts: str, tiebreak: str) -> DataFrame:
     return df.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
 
 
-def latest_times(df: DataFrame, key: str, ts: str) -> DataFrame:
-    return df.groupBy(key).agg(F.max(ts).alias(ts))
+def latest_times(df: DataFrame, key: str, ts: str, part: str | None = None) -> DataFrame:
+    """Latest time per key, with the partition value of its row where ``part`` names that column."""
+    if part is None:
+        return df.groupBy(key).agg(F.max(ts).alias(ts))
+    return df.groupBy(key).agg(F.max(F.struct(ts, part)).alias("_m")).select(key, f"_m.{ts}", f"_m.{part}")
 
 
-def at_latest(child: DataFrame, latest: DataFrame, key: str, ts: str) -> DataFrame:
-    """Child rows of the latest events: an equi-join on key and time."""
-    return child.join(latest, [key, ts])
+def at_latest(child: DataFrame, latest: DataFrame, key: str, ts: str, part: str | None = None) -> DataFrame:
+    """Child rows of the latest events: an equi-join on key and time.
+
+    With ``part``, the partition column of both tables joins too, so the child
+    table is read only in the partitions that hold a latest event.
+    """
+    return child.join(latest, [key, ts] if part is None else [key, ts, part])
 
 
 def latest_state(events: DataFrame, key="folder_key", ts="generated_at", tiebreak="event_id",
@@ -64,27 +71,27 @@ def purpose_counts(events: DataFrame, key="folder_key", ts="generated_at", tiebr
 
 
 def open_item_distribution(events: DataFrame, items: DataFrame, key="folder_key", ts="generated_at",
-                           label="label", status="status", kinds=ITEM_KINDS, kind="response_kind") -> DataFrame:
-    last = latest_times(of_kinds(events, kinds, kind), key, ts)
-    return at_latest(items, last, key, ts).groupBy(label, status).agg(F.count("*").alias("n"))
+                           label="label", status="status", kinds=ITEM_KINDS, kind="response_kind", part: str | None = None) -> DataFrame:
+    last = latest_times(of_kinds(events, kinds, kind), key, ts, part)
+    return at_latest(items, last, key, ts, part).groupBy(label, status).agg(F.count("*").alias("n"))
 
 
 def field_population(events: DataFrame, fields: DataFrame, key="folder_key", ts="generated_at",
-                     field="field_name", kinds=SUMMARY_KINDS, kind="response_kind") -> DataFrame:
+                     field="field_name", kinds=SUMMARY_KINDS, kind="response_kind", part: str | None = None) -> DataFrame:
     """Fields at the latest events, with their share of all folders."""
-    last = latest_times(of_kinds(events, kinds, kind), key, ts)
+    last = latest_times(of_kinds(events, kinds, kind), key, ts, part)
     total = last.agg(F.count("*").alias("n")).scalar()
-    counted = at_latest(fields, last, key, ts).groupBy(field).agg(F.count("*").alias("folders_with_value"))
+    counted = at_latest(fields, last, key, ts, part).groupBy(field).agg(F.count("*").alias("folders_with_value"))
     return counted.withColumn("total_folders", total).withColumn(
         "pct", F.round(F.lit(100.0) * F.col("folders_with_value") / F.col("total_folders"), 1)
     )
 
 
 def marker_inventory(events: DataFrame, inventory: DataFrame, key="folder_key", ts="generated_at",
-                     marker="is_marker", kinds=SUMMARY_KINDS, kind="response_kind") -> DataFrame:
-    last = latest_times(of_kinds(events, kinds, kind), key, ts)
+                     marker="is_marker", kinds=SUMMARY_KINDS, kind="response_kind", part: str | None = None) -> DataFrame:
+    last = latest_times(of_kinds(events, kinds, kind), key, ts, part)
     return (
-        at_latest(inventory, last, key, ts)
+        at_latest(inventory, last, key, ts, part)
         .groupBy(key)
         .agg(
             F.count("*").alias("total_docs"),
@@ -97,14 +104,14 @@ def marker_inventory(events: DataFrame, inventory: DataFrame, key="folder_key",
 
 def folders_with_open_items(events: DataFrame, items: DataFrame, key="folder_key", ts="generated_at",
                             label="label", status="status", not_found="not_found", needs_review="needs_review",
-                            kinds=ITEM_KINDS, kind="response_kind") -> DataFrame:
+                            kinds=ITEM_KINDS, kind="response_kind", part: str | None = None) -> DataFrame:
     """Folders with checklist lines that are not found or need review.
 
     ``items`` is ordered by label; a folder has as many lines as its checklist.
     """
-    last = latest_times(of_kinds(events, kinds, kind), key, ts)
+    last = latest_times(of_kinds(events, kinds, kind), key, ts, part)
     return (
-        at_latest(items, last, key, ts)
+        at_latest(items, last, key, ts, part)
         .groupBy(key)
         .agg(
             F.count_if(F.col(status) == not_found).alias("not_found_count"),
@@ -117,17 +124,20 @@ def folders_with_open_items(events: DataFrame, items: DataFrame, key="folder_key
 
 def all_fields_latest(events: DataFrame, fields: DataFrame, key="folder_key", ts="generated_at",
                       cols: Sequence[str] = ("field_name", "field_value", "confidence", "source_file"),
-                      kinds=SUMMARY_KINDS, kind="response_kind") -> DataFrame:
-    last = latest_times(of_kinds(events, kinds, kind), key, ts)
-    return at_latest(fields, last, key, ts).select(key, *cols)
+                      kinds=SUMMARY_KINDS, kind="response_kind", part: str | None = None) -> DataFrame:
+    last = latest_times(of_kinds(events, kinds, kind), key, ts, part)
+    return at_latest(fields, last, key, ts, part).select(key, *cols)
 
 
 def field_population_by_day(fields: DataFrame, ts="generated_at", field="field_name", event="event_id",
-                            today: Column | None = None, days: int = 30) -> DataFrame:
-    """Events with a value per field and day, to see drift."""
+                            today: Column | None = None, days: int = 30, part: str | None = None) -> DataFrame:
+    """Events with a value per field and day, to see drift; ``part`` names the month column of the table."""
     dated = fields.withColumn("day", F.to_date(ts))
     if today is not None:
-        dated = dated.filter(F.col("day") >= F.date_sub(today, days))
+        first = F.date_sub(today, days)
+        if part is not None:
+            dated = dated.filter(F.col(part) >= F.trunc(first, "month"))
+        dated = dated.filter(F.col("day") >= first)
     # Deduplicate first: both steps combine on the map side, one hot field included.
     return dated.select("day", field, event).distinct().groupBy("day", field).agg(F.count("*").alias("rows_with_value"))
 
@@ -172,11 +182,11 @@ def register_latest_views(events: DataFrame, items: DataFrame, prefix: str = "la
     tiebreak = roles.get("tiebreak", "event_id")
     state_cols = roles.get("cols", STATE_COLUMNS)
     kinds, item_kinds = roles.get("kinds", SUMMARY_KINDS), roles.get("item_kinds", ITEM_KINDS)
-    kind = roles.get("kind", "response_kind")
+    kind, part = roles.get("kind", "response_kind"), roles.get("part")
     views = {
         f"{prefix}event": latest_rows(of_kinds(events, kinds, kind), key, ts, tiebreak),
         f"{prefix}state": latest_state(events, key, ts, tiebreak, state_cols, kinds, kind),
-        f"{prefix}open_items": at_latest(items, latest_times(of_kinds(events, item_kinds, kind), key, ts), key, ts),
+        f"{prefix}open_items": at_latest(items, latest_times(of_kinds(events, item_kinds, kind), key, ts, part), key, ts, part),
     }
     for name, df in views.items():
         df.createOrReplaceTempView(name)

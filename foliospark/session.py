@@ -6,7 +6,6 @@ import os
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -30,11 +29,13 @@ def build_session(app: str = "foliospark", master: str | None = None, **extra: s
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A folder every executor can reach, under ``spark.checkpoint.dir``.
 
-    The cluster names the folder; without the setting (single-machine tests)
-    it falls back to one below the session's warehouse folder.
+    The cluster names the folder. Without the setting only a single machine,
+    where all tasks share its disk, gets one below the warehouse folder.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = os.path.join(spark.conf.get("spark.sql.warehouse.dir").removeprefix("file:"), "_shared")
     return f"{root.rstrip('/')}/{name}"
 
@@ -49,23 +50,3 @@ def cut(df: DataFrame) -> DataFrame:
     path = shared_dir(spark, f"cut/{uuid.uuid4().hex}")
     df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Use every core for heavy per-row work on a small input.
-
-    Only an input with fewer partitions than cores is repartitioned; larger
-    ones pass through without a shuffle.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
-def broadcast_if_small(df: DataFrame, sized: DataFrame | None = None, rows: int = 500_000) -> DataFrame:
-    """Mark ``df`` for broadcast only when its row bound is checked.
-
-    ``sized`` is a cheaper table that has at least as many rows. Above the
-    bound the frame is returned as it is, and the join shuffles.
-    """
-    probe = df if sized is None else sized
-    return F.broadcast(df) if probe.limit(rows + 1).count() <= rows else df
