@@ -66,7 +66,7 @@ PAD = "lorem " * 40
     (PAD + "please hear. If we do not hear from you, legal action", "correspondence", "strong", 1),
     (PAD + "If we do not hear\nfrom you, legal action", None, None, 0),
     (PAD + "building\u00a0permit", "permit", "strong", 1),
-    ("building permit", None, None, 0),
+    ("building permit", "permit", "strong", 1),
     (PAD + "O & P and depreciation", "estimate", "weak", 2),
 ])
 def test_classify_text(one, text, kind, confidence, n):

@@ -135,7 +135,7 @@ def test_event_shaping(spark):
 
 
 def counts(spark, root):
-    return {n: spark.read.parquet(f"{root}/{n}").count() for n in ("events", *W.CHILDREN)}
+    return {n: W.current(spark, root, n).count() for n in ("events", *W.CHILDREN)}
 
 
 def test_load_twice_and_shuffled_gives_the_same_tables(spark, tmp_path):
@@ -218,3 +218,81 @@ def test_sidecar_drops_other_values(spark, tmp_path):
 def test_normalised_names_agree_in_and_out_of_lambdas(spark):
     df = spark.createDataFrame([("A/B c.PDF",)], "p string")
     assert df.select(F.transform(F.split("p", "/"), lambda x: normalize_name(x)).alias("x")).first().x == ["a", "b c"]
+
+
+def test_paths_keep_their_top_folder_without_a_prefix(spark):
+    df = spark.createDataFrame([("mirror/Alder claim/x.pdf",), ("Birch/sub/y.pdf",), ("z.pdf",), ("mirrored/a/b.pdf",)], "path string")
+    assert {r.folder for r in FO.folder_set(df).collect()} == {"Alder claim", "Birch", "sub", "mirrored", "a"}
+
+
+def test_listing_is_strict_about_its_root(spark, tmp_path):
+    rows = lambda *uris: spark.createDataFrame([(u, 1, None) for u in uris], "uri string, size_bytes long, updated timestamp")
+    for root in ("file:///b/mirror", "/b/mirror", "file:/b/mirror/"):
+        got = CO.listing(rows("file:/b/mirror/Alder claim/x.pdf", "/b/mirror/y.bin", "file:/b/mirror/dir/"), root)
+        assert {(r.path, r.content_type) for r in got.collect()} == {("Alder claim/x.pdf", "application/pdf"), ("y.bin", "application/octet-stream")}
+    assert [r.path for r in CO.listing(rows("s3a://m/a/x.pdf", "s3a://m/b/x.pdf"), "s3a://m", "a/").collect()] == ["a/x.pdf"]
+    with pytest.raises(Exception, match="not below"):
+        CO.listing(rows("file:/c/mirror/x.pdf"), "/b/mirror").collect()
+
+
+def event_line(name, day, items):
+    return (
+        f'{{"schema_version":"1.1","response_kind":"folder_summary","generated_at":"{day}T00:00:00Z","query":"{name}","folder_name":"{name}",'
+        f'"folder_purpose":"unknown","open_items":[{",".join(items)}]}}'
+    )
+
+
+def open_items(spark, root):
+    return sorted((r.event_id, r.label) for r in W.current(spark, root, "open_items").collect())
+
+
+def test_reload_leaves_no_stale_children(spark, tmp_path):
+    root, item = str(tmp_path), '{"label":"deed","bucket":"contract","status":"found"}'
+    load = lambda *lines, **how: W.load(
+        spark, L.split_lines(L.parse_lines(spark.createDataFrame([(x,) for x in lines], "value string")))[0], root, **how)
+    assert W.current(spark, root) is None
+    load(event_line("a", "2024-01-05", [item]), event_line("b", "2024-02-05", [item]))
+    before = open_items(spark, root)
+    assert len(before) == 2
+    load(event_line("a", "2024-01-05", []))
+    assert len(open_items(spark, root)) == 1 and W.current(spark, root).count() == 2
+    load(event_line("a", "2024-01-05", []), event_line("b", "2024-02-05", [item]), only_changed=True)
+    assert W.read_table(spark, f"{root}/events").count() == 3
+    W.compact(spark, root)
+    assert W.read_table(spark, f"{root}/events").count() == 2 and len(open_items(spark, root)) == 1
+
+
+def test_a_load_that_died_is_not_seen(spark, tmp_path):
+    root, item = str(tmp_path), '{"label":"deed","bucket":"contract","status":"found"}'
+    good = L.split_lines(L.parse_lines(spark.createDataFrame([(event_line("a", "2024-01-05", [item]),)], "value string")))[0]
+    W.load(spark, good, root)
+    staged = W.stage(W.one_line_each(W.rows.with_event_id(good)))
+    W.write_table(staged["open_items"].withColumn("version", F.lit("9")), f"{root}/open_items", W.CLUSTER_KEYS["open_items"], "append")
+    assert len(open_items(spark, root)) == 1
+
+
+def test_latest_joins_prune_partitions(spark, tmp_path):
+    events = spark.range(200).select(
+        (F.col("id") % 5).cast("string").alias("folder_key"), F.lit("folder_summary").alias("response_kind"), F.col("id").cast("string").alias("event_id"),
+        F.expr("timestamp'2024-01-01 00:00:00' + make_interval(0, 0, 0, cast(id as int))").alias("generated_at"))
+    for name in ("events", "fields"):
+        W.write_table(W.with_day(events.withColumn("field_name", F.lit("x"))), f"{tmp_path}/{name}", ("folder_key",))
+    read = lambda name: spark.read.parquet(f"{tmp_path}/{name}")
+    last = Q.latest_times(read("events").filter("response_kind = 'folder_summary'"), "folder_key", "generated_at", "event_month")
+    joined = Q.at_latest(read("fields"), last, "folder_key", "generated_at", "event_month")
+    assert joined.count() == 5
+    assert "dynamicpruning" in joined._jdf.queryExecution().executedPlan().toString()
+
+
+def test_templates_say_what_is_missing(spark):
+    from foliospark.functions.templates import fill_templates
+
+    t = spark.createDataFrame([(1, "a\u0000 {{ who }} owes {{what}}"), (2, "plain")], "template_id long, text string")
+    a = spark.createDataFrame([(1, "who", "Kim")], "template_id long, placeholder string, answer string")
+    assert {r.template_id: r.filled for r in fill_templates(t, a).collect()} == {1: "a\u0000 Kim owes Not Available", 2: "plain"}
+
+
+def test_calls_at_the_cap(spark):
+    e = spark.createDataFrame([(datetime(2024, 1, 1, 0, 0, s),) for s in (0, 1, 2, 30)], "ts timestamp")
+    got = {r.ts.second: (r.trailing, r.at_cap) for r in H.trailing_counts(e, "ts", 10, 3).collect()}
+    assert got == {0: (1, False), 1: (2, False), 2: (3, True), 30: (1, False)}
