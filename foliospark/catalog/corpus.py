@@ -239,7 +239,7 @@ def _(spark, sf):
     "s15_message_path",
     """SELECT o_orderkey, concat(CASE WHEN o_orderkey % 9 = 0 THEN 'unknown' ELSE strftime(o_orderdate, '%Y-%m') END, '/',
       CASE WHEN o_orderkey % 7 = 0 THEN concat('id', o_orderkey) ELSE substr(lower(trim(regexp_replace(concat('Re: ', o_orderpriority, ' F', o_custkey, ' !'), '[^a-zA-Z0-9]+', '-', 'g'), '-')), 1, 40) END,
-      '_', substr(concat('id', o_orderkey), 1, 8)) AS path FROM orders""",
+      '_', concat('id', o_orderkey)) AS path FROM orders""",
 )
 def _(spark, sf):
     subject = F.expr("CASE WHEN o_orderkey % 7 = 0 THEN '!?' ELSE concat('Re: ', o_orderpriority, ' F', o_custkey, ' !') END")

@@ -206,10 +206,10 @@ def source_uri(content_uri: Column, link: Column, struct_uri: Column, derived_ur
     return F.coalesce(*[nonempty(c) for c in (content_uri, link, struct_uri, derived_uri)], F.lit(""))
 
 
-def snippet_text(snippets: Column) -> Column:
-    """Up to three snippets without tags, joined and cut at 600 characters."""
-    plain = F.transform(F.slice(snippets, 1, 3), lambda s: strip(F.regexp_replace(s, r"<[^>]+>", "")))
-    return F.substring(F.array_join(F.filter(plain, lambda s: s != ""), " ... "), 1, 600)
+def snippet_text(snippets: Column, count: int = 3, chars: int = 600) -> Column:
+    """An excerpt: the first ``count`` snippets without tags, joined and cut at ``chars`` characters."""
+    plain = F.transform(F.slice(snippets, 1, count), lambda s: strip(F.regexp_replace(s, r"<[^>]+>", "")))
+    return F.substring(F.array_join(F.filter(plain, lambda s: s != ""), " ... "), 1, chars)
 
 
 def is_admin(name: Column, extra: Sequence[str] = ()) -> Column:

@@ -15,21 +15,25 @@ def placeholders(text: Column) -> Column:
     return F.array_distinct(F.transform(names, strip))
 
 
-def clean_answer(answer: Column) -> Column:
-    """Struct (text, valid): failures become a fixed phrase, long answers one sentence."""
+def clean_answer(answer: Column, long_chars: int = 300, sentences_read: int = 3, short_chars: int = 50) -> Column:
+    """Struct (text, valid): failures become a fixed phrase, answers above ``long_chars`` one sentence.
+
+    That sentence is the first useful one among ``sentences_read``; below
+    ``short_chars`` a closing full stop goes.
+    """
     t = strip(answer)
     failed = contains_any(F.lower(t), rules.FAIL_PHRASES) | (t.contains("TEST") & (F.length(t) < 20))
     sentences = F.split(t, rx(r"(?<=[.!?])\s+"))
     useful = F.filter(
-        F.transform(F.slice(sentences, 1, 3), strip),
+        F.transform(F.slice(sentences, 1, sentences_read), strip),
         lambda s: (F.length(s) > 10)
         & ~first_hit([(F.lower(s).startswith(p), F.lit(True)) for p in rules.PREAMBLE_STARTS], F.lit(False)),
     )
     one = F.coalesce(F.get(useful, F.lit(0)), F.get(sentences, F.lit(0)))
-    out = F.when(F.length(t) > 300, one).otherwise(t)
+    out = F.when(F.length(t) > long_chars, one).otherwise(t)
     for pattern in rules.PREAMBLES:
         out = strip(F.regexp_replace(out, rx(pattern, True), ""))
-    out = F.when((F.length(out) < 50) & out.endswith("."), strip(F.regexp_replace(out, r"\.\z", ""))).otherwise(out)
+    out = F.when((F.length(out) < short_chars) & out.endswith("."), strip(F.regexp_replace(out, r"\.\z", ""))).otherwise(out)
     valid = F.coalesce((t != "") & ~failed & (out != ""), F.lit(False))
     return F.struct(
         F.when(valid, out).otherwise(rules.NOT_AVAILABLE).alias("text"), valid.alias("valid")

@@ -130,6 +130,19 @@ def top_n(df: DataFrame, group: Sequence[str], order: Sequence[Column], n: int,
     return df.withColumn(out, F.row_number().over(w)).filter(F.col(out) <= n)
 
 
+#: Words in more names than this are looked up only for queries whose best names they could change.
+RARE_NAMES = 200
+
+
+def hot_bound(q: Column, hot: Column) -> Column:
+    """Most that a name can score which shares of a query's distinctive words only ``hot`` ones, and contains neither way."""
+    h = F.size(hot)
+    core = F.size(F.array_intersect(q["strong_core"], hot))
+    shared = F.least(q["asked"], h + q["asked"] - F.size(q["strong"]))
+    by_share = 30.0 * (shared / q["asked"]) + 5.0 * h
+    return F.when(core >= 2, F.greatest(by_share, 120.0 + 5.0 * core)).otherwise(by_share)
+
+
 def name_matches(queries: DataFrame, corpus: DataFrame, n: int = 5, query: str = "query") -> DataFrame:
     """Best ``n`` files per query by name: columns of ``queries``, name, uri, score, rank.
 
@@ -137,31 +150,48 @@ def name_matches(queries: DataFrame, corpus: DataFrame, n: int = 5, query: str =
     against distinct names and cut to ``n`` names before files come back in.
     A name in the cut brings its first ``n`` files, which makes the final cut,
     by score and then uri, exact.
+
+    Names are looked up by a query's rare words first. A name that shares only
+    words of many names has a bounded score; where ``n`` names are above that
+    bound, the frequent words of the query are not looked up at all.
     """
     asked = queries.withColumn("norm_q", normalize_name(F.col(query))).filter("norm_q <> ''")
     distinct_q = cut(asked.select("norm_q").distinct().withColumn("core_q", core_query(F.col("norm_q"))))
     query_sides = distinct_q.select("norm_q", query_side(F.col("norm_q"), F.col("core_q")).alias("_q"))
     files = corpus.withColumn("norm", normalize_name(F.col("name"))).filter("norm <> ''").select("norm", "name", "uri")
     names = cut(files.groupBy("norm").agg(F.min("uri").alias("first_uri")))
+    name_sides = names.withColumn("_n", name_side(F.col("norm")))
+
+    name_words = _word_rows(names.select("norm"), "norm")
+    asked_words = explode_once(query_sides, F.col("_q.strong"), "word").select("norm_q", "word")
+    spread = name_words.join(asked_words.select("word").distinct(), "word", "left_semi").groupBy("word").agg(F.count("*").alias("df"))
+    asked_words = cut(asked_words.join(spread, "word"))
+    rare, hot = asked_words.filter(F.col("df") <= RARE_NAMES), asked_words.filter(F.col("df") > RARE_NAMES)
 
-    by_word = (
-        explode_once(distinct_q.select("norm_q"), F.filter(F.array_distinct(words(F.col("norm_q"))), lambda w: is_distinctive(w)), "word")
-        .join(_word_rows(names.select("norm"), "norm"), "word")
-        .select("norm_q", "norm")
-    )
     phrases = distinct_q.select("norm_q", F.explode(F.array_distinct(F.array("norm_q", "core_q"))).alias("phrase"))
     distinct_phrases = phrases.select("phrase").distinct()
     inside = contained_pairs(distinct_phrases, names.select("norm"), "phrase", "norm").join(phrases, "phrase")
     around = contained_pairs(names.select("norm"), distinct_phrases, "norm", "phrase").join(phrases, "phrase")
+
+    def score(pairs: DataFrame) -> DataFrame:
+        return (
+            pairs.join(query_sides, "norm_q").join(name_sides, "norm")
+            .transform(lambda df: computed(df, score=side_score(F.col("_q"), F.col("_n"))))
+            .filter("score > 0").select("norm_q", "norm", "first_uri", "score")
+        )
+
     pairs = (
-        by_word.unionByName(inside.select("norm_q", "norm")).unionByName(around.select("norm_q", "norm")).distinct()
+        rare.join(name_words, "word").select("norm_q", "norm")
+        .unionByName(inside.select("norm_q", "norm")).unionByName(around.select("norm_q", "norm")).distinct()
     )
-    scored = (
-        pairs.join(query_sides, "norm_q")
-        .join(names.withColumn("_n", name_side(F.col("norm"))), "norm")
-        .transform(lambda df: computed(df, score=side_score(F.col("_q"), F.col("_n"))))
-        .filter("score > 0")
+    scored = cut(score(pairs))
+    bounds = hot.groupBy("norm_q").agg(F.collect_set("word").alias("_hot")).join(query_sides, "norm_q").select(
+        "norm_q", hot_bound(F.col("_q"), F.col("_hot")).alias("bound")
     )
+    sure = scored.join(bounds, "norm_q").filter("score > bound").groupBy("norm_q").agg(F.count("*").alias("above")).filter(F.col("above") >= n)
+    more = hot.join(sure, "norm_q", "left_anti").join(name_words, "word").select("norm_q", "norm").distinct()
+    scored = scored.unionByName(score(more.join(scored, ["norm_q", "norm"], "left_anti")))
+
     best = top_n(scored, ["norm_q"], [F.col("score").desc(), F.col("first_uri")], n).select("norm_q", "norm", "score")
     held = top_n(files, ["norm"], [F.col("uri")], n, "_r").drop("_r")
     ranked = top_n(best.join(held, "norm"), ["norm_q"], [F.col("score").desc(), F.col("uri")], n)

@@ -251,11 +251,16 @@ def mirror_path(parent: Column, name: Column, prefix: str = "mirror") -> Column:
     return F.concat_ws("/", F.lit(prefix), nonempty(inner), name)
 
 
-def message_path(subject: Column, sent: Column, message_id: Column) -> Column:
-    """``YYYY-MM/<slug of the subject>_<id>``; undated messages go to ``unknown``."""
-    slug = F.substring(F.lower(F.regexp_replace(F.regexp_replace(subject, r"[^a-zA-Z0-9]+", "-"), r"^-+|-+\z", "")), 1, 40)
+def message_path(subject: Column, sent: Column, message_id: Column, slug_chars: int = 40, id_chars: int | None = None) -> Column:
+    """``YYYY-MM/<slug of the subject>_<id>``; undated messages go to ``unknown``.
+
+    The whole id ends the path, so no two messages share one; ``id_chars``
+    cuts it where paths must be as short as those of an older mirror.
+    """
+    short = message_id if id_chars is None else F.substring(message_id, 1, id_chars)
+    slug = F.substring(F.lower(F.regexp_replace(F.regexp_replace(subject, r"[^a-zA-Z0-9]+", "-"), r"^-+|-+\z", "")), 1, slug_chars)
     month = F.coalesce(F.date_format(sent, "yyyy-MM"), F.lit("unknown"))
-    return F.concat(month, F.lit("/"), F.coalesce(nonempty(slug), F.substring(message_id, 1, 12)), F.lit("_"), F.substring(message_id, 1, 8))
+    return F.concat(month, F.lit("/"), F.coalesce(nonempty(slug), F.substring(message_id, 1, 12)), F.lit("_"), short)
 
 
 # -- documents from rows and tables -----------------------------------------
