@@ -22,6 +22,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 _LETTER = mix(np.arange(1, 257, dtype=np.uint64))
+_LOW_LETTER, _IS_WORD = _LETTER[_LOWER], ~_IS_SPACE
 #: Powers of the base; longer words start again, their length is hashed as well.
 _POWERS = np.ones(1024, np.uint64)
 for _i in range(1, 1024):
@@ -41,8 +42,7 @@ def _hash_chunk(raw: np.ndarray) -> np.ndarray:
     if not starts.size:
         return np.empty(0, np.uint64)
     sizes = ends - starts
-    keep = ~_IS_SPACE[raw]
-    letters = _LETTER[_LOWER[raw[keep]]]
+    letters = _LOW_LETTER[raw[_IS_WORD[raw]]]
     first = np.concatenate(([0], np.cumsum(sizes)[:-1]))
     place = np.arange(letters.size) - np.repeat(first, sizes)
     return mix(np.add.reduceat(letters * _POWERS[place & 1023], first) + sizes.astype(np.uint64))

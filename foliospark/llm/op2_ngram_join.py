@@ -27,6 +27,8 @@ GROUP, COVER = 1, 1
 CELL_BITS, CHUNK_BITS = 22, 13
 #: Bits of the filter that passes the texts of candidate pairs.
 FILTER_BITS = 23
+#: Buckets above this size are compared in blocks of that many members.
+SMALL_BUCKET, BLOCK = 16, 256
 #: Turns of candidates: by leaders, and in the last one all pairs that are still apart.
 TURNS = 3
 _C1, _C2, _C3 = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)
@@ -91,8 +93,9 @@ def signatures(features: np.ndarray, heavy: np.ndarray | None = None) -> np.ndar
             found = np.concatenate(found)
         if heavy is not None:
             need = budget * comb(GROUP - 1, COVER - 1) + 1 if parts else budget + 1
-            level = heavy[found >> np.uint64(64 - CELL_BITS)]
-            found = found[np.lexsort((found, level))[:need]]
+            level = heavy[found >> np.uint64(64 - CELL_BITS)].astype(np.uint64)
+            if found.size > need:
+                found = found[np.argpartition(level << np.uint64(56) | found >> np.uint64(8), need - 1)[:need]]
         out.append(found)
     return np.concatenate(out)
 
@@ -231,6 +234,64 @@ def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
+def _parities(sketches: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(sketches), np.uint64).reshape(len(sketches), -1)
+
+
+def _fold(rows: np.ndarray, width: int) -> np.ndarray:
+    return np.bitwise_xor.reduce(rows.reshape(len(rows), -1, width), axis=1) if rows.shape[1] > width else rows
+
+
+def _near_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of two blocks of one bucket, the pairs in different components that their sketches do not rule out."""
+    for batch in batches:
+        for row in batch.to_pylist():
+            out = []
+            sides = []
+            for side in ("x", "y"):
+                by_size = {}
+                for m in row[side]:
+                    by_size.setdefault(len(m["sketch"] or b""), []).append(m)
+                sides.append(by_size)
+            for size_x, xs in sides[0].items():
+                for size_y, ys in sides[1].items():
+                    nx, ny = (np.array([m["n_max"] for m in ms]) for ms in (xs, ys))
+                    apart = np.array([m["comp"] for m in xs])[:, None] != np.array([m["comp"] for m in ys])[None, :]
+                    if size_x and size_y:
+                        a, b = _parities([m["sketch"] for m in xs]), _parities([m["sketch"] for m in ys])
+                        width = min(a.shape[1], b.shape[1])
+                        a, b = _fold(a, width), _fold(b, width)
+                        room = (nx[:, None] + ny[None, :]) * (100 - PERCENT) // (100 + PERCENT)
+                        apart &= np.abs(nx[:, None] - ny[None, :]) <= room
+                        for i in np.flatnonzero(apart.any(1)):
+                            apart[i] &= np.bitwise_count(a[i] ^ b).sum(1) <= room[i]
+                    out += [(xs[i]["doc"], ys[j]["doc"]) for i, j in zip(*np.nonzero(apart), strict=True)]
+            if out:
+                pairs = sorted({(min(p), max(p)) for p in out})
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*pairs, strict=True)], ["a", "b"])
+
+
+def block_pairs(view: DataFrame, sketches: DataFrame) -> DataFrame:
+    """Candidates ``(a, b)`` inside large buckets ``(sig, doc, comp)``, without a row for every pair.
+
+    The members of a bucket are dealt, component by component, into blocks of a
+    fixed size with their sketches. Two blocks meet once, unless both lie in
+    one component, and only pairs that can link come out.
+    """
+    place = Window.partitionBy("sig").orderBy("comp", "doc")
+    blocks = (
+        view.select("sig", "doc", "comp").withColumn("block", F.floor((F.row_number().over(place) - 1) / BLOCK))
+        .join(sketches.select("doc", "n_max", "sketch"), "doc")
+        .groupBy("sig", "block").agg(
+            F.min("comp").alias("c0"), F.max("comp").alias("c1"),
+            F.collect_list(F.struct("doc", "comp", "n_max", "sketch")).alias("m"),
+        )
+    )
+    other = blocks.select("sig", F.col("block").alias("o_block"), F.col("c0").alias("o0"), F.col("c1").alias("o1"), F.col("m").alias("y"))
+    met = blocks.join(other, "sig").filter("block <= o_block and not (c0 = c1 and o0 = o1 and c0 = o0)")
+    return met.select(F.col("m").alias("x"), "y").mapInArrow(_near_blocks, "a long, b long").distinct()
+
+
 def near_pairs(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
     """The pairs ``(a, b)`` whose sets can be similar enough, by ``sketches`` of ``(doc, n_max, sketch)``.
 
@@ -337,13 +398,19 @@ def classes(docs: DataFrame) -> DataFrame:
             view = view.drop("id", "root", "open").join(ends.groupBy("doc").agg(F.count("*").alias("deg")), "doc", "left")
             view = keep(view.withColumn("deg", F.coalesce("deg", F.lit(0))), "shingle-open")
         one, two = _side("x"), _side("y")
+        blocked = None
         if last_turn:
+            sized = view.withColumn("members", F.count("*").over(by_sig))
+            view = sized.filter(F.col("members") <= SMALL_BUCKET)
+            blocked = block_pairs(sized.filter(F.col("members") > SMALL_BUCKET), nodes)
             found = view.select("sig", one).join(view.select("sig", two), "sig").filter("x.comp < y.comp")
         else:
             lead = F.max(F.struct("deg", (-F.col("doc")).alias("neg"), one)).over(by_sig)
             found = view.select(lead.getField("x").alias("x"), two).filter("x.comp <> y.comp")
         fits = (F.col("x.n_min") * PERCENT <= F.col("y.n_max") * 100) & (F.col("y.n_min") * PERCENT <= F.col("x.n_max") * 100)
         found = found.filter(fits).select(F.least("x.doc", "y.doc").alias("a"), F.greatest("x.doc", "y.doc").alias("b")).distinct()
+        if blocked is not None:
+            found = found.unionByName(blocked).distinct()
         if tried is not None:
             found = found.join(tried, ["a", "b"], "left_anti")
         found = keep(found, "shingle-pairs")

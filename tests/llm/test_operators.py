@@ -513,3 +513,20 @@ def test_mix_meets_targets_and_reruns_agree(spark):
     out = mixing.mixed_documents(docs)
     assert sorted(out.columns) == sorted(docs.columns) and out.count() == sum(r["copies"] for r in got)
     assert mixing.mix(docs.limit(0)).count() == 0
+
+
+def test_large_buckets_are_compared_in_blocks(spark, monkeypatch):
+    """One family of near copies with few and many edits: blocks and pairs find the same classes as brute force."""
+    rng = random.Random(11)
+    base = prose(5, 120).split()
+    rows = []
+    for i in range(90):
+        words = list(base)
+        for _ in range(rng.choice([0, 1, 2, 4, 6])):
+            words[rng.randrange(len(words))] = f"e{rng.randrange(40)}"
+        rows.append((i, " ".join(words)))
+    want, _ = brute_classes(rows)
+    for small, block in ((16, 256), (2, 7)):
+        monkeypatch.setattr(join, "SMALL_BUCKET", small)
+        monkeypatch.setattr(join, "BLOCK", block)
+        assert {r["doc_id"]: r["component_id"] for r in join.classes(docs_of(spark, rows)).collect()} == want
