@@ -334,6 +334,11 @@ def _side(name: str):
     return F.struct("doc", "n_min", "n_max", "comp").alias(name)
 
 
+def _stars(label: DataFrame | None, links: DataFrame) -> DataFrame:
+    """Links together with those that the labels so far stand for; a step on stars ends sooner."""
+    return links if label is None else links.unionByName(label.select(F.col("id").alias("a"), F.col("root").alias("b")))
+
+
 def classes(docs: DataFrame) -> DataFrame:
     """``docs`` rows as ``doc_id, n_shingles, component_id``.
 
@@ -386,7 +391,7 @@ def classes(docs: DataFrame) -> DataFrame:
     held = keep(held, "shingle-buckets")
 
     nodes = keep(sizes.filter("doc = rep").join(held.select("doc").distinct(), "doc", "left_semi"), "shingle-sketches")
-    tried = links = None
+    tried = links = label = None
     for turn in range(TURNS):
         last_turn = turn == TURNS - 1
         if not turn:
@@ -420,9 +425,9 @@ def classes(docs: DataFrame) -> DataFrame:
         good = keep(verify(near, docs), "shingle-links")
         links = good if links is None else links.unionByName(good)
         tried = found if tried is None else tried.unionByName(found)
-        if not last_turn:
-            label = keep(components(links), "shingle-labels")
-    label = components(links.unionByName(equal))
+        if not last_turn and not (turn and good.isEmpty()):
+            label = keep(components(_stars(label, good)), "shingle-labels")
+    label = components(_stars(label, links.unionByName(equal)))
     return rows.join(label, F.col("doc_id") == F.col("id"), "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "doc_id").alias("component_id")
     )
