@@ -339,8 +339,9 @@ def _(spark, sf):
     SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n FROM g GROUP BY user_id, s""",
 )
 def _(spark, sf):
-    sessions = ST.idle_sessions(event_stream(spark, sf), "ts", "user_id")
-    out = ST.run_to_table(sessions, run_dir(spark, "sessions"), "complete")
+    closed = ST.run_to_table(ST.idle_sessions(event_stream(spark, sf), "ts", "user_id"), run_dir(spark, "sessions"), "append")
+    events = table(spark, sf, "events").withColumn("ts", col("ts").cast("timestamp"))
+    out = closed.unionByName(ST.open_sessions(events, closed, "ts", "user_id"))
     return out.select("user_id", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n")
 
 
