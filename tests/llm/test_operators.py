@@ -257,6 +257,15 @@ def test_backoff_matches_brute_force(spark, monkeypatch):
     assert backoff.score_documents(docs_of(spark, []).limit(0)).count() == 0
 
 
+def test_backoff_whole_uses_ngrams_that_occur_once(spark, tmp_path):
+    """Expected values by hand: every word has its longest n-gram in the tables."""
+    docs_of(spark, [(1, "a b c d"), (2, "a b e"), (3, None)]).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in backoff.op4_backoff_whole(spark, str(tmp_path)).collect()}
+    assert {i: (r["n_words"], r["trigram_hits"], r["bigram_hits"]) for i, r in got.items()} == {1: (4, 2, 1), 2: (3, 1, 1), 3: (0, 0, 0)}
+    # First word 2 of 7, second 2 of 2, then 1 of 2 for "a b c" and "a b e", 1 of 1 for "b c d".
+    assert [got[i]["log_score"] for i in (1, 2, 3)] == pytest.approx([np.log(2 / 7 / 2), np.log(2 / 7 / 2), 0], abs=1e-4)
+
+
 def test_packed_grams_come_back():
     rng = np.random.default_rng(1)
     for values in (rng.integers(0, 2**64, 500, dtype=np.uint64), np.array([7], np.uint64), np.array([0, 2**64 - 1], np.uint64)):
