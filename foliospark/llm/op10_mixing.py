@@ -13,6 +13,8 @@ MAX_COPIES = 3.0
 SEED = "mix-1"
 #: Each level of the cut search deals the ranks of a source over this many bins.
 BINS = 4096
+#: Equal rows without an id that one task numbers at a time.
+CHUNK = 4096
 
 
 def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_copies: float = MAX_COPIES) -> DataFrame:
@@ -53,8 +55,8 @@ def random_odds(key: Column, seed: str, share: Column) -> Column:
 def pareto_ranks(docs: DataFrame, goal: DataFrame, seed: str = SEED) -> DataFrame:
     """Pareto rank of each document and what its source still has to take.
 
-    ``docs``: ``(doc_id, source, size, nth)``, ``nth`` telling equal ids apart;
-    ``goal``: rows of :func:`targets`. A source whose target is r times its
+    ``docs``: ``(doc_id, source, size, body, nth)``, ``nth`` telling equal ids
+    apart, or equal texts of rows without an id; ``goal``: rows of :func:`targets`. A source whose target is r times its
     size takes floor(r) certain copies of every document; the rest of the
     target is for the documents that come first in Pareto order, random odds
     over inclusion odds. The rank goes with the numbers of two levels of bins,
@@ -65,7 +67,8 @@ def pareto_ranks(docs: DataFrame, goal: DataFrame, seed: str = SEED) -> DataFram
     rated = rated.withColumn("certain", F.floor(F.col("copies") + 1e-9)).withColumn(
         "rest", F.greatest(F.lit(0.0), F.col("target") - F.col("certain") * F.col("source_size"))
     ).withColumn("share", F.least(F.lit(1 - 1e-9), F.greatest(F.lit(1e-9), F.col("copies") - F.col("certain"))))
-    key = F.concat_ws("\u0001", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("nth").cast("string"))
+    name = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("\u0001"), F.col("body").cast("string")))
+    key = F.concat_ws("\u0001", name, F.col("nth").cast("string"))
     # A null source is a name like any other.
     ranked = docs.join(
         rated.select(F.col("source").alias("s"), "source_size", "target", "certain", "rest", "share"),
@@ -84,26 +87,39 @@ def _cut(binned: DataFrame, keys: list[str], level: str) -> DataFrame:
     return run.filter((F.col("before") < F.col("rest")) & (F.col("upto") >= F.col("rest")))
 
 
+def _numbered(unknown: DataFrame) -> DataFrame:
+    """Rows without an id, ``nth`` numbering those alike in source, size and text.
+
+    Such rows are counted, map-side, and made again from their number in
+    chunks, so that no task holds all copies of a frequent text.
+    """
+    alike = ["source", "size", "body"]
+    chunks = unknown.groupBy("doc_id", *alike).agg(F.count("*").alias("rows")).withColumn(
+        "chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("rows") - 1) / CHUNK)))
+    ).repartition(*alike, "chunk")
+    first, last = F.col("chunk") * CHUNK + 1, F.least((F.col("chunk") + 1) * CHUNK, F.col("rows"))
+    return chunks.select("doc_id", *alike, F.explode(F.sequence(first, last)).alias("nth"))
+
+
 def mix(
     docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_copies: float = MAX_COPIES, seed: str = SEED
 ) -> DataFrame:
     """Every document with the words that the mixture takes of it.
 
     Returns ``doc_id, nth, body, source, size, source_size, target, copies``;
-    ``nth`` numbers rows that repeat one id, ``body`` is a hash of the text. Null texts have size
+    ``nth`` numbers rows that repeat one id, or source and text without an id; ``body`` is a hash of the text. Null texts have size
     0, a null source is a source of its own and comes last. Rows without an id
     take part like others. Empty tables give no rows; other columns are
     ignored. The same rows give the same mix in any order and on any cluster:
-    ranks depend on ids and the seed alone; equal ranks are ordered by id. Where
+    ranks depend on ids, for rows without one on texts, and the seed alone; equal ranks are ordered by id. Where
     the sample stops short of the target, the one document left whose size is
     nearest to the gap is added, if that brings the sum nearer.
     """
     sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("body"))
     repeat = Window.partitionBy("doc_id").orderBy("source", "size", "body")
-    # Null ids stay apart by their text, so that they do not meet in one task.
+    # Null ids are told apart by their text and number, so that they do not meet in one task.
     known = sized.filter("doc_id is not null").withColumn("nth", F.row_number().over(repeat).cast("long"))
-    unknown = sized.filter("doc_id is null").withColumn("nth", F.col("body"))
-    rows = keep(known.unionByName(unknown), "mix-sizes")
+    rows = keep(known.unionByName(_numbered(sized.filter("doc_id is null"))), "mix-sizes")
     goal = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, max_copies)
     ranked = keep(pareto_ranks(rows, keep(goal, "mix-targets"), seed), "mix-ranks")
 
@@ -122,17 +138,19 @@ def mix(
         second, F.col("source").eqNullSafe(F.col("s2")) & (F.col("bin2") == F.col("cut2"))
     )
     order = Window.partitionBy(F.coalesce(F.col("source"), F.lit("\u0000")), "cut2").orderBy(
-        "rank", "doc_id", "nth", "size"
+        "rank", "doc_id", "nth", "size", "body"
     ).rowsBetween(Window.unboundedPreceding, 0)
     upto = F.col("before2") + F.sum("size").over(order)
     inside = inside.withColumn("in", (upto <= F.col("rest")).cast("int"))
     edge = inside.select(
-        F.col("source").alias("es"), F.col("doc_id").alias("ed"), F.col("nth").alias("en"), F.col("in").alias("edge_in")
+        F.col("source").alias("es"), F.col("doc_id").alias("ed"), F.col("nth").alias("en"), F.col("size").alias("ez"),
+        F.col("body").alias("eb"), F.col("in").alias("edge_in"),
     )
     cuts = first.join(second, F.col("s").eqNullSafe(F.col("s2"))).select("s", "cut1", "cut2")
     placed = ranked.join(cuts, F.col("source").eqNullSafe(F.col("s")), "left").join(
         edge,
-        F.col("source").eqNullSafe(F.col("es")) & F.col("doc_id").eqNullSafe(F.col("ed")) & (F.col("nth") == F.col("en")),
+        F.col("source").eqNullSafe(F.col("es")) & F.col("doc_id").eqNullSafe(F.col("ed")) & (F.col("nth") == F.col("en"))
+        & (F.col("size") == F.col("ez")) & (F.col("body") == F.col("eb")),
         "left",
     )
     # No cut: the rest is 0, or rounding left it above the sum of the source.
@@ -148,11 +166,14 @@ def mix(
         placed.filter("chosen = 0").join(
             lack.withColumnRenamed("source", "ls"), F.col("source").eqNullSafe(F.col("ls"))
         ).filter(off < F.col("lack"))
-        .groupBy("source").agg(F.min(F.struct(off, "rank", "doc_id", "nth")).alias("m"))
-        .select(F.col("source").alias("fs"), F.col("m.doc_id").alias("fd"), F.col("m.nth").alias("fn"))
+        .groupBy("source").agg(F.min(F.struct(off, "rank", "doc_id", "nth", "size", "body")).alias("m"))
+        .select(F.col("source").alias("fs"), *(F.col(f"m.{c}").alias(f"f_{c}") for c in ("doc_id", "nth", "size", "body")))
     )
     filled = placed.join(last, F.col("source").eqNullSafe(F.col("fs")), "left")
-    extra = F.coalesce((F.col("doc_id").eqNullSafe(F.col("fd")) & (F.col("nth") == F.col("fn"))).cast("int"), F.lit(0))
+    is_last = F.col("doc_id").eqNullSafe(F.col("f_doc_id")) & (F.col("nth") == F.col("f_nth")) & (
+        F.col("size") == F.col("f_size")
+    ) & (F.col("body") == F.col("f_body"))
+    extra = F.coalesce(is_last.cast("int"), F.lit(0))
     return filled.select(
         "doc_id", "nth", "body", "source", "size", "source_size", "target",
         (F.col("certain") + F.col("chosen") + extra).cast("long").alias("copies"),

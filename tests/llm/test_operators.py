@@ -524,6 +524,20 @@ def test_mix_meets_targets_and_reruns_agree(spark):
     assert mixing.mix(docs.limit(0)).count() == 0
 
 
+def test_equal_rows_without_id_are_mixed_one_by_one(spark, monkeypatch):
+    """The cut falls among equal rows, and one of them closes the gap: no row comes twice."""
+    monkeypatch.setattr(mixing, "CHUNK", 64)
+    rows = [(None, "same three words", None, "a")] * 400 + [(None, "two words", None, "a")] * 3
+    rows += [(i, prose(i, 10), None, "b") for i in range(120)]
+    docs = docs_of(spark, rows)
+    got = [r.asDict() for r in mixing.mix(docs).collect()]
+    assert len(got) == len(rows) and len({(r["doc_id"], r["body"], r["nth"]) for r in got}) == len(rows)
+    taken = sum(r["size"] * r["copies"] for r in got if r["source"] == "a")
+    assert abs(taken - next(r["target"] for r in got if r["source"] == "a")) <= 1.5
+    assert len({r["copies"] for r in got if r["size"] == 3}) == 2
+    assert mixing.mixed_documents(docs).count() == sum(r["copies"] for r in got)
+
+
 def test_large_buckets_are_compared_in_blocks(spark, monkeypatch):
     """One family of near copies with few and many edits: blocks and pairs find the same classes as brute force."""
     rng = random.Random(11)
