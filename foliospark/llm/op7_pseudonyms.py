@@ -19,10 +19,22 @@ _IPV4 = r"\d{1,3}(?:\.\d{1,3}){3}"
 _DATE = r"\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}"
 _SSN = r"\d{3}-\d{2}-\d{4}"
 _PHONE = r"(?:\+\d{1,3}[ .\-]?)?(?:\(\d{3}\) ?|\d{3}[ .\-])\d{3}[ .\-]\d{4}|\+\d{10,15}"
-_CARD = r"\d{13,19}|\d{4}(?:[ \-]\d{4}){2,3}(?:[ \-]\d{1,4})?"
-_IBAN = r"[A-Z]{2}\d{2}[A-Z0-9]{11,30}"
 _AWS = r"AKIA[A-Z0-9]{16}"
-_SECRET = r"(?:password|passwd|secret|token|api_key)\s{0,3}[=:]\s{0,3}[\"']?[0-9a-f]{12,128}"
+_NAMED = (
+    r"(?i:passwords?|passwd|passphrase|pwd|secrets?|tokens?|(?:api|access|auth|private|secret)[_\- ]?key|secret[_\-]access[_\-]key)"
+    r"[\"']?\s{0,3}[=:]\s{0,3}[\"']?"
+)
+#: The token behind a name, in any alphabet; a value of another kind there is treated as such.
+_SECRET = (
+    rf"{_NAMED}(?!(?:{_EMAIL}|{_IPV4}|{_DATE}|{_SSN}|{_PHONE})(?:[\s\"',;)]|\.?(?:\s|$)))"
+    r"[A-Za-z0-9+/_.~\-=!#$%&*^@:?]{7,}[A-Za-z0-9+/=]"
+)
+_AMEX = r"\d{4}[ \-]\d{6}[ \-]\d{5}"
+#: Groups end where a value of another kind begins.
+_APART = rf"(?![ \-](?:{_EMAIL}|{_SECRET}|{_IPV4}|{_DATE}|{_SSN}|{_PHONE}|{_AMEX})(?![A-Za-z0-9]))"
+#: Runs of groups of four may hold several numbers; :func:`_grouped` tells them apart.
+_CARD = rf"\d{{13,19}}|{_AMEX}(?:-\d{{1,4}})?|\d{{4}}(?:{_APART}[ \-]\d{{4}}){{2,}}(?:{_APART}[ \-]\d{{1,4}})?"
+_IBAN = rf"[A-Z]{{2}}\d{{2}}(?:[A-Z0-9]{{11,30}}|(?:{_APART} [A-Z0-9]{{4}}){{2,}}(?:{_APART} [A-Z0-9]{{1,3}})?)"
 _STRUCTURED = "|".join((_IPV4, _DATE, _SSN, _PHONE, _CARD))
 #: One match is a value of one kind, set off from letters and digits around it.
 PATTERN = (
@@ -30,7 +42,7 @@ PATTERN = (
     rf"|(?<![A-Za-z0-9.+\-/])(?:{_STRUCTURED})(?![A-Za-z0-9]|[.\-/]\d)"
 )
 #: What any value needs; most texts have none of these and are passed over quickly.
-HINT = "[0-9@]|AKIA"
+HINT = rf"[0-9@]|AKIA|{_NAMED}"
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -102,14 +114,13 @@ def _digits(value: Column) -> Column:
     return F.regexp_replace(value, "[^0-9]", "")
 
 
-def _fill(shape: Column, digits: Column) -> Column:
-    """``shape`` with its digits replaced by ``digits`` in order."""
+def _fill(shape: Column, chars: Column, places: str = "[0-9]") -> Column:
+    """``shape`` with its digits, or other characters of ``places``, replaced by ``chars`` in order."""
+    count = lambda x: F.length(F.regexp_replace(x, places.replace("[", "[^"), ""))
     return F.array_join(
         F.transform(
             F.split(shape, ""),
-            lambda c, i: F.when(
-                c.rlike("[0-9]"), F.substr(digits, F.length(_digits(F.substr(shape, F.lit(1), i + 1))), F.lit(1))
-            ).otherwise(c),
+            lambda c, i: F.when(c.rlike(places), F.substr(chars, count(F.substr(shape, F.lit(1), i + 1)), F.lit(1))).otherwise(c),
         ), "",
     )
 
@@ -132,15 +143,18 @@ def mod97(text: Column) -> Column:
     return F.aggregate(F.filter(F.split(text, ""), lambda c: c != ""), F.lit(0), add)
 
 
+def _is_card(d: Column) -> Column:
+    """Whether digits are a card number."""
+    right = luhn_check(F.substr(d, F.lit(1), F.length(d) - 1)) == F.substr(d, F.length(d), F.lit(1))
+    return F.when(F.length(d).between(13, 19), right).otherwise(False)
+
+
 def _card(key: str, m: Column) -> Column:
-    def valid(d: Column) -> Column:
-        body = F.substr(d, F.lit(1), F.length(d) - 1)
+    def new(d: Column) -> Column:
         middle = permute_digits(key, "card", F.substr(d, F.lit(2), F.length(d) - 2))
-        new = _let(F.concat(F.substr(d, F.lit(1), F.lit(1)), middle), lambda b: F.concat(b, luhn_check(b)))
-        good = F.length(d).between(13, 19) & (luhn_check(body) == F.substr(d, F.length(d), F.lit(1)))
-        return F.when(good, _let(new, lambda n: _fill(m, n))).otherwise(m)
+        return _let(F.concat(F.substr(d, F.lit(1), F.lit(1)), middle), lambda b: F.concat(b, luhn_check(b)))
 
-    return _let(_digits(m), valid)
+    return _let(_digits(m), lambda d: _let(new(d), lambda n: _fill(m, n)))
 
 
 def _phone(key: str, m: Column) -> Column:
@@ -195,28 +209,69 @@ def _date(key: str, m: Column) -> Column:
     return F.when(m.contains("-"), moved("yyyy-MM-dd", m)).otherwise(moved("dd/MM/yyyy", moved("MM/dd/yyyy", m)))
 
 
+def _is_iban(c: Column) -> Column:
+    """Whether letters and digits are a bank account."""
+    right = mod97(F.concat(F.substr(c, F.lit(5), F.length(c)), F.substring(c, 1, 4))) == 1
+    return F.when(F.length(c).between(15, 34) & c.rlike("^[A-Z]{2}[0-9]{2}"), right).otherwise(False)
+
+
 def _iban(key: str, m: Column) -> Column:
-    country = F.substring(m, 1, 2)
-    new = _let(
-        permute_chars(key, "iban", F.substr(m, F.lit(5), F.length(m)), (_DIGIT, _UPPER)),
-        lambda b: F.concat(country, F.lpad((98 - mod97(F.concat(b, country, F.lit("00")))).cast("string"), 2, F.lit("0")), b),
-    )
-    good = mod97(F.concat(F.substr(m, F.lit(5), F.length(m)), F.substring(m, 1, 4))) == 1
-    return F.when(good, new).otherwise(m)
+    def new(c: Column) -> Column:
+        country = F.substring(c, 1, 2)
+        return _let(
+            permute_chars(key, "iban", F.substr(c, F.lit(5), F.length(c)), (_DIGIT, _UPPER)),
+            lambda b: F.concat(country, F.lpad((98 - mod97(F.concat(b, country, F.lit("00")))).cast("string"), 2, F.lit("0")), b),
+        )
+
+    return _let(_plain(m), lambda c: _let(new(c), lambda n: _fill(m, n, "[A-Z0-9]")))
+
+
+def _plain(value: Column) -> Column:
+    return F.regexp_replace(value, "[ \\-]", "")
+
+
+def _grouped(key: str, m: Column) -> Column:
+    """Card numbers and bank accounts in a run of groups: from the left, at each group the longest that validates."""
+
+    def joined(parts: Column, i: Column, n: Column) -> Column:
+        return F.array_join(F.slice(parts, i + 1, n), "")
+
+    def replaced(parts: Column) -> Column:
+        def step(acc: Column, i: Column) -> Column:
+            def good(n: Column) -> Column:
+                return (i + n <= F.size(parts)) & _let(_plain(joined(parts, i, n)), lambda c: (
+                    F.when(c.rlike("^[0-9]+$"), _is_card(c)).otherwise(_is_iban(c))))
+
+            def put(n: Column) -> Column:
+                text = joined(parts, i, F.coalesce(n, F.lit(1)))
+                new = F.when(n.isNull(), text).when(text.rlike("^[0-9]"), _card(key, text)).otherwise(_iban(key, text))
+                return F.struct(F.concat(acc["out"], new).alias("out"), (F.coalesce(n, F.lit(1)) - 1).alias("skip"))
+
+            # An account has up to nine groups of four.
+            longest = F.get(F.filter(F.sequence(F.lit(9), F.lit(1), F.lit(-1)), good), F.lit(0))
+            return F.when(acc["skip"] > 0, F.struct(acc["out"].alias("out"), (acc["skip"] - 1).alias("skip"))).otherwise(
+                _let(longest, put)
+            )
+
+        start = F.struct(F.lit("").alias("out"), F.lit(0).alias("skip"))
+        return F.aggregate(F.sequence(F.lit(0), F.size(parts) - 1), start, step)["out"]
+
+    return _let(F.regexp_extract_all(m, F.lit("[A-Z0-9]+[ \\-]?"), F.lit(0)), replaced)
 
 
 def pseudonym(key: str, m: Column) -> Column:
     """The pseudonym of one match of :data:`PATTERN`; values that do not validate stay as they are."""
     is_a = lambda pattern: m.rlike(f"^(?:{pattern})$")
-    head = r"^(.*[=:]\s*[\"']?)([0-9a-f]+)$"
+    head = rf"^({_NAMED})(.+)$"
+    value = F.regexp_extract(m, head, 2)
     return (
-        F.when(m.contains("@"), F.concat(
+        F.when(is_a(_SECRET), F.concat(F.regexp_extract(m, head, 1), F.when(
+            value.rlike("^[0-9a-f]+$"), permute_chars(key, "secret", value, (_HEX,))).otherwise(permute_chars(key, "secret", value))))
+        .when(m.contains("@"), F.concat(
             permute_chars(key, "email", F.substring_index(m, "@", 1)), F.lit("@"), F.substring_index(m, "@", -1)))
-        .when(is_a(_SECRET), F.concat(
-            F.regexp_extract(m, head, 1), permute_chars(key, "secret", F.regexp_extract(m, head, 2), (_HEX,))))
         .when(is_a(_AWS), F.concat(F.lit("AKIA"), permute_chars(key, "aws", F.substr(m, F.lit(5), F.length(m)), (_DIGIT, _UPPER))))
         .when(is_a(_IPV4), _ipv4(key, m)).when(is_a(_DATE), _date(key, m)).when(is_a(_SSN), _ssn(key, m))
-        .when(is_a(_PHONE), _phone(key, m)).when(is_a(_CARD), _card(key, m)).when(is_a(_IBAN), _iban(key, m)).otherwise(m)
+        .when(is_a(_PHONE), _phone(key, m)).when(is_a(f"{_CARD}|{_IBAN}"), _grouped(key, m)).otherwise(m)
     )
 
 
@@ -224,9 +279,9 @@ def pseudonymise(docs: DataFrame, key: str = KEY, column: str = "text") -> DataF
     """``docs`` with the personal values in ``column`` replaced; other columns and rows stay.
 
     Mail addresses (the part before the @), card numbers with a valid check
-    digit, bank accounts (mod 97), valid social security numbers, IPv4
+    digit, bank accounts (mod 97), both also in groups, valid social security numbers, IPv4
     addresses, phone numbers, dates from 1900 to 2099, access keys and secrets
-    behind their names become values of the same format. Each kind is permuted
+    of eight and more characters behind their names become values of the same format. Each kind is permuted
     by a Feistel network under the key: equal values get equal pseudonyms in
     all documents, different ones of a format different ones, and check digits
     are valid again. Numbers that do not validate stay. Null and empty texts

@@ -411,6 +411,33 @@ def test_pseudonyms_keep_format_and_links(spark):
     assert pseudonyms(spark, values[:1], "other key") != got[:1]
 
 
+def test_grouped_numbers_and_named_secrets_beside_numbers(spark):
+    iban, iban4, amex = "GB82 WEST 1234 5698 7654 32", "BE68 5390 0754 7034", "3782 822463 10005"
+    card, dashed, other = "4111 1111 1111 1111", "4111-1111-1111-1111", "5500 0000 0000 0004"
+    parts = [
+        [card, " 123"], [dashed, " 2027"], [dashed, "-2027"], ["2027 ", card], [card, " ", other, " 12"], [amex, " 123"],
+        [amex.replace(" ", "-"), "-1234"], [iban, " 2027"], [iban4, " 123"], [iban4, " ", card], [iban4, " 2027 ", iban],
+        [card, " ", amex], [card, " ", "555 123 4567"], [iban4, " ", "2001-02-28"], ["PASSWORD=", "Tr0ub4dor&3xyz", " 12"],
+        ["api-key: ", "sk_LIVE_9zQ7x+/Kw==", " 2027"], ["Token = '", "correcthorsebattery", "'"], ['"secret": "', "Zx9" * 400, '"'],
+        ["password: ", "ab.c9@mail8.example.com", " 1"],
+    ]
+    got = pseudonyms(spark, ["".join(p) for p in parts])
+    for text, new in zip(parts, got, strict=True):
+        assert len("".join(text)) == len(new), text
+        at = 0
+        for piece in text:
+            now, at = new[at : at + len(piece)], at + len(piece)
+            plain = re.fullmatch(r"[ \-]?(\d{1,4})? ?|[^\w]*[\w\-]+[\"']?( = '| ?[:=] ?[\"']?)|['\"]", piece)
+            assert (now == piece) == bool(plain), (text, new)
+            if piece in (card, dashed, other, amex):
+                assert luhn(re.sub(r"\D", "", now))
+            if piece in (iban, iban4):
+                code = now.replace(" ", "")
+                assert int("".join(str(int(c, 36)) for c in code[4:] + code[:4])) % 97 == 1
+    solid = pseudonyms(spark, ["4111111111111111", "BE68539007547034"])
+    assert got[0].replace(" ", "")[:16] == solid[0] and got[8].replace(" ", "")[:16] == solid[1]
+
+
 def test_invalid_numbers_and_clean_texts_stay(spark):
     texts = ["4111111111111112", "300.1.1.1 v1.2.3", "000-12-3456", "1980-02-30", "GPL version 3. x@y", prose(1, 50), None, "",
              "1234567", "GB00WEST12345698765432", "a1@b"]
