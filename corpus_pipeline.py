@@ -24,10 +24,20 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest id; rows without an id stay."""
-    first = classes(docs).filter("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.filter("doc_id is null"))
+    """Of each group of near duplicates the row with the smallest id, null last; rows of one id are told apart.
+
+    Among equal ids the source and then a hash of the whole row decide, so
+    the same rows give the same result whatever numbers they get here.
+    """
+    rows = keep(docs.withColumn("_row", F.monotonically_increasing_id()), "pipeline-rows")
+    group = classes(rows.select(F.col("_row").alias("doc_id"), "text")).select(F.col("doc_id").alias("_row"), "component_id")
+    order = F.struct(
+        F.col("doc_id").isNull().alias("none"), "doc_id", "source", F.xxhash64(*docs.columns).alias("hash"), "_row"
+    )
+    first = rows.select("_row", order.alias("order")).join(group, "_row").groupBy("component_id").agg(
+        F.min("order")["_row"].alias("_row")
+    )
+    return rows.join(first, "_row", "left_semi").select(*docs.columns)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

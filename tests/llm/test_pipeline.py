@@ -40,6 +40,17 @@ def test_one_of_each_class_stays(steps):
     assert ids(steps[2]) == sorted({c for _, c in roots})
 
 
+def test_repeated_and_missing_ids_lose_no_text(spark):
+    words = lambda k: " ".join(f"{k}{i}" for i in range(40))
+    rows = [(1, "b", words("x")), (1, "a", words("y")), (2, "a", words("y") + " end"), (None, "c", words("z")),
+            (None, "b", words("z")), (None, "c", words("x")), (None, None, None), (3, "a", words("u"))]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    want = [(1, "a", words("y")), (1, "b", words("x")), (3, "a", words("u")), (None, "b", words("z")), (None, None, None)]
+    for given in (docs, docs.repartition(3)):
+        kept = [tuple(r) for r in corpus_pipeline.one_of_each_group(spark, given, SF).collect()]
+        assert sorted(kept, key=repr) == sorted(want, key=repr)
+
+
 def test_leaks_go(spark, steps):
     plain = lambda s: " ".join(re.findall(r"[^\W_]+", s.lower()))
     items = [plain(r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
