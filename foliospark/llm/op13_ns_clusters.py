@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 from ._registry import keep, query, table
 
 DIM, K, ROUNDS, SEED = 64, 40, 5, "2"
-#: Centroids that share a lower bound.
-GROUP = 10
+#: Centroids that share a lower bound: 3 bytes per vector and group.
+GROUP = 2
 #: Vectors of one block, a row of the tables between rounds.
 BLOCK_ROWS = 8192
 #: Components are held within plus and minus this, so that distances fit in 64 bits.
@@ -51,7 +51,8 @@ def squared(x: np.ndarray, c: np.ndarray) -> np.ndarray:
 
 
 def _down(x):
-    return np.nextafter(x.astype(np.float32), np.float32(-np.inf))
+    """Lower bounds in two bytes, rounded down; larger ones than two bytes hold are cut, which keeps them bounds."""
+    return np.nextafter(np.minimum(x, 60000).astype(np.float16), np.float16(-np.inf))
 
 
 def _up(x):
@@ -75,7 +76,7 @@ class Bounds:
         n = len(x)
         self.x, self.own, self.scans = x, np.full(n, -1, np.int32), 0
         self.ub, self.ut = np.zeros(n, np.float32), np.zeros(n, np.uint8)
-        self.lb, self.lt = np.zeros((n, n_groups), np.float32), np.zeros((n, n_groups), np.uint8)
+        self.lb, self.lt = np.zeros((n, n_groups), np.float16), np.zeros((n, n_groups), np.uint8)
 
     def assign(self, history: list[np.ndarray], groups: list[np.ndarray]) -> None:
         """Nearest centroid of the newest round for every vector; equal distances go to the smaller number."""
@@ -87,7 +88,7 @@ class Bounds:
         moved = np.sqrt([((c - old).astype(np.float64) ** 2).sum(1) for old in history]) * (1 + 1e-9)
         by_group = np.stack([moved[:, g].max(1) for g in groups], 1)
         upper = self.ub + moved[self.ut, self.own]
-        lower = self.lb - by_group[self.lt, np.arange(len(groups))[None, :]]
+        lower = self.lb.astype(np.float64) - by_group[self.lt, np.arange(len(groups))[None, :]]
         rows = np.flatnonzero(lower.min(1) <= upper)
         if not rows.size:
             return
@@ -160,7 +161,7 @@ def _held(row: dict, dim: int, n_groups: int) -> Bounds:
     b = Bounds(x, n_groups)
     b.own, b.ub = np.frombuffer(row["own"], np.int32).copy(), np.frombuffer(row["ub"], np.float32).copy()
     b.ut, b.scans = np.frombuffer(row["ut"], np.uint8).copy(), row["scans"]
-    b.lb = np.frombuffer(row["lb"], np.float32).reshape(-1, n_groups).copy()
+    b.lb = np.frombuffer(row["lb"], np.float16).reshape(-1, n_groups).copy()
     b.lt = np.frombuffer(row["lt"], np.uint8).reshape(-1, n_groups).copy()
     return b
 
