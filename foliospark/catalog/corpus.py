@@ -324,11 +324,13 @@ def _(spark, sf):
 
 @query(
     "x3_stream_rate",
-    "SELECT strftime(w, '%Y-%m-%d %H:%M:%S') AS start, count(*) AS calls FROM (SELECT unnest([time_bucket(INTERVAL 300 SECOND, ts), time_bucket(INTERVAL 300 SECOND, ts) - INTERVAL 300 SECOND]) AS w FROM events) x GROUP BY 1",
+    """SELECT strftime(w, '%Y-%m-%d %H:%M:%S') AS start, count(*) AS calls FROM (
+      SELECT unnest(list_transform(range(60), lambda i: date_trunc('second', ts) - to_seconds(CAST(i AS DOUBLE)))) AS w FROM events) x GROUP BY 1""",
 )
 def _(spark, sf):
-    rate = ST.sliding_rate(event_stream(spark, sf), "ts", 600, 300)
-    out = ST.run_to_table(rate, run_dir(spark, "rate"), "update", ["start", "end"])
+    path = run_dir(spark, "rate")
+    final = ST.run_to_table(ST.sliding_rate(event_stream(spark, sf), "ts"), path, "append")
+    out = final.unionByName(ST.open_rate(spark, f"{path}/checkpoint"))
     return out.select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "calls")
 
 
@@ -339,9 +341,9 @@ def _(spark, sf):
     SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n FROM g GROUP BY user_id, s""",
 )
 def _(spark, sf):
-    closed = ST.run_to_table(ST.idle_sessions(event_stream(spark, sf), "ts", "user_id"), run_dir(spark, "sessions"), "append")
-    events = table(spark, sf, "events").withColumn("ts", col("ts").cast("timestamp"))
-    out = closed.unionByName(ST.open_sessions(events, closed, "ts", "user_id"))
+    path = run_dir(spark, "sessions")
+    closed = ST.run_to_table(ST.idle_sessions(event_stream(spark, sf), "ts", "user_id"), path, "append")
+    out = closed.unionByName(ST.open_sessions(spark, f"{path}/checkpoint", "user_id"))
     return out.select("user_id", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n")
 
 

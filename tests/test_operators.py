@@ -296,3 +296,149 @@ def test_calls_at_the_cap(spark):
     e = spark.createDataFrame([(datetime(2024, 1, 1, 0, 0, s),) for s in (0, 1, 2, 30)], "ts timestamp")
     got = {r.ts.second: (r.trailing, r.at_cap) for r in H.trailing_counts(e, "ts", 10, 3).collect()}
     assert got == {0: (1, False), 1: (2, False), 2: (3, True), 30: (1, False)}
+
+
+# ---- commits
+
+
+def _tables(spark, rows):
+    """Event rows and one child each of ``(id, text)``."""
+    base = spark.createDataFrame(rows, "event_id string, payload_json string").withColumn("event_date", F.expr("date '2024-01-05'"))
+    events = base.withColumn("folder_purpose", F.lit("p")).withColumn("response_kind", F.lit("k"))
+    items = base.select("event_id", "event_date", F.lit("b").alias("bucket"), F.lit("f").alias("folder_key"), F.col("payload_json").alias("doc_name"))
+    return {"inventory": items, "events": events}
+
+
+def _read(snap):
+    return (
+        sorted(tuple(r) for r in snap.table("events").select("event_id", "payload_json").collect()),
+        sorted(tuple(r) for r in snap.table("inventory").select("event_id", "doc_name").collect()),
+    )
+
+
+def _both(*rows):
+    return (list(rows), list(rows))
+
+
+def test_commits_order_loads_whatever_the_clock(spark, tmp_path, monkeypatch):
+    import time
+
+    root = str(tmp_path / "t")
+    assert W.current(spark, root) is None
+    now = time.time_ns()
+    monkeypatch.setattr(time, "time_ns", lambda: now)
+    assert W.append(spark, root, _tables(spark, [("a", "1"), ("b", "1")]), "s", "0") == 1
+    monkeypatch.setattr(time, "time_ns", lambda: now - 3_600_000_000_000)
+    assert W.append(spark, root, _tables(spark, [("b", "2"), ("c", "2")]), "other", "0") == 2
+    assert _read(W.Snapshot(spark, root)) == _both(("a", "1"), ("b", "2"), ("c", "2"))
+
+
+def test_a_replayed_batch_adds_no_version(spark, tmp_path):
+    from foliospark.plans import commits
+
+    root = str(tmp_path / "t")
+    for _ in range(3):
+        assert W.append(spark, root, _tables(spark, [("a", "1")]), "s", "7") == 1
+    W.append(spark, root, _tables(spark, [("a", "2")]), "s", "8")
+    assert W.append(spark, root, _tables(spark, [("a", "lost")]), "s", "7") == 1
+    assert commits.last(spark, root) == 2 and _read(W.Snapshot(spark, root)) == _both(("a", "2"))
+
+
+def test_a_load_without_commit_is_never_seen(spark, tmp_path, monkeypatch):
+    from foliospark.plans import commits
+
+    root = str(tmp_path / "t")
+    W.append(spark, root, _tables(spark, [("a", "1")]), "s", "0")
+    with monkeypatch.context() as m:
+        m.setattr(commits, "commit", lambda *a: (_ for _ in ()).throw(OSError("died")))
+        with pytest.raises(OSError):
+            W.append(spark, root, _tables(spark, [("a", "half"), ("b", "half"), ("c", "half")]), "s", "1")
+    assert _read(W.Snapshot(spark, root)) == _both(("a", "1"))
+    W.append(spark, root, _tables(spark, [("a", "2"), ("b", "2")]), "s", "1")
+    assert _read(W.Snapshot(spark, root)) == _both(("a", "2"), ("b", "2"))
+
+
+def test_a_snapshot_stays_as_it_was(spark, tmp_path):
+    root = str(tmp_path / "t")
+    W.append(spark, root, _tables(spark, [("a", "1")]), "s", "0")
+    early = W.Snapshot(spark, root)
+    events = early.table("events")
+    W.append(spark, root, _tables(spark, [("a", "2"), ("b", "2")]), "s", "1")
+    assert _read(early) == _both(("a", "1")) and events.count() == 1
+    W.compact(spark, root)
+    assert _read(W.Snapshot(spark, root, 1)) == _both(("a", "1"))
+    assert _read(W.Snapshot(spark, root)) == _both(("a", "2"), ("b", "2"))
+
+
+def test_loads_beside_a_compaction_stay(spark, tmp_path):
+    from foliospark.plans import commits
+
+    root = str(tmp_path / "t")
+    W.append(spark, root, _tables(spark, [("a", "1"), ("b", "1")]), "s", "0")
+    real = commits.commit
+
+    def late(spark, root, load, source, batch, base=None, months=None):
+        if source == "compact":  # a load commits while the compaction writes
+            commits.commit = real
+            W.append(spark, root, _tables(spark, [("b", "2")]), "s", "1")
+        return real(spark, root, load, source, batch, base, months)
+
+    commits.commit = late
+    try:
+        W.compact(spark, root)
+    finally:
+        commits.commit = real
+    assert _read(W.Snapshot(spark, root)) == _both(("a", "1"), ("b", "2"))
+    W.compact(spark, root)
+    W.append(spark, root, _tables(spark, [("a", "3")]), "s", "2")
+    assert _read(W.Snapshot(spark, root)) == _both(("a", "3"), ("b", "2"))
+
+
+def test_two_loads_never_share_a_number(spark, tmp_path, monkeypatch):
+    from foliospark.plans import commits
+
+    root = str(tmp_path / "t")
+    assert commits.commit(spark, root, "l-one", "s", "0") == 1
+    real, asked = commits.last, []
+
+    def behind(spark, root):
+        asked.append(1)
+        return 0 if len(asked) == 1 else real(spark, root)
+
+    monkeypatch.setattr(commits, "last", behind)
+    assert commits.commit(spark, root, "l-two", "s", "1") == 2
+    assert [tuple(r) for r in commits.log(spark, root).select("seq", "load").orderBy("seq").collect()] == [(1, "l-one"), (2, "l-two")]
+
+
+def test_a_stream_batch_that_runs_twice_loads_once(spark, tmp_path):
+    from foliospark.plans import commits
+
+    root = f"{tmp_path}/tables"
+    log = tmp_path / "log"
+    log.mkdir()
+    line = '{"generated_at":"2024-01-0%dT00:00:00Z","folder_name":"F","response_kind":"folder_summary","query":"q"}\n'
+    (log / "a.txt").write_text(line % 1)
+    ST.stream_load(spark, str(log), root, f"{tmp_path}/check").awaitTermination()
+    (log / "b.txt").write_text(line % 2)
+    # The commit of the last batch is taken from the checkpoint, as if the driver had died before writing it.
+    for f in (tmp_path / "check" / "commits").iterdir():
+        f.unlink()
+    ST.stream_load(spark, str(log), root, f"{tmp_path}/check").awaitTermination()
+    assert commits.last(spark, root) == 2 and W.current(spark, root).count() == 2
+
+
+def test_stream_rate_and_sessions_read_the_rest_from_state(spark, tmp_path):
+    rows = [(f"2024-01-01 00:00:{s:02d}", u) for s in (0, 0, 0, 1, 5, 59) for u in ("x", "y")] + [("2024-01-01 02:00:00", "x"), ("2024-01-01 02:00:30", "x")]
+    src = f"{tmp_path}/src"
+    spark.createDataFrame(rows, "t string, u string").select(F.col("t").cast("timestamp").alias("ts"), "u").write.parquet(src)
+    stream = spark.readStream.schema("ts timestamp, u string").parquet(src)
+    final = ST.run_to_table(ST.sliding_rate(stream, "ts", 60, 1), f"{tmp_path}/rate", "append")
+    both = final.unionByName(ST.open_rate(spark, f"{tmp_path}/rate/checkpoint", 60, 1))
+    want = spark.read.parquet(src).groupBy(F.window("ts", "60 seconds", "1 second").alias("w")).count()
+    assert sorted((r["start"], r["calls"]) for r in both.collect()) == sorted((r["w"]["start"], r["count"]) for r in want.collect())
+    assert ST.open_rate(spark, f"{tmp_path}/rate/checkpoint", 60, 1).count() > 0
+    closed = ST.run_to_table(ST.idle_sessions(stream, "ts", "u", "600 seconds", "1 hour"), f"{tmp_path}/idle", "append")
+    rest = ST.open_sessions(spark, f"{tmp_path}/idle/checkpoint", "u")
+    assert sorted(r["n"] for r in closed.collect()) == [6, 6] and [(r["u"], r["n"]) for r in rest.collect()] == [("x", 2)]
+    with pytest.raises(ValueError):
+        ST.sliding_rate(stream, "ts", 60, 7)
