@@ -12,9 +12,11 @@ from ._registry import query, table
 ROUNDS = 8
 #: Default key for tests and the registered query; a deployment passes its own.
 KEY = "change-me"
-DAY0, YEARS, DAYS = "1900-01-01", 200, 365
+#: Days from 1900-01-01 to 2099-12-31 as a product of two numbers.
+DAY0, SPANS, DAYS = "1900-01-01", 17, 4297
 
-_EMAIL = r"[A-Za-z0-9][A-Za-z0-9._%+\-]*@[A-Za-z0-9](?:[A-Za-z0-9\-]*\.)+[A-Za-z]{2,}"
+#: Labels are counted, since the engine goes one call deeper for each repeat of a group of varying length.
+_EMAIL = r"[\p{L}\p{N}][\p{L}\p{N}._%+\-]*@[\p{L}\p{N}](?:[\p{L}\p{N}\-]{0,63}\.){1,30}\p{L}{2,}"
 _IPV4 = r"\d{1,3}(?:\.\d{1,3}){3}"
 _DATE = r"\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}"
 _SSN = r"\d{3}-\d{2}-\d{4}"
@@ -22,7 +24,7 @@ _PHONE = r"(?:\+\d{1,3}[ .\-]?)?(?:\(\d{3}\) ?|\d{3}[ .\-])\d{3}[ .\-]\d{4}|\+\d
 _AWS = r"AKIA[A-Z0-9]{16}"
 _NAMED = (
     r"(?i:passwords?|passwd|passphrase|pwd|secrets?|tokens?|(?:api|access|auth|private|secret)[_\- ]?key|secret[_\-]access[_\-]key)"
-    r"[\"']?\s{0,3}[=:]\s{0,3}[\"']?"
+    r"[\"']?(?:\s{0,3}[=:]\s{0,3}|\s{1,3}is:?\s{1,3}(?=\S*\d))[\"']?"
 )
 #: The token behind a name, in any alphabet; a value of another kind there is treated as such.
 _SECRET = (
@@ -35,11 +37,13 @@ _APART = rf"(?![ \-](?:{_EMAIL}|{_SECRET}|{_IPV4}|{_DATE}|{_SSN}|{_PHONE}|{_AMEX
 #: Runs of groups of four may hold several numbers; :func:`_grouped` tells them apart.
 _CARD = rf"\d{{13,19}}|{_AMEX}(?:-\d{{1,4}})?|\d{{4}}(?:{_APART}[ \-]\d{{4}}){{2,}}(?:{_APART}[ \-]\d{{1,4}})?"
 _IBAN = rf"[A-Z]{{2}}\d{{2}}(?:[A-Z0-9]{{11,30}}|(?:{_APART} [A-Z0-9]{{4}}){{2,}}(?:{_APART} [A-Z0-9]{{1,3}})?)"
-_STRUCTURED = "|".join((_IPV4, _DATE, _SSN, _PHONE, _CARD))
-#: One match is a value of one kind, set off from letters and digits around it.
+#: One match is a value of one kind, set off from what may belong to it: dates and addresses from any sign that
+#: numbers go on behind, numbers only from letters, digits and digits behind such a sign.
 PATTERN = (
-    rf"(?<![A-Za-z0-9._%+\-]){_EMAIL}|(?<![A-Za-z0-9])(?:{_SECRET}|{_AWS}|{_IBAN})(?![A-Za-z0-9])"
-    rf"|(?<![A-Za-z0-9.+\-/])(?:{_STRUCTURED})(?![A-Za-z0-9]|[.\-/]\d)"
+    rf"(?<![\p{{L}}\p{{N}}._%+\-]){_EMAIL}|(?<![A-Za-z0-9])(?:{_SECRET}|{_AWS}|{_IBAN})(?![A-Za-z0-9])"
+    rf"|(?<![A-Za-z0-9.+\-/])(?:{_IPV4}|{_DATE})(?![A-Za-z0-9]|[.\-/]\d)"
+    rf"|(?<![A-Za-z0-9+])(?<!\d[.\-/])(?:{_SSN}|{_PHONE})(?![A-Za-z0-9]|[.\-/]\d)"
+    rf"|(?<![A-Za-z0-9+])(?<!\d[.\-/])(?:{_CARD})(?![A-Za-z0-9]|\.\d)"
 )
 #: What any value needs; most texts have none of these and are passed over quickly.
 HINT = rf"[0-9@]|AKIA|{_NAMED}"
@@ -195,14 +199,14 @@ def _ssn(key: str, m: Column) -> Column:
 
 
 def _date(key: str, m: Column) -> Column:
-    """Days of 200 times 365 from 1900 on; slashes are day first, month first where only that is a date."""
+    """Days from 1900 to 2099; slashes are day first, month first where only that is a date."""
     first = F.to_date(F.lit(DAY0))
 
     def moved(shape: str, otherwise: Column) -> Column:
         def new(n: Column) -> Column:
-            pair = permute_pair(key, "date", F.floor(n / DAYS), YEARS, n % DAYS, DAYS)
+            pair = permute_pair(key, "date", F.floor(n / DAYS), SPANS, n % DAYS, DAYS)
             day = _let(pair, lambda p: F.date_format(F.date_add(first, (p["l"] * DAYS + p["r"]).cast("int")), shape))
-            return F.when(n.between(0, YEARS * DAYS - 1), day).otherwise(otherwise)
+            return F.when(n.between(0, SPANS * DAYS - 1), day).otherwise(otherwise)
 
         return _let(F.datediff(F.try_to_timestamp(m, F.lit(shape)).cast("date"), first), new)
 
