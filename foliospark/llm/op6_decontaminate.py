@@ -19,7 +19,7 @@ EDIT_RATE = 0.1
 BLOCK_CHARS = 2_000_000
 _PIECE = 1 << 16
 _FILTER_BITS = 22
-_BASE = np.uint64(0x9E3779B97F4A7C15)
+_BASE, _SPREAD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95)
 
 
 def _letter_table() -> np.ndarray:
@@ -48,13 +48,19 @@ def normalise(text: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 def grams(chars: np.ndarray) -> np.ndarray:
-    n = chars.size - Q + 1
-    if n <= 0:
+    """A polynomial of each run of Q characters, by doubling: runs of 2, 4 and 8 from two of half the length."""
+    if chars.size < Q:
         return np.empty(0, np.uint64)
-    wide, out = chars.astype(np.uint64), np.zeros(n, np.uint64)
-    for i in range(Q):
-        out = (out + wide[i : i + n]) * _BASE
-    return mix(out)
+    out, width, base = chars.astype(np.uint64), 1, _BASE
+    while width < Q:
+        out = out[:-width] * base + out[width:]
+        width, base = 2 * width, np.multiply(base, base)
+    return out
+
+
+def _cells(found: np.ndarray) -> np.ndarray:
+    """Cell of the filter for each gram: the top bits of one more product; survivors alone are mixed."""
+    return (found * _SPREAD) >> np.uint64(64 - _FILTER_BITS)
 
 
 class Index:
@@ -79,11 +85,39 @@ class Index:
         found = np.concatenate(per_item) if per_item else np.empty(0, np.uint64)
         item = np.repeat(np.arange(len(per_item)), [g.size for g in per_item]).astype(np.int64)
         place = np.concatenate([np.arange(g.size) for g in per_item]) if per_item else np.empty(0, np.int64)
+        self.maybe = np.zeros(1 << _FILTER_BITS, bool)
+        self.maybe[_cells(found)] = True
+        found = mix(found)
         order = np.argsort(found, kind="stable")
         self.item, self.place = item[order], place[order]
         self.keys, self.first, self.count = np.unique(found[order], return_index=True, return_counts=True)
-        self.maybe = np.zeros(1 << _FILTER_BITS, bool)
-        self.maybe[self.keys >> np.uint64(64 - _FILTER_BITS)] = True
+
+    def hits(self, chars: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where grams of ``chars`` stand that an item has: position, item and place in the item of each pair."""
+        found = grams(chars)
+        at = np.flatnonzero(self.maybe[_cells(found)])
+        if not at.size or not self.keys.size:
+            return (np.empty(0, np.int64),) * 3
+        seen = mix(found[at])
+        slot = np.minimum(np.searchsorted(self.keys, seen), self.keys.size - 1)
+        same = self.keys[slot] == seen
+        at, slot = at[same], slot[same]
+        many = self.count[slot]
+        hit = np.repeat(self.first[slot] - np.concatenate(([0], np.cumsum(many)[:-1])), many) + np.arange(int(many.sum()))
+        return np.repeat(at, many), self.item[hit], self.place[hit]
+
+    def suspects(self, texts: list[str]) -> np.ndarray:
+        """Which texts, seen together, hold as many grams of some item as an occurrence has; none with one is missed."""
+        if self.short or not len(self.ids):
+            return np.full(len(texts), bool(self.ids))
+        chars, at = normalise("\n".join(texts))
+        begin = np.cumsum([0, *(len(t) + 1 for t in texts[:-1])])
+        where, item, _ = self.hits(chars)
+        text = np.searchsorted(begin, at[where], "right") - 1
+        group, counts = np.unique(text * len(self.ids) + item, return_counts=True)
+        out = np.zeros(len(texts), bool)
+        out[group[counts >= self.bound[group % len(self.ids)]] // len(self.ids)] = True
+        return out
 
     def regions(self, chars: np.ndarray) -> list[tuple[int, int]]:
         """``(item, first diagonal)`` of the bands that hold enough different q-grams of an item.
@@ -92,21 +126,13 @@ class Index:
         edit, on diagonals no farther apart than the budget. Bands of twice
         that width, each overlapping half of the next, hold every such range.
         """
-        found = grams(chars)
-        at = np.flatnonzero(self.maybe[found >> np.uint64(64 - _FILTER_BITS)])
-        if not at.size or not self.keys.size:
-            return []
-        slot = np.minimum(np.searchsorted(self.keys, found[at]), self.keys.size - 1)
-        same = self.keys[slot] == found[at]
-        at, slot = at[same], slot[same]
-        if at.size < self.bound.min():
+        where, item, place = self.hits(chars)
+        enough = (np.bincount(item, minlength=len(self.ids)) >= self.bound)[item] if item.size else np.empty(0, bool)
+        if not enough.any():
             return []
-        many = self.count[slot]
-        total = int(many.sum())
-        hit = np.repeat(self.first[slot] - np.concatenate(([0], np.cumsum(many)[:-1])), many) + np.arange(total)
-        item, place = self.item[hit], self.place[hit]
+        where, item, place = where[enough], item[enough], place[enough]
         width = self.budget[item] + 1
-        diagonal = np.repeat(at, many) - place + self.longest
+        diagonal = where - place + self.longest
         band = diagonal // width + 1
         bands = int(band.max()) + 1
         key = ((item * bands + band) * (self.longest + 1)) + place
@@ -182,20 +208,37 @@ def occurrences(index: Index, text: str) -> list[tuple[int, int, int, int]]:
         for k in index.short:
             word = f" {''.join(map(chr, index.chars[k]))} "
             spot = plain.find(word)
-            if spot >= 0:
+            while spot >= 0:
                 out.append((k, spot, spot + len(word) - 2, 0))
+                spot = plain.find(word, spot + len(word) - 1)  # the space behind may be the one before the next
     return [
         (index.ids[k], int(at[min(b, at.size - 1)]), int(at[min(e, at.size) - 1]) + 1, edits) for k, b, e, edits in out
     ]
 
 
+def found_in(index: Index, texts: list[str | None]) -> Iterator[tuple[int, list[tuple[int, int, int, int]]]]:
+    """``(number, occurrences)`` of the texts that hold any; texts are filtered some together."""
+    held, size = [], 0
+    for k, text in enumerate([*texts, None]):
+        if text:
+            held.append(k)
+            size += len(text)
+        if held and (size >= _PIECE or k == len(texts)):
+            for n, some in zip(held, index.suspects([texts[i] for i in held]), strict=True):
+                if some and (hits := occurrences(index, texts[n])):
+                    yield n, hits
+            held, size = [], 0
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Occurrences of benchmark items in documents: ``doc_id, item_id, start, end, edits``.
 
     Texts are compared by letters and digits in lower case, with one space for
     whatever stands between words; positions are code points of the text as it
     is. An item occurs where at most a tenth of its characters need an edit,
-    items shorter than a q-gram where they stand as whole words. Null or empty
+    items shorter than a q-gram wherever they stand as whole words. Of
+    overlapping occurrences of one item the one with the fewest edits counts,
+    of equal ones the first to end; different items may overlap. Null or empty
     texts and items without a letter or digit match nothing. Repeated rows
     each give their own matches; rows without an id have null there.
 
@@ -207,10 +250,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
         def scan(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                rows = [
-                    (i.as_py(), *hit) for i, t in zip(batch.column("doc_id"), batch.column("text"), strict=True)
-                    if t.is_valid for hit in occurrences(index, t.as_py())
-                ]
+                ids = batch.column("doc_id")
+                rows = [(ids[k].as_py(), *hit) for k, hits in found_in(index, batch.column("text").to_pylist()) for hit in hits]
                 cols = list(zip(*rows, strict=True)) or [[]] * 5
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, pa.int64()) for c in cols], ["doc_id", "item_id", "start", "end", "edits"]
@@ -231,13 +272,14 @@ def _indexes(benchmark: DataFrame) -> Iterator[Index]:
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs``, all columns, in whose text no benchmark item occurs."""
+    """The rows of ``docs``, all columns, in whose text no benchmark item occurs, by the rules of ``leaks``."""
     for index in _indexes(benchmark):
 
         def clean(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                stays = [not (t.is_valid and occurrences(index, t.as_py())) for t in batch.column("text")]
-                yield batch.filter(pa.array(stays, pa.bool_()))
+                stays = np.ones(batch.num_rows, bool)
+                stays[[k for k, _ in found_in(index, batch.column("text").to_pylist())]] = False
+                yield batch.filter(pa.array(stays))
 
         docs = docs.mapInArrow(clean, docs.schema)
     return docs
