@@ -225,7 +225,7 @@ def test_prior_of_a_mixture():
 # ---- 4
 
 
-def brute_scores(rows):
+def brute_scores(rows, least=1):
     tokens = [[w.lower() for w in re.findall(rb"[^\x20\x09-\x0d]+", (t or "").encode())] for _, t in rows]
     count = {}
     for words in tokens:
@@ -239,7 +239,7 @@ def brute_scores(rows):
         log = 0.0
         for at in range(len(words)):
             n, factor = min(3, at + 1), 1.0
-            while n > 1 and count[tuple(words[at - n + 1 : at + 1])] < 2:
+            while n > 1 and count[tuple(words[at - n + 1 : at + 1])] < least:
                 n, factor = n - 1, factor * 0.4
             gram = tuple(words[at - n + 1 : at + 1])
             log += np.log(factor * count[gram] / (count[gram[:-1]] if n > 1 else total))
@@ -254,6 +254,8 @@ def test_backoff_matches_brute_force(spark, monkeypatch):
         monkeypatch.setattr(backoff, "BUCKET_GRAMS", bucket)
         got = backoff.score_documents(docs_of(spark, rows).repartition(3)).collect()
         assert sorted(((r["doc_id"], r["n_words"], round(r["log_score"], 6)) for r in got), key=repr) == want
+    got = backoff.score_documents(docs_of(spark, rows), min_count=2).collect()
+    assert sorted(((r["doc_id"], r["n_words"], round(r["log_score"], 6)) for r in got), key=repr) == brute_scores(rows, 2)
     assert backoff.score_documents(docs_of(spark, []).limit(0)).count() == 0
 
 
