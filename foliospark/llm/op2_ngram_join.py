@@ -27,8 +27,8 @@ GROUP, COVER = 1, 1
 CELL_BITS, CHUNK_BITS = 22, 13
 #: Bits of the filter that passes the texts of candidate pairs.
 FILTER_BITS = 23
-#: Buckets above this size are compared in blocks of that many members.
-SMALL_BUCKET, BLOCK = 16, 256
+#: Buckets above this size are compared in blocks of about so many members, or features where these are many.
+SMALL_BUCKET, BLOCK, BLOCK_FEATURES = 16, 256, 1 << 19
 #: Turns of candidates: by leaders, and in the last one all pairs that are still apart.
 TURNS = 3
 _C1, _C2, _C3 = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)
@@ -242,54 +242,119 @@ def _fold(rows: np.ndarray, width: int) -> np.ndarray:
     return np.bitwise_xor.reduce(rows.reshape(len(rows), -1, width), axis=1) if rows.shape[1] > width else rows
 
 
-def _near_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of two blocks of one bucket, the pairs in different components that their sketches do not rule out."""
+def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The set of each text, sorted."""
+    for batch in batches:
+        for doc, text in zip(batch.column("doc"), batch.column("text"), strict=True):
+            data = shingle_set(text.as_buffer().to_pybytes(), WORDS).tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array([doc.as_py()], pa.int64()), pa.array([data], pa.binary())], ["doc", "features"])
+
+
+class _Joined:
+    """Components of the members of two blocks, merged by the links found between them."""
+
+    def __init__(self):
+        self.up: dict[int, int] = {}
+
+    def root(self, c: int) -> int:
+        while (p := self.up.get(c, c)) != c:
+            self.up[c] = self.up.get(p, p)
+            c = p
+        return c
+
+    def merge(self, c: int, d: int) -> bool:
+        c, d = self.root(c), self.root(d)
+        self.up[max(c, d)] = min(c, d)
+        return c != d
+
+
+def _block_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of two blocks of one bucket, links that connect their members as far as they are linked, at most one per member.
+
+    Sizes and sketches rule out most pairs; a member then meets all that are
+    left of the other block and of other components at once, whole sets.
+    """
     for batch in batches:
         for row in batch.to_pylist():
-            out = []
-            sides = []
-            for side in ("x", "y"):
-                by_size = {}
-                for m in row[side]:
-                    by_size.setdefault(len(m["sketch"] or b""), []).append(m)
-                sides.append(by_size)
-            for size_x, xs in sides[0].items():
-                for size_y, ys in sides[1].items():
-                    nx, ny = (np.array([m["n_max"] for m in ms]) for ms in (xs, ys))
-                    apart = np.array([m["comp"] for m in xs])[:, None] != np.array([m["comp"] for m in ys])[None, :]
-                    if size_x and size_y:
-                        a, b = _parities([m["sketch"] for m in xs]), _parities([m["sketch"] for m in ys])
-                        width = min(a.shape[1], b.shape[1])
-                        a, b = _fold(a, width), _fold(b, width)
-                        room = (nx[:, None] + ny[None, :]) * (100 - PERCENT) // (100 + PERCENT)
-                        apart &= np.abs(nx[:, None] - ny[None, :]) <= room
-                        for i in np.flatnonzero(apart.any(1)):
-                            apart[i] &= np.bitwise_count(a[i] ^ b).sum(1) <= room[i]
-                    out += [(xs[i]["doc"], ys[j]["doc"]) for i, j in zip(*np.nonzero(apart), strict=True)]
+            xs, ys = ([(m["doc"], m["comp"], np.frombuffer(m["features"], np.uint64)) for m in row[c]] for c in ("x", "y"))
+            joined, out = _Joined(), []
+            sizes = np.array([f.size for _, _, f in ys])
+            sketches = [sketch(f) for _, _, f in ys]
+            widths = {w: np.flatnonzero([len(k) == w for k in sketches]) for w in {len(k) for k in sketches}}
+            tables = {w: _parities([sketches[i] for i in at]) for w, at in widths.items()}
+            for i, (doc, comp, mine) in enumerate(xs):
+                home = joined.root(comp)
+                rest = np.array([joined.root(c) != home for _, c, _ in ys])
+                if row["same"]:
+                    rest[: i + 1] = False
+                room = (mine.size + sizes) * (100 - PERCENT) // (100 + PERCENT)
+                rest &= np.abs(mine.size - sizes) <= room
+                if not rest.any():
+                    continue
+                own = _parities([sketch(mine)])
+                for w, at in widths.items():
+                    some = at[rest[at]]
+                    if some.size:
+                        width = min(own.shape[1], tables[w].shape[1])
+                        gap = np.bitwise_count(_fold(own, width) ^ _fold(tables[w][rest[at]], width)).sum(1)
+                        rest[some[gap > room[some]]] = False
+                left = np.flatnonzero(rest)
+                if not left.size:
+                    continue
+                other = np.concatenate([ys[j][2] for j in left])
+                at = np.minimum(np.searchsorted(mine, other), mine.size - 1)
+                first = np.concatenate(([0], np.cumsum(sizes[left])[:-1]))
+                common = np.add.reduceat((mine[at] == other).astype(np.int64), first)
+                for j in left[100 * common >= PERCENT * (mine.size + sizes[left] - common)]:
+                    if joined.merge(comp, ys[j][1]):
+                        out.append((min(doc, ys[j][0]), max(doc, ys[j][0])))
             if out:
-                pairs = sorted({(min(p), max(p)) for p in out})
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*pairs, strict=True)], ["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["a", "b"])
 
 
-def block_pairs(view: DataFrame, sketches: DataFrame) -> DataFrame:
-    """Candidates ``(a, b)`` inside large buckets ``(sig, doc, comp)``, without a row for every pair.
+def _parities(sketches: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(sketches), np.uint64).reshape(len(sketches), -1)
 
-    The members of a bucket are dealt, component by component, into blocks of a
-    fixed size with their sketches. Two blocks meet once, unless both lie in
-    one component, and only pairs that can link come out.
+
+def _fold(rows: np.ndarray, width: int) -> np.ndarray:
+    return np.bitwise_xor.reduce(rows.reshape(len(rows), -1, width), axis=1) if rows.shape[1] > width else rows
+
+
+def block_links(view: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links ``(a, b)`` that connect what is linked inside large buckets ``(sig, doc, comp, n_max)``, no row for a pair without.
+
+    Of buckets with the same members one is looked at. Its members are dealt
+    by a hash into blocks of bounded number and size, with their whole sets;
+    every two blocks that hold more than one component meet in a task of
+    their own and send back as many links as they merge components.
     """
-    place = Window.partitionBy("sig").orderBy("comp", "doc")
-    blocks = (
-        view.select("sig", "doc", "comp").withColumn("block", F.floor((F.row_number().over(place) - 1) / BLOCK))
-        .join(sketches.select("doc", "n_max", "sketch"), "doc")
-        .groupBy("sig", "block").agg(
-            F.min("comp").alias("c0"), F.max("comp").alias("c1"),
-            F.collect_list(F.struct("doc", "comp", "n_max", "sketch")).alias("m"),
-        )
+    of_sig = view.groupBy("sig").agg(
+        F.count("*").alias("members"), F.sum("n_max").alias("features"),
+        F.bit_xor(F.xxhash64("doc")).alias("one"), F.bit_xor(F.xxhash64(F.lit("other"), "doc")).alias("two"),
+    )
+    blocks_of = F.greatest(F.ceil(F.col("members") / BLOCK), F.ceil(F.col("features") / BLOCK_FEATURES)).cast("int")
+    chosen = keep(
+        of_sig.groupBy("members", "features", "one", "two").agg(F.min("sig").alias("sig")).select("sig", blocks_of.alias("blocks")),
+        "shingle-large",
+    )
+    dealt = keep(
+        view.select("sig", "doc", "comp").join(chosen, "sig")
+        .withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int")).drop("blocks"), "shingle-dealt",
     )
-    other = blocks.select("sig", F.col("block").alias("o_block"), F.col("c0").alias("o0"), F.col("c1").alias("o1"), F.col("m").alias("y"))
-    met = blocks.join(other, "sig").filter("block <= o_block and not (c0 = c1 and o0 = o1 and c0 = o0)")
-    return met.select(F.col("m").alias("x"), "y").mapInArrow(_near_blocks, "a long, b long").distinct()
+    sets = keep(texts_of(docs, dealt.select("doc").distinct()).mapInArrow(_features, "doc long, features binary"), "shingle-features")
+    blocks = keep(
+        dealt.join(sets, "doc").groupBy("sig", "block").agg(
+            F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.collect_list(F.struct("doc", "comp", "features")).alias("m")
+        ), "shingle-blocks",
+    )
+    marks = blocks.select("sig", "block", "c0", "c1")
+    second = marks.select("sig", F.col("block").alias("other"), F.col("c0").alias("o0"), F.col("c1").alias("o1"))
+    apart = ~((F.col("c0") == F.col("c1")) & (F.col("o0") == F.col("o1")) & (F.col("c0") == F.col("o0")))
+    pairs = marks.join(second, "sig").filter((F.col("block") <= F.col("other")) & apart).select("sig", "block", "other")
+    x = blocks.select("sig", "block", F.col("m").alias("x"))
+    y = blocks.select("sig", F.col("block").alias("other"), F.col("m").alias("y"))
+    met = pairs.join(x, ["sig", "block"]).join(y, ["sig", "other"])
+    return met.select("x", "y", (F.col("block") == F.col("other")).alias("same")).mapInArrow(_block_links, "a long, b long").distinct()
 
 
 def near_pairs(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
@@ -353,8 +418,9 @@ def classes(docs: DataFrame) -> DataFrame:
     candidates: first each with the smallest id of its signature, then, as long
     as signatures hold more than one component, with the member of the largest
     degree, and at last every pair in different components, so that no link is
-    lost. Candidates that the parities of their sets do not rule out are
-    verified on whole texts.
+    lost: in small buckets as candidates, in large ones block against block,
+    which gives back links that connect what is linked. Candidates that the
+    parities of their sets do not rule out are verified on whole texts.
     """
     docs = docs.select("doc_id", "text")
     described = keep(docs.mapInArrow(_describe, _SET_SCHEMA), "shingle-sets")
@@ -397,25 +463,24 @@ def classes(docs: DataFrame) -> DataFrame:
         if not turn:
             view = held.withColumn("comp", F.col("doc")).withColumn("deg", F.lit(0).cast("long"))
         else:
-            view = held.join(label, F.col("doc") == F.col("id"), "left").withColumn("comp", F.coalesce("root", "doc"))
-            view = view.withColumn("open", F.min("comp").over(by_sig) < F.max("comp").over(by_sig)).filter("open")
+            placed = lambda rows, label=label: rows.join(label, F.col("doc") == F.col("id"), "left").withColumn("comp", F.coalesce("root", "doc"))
+            mixed = placed(held).groupBy("sig").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("members"))
+            mixed = keep(mixed.filter("c0 < c1").select("sig", "members"), "shingle-mixed")
+            view = placed(held.join(mixed, "sig")).drop("id", "root")
             ends = links.select(F.col("a").alias("doc")).unionAll(links.select(F.col("b").alias("doc")))
-            view = view.drop("id", "root", "open").join(ends.groupBy("doc").agg(F.count("*").alias("deg")), "doc", "left")
+            view = view.join(ends.groupBy("doc").agg(F.count("*").alias("deg")), "doc", "left")
             view = keep(view.withColumn("deg", F.coalesce("deg", F.lit(0))), "shingle-open")
         one, two = _side("x"), _side("y")
         blocked = None
         if last_turn:
-            sized = view.withColumn("members", F.count("*").over(by_sig))
-            view = sized.filter(F.col("members") <= SMALL_BUCKET)
-            blocked = block_pairs(sized.filter(F.col("members") > SMALL_BUCKET), nodes)
+            blocked = keep(block_links(view.filter(F.col("members") > SMALL_BUCKET).drop("members"), docs), "shingle-block-links")
+            view = view.filter(F.col("members") <= SMALL_BUCKET)
             found = view.select("sig", one).join(view.select("sig", two), "sig").filter("x.comp < y.comp")
         else:
             lead = F.max(F.struct("deg", (-F.col("doc")).alias("neg"), one)).over(by_sig)
             found = view.select(lead.getField("x").alias("x"), two).filter("x.comp <> y.comp")
         fits = (F.col("x.n_min") * PERCENT <= F.col("y.n_max") * 100) & (F.col("y.n_min") * PERCENT <= F.col("x.n_max") * 100)
         found = found.filter(fits).select(F.least("x.doc", "y.doc").alias("a"), F.greatest("x.doc", "y.doc").alias("b")).distinct()
-        if blocked is not None:
-            found = found.unionByName(blocked).distinct()
         if tried is not None:
             found = found.join(tried, ["a", "b"], "left_anti")
         found = keep(found, "shingle-pairs")
@@ -423,6 +488,8 @@ def classes(docs: DataFrame) -> DataFrame:
             continue
         near = keep(near_pairs(found, nodes), "shingle-near")
         good = keep(verify(near, docs), "shingle-links")
+        if blocked is not None:
+            good = good.unionByName(blocked)
         links = good if links is None else links.unionByName(good)
         tried = found if tried is None else tried.unionByName(found)
         if not last_turn and not (turn and good.isEmpty()):
