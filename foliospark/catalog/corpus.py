@@ -7,6 +7,7 @@ from ..functions import classify as C
 from ..functions import names as N
 from ..operators import folders as FO
 from ..operators import reports as R
+from ..session import cut
 from ..sources import corpus as CO
 from ..streaming import streams as ST
 from .base import CORPUS_SQL, SIDECAR_SQL, corpus, name_type_sql, query, run_dir, sidecar, table
@@ -72,7 +73,9 @@ def _(spark, sf):
 def _(spark, sf):
     # Sidecar files of one object each, with stray values that are no text.
     path = run_dir(spark, "sidecar")
-    rows = sidecar(spark, sf).withColumn("part", F.pmod(F.xxhash64("uri"), F.lit(32)))
+    rows = cut(sidecar(spark, sf))
+    files = max(1, rows.count() // 20000)
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("uri"), F.lit(files)))
     objects = rows.groupBy("part").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("uri", "doc_type")))).alias("o"))
     objects.select("part", F.regexp_replace("o", r"\}$", ',"stray":{"a":1},"n":7}').alias("value")).write.partitionBy("part").text(path)
     return CO.read_sidecar(spark, path)

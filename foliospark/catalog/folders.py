@@ -62,6 +62,19 @@ def _(spark, sf):
     return FO.related_folders(seeds, f, noise)
 
 
+@query(
+    "j7_shared_words",
+    f"""WITH w AS (SELECT DISTINCT folder, unnest(string_split({norm_sql('folder')}, ' ')) AS w FROM ({FOLDERS_SQL}) f),
+      n AS (SELECT w, count(*) AS n FROM w WHERE w <> '' GROUP BY 1)
+    SELECT folder, w.w AS word, n - 1 AS others, n AS held FROM w JOIN n ON n.w = w.w WHERE n > 1 AND {_DISTINCTIVE.replace('w NOT IN', 'w.w NOT IN').replace('matches(w', 'matches(w.w').replace('length(w)', 'length(w.w)')}""",
+)
+def _(spark, sf):
+    # Every folder with every distinctive word it shares, and how many folders the word's blocks hold.
+    links, members = FO.shared_words(folders(spark, sf))
+    held = members.groupBy("word").agg(F.sum(F.size("folders")).alias("held"))
+    return links.join(held, "word").select("folder", "word", "others", "held")
+
+
 @query(
     "a7_folder_inventory",
     f"""WITH t AS (SELECT e.*, coalesce(nullif(s.doc_type, ''), {name_type_sql('name')}) AS doc_type FROM ({ENUM_SQL}) e LEFT JOIN ({SIDECAR_SQL}) s USING (uri)),

@@ -8,8 +8,9 @@ from ..operators import folders as FO
 from ..operators import history as H
 from ..operators import match as M
 from ..operators import search as S
+from ..operators.text_index import TextIndex
 from ..session import cut
-from .base import CORPUS_SQL, case_of, corpus, lit, matches, norm_sql, query, sidecar, sql_list, table
+from .base import CORPUS_SQL, case_of, corpus, lit, matches, norm_sql, query, run_dir, sidecar, sql_list, table
 from .folders import ENUM_SQL, FOLDERS_SQL, folders
 from .names import LAYERED_SQL
 
@@ -170,7 +171,24 @@ WITH d AS (SELECT doc_id, source, lang, list_filter(string_split_regex(lower(tex
 )
 def _(spark, sf):
     b = table(spark, sf, "benchmark").select("item_id", col("text").alias("query"))
-    return S.text_search(b, table(spark, sf, "documents").select("doc_id", "text").repartition("doc_id")).select("item_id", "doc_id", "score", "rank")
+    return S.text_search(b, table(spark, sf, "documents").select("doc_id", "text")).select("item_id", "doc_id", "score", "rank")
+
+
+@query(
+    "m7_stored_index",
+    BM25_SQL + " SELECT item_id, doc_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM (SELECT item_id, doc_id, round(sum(part), 6) AS score FROM h GROUP BY 1, 2) s) r WHERE rank <= 10",
+)
+def _(spark, sf):
+    # All documents are indexed, some with an older text and some beside ids that go away; then the changes come.
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    index = TextIndex(spark, run_dir(spark, "index"))
+    late = F.pmod(F.xxhash64("doc_id"), F.lit(50)) == 0
+    old = docs.withColumn("text", F.when(late, F.concat_ws(" ", F.lit("an older text"), F.substring("text", 1, 200))).otherwise(col("text")))
+    extra = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(20)) == 1).withColumn("doc_id", -1 - col("doc_id"))
+    index.update(old.unionByName(extra))
+    index.update(docs.filter(late), extra.select("doc_id"))
+    b = table(spark, sf, "benchmark").select("item_id", col("text").alias("query"))
+    return index.search(b).select("item_id", "doc_id", "score", "rank")
 
 
 _WANT = "CASE item_id % 3 WHEN 0 THEN 'de' WHEN 1 THEN 'en' ELSE 'xx' END"
@@ -178,7 +196,7 @@ _WANT = "CASE item_id % 3 WHEN 0 THEN 'de' WHEN 1 THEN 'en' ELSE 'xx' END"
 
 def filtered_search(spark, sf):
     b = table(spark, sf, "benchmark").select("item_id", col("text").alias("query"), F.expr(_WANT).alias("want"))
-    docs = table(spark, sf, "documents").select("doc_id", "text", "lang").repartition("doc_id")
+    docs = table(spark, sf, "documents").select("doc_id", "text", "lang")
     scores = cut(S.text_scores(b, docs, carry=["lang"], own=["item_id", "want"]))
     kept = S.best_hits(b, scores, keep=col("lang") == col("want"), own=["item_id", "want"])
     return b, scores, kept.select("item_id", "doc_id", "score", "rank")

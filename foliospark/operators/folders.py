@@ -81,6 +81,39 @@ def related_folders(seeds: DataFrame, folders: DataFrame, noise: Sequence[str] =
     return seed_words.join(other_words, "word").filter("related <> folder").select("folder", "related").distinct()
 
 
+#: Most folders, about, in one block of a word's members.
+MEMBERS = 1000
+
+
+def shared_words(folders: DataFrame, noise: Sequence[str] = rules.CATEGORY_NOISE_WORDS) -> tuple[DataFrame, DataFrame]:
+    """Related folders without a row for every pair: links and members.
+
+    ``links (folder, word, others)``: the distinctive words of a folder that
+    ``others`` more folders have. ``members (word, block, folders)``: the
+    folders of each such word, in blocks of bounded size. Both grow with the
+    words of the folders; ``related_through`` reads the pairs of some folders.
+    """
+    norm = normalize_name(F.col("folder"))
+    held = folders.select("folder").distinct().select("folder", F.explode(F.array_distinct(words(norm))).alias("word"))
+    telling = folders.select("folder").distinct().select("folder", F.explode(distinctive(norm, noise)).alias("word"))
+    sizes = held.groupBy("word").agg(F.count("*").alias("n")).filter("n > 1")
+    used = sizes.join(telling.select("word").distinct(), "word", "left_semi")
+    blocks = F.ceil(F.col("n") / MEMBERS)
+    members = (
+        held.join(used, "word").withColumn("block", F.pmod(F.xxhash64("folder"), blocks).cast("int"))
+        .groupBy("word", "block").agg(F.array_sort(F.collect_list("folder")).alias("folders"))
+    )
+    links = telling.join(used, "word").select("folder", "word", (F.col("n") - 1).alias("others"))
+    return links, members
+
+
+def related_through(seeds: DataFrame, links: DataFrame, members: DataFrame) -> DataFrame:
+    """The rows of ``related_folders`` for some seed folders, read from ``shared_words``."""
+    mine = seeds.select("folder").distinct().join(links, "folder").select("folder", "word")
+    found = mine.join(members, "word").select("folder", F.explode("folders").alias("related"))
+    return found.filter("related <> folder").distinct()
+
+
 def top_names(files: DataFrame, group: Sequence[str], n: int, order: Sequence[str] = ("name",), value: str = "name") -> DataFrame:
     """First ``n`` names per group as an array; the limit also runs map-side."""
     w = Window.partitionBy(*group).orderBy(*order)

@@ -91,6 +91,18 @@ def name_side(name: Column) -> Column:
     )
 
 
+def word_score(q: Column, shared: Column, strong: Column, covered: Column, name_strong: Column) -> Column:
+    """Score of a name by the numbers of words it shares with a query: any, distinctive, and distinctive of its core."""
+    coverage = covered / F.greatest(name_strong, F.lit(1))
+    core_ratio = covered / F.greatest(q["core"], F.lit(1))
+    return (
+        F.when(strong == 0, F.lit(0.0))
+        .when((covered >= 2) & (coverage >= 0.5) & (core_ratio >= 0.7), 100.0 + 5.0 * covered + 20.0 * core_ratio)
+        .when((covered >= 3) & (coverage >= 0.4), 100.0 + 5.0 * covered)
+        .otherwise(30.0 * (shared / q["asked"]) + 5.0 * strong)
+    )
+
+
 def side_score(q: Column, n: Column) -> Column:
     """Score of a name side for a query side."""
     value = F.struct(
@@ -100,15 +112,7 @@ def side_score(q: Column, n: Column) -> Column:
     )
 
     def by_words(v: Column) -> Column:
-        covered = v["covered"]
-        coverage = covered / F.greatest(n["strong"], F.lit(1))
-        core_ratio = covered / F.greatest(q["core"], F.lit(1))
-        return (
-            F.when(v["strong"] == 0, F.lit(0.0))
-            .when((covered >= 2) & (coverage >= 0.5) & (core_ratio >= 0.7), 100.0 + 5.0 * covered + 20.0 * core_ratio)
-            .when((covered >= 3) & (coverage >= 0.4), 100.0 + 5.0 * covered)
-            .otherwise(30.0 * (v["shared"] / q["asked"]) + 5.0 * v["strong"])
-        )
+        return word_score(q, v["shared"], v["strong"], v["covered"], n["strong"])
 
     name, raw, core = n["n"], q["q"], q["c"]
     return (
@@ -130,17 +134,45 @@ def top_n(df: DataFrame, group: Sequence[str], order: Sequence[Column], n: int,
     return df.withColumn(out, F.row_number().over(w)).filter(F.col(out) <= n)
 
 
-#: Words in more names than this are looked up only for queries whose best names they could change.
+#: Words in more names than this are frequent: names that share only such words are listed by the words they share.
 RARE_NAMES = 200
+#: Most words of a list; names that share more are in lists of so many of them.
+LIST_WORDS = 4
+
+
+def word_lists(names: DataFrame, name_words: DataFrame, items: DataFrame) -> DataFrame:
+    """``(words, key, strong, norm, at)``: each name in the lists of all sets of up to LIST_WORDS items in it.
+
+    ``items (word, distinctive, df)`` are the words that lists are made of; a
+    list holds a distinctive one and is known by its words and the number of
+    distinctive words in its names. ``key`` is its rarest word.
+    """
+    held = (
+        name_words.join(items, "word").groupBy("norm")
+        .agg(F.array_sort(F.collect_list("word")).alias("items"), F.collect_list(F.when(F.col("distinctive"), F.col("word"))).alias("strong_items"),
+             F.map_from_entries(F.collect_list(F.struct("word", "df"))).alias("dfs"))
+        .filter(F.size("strong_items") > 0)
+    )
+    grown = F.aggregate(
+        "items", F.expr("array(cast(array() as array<string>))"),
+        lambda sets, w: F.concat(sets, F.transform(F.filter(sets, lambda x: F.size(x) < LIST_WORDS), lambda x: F.array_append(x, w))),
+    )
+    lists = explode_once(held, F.filter(grown, lambda x: F.arrays_overlap(x, F.col("strong_items"))), "words")
+    key = F.array_min(F.transform("words", lambda w: F.struct(F.col("dfs")[w].alias("df"), w.alias("w"))))["w"]
+    return lists.withColumn("key", key).join(names, "norm").select("words", "key", F.col("_n.strong").alias("strong"), "norm", _place().alias("at"))
+
+
+def _place() -> Column:
+    """Where a name stands in every list."""
+    return F.concat("first_uri", F.lit("\x00"), "norm")
 
 
-def hot_bound(q: Column, hot: Column) -> Column:
-    """Most that a name can score which shares of a query's distinctive words only ``hot`` ones, and contains neither way."""
-    h = F.size(hot)
-    core = F.size(F.array_intersect(q["strong_core"], hot))
-    shared = F.least(q["asked"], h + q["asked"] - F.size(q["strong"]))
-    by_share = 30.0 * (shared / q["asked"]) + 5.0 * h
-    return F.when(core >= 2, F.greatest(by_share, 120.0 + 5.0 * core)).otherwise(by_share)
+def list_bound(q: Column, words_: Column, name_strong: Column) -> Column:
+    """Score of a name that shares just these words with a query, or the most that one sharing more than lists hold can get."""
+    common = lambda side: F.size(F.array_intersect(side, words_))
+    exact = word_score(q, F.size(words_), common(q["strong"]), common(q["strong_core"]), name_strong)
+    most = F.greatest(120.0 + 5.0 * F.size(q["strong_core"]), 30.0 + 5.0 * F.size(q["strong"]))
+    return F.when(F.size(words_) < LIST_WORDS, exact).otherwise(most)
 
 
 def name_matches(queries: DataFrame, corpus: DataFrame, n: int = 5, query: str = "query") -> DataFrame:
@@ -151,46 +183,69 @@ def name_matches(queries: DataFrame, corpus: DataFrame, n: int = 5, query: str =
     A name in the cut brings its first ``n`` files, which makes the final cut,
     by score and then uri, exact.
 
-    Names are looked up by a query's rare words first. A name that shares only
-    words of many names has a bounded score; where ``n`` names are above that
-    bound, the frequent words of the query are not looked up at all.
+    Names are looked up by a query's rare words. Those that share only
+    frequent ones are in lists by the words they share, where all score alike:
+    a list is read from its front, in order of uri, as long as the score of
+    what is left of it could change a query's best ``n``. Longer pieces are
+    read each time, so few rounds end every list, and queries ask for nothing
+    that could not matter. Names that contain a query are cut to the shortest
+    ``n`` of each phrase, which score highest.
     """
     asked = queries.withColumn("norm_q", normalize_name(F.col(query))).filter("norm_q <> ''")
     distinct_q = cut(asked.select("norm_q").distinct().withColumn("core_q", core_query(F.col("norm_q"))))
-    query_sides = distinct_q.select("norm_q", query_side(F.col("norm_q"), F.col("core_q")).alias("_q"))
+    query_sides = cut(distinct_q.select("norm_q", query_side(F.col("norm_q"), F.col("core_q")).alias("_q")))
     files = corpus.withColumn("norm", normalize_name(F.col("name"))).filter("norm <> ''").select("norm", "name", "uri")
-    names = cut(files.groupBy("norm").agg(F.min("uri").alias("first_uri")))
-    name_sides = names.withColumn("_n", name_side(F.col("norm")))
+    names = cut(files.groupBy("norm").agg(F.min("uri").alias("first_uri")).withColumn("_n", name_side(F.col("norm"))))
 
-    name_words = _word_rows(names.select("norm"), "norm")
-    asked_words = explode_once(query_sides, F.col("_q.strong"), "word").select("norm_q", "word")
-    spread = name_words.join(asked_words.select("word").distinct(), "word", "left_semi").groupBy("word").agg(F.count("*").alias("df"))
-    asked_words = cut(asked_words.join(spread, "word"))
-    rare, hot = asked_words.filter(F.col("df") <= RARE_NAMES), asked_words.filter(F.col("df") > RARE_NAMES)
+    name_words = explode_once(names, F.col("_n.words"), "word").select("norm", "word")
+    asked_words = explode_once(query_sides, F.col("_q.words"), "word").select("norm_q", "word", F.array_contains("_q.strong", F.col("word")).alias("distinctive"))
+    vocabulary = asked_words.select("word", "distinctive").distinct()
+    spread = cut(name_words.join(vocabulary, "word").groupBy("word", "distinctive").agg(F.count("*").alias("df")))
+    rare = spread.filter(F.col("distinctive") & (F.col("df") <= RARE_NAMES))
+    items = spread.filter(~F.col("distinctive") | (F.col("df") > RARE_NAMES))
 
     phrases = distinct_q.select("norm_q", F.explode(F.array_distinct(F.array("norm_q", "core_q"))).alias("phrase"))
     distinct_phrases = phrases.select("phrase").distinct()
-    inside = contained_pairs(distinct_phrases, names.select("norm"), "phrase", "norm").join(phrases, "phrase")
+    inside = contained_pairs(distinct_phrases, names.select("norm"), "phrase", "norm").join(names.select("norm", "first_uri"), "norm")
+    inside = top_n(inside, ["phrase"], [F.length("norm"), F.col("first_uri")], n, "_r").join(phrases, "phrase")
     around = contained_pairs(names.select("norm"), distinct_phrases, "norm", "phrase").join(phrases, "phrase")
 
     def score(pairs: DataFrame) -> DataFrame:
-        return (
-            pairs.join(query_sides, "norm_q").join(name_sides, "norm")
+        return cut(
+            pairs.join(query_sides, "norm_q").join(names, "norm")
             .transform(lambda df: computed(df, score=side_score(F.col("_q"), F.col("_n"))))
             .filter("score > 0").select("norm_q", "norm", "first_uri", "score")
         )
 
     pairs = (
-        rare.join(name_words, "word").select("norm_q", "norm")
+        asked_words.join(rare.select("word"), "word").join(name_words, "word").select("norm_q", "norm")
         .unionByName(inside.select("norm_q", "norm")).unionByName(around.select("norm_q", "norm")).distinct()
     )
-    scored = cut(score(pairs))
-    bounds = hot.groupBy("norm_q").agg(F.collect_set("word").alias("_hot")).join(query_sides, "norm_q").select(
-        "norm_q", hot_bound(F.col("_q"), F.col("_hot")).alias("bound")
+    scored = score(pairs)
+    lists = cut(word_lists(names, name_words, items))
+    sizes = cut(lists.groupBy("words", "key", "strong").agg(F.count("*").alias("rows")))
+    # What a query may take from a list, and up to where the list has been read for all queries so far.
+    open_lists = cut(
+        sizes.join(asked_words.select("norm_q", F.col("word").alias("key")), "key").join(query_sides, "norm_q")
+        .filter(F.size(F.array_except("words", F.col("_q.words"))) == 0)
+        .select("norm_q", "words", "strong", "rows", list_bound(F.col("_q"), F.col("words"), F.col("strong")).alias("bound"))
+        .filter("bound > 0").withColumn("read", F.lit(0)).withColumn("last", F.lit(""))
     )
-    sure = scored.join(bounds, "norm_q").filter("score > bound").groupBy("norm_q").agg(F.count("*").alias("above")).filter(F.col("above") >= n)
-    more = hot.join(sure, "norm_q", "left_anti").join(name_words, "word").select("norm_q", "norm").distinct()
-    scored = scored.unionByName(score(more.join(scored, ["norm_q", "norm"], "left_anti")))
+    block = n
+    while not open_lists.isEmpty():
+        wanted = open_lists.groupBy("words", "strong").agg(F.max("last").alias("last"), F.max("read").alias("read"))
+        left = lists.join(wanted, ["words", "strong"]).filter(F.col("at") > F.col("last"))
+        piece = cut(top_n(left, ["words", "strong"], [F.col("at")], block, "_r").select("words", "strong", "norm", "at"))
+        found = open_lists.select("norm_q", "words", "strong").join(piece, ["words", "strong"]).select("norm_q", "norm").distinct()
+        scored = scored.unionByName(score(found.join(scored, ["norm_q", "norm"], "left_anti")))
+        worst = top_n(scored, ["norm_q"], [F.col("score").desc(), F.col("first_uri")], n, "_r").filter(F.col("_r") == n)
+        worst = worst.select("norm_q", "score", _place().alias("at"))
+        ends = piece.groupBy("words", "strong").agg(F.max("at").alias("end"), F.count("*").alias("more"))
+        after = open_lists.join(ends, ["words", "strong"]).withColumn("read", F.col("read") + F.col("more"))
+        after = after.withColumn("last", F.col("end")).drop("end", "more").filter("read < rows")
+        sure = (F.col("score") > F.col("bound")) | ((F.col("score") == F.col("bound")) & (F.col("at") <= F.col("last")))
+        open_lists = cut(after.join(worst, "norm_q", "left").filter(F.col("score").isNull() | ~sure).drop("score", "at"))
+        block *= 4
 
     best = top_n(scored, ["norm_q"], [F.col("score").desc(), F.col("first_uri")], n).select("norm_q", "norm", "score")
     held = top_n(files, ["norm"], [F.col("uri")], n, "_r").drop("_r")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import rules
@@ -13,6 +13,7 @@ from ..functions.classify import doc_type_from_name
 from ..functions.names import doc_id, doc_sha1, extract_date, extract_property, repair_title, suffix
 from ..functions.text import bind, first_hit, nonempty, strip
 from ..functions.values import get, is_object, truthy_at
+from ..session import cut
 
 
 def scan_corpus(spark: SparkSession, root: str, glob: str | None = None, prefix: str = "") -> DataFrame:
@@ -61,12 +62,43 @@ def listing(files: DataFrame, root: str, prefix: str = "") -> DataFrame:
 
 
 def read_sidecar(spark: SparkSession, path: str) -> DataFrame:
-    """(uri, doc_type) of a sidecar file holding one JSON object; other values dropped.
+    """(uri, doc_type) of sidecar files, each holding one JSON object; other values dropped.
 
-    The object is one value on disk; new sidecars are written as tables of rows
-    instead, which have no such limit.
+    A file is read in ranges by many tasks, cut at every comma. Whether a cut
+    lies inside a string, and how deep inside other values, follows from the
+    quotes and brackets of all pieces before it: these are summed per range,
+    carried from range to range, and then within each range. Pieces between
+    two cuts outside any string or inner value make up one entry.
     """
-    return sidecar_rows(spark.read.text(path, wholetext=True))
+    pieces = spark.read.option("lineSep", ",").text(path).select(
+        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"),
+    )
+    bare = F.regexp_replace("value", r"\\.", "")
+    pieces = pieces.withColumn("quotes", (F.regexp_count(bare, F.lit('"')) % 2).cast("int"))
+    state = cut(_carried(pieces, "quotes").withColumn("inside", F.pmod("before_quotes", F.lit(2))).drop("before_quotes", "quotes"))
+    # Outside of strings only brackets change the depth; the file's own braces keep every entry at 1.
+    plain = F.regexp_replace(F.regexp_replace(F.concat(F.when(F.col("inside") == 1, '"').otherwise(""), bare), r'"[^"]*"', ""), r'"[^"]*$', "")
+    state = state.withColumn("depth", (F.regexp_count(plain, F.lit(r"[{\[]")) - F.regexp_count(plain, F.lit(r"[}\]]"))).cast("int"))
+    state = _carried(state, "depth").withColumn("starts", (F.col("inside") == 0) & (F.col("before_depth") <= 1))
+    state = cut(state.select("file", "block", "at", "value", F.col("starts").cast("int").alias("starts")))
+    numbered = _carried(state, "starts").withColumn("entry", F.col("before_starts") + F.col("starts"))
+    whole = numbered.groupBy("file", "entry").agg(F.array_sort(F.collect_list(F.struct("block", "at", "value"))).alias("p"))
+    text = F.array_join(F.transform("p", lambda x: x["value"]), ",")
+    # Of an entry, its pair alone: the file's own braces stand at the first and behind the last.
+    pair = F.regexp_replace(F.regexp_replace(text, r"^\s*\{", ""), r"\}\s*$", "")
+    kept = F.when(F.col("last") & text.rlike(r"\}\s*$"), pair).otherwise(F.regexp_replace(text, r"^\s*\{", ""))
+    last = F.col("entry") == F.max("entry").over(Window.partitionBy("file"))
+    return sidecar_rows(whole.withColumn("last", last).select(F.concat(F.lit("{"), kept, F.lit("}")).alias("value")))
+
+
+def _carried(rows: DataFrame, column: str) -> DataFrame:
+    """``rows`` with ``before_<column>``, the sum of ``column`` over all rows of the file before: per range, then inside ranges."""
+    ranges = cut(rows.groupBy("file", "block").agg(F.sum(column).alias("s")))
+    earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    base = ranges.select("file", "block", F.coalesce(F.sum("s").over(earlier), F.lit(0)).alias("_base"))
+    inner = Window.partitionBy("file", "block").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    run = rows.join(base, ["file", "block"]).withColumn(f"before_{column}", F.col("_base") + F.coalesce(F.sum(column).over(inner), F.lit(0)))
+    return run.drop("_base")
 
 
 def sidecar_rows(objects: DataFrame, column: str = "value") -> DataFrame:
@@ -320,43 +352,35 @@ def plain_text(content: Column, ext: Column) -> Column:
 def extract_text(files: DataFrame, decoders: dict[str, Decoder] | None = None, limit: int | None = None) -> DataFrame:
     """Add ``text`` and ``error`` to (path, content) rows, whole texts unless ``limit`` cuts them.
 
-    Plain and HTML files are decoded by the engine. Other suffixes go, in Arrow
-    batches, through the given decoders, if any; without one their text is
-    empty. Files are read once.
+    Plain and HTML files are decoded by the engine, a file without a decoder
+    has an empty text and an error. Only files of a suffix in ``decoders`` go
+    to Python, in Arrow batches, in a second scan of the files.
     """
     ext = F.col("ext")
-    known = ext.isin(*rules.TEXT_EXTS, *rules.HTML_EXTS)
+    known = F.coalesce(ext.isin(*rules.TEXT_EXTS, *rules.HTML_EXTS), F.lit(False))
     typed = files.withColumn("ext", suffix(F.substring_index("path", "/", -1)))
-    typed = typed.withColumn("text", plain_text(F.col("content"), ext)).withColumn(
-        "content", F.when(~known | ext.isNull(), F.col("content"))
-    )
-    if not decoders:
-        typed = typed.withColumn("error", F.when(~known | ext.isNull(), "no decoder"))
-        typed = typed.withColumn("text", F.when(F.col("error").isNotNull(), "").otherwise(F.col("text")))
-    else:
-        table, plain = dict(decoders), frozenset(rules.TEXT_EXTS + rules.HTML_EXTS)
+    table = {k: v for k, v in (decoders or {}).items() if k not in {*rules.TEXT_EXTS, *rules.HTML_EXTS}}
+    coded = F.coalesce(ext.isin(*table), F.lit(False)) if table else F.lit(False)
+    done = typed.filter(~coded).withColumn("text", F.when(known, plain_text(F.col("content"), ext)).otherwise("")).withColumn(
+        "error", F.when(~known, "no decoder")
+    ).drop("content")
+    if table:
 
         def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
                 texts, errors = [], []
-                for content, kind, text in zip(pdf["content"], pdf["ext"], pdf["text"]):
-                    error = None
-                    if kind not in plain:
-                        text = ""
-                        try:
-                            if kind in table:
-                                text = table[kind](content, kind)
-                            else:
-                                error = "no decoder"
-                        except Exception as exc:  # a broken file must not fail the job
-                            error = f"{type(exc).__name__}: {exc}"
+                for content, kind in zip(pdf["content"], pdf["ext"]):
+                    text, error = "", None
+                    try:
+                        text = table[kind](content, kind)
+                    except Exception as exc:  # a broken file must not fail the job
+                        error = f"{type(exc).__name__}: {exc}"
                     texts.append(text)
                     errors.append(error)
-                yield pdf.assign(text=texts, error=errors)
+                yield pdf.drop(columns="content").assign(text=texts, error=errors)
 
-        fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in typed.schema.fields)
-        typed = typed.mapInPandas(decode, f"{fields}, error string")
-    done = typed.drop("content")
+        fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in done.schema.fields)
+        done = done.unionByName(typed.filter(coded).mapInPandas(decode, fields))
     return done if limit is None else done.withColumn("text", F.substring("text", 1, limit))
 
 

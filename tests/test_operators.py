@@ -442,3 +442,181 @@ def test_stream_rate_and_sessions_read_the_rest_from_state(spark, tmp_path):
     assert sorted(r["n"] for r in closed.collect()) == [6, 6] and [(r["u"], r["n"]) for r in rest.collect()] == [("x", 2)]
     with pytest.raises(ValueError):
         ST.sliding_rate(stream, "ts", 60, 7)
+
+
+# ---- stored index
+
+
+def _hits(rows):
+    return sorted((r["query"], r["doc_id"], r["score"], r["rank"]) for r in rows.collect())
+
+
+def test_stored_index_equals_a_rebuild_after_deltas(spark, tmp_path):
+    from foliospark.operators.text_index import TextIndex
+
+    rnd = random.Random(4)
+    text = lambda: " ".join(rnd.choice(WORDS) for _ in range(rnd.randint(0, 30)))
+    queries = spark.createDataFrame([("spring ring",), ("the birch legal",), ("nothing here",), ("12 photos e",)], "query string")
+    index = TextIndex(spark, str(tmp_path / "i"), carry=["lang"])
+    assert index.search(queries).count() == 0
+    live = {}
+    for step in range(5):
+        add = {rnd.randrange(60): (text(), rnd.choice(["en", "de"])) for _ in range(25 if step == 0 else 6)}
+        gone = {rnd.randrange(60) for _ in range(5 if step else 0)}
+        docs = spark.createDataFrame([(i, *v) for i, v in add.items()], "doc_id long, text string, lang string")
+        index.update(docs, spark.createDataFrame([(i,) for i in gone], "doc_id long") if gone else None, batch=str(step))
+        live = {i: v for i, v in live.items() if i not in gone} | add
+        if step == 3:
+            index.merge()
+        whole = spark.createDataFrame([(i, *v) for i, v in live.items()], "doc_id long, text string, lang string")
+        assert _hits(index.search(queries)) == _hits(S.text_search(queries, whole, carry=["lang"]))
+    keep = F.col("lang") == "en"
+    assert _hits(index.search(queries, keep=keep)) == _hits(S.text_search(queries, whole, keep=keep, carry=["lang"]))
+
+
+def test_stored_index_reads_no_text_and_loads_a_batch_once(spark, tmp_path):
+    from foliospark.operators.text_index import TextIndex
+    from foliospark.plans import commits
+
+    root = str(tmp_path / "i")
+    index = TextIndex(spark, root)
+    docs = spark.createDataFrame([(1, "alder birch"), (1, "alder"), (2, None), (None, "alder")], "doc_id long, text string")
+    assert index.update(docs, batch="b") == index.update(docs, batch="b") == 1
+    assert commits.last(spark, root) == 1
+    got = index.search(spark.createDataFrame([("alder",)], "query string"))
+    assert [(r["doc_id"], r["rank"]) for r in got.collect()] == [(1, 1)]
+    fields = {n for t in ("postings", "lengths") for n in spark.read.parquet(f"{root}/{t}").columns}
+    assert fields == {"bucket", "term", "doc_id", "tf", "len", "load"}
+    index.update(None, spark.createDataFrame([(1,), (2,)], "doc_id long"))
+    assert index.search(spark.createDataFrame([("alder",)], "query string")).count() == 0
+
+
+# ---- sidecars and decoders
+
+
+def test_one_large_sidecar_object_is_read_in_ranges(spark, tmp_path, monkeypatch):
+    import json
+
+    rnd = random.Random(9)
+    odd = ['a,b', 'say "x, y"', "back\\", 'end\\"', "{", "}", "[1,2]", '","', ":", "é,", "\\,", ""]
+    rows = {f"u/{i}," + rnd.choice(odd): rnd.choice([*odd, "contract"]) for i in range(3000)}
+    stray = {"n": 7, "inner": {"a": "x,y", "b": [1, {"c": "}"}]}, "none": None, "list": ["p", "q,"], "flag": True}
+    items = [*rows.items(), *stray.items()]
+    rnd.shuffle(items)
+    (tmp_path / "s").mkdir()
+    (tmp_path / "s" / "one.json").write_text(json.dumps(dict(items), ensure_ascii=False) + "\n")
+    (tmp_path / "s" / "two.json").write_text(json.dumps({"k,1": "v", "k2": 3}, indent=2))
+    (tmp_path / "s" / "none.json").write_text("{}")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "5000")
+    try:
+        got = [tuple(r) for r in CO.read_sidecar(spark, str(tmp_path / "s")).collect()]
+        tasks = spark.read.option("lineSep", ",").text(str(tmp_path / "s" / "one.json")).rdd.getNumPartitions()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert tasks > 10 and sorted(got) == sorted([*rows.items(), ("k,1", "v")])
+
+
+def test_only_files_with_a_decoder_reach_python(spark):
+    files = spark.createDataFrame([("a.txt", b"plain"), ("b.html", b"<p>x</p>"), ("c.up", b"coded"), ("d.up", b"\xff"), ("e.bin", b"z"), ("f", b"q")], "path string, content binary")
+    seen = spark.sparkContext.accumulator(0)
+
+    def up(raw, ext):
+        seen.add(1)
+        return raw.decode("utf-8").upper()
+
+    got = {r["path"]: (r["text"].strip(), (r["error"] or "")[:12]) for r in CO.extract_text(files, {".up": up}).collect()}
+    assert got == {"a.txt": ("plain", ""), "b.html": ("x", ""), "c.up": ("CODED", ""), "d.up": ("", "UnicodeDecod"), "e.bin": ("", "no decoder"), "f": ("", "no decoder")}
+    assert seen.value == 2
+
+
+def test_a_filter_on_the_second_key_alone_skips_row_groups(spark, tmp_path):
+    rows = spark.range(60_000).select(
+        F.concat(F.lit("e"), "id").alias("event_id"), F.expr("date_add(date '2024-03-01', cast(id % 28 as int))").alias("event_date"),
+        F.concat(F.lit("p"), F.pmod(F.xxhash64("id"), F.lit(40))).alias("bucket"), F.concat(F.lit("f"), F.pmod(F.xxhash64(F.lit(1), "id"), F.lit(400))).alias("folder_key"),
+    )
+    path = str(tmp_path / "t")
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "32")
+    try:
+        W.write_table(rows, path, ("bucket", "folder_key"))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    table = spark.read.parquet(path)
+    assert table.count() == 60_000
+
+    def rows_read(cond):
+        hits = table.filter(cond)
+        hits._jdf.queryExecution().executedPlan().execute().count()
+        plan, found = hits._jdf.queryExecution().executedPlan(), []
+
+        def walk(node):
+            if "FileSourceScan" in node.getClass().getSimpleName():
+                found.append(node.metrics().apply("numOutputRows").value())
+            if node.getClass().getSimpleName() == "AdaptiveSparkPlanExec":
+                walk(node.executedPlan())
+            children = node.children()
+            for i in range(children.size()):
+                walk(children.apply(i))
+
+        walk(plan)
+        return sum(found), hits.count()
+
+    # 32 files hold five bits of the curve: two of either key and one of the day.
+    for cond, most in (("folder_key = 'f7'", 40_000), ("bucket = 'p3'", 40_000), ("event_date = date '2024-03-05'", 55_000)):
+        read, hits = rows_read(cond)
+        assert 0 < hits <= read < most, (cond, read, hits)
+
+
+def test_related_folders_through_shared_words(spark, monkeypatch):
+    monkeypatch.setattr(FO, "MEMBERS", 5)
+    names = [f"{i % 13} birch road {i}" for i in range(40)] + ["alder legal", "Alder, Legal", "photos of alder", "xy"]
+    folders = spark.createDataFrame([(n,) for n in names], "folder string")
+    seeds = folders.filter("folder like '%alder%' or folder like '1 %'")
+    links, members = FO.shared_words(folders, ["birch"])
+    got = {tuple(r) for r in FO.related_through(seeds, links, members).collect()}
+    assert got == {tuple(r) for r in FO.related_folders(seeds, folders, ["birch"]).collect()} and len(got) > 30
+    assert members.agg(F.max(F.size("folders"))).first()[0] < 20
+
+
+# ---- listing
+
+
+def test_store_listing_is_planned_per_prefix(spark, tmp_path):
+    from foliospark.sources import listing
+
+    want = {}
+    for i in range(30):
+        f = tmp_path / f"p{i % 4}" / f"q{i % 3}" / f"f {i}.txt"
+        f.parent.mkdir(parents=True, exist_ok=True)
+        f.write_text("x" * i)
+        want[f"p{i % 4}/q{i % 3}/f {i}.txt"] = i
+    (tmp_path / "top.txt").write_text("abc")
+    (tmp_path / "_marker").write_text("")
+    for root in (str(tmp_path), f"file://{tmp_path}"):
+        rows = listing.list_store(spark, root)
+        assert {r["path"]: r["size_bytes"] for r in rows.collect()} == want | {"top.txt": 3}
+        assert rows.rdd.getNumPartitions() == 5
+    assert all(r["uri"].startswith(f"file://{tmp_path}/") for r in rows.collect())
+    assert listing.list_store(spark, str(tmp_path / "absent")).count() == 0
+
+
+def test_store_listing_stream_resumes_at_its_cursor(spark, tmp_path):
+    from foliospark.sources import listing
+
+    root, out = tmp_path / "store", str(tmp_path / "out")
+    (root / "a").mkdir(parents=True)
+    (root / "a" / "1.txt").write_text("1")
+
+    def run():
+        query = (
+            listing.stream_store(spark, str(root), 0).writeStream.format("parquet").option("path", f"{out}/rows")
+            .option("checkpointLocation", f"{out}/check").trigger(once=True).start()
+        )
+        query.awaitTermination()
+        return sorted(r["path"] for r in spark.read.parquet(f"{out}/rows").collect())
+
+    assert run() == ["a/1.txt"]
+    (root / "b").mkdir()
+    (root / "b" / "2.txt").write_text("2")
+    assert run() == ["a/1.txt", "b/2.txt"] and run() == ["a/1.txt", "b/2.txt"]
