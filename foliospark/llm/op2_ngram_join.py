@@ -320,32 +320,52 @@ def _fold(rows: np.ndarray, width: int) -> np.ndarray:
     return np.bitwise_xor.reduce(rows.reshape(len(rows), -1, width), axis=1) if rows.shape[1] > width else rows
 
 
-def block_links(view: DataFrame, docs: DataFrame) -> DataFrame:
-    """Links ``(a, b)`` that connect what is linked inside large buckets ``(sig, doc, comp, n_max)``, no row for a pair without.
+def _block_active(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of two blocks of one bucket, the members with a member of another component that sizes and sketches do not rule out."""
+    for batch in batches:
+        for row in batch.to_pylist():
+            found = set()
+            by_size = [{}, {}]
+            for side, name in enumerate(("x", "y")):
+                for m in row[name]:
+                    by_size[side].setdefault(len(m["sketch"] or b""), []).append(m)
+            for wide, xs in by_size[0].items():
+                for narrow, ys in by_size[1].items():
+                    nx, ny = (np.array([m["n_max"] for m in ms]) for ms in (xs, ys))
+                    apart = np.array([m["comp"] for m in xs])[:, None] != np.array([m["comp"] for m in ys])[None, :]
+                    if wide and narrow:
+                        a, b = _parities([m["sketch"] for m in xs]), _parities([m["sketch"] for m in ys])
+                        width = min(a.shape[1], b.shape[1])
+                        a, b = _fold(a, width), _fold(b, width)
+                        room = (nx[:, None] + ny[None, :]) * (100 - PERCENT) // (100 + PERCENT)
+                        apart &= np.abs(nx[:, None] - ny[None, :]) <= room
+                        for i in np.flatnonzero(apart.any(1)):
+                            apart[i] &= np.bitwise_count(a[i] ^ b).sum(1) <= room[i]
+                    found.update(xs[i]["doc"] for i in np.flatnonzero(apart.any(1)))
+                    found.update(ys[j]["doc"] for j in np.flatnonzero(apart.any(0)))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([row["sig"]] * len(found), pa.int64()), pa.array(sorted(found), pa.int64())], ["sig", "doc"])
+
+
+def _met(view: DataFrame, members: DataFrame, columns: list[str], most: int, name: str) -> DataFrame:
+    """Blocks of large buckets ``(sig, doc, comp, n_max)`` that meet: ``sig, x, y, same``.
 
     Of buckets with the same members one is looked at. Its members are dealt
-    by a hash into blocks of bounded number and size, with their whole sets;
-    every two blocks that hold more than one component meet in a task of
-    their own and send back as many links as they merge components.
+    by a hash into blocks of about ``BLOCK`` of them and ``most`` features, with
+    ``columns`` of ``members``; every two blocks that hold more than one
+    component meet once.
     """
     of_sig = view.groupBy("sig").agg(
         F.count("*").alias("members"), F.sum("n_max").alias("features"),
         F.bit_xor(F.xxhash64("doc")).alias("one"), F.bit_xor(F.xxhash64(F.lit("other"), "doc")).alias("two"),
     )
-    blocks_of = F.greatest(F.ceil(F.col("members") / BLOCK), F.ceil(F.col("features") / BLOCK_FEATURES)).cast("int")
-    chosen = keep(
-        of_sig.groupBy("members", "features", "one", "two").agg(F.min("sig").alias("sig")).select("sig", blocks_of.alias("blocks")),
-        "shingle-large",
-    )
-    dealt = keep(
-        view.select("sig", "doc", "comp").join(chosen, "sig")
-        .withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int")).drop("blocks"), "shingle-dealt",
-    )
-    sets = keep(texts_of(docs, dealt.select("doc").distinct()).mapInArrow(_features, "doc long, features binary"), "shingle-features")
+    number = F.greatest(F.ceil(F.col("members") / BLOCK), F.ceil(F.col("features") / most)).cast("int")
+    chosen = keep(of_sig.groupBy("members", "features", "one", "two").agg(F.min("sig").alias("sig")).select("sig", number.alias("blocks")), f"{name}-large")
+    dealt = view.select("sig", "doc", "comp").join(chosen, "sig").withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
     blocks = keep(
-        dealt.join(sets, "doc").groupBy("sig", "block").agg(
-            F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.collect_list(F.struct("doc", "comp", "features")).alias("m")
-        ), "shingle-blocks",
+        dealt.join(members, "doc").groupBy("sig", "block").agg(
+            F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.collect_list(F.struct("doc", "comp", *columns)).alias("m")
+        ), f"{name}-blocks",
     )
     marks = blocks.select("sig", "block", "c0", "c1")
     second = marks.select("sig", F.col("block").alias("other"), F.col("c0").alias("o0"), F.col("c1").alias("o1"))
@@ -353,8 +373,21 @@ def block_links(view: DataFrame, docs: DataFrame) -> DataFrame:
     pairs = marks.join(second, "sig").filter((F.col("block") <= F.col("other")) & apart).select("sig", "block", "other")
     x = blocks.select("sig", "block", F.col("m").alias("x"))
     y = blocks.select("sig", F.col("block").alias("other"), F.col("m").alias("y"))
-    met = pairs.join(x, ["sig", "block"]).join(y, ["sig", "other"])
-    return met.select("x", "y", (F.col("block") == F.col("other")).alias("same")).mapInArrow(_block_links, "a long, b long").distinct()
+    return pairs.join(x, ["sig", "block"]).join(y, ["sig", "other"]).select("sig", "x", "y", (F.col("block") == F.col("other")).alias("same"))
+
+
+def block_links(view: DataFrame, sketches: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links ``(a, b)`` that connect what is linked inside large buckets ``(sig, doc, comp, n_max)``, no row for a pair without.
+
+    Blocks meet twice: first with sketches, which leave the members that may
+    have a partner in another component, then those alone with their whole
+    sets, and send back as many links as they merge components.
+    """
+    near = _met(view, sketches.select("doc", "n_max", "sketch"), ["n_max", "sketch"], 1 << 62, "shingle-sketched")
+    active = keep(near.mapInArrow(_block_active, "sig long, doc long").distinct(), "shingle-active")
+    left = view.join(active, ["sig", "doc"])
+    sets = keep(texts_of(docs, active.select("doc").distinct()).mapInArrow(_features, "doc long, features binary"), "shingle-features")
+    return _met(left, sets, ["features"], BLOCK_FEATURES, "shingle-whole").select("x", "y", "same").mapInArrow(_block_links, "a long, b long").distinct()
 
 
 def near_pairs(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
@@ -473,7 +506,7 @@ def classes(docs: DataFrame) -> DataFrame:
         one, two = _side("x"), _side("y")
         blocked = None
         if last_turn:
-            blocked = keep(block_links(view.filter(F.col("members") > SMALL_BUCKET).drop("members"), docs), "shingle-block-links")
+            blocked = keep(block_links(view.filter(F.col("members") > SMALL_BUCKET).drop("members"), nodes, docs), "shingle-block-links")
             view = view.filter(F.col("members") <= SMALL_BUCKET)
             found = view.select("sig", one).join(view.select("sig", two), "sig").filter("x.comp < y.comp")
         else:

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from foliospark.llm import op2_ngram_join as join
 from foliospark.llm._arrays import shingle_set
+from pyspark.sql import functions as F
 
 
 def family(seed, size, words, edits):
@@ -60,8 +61,10 @@ def test_block_links_are_few_and_connect(spark):
     assert set(want) == {0} and links == 60 * 59 // 2
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     view = spark.createDataFrame([(s, i, i, 400) for s in (1, 2, 3) for i in range(60)], "sig long, doc long, comp long, n_max long")
-    got = join.block_links(view, docs).collect()
+    sketches = spark.createDataFrame([(i, 400, bytearray(join.sketch(shingle_set(t.encode())))) for i, t in enumerate(texts)], "doc long, n_max long, sketch binary")
+    got = join.block_links(view, sketches, docs).collect()
     assert len(got) == 59
+    assert len(join.block_links(view, sketches.withColumn("sketch", F.lit(None).cast("binary")), docs).collect()) == 59
     comps = spark.createDataFrame([(1, i, i % 2, 400) for i in range(60)], "sig long, doc long, comp long, n_max long")
-    assert join.block_links(comps, docs).count() == 1
-    assert join.block_links(comps.filter("comp = 0"), docs).count() == 0
+    assert join.block_links(comps, sketches, docs).count() == 1
+    assert join.block_links(comps.filter("comp = 0"), sketches, docs).count() == 0
