@@ -136,6 +136,8 @@ def top_n(df: DataFrame, group: Sequence[str], order: Sequence[Column], n: int,
 
 #: Words in more names than this are frequent: names that share only such words are listed by the words they share.
 RARE_NAMES = 200
+#: Names that are read of a list first, times those wanted.
+FRONT = 4
 #: Most words of a list; names that share more are in lists of so many of them.
 LIST_WORDS = 4
 
@@ -193,7 +195,7 @@ def name_matches(queries: DataFrame, corpus: DataFrame, n: int = 5, query: str =
     """
     asked = queries.withColumn("norm_q", normalize_name(F.col(query))).filter("norm_q <> ''")
     distinct_q = cut(asked.select("norm_q").distinct().withColumn("core_q", core_query(F.col("norm_q"))))
-    query_sides = cut(distinct_q.select("norm_q", query_side(F.col("norm_q"), F.col("core_q")).alias("_q")))
+    query_sides = distinct_q.select("norm_q", query_side(F.col("norm_q"), F.col("core_q")).alias("_q"))
     files = corpus.withColumn("norm", normalize_name(F.col("name"))).filter("norm <> ''").select("norm", "name", "uri")
     names = cut(files.groupBy("norm").agg(F.min("uri").alias("first_uri")).withColumn("_n", name_side(F.col("norm"))))
 
@@ -223,7 +225,7 @@ def name_matches(queries: DataFrame, corpus: DataFrame, n: int = 5, query: str =
     )
     scored = score(pairs)
     lists = cut(word_lists(names, name_words, items))
-    sizes = cut(lists.groupBy("words", "key", "strong").agg(F.count("*").alias("rows")))
+    sizes = lists.groupBy("words", "key", "strong").agg(F.count("*").alias("rows"))
     # What a query may take from a list, and up to where the list has been read for all queries so far.
     open_lists = cut(
         sizes.join(asked_words.select("norm_q", F.col("word").alias("key")), "key").join(query_sides, "norm_q")
@@ -231,7 +233,7 @@ def name_matches(queries: DataFrame, corpus: DataFrame, n: int = 5, query: str =
         .select("norm_q", "words", "strong", "rows", list_bound(F.col("_q"), F.col("words"), F.col("strong")).alias("bound"))
         .filter("bound > 0").withColumn("read", F.lit(0)).withColumn("last", F.lit(""))
     )
-    block = n
+    block = n * FRONT
     while not open_lists.isEmpty():
         wanted = open_lists.groupBy("words", "strong").agg(F.max("last").alias("last"), F.max("read").alias("read"))
         left = lists.join(wanted, ["words", "strong"]).filter(F.col("at") > F.col("last"))
