@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import rules
-from ..session import shared_dir
+from ..session import shared_dir, spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -131,13 +131,20 @@ def sql_table(spark: SparkSession, sf_dir: str, sql: str, *tables: str) -> DataF
     return spark.sql(sql)
 
 
+def part_view(spark: SparkSession, sf_dir: str) -> None:
+    """Parts as a view; their names and paths are made in as many tasks as a shuffle has."""
+    spread(table(spark, sf_dir, "part"), "p_partkey").createOrReplaceTempView("part")
+
+
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = sql_table(spark, sf_dir, CORPUS_SQL, "part")
+    part_view(spark, sf_dir)
+    df = spark.sql(CORPUS_SQL)
     return df.withColumn("updated", F.timestamp_seconds("updated_s"))
 
 
 def sidecar(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sql_table(spark, sf_dir, SIDECAR_SQL, "part")
+    part_view(spark, sf_dir)
+    return spark.sql(SIDECAR_SQL)
 
 
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:

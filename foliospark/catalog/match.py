@@ -9,8 +9,8 @@ from ..operators import history as H
 from ..operators import match as M
 from ..operators import search as S
 from ..operators.text_index import TextIndex
-from ..session import cut
-from .base import CORPUS_SQL, case_of, corpus, lit, matches, norm_sql, query, run_dir, sidecar, sql_list, table
+from ..session import apart, cut
+from .base import CORPUS_SQL, case_of, corpus, lit, matches, norm_sql, part_view, query, run_dir, sidecar, sql_list, table
 from .folders import ENUM_SQL, FOLDERS_SQL, folders
 from .names import LAYERED_SQL
 
@@ -26,8 +26,7 @@ ASKED_SQL = """SELECT DISTINCT CASE p_partkey % 4 WHEN 0 THEN concat('show me th
 
 
 def asked(spark, sf):
-    part = table(spark, sf, "part")
-    part.createOrReplaceTempView("part")
+    part_view(spark, sf)
     return spark.sql(ASKED_SQL)
 
 
@@ -108,7 +107,7 @@ def folder_files(spark, sf):
     """Files of the folder each query is about, with their types."""
     found = M.detect_folders(asked(spark, sf), folders(spark, sf)).filter("folder is not null").select("query", "folder")
     files = FO.with_doc_type(FO.enumerate_folders(corpus(spark, sf), found.select("folder").distinct()), sidecar(spark, sf))
-    return found.join(files, "folder")
+    return found.join(apart(files), "folder")
 
 
 @query("m4_rank_folder_files", RANK_SQL + " SELECT query, uri, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, path) AS rank FROM ranked) t WHERE rank <= 10")

@@ -15,6 +15,7 @@ from .. import rules
 from ..functions.classify import bucket_of, doc_type_or_name, predicted_purpose_from, purpose_from
 from ..functions.names import distinctive, doc_id, normalize_name, path_folders, path_parts, suffix
 from ..functions.text import computed, ends_with_any, explode_once, strip, words
+from ..session import apart
 
 
 def folder_set(corpus: DataFrame, prefix: str = "mirror/") -> DataFrame:
@@ -35,7 +36,7 @@ def with_doc_type(corpus: DataFrame, sidecar: DataFrame | None) -> DataFrame:
     """Add ``doc_type``: the stored one where there is one, else by file name."""
     if sidecar is None:
         return corpus.withColumn("doc_type", doc_type_or_name(F.lit(None).cast("string"), F.col("name")))
-    joined = corpus.join(sidecar.select("uri", F.col("doc_type").alias("_stored")), "uri", "left")
+    joined = corpus.join(apart(sidecar.select("uri", F.col("doc_type").alias("_stored"))), "uri", "left")
     return joined.withColumn("doc_type", doc_type_or_name(F.col("_stored"), F.col("name"))).drop("_stored")
 
 
@@ -67,7 +68,7 @@ def folder_hits(corpus: DataFrame, extensions: Sequence[str] | None = rules.SEAR
 def enumerate_folders(corpus: DataFrame, folders: DataFrame, **kw) -> DataFrame:
     """Files below each wanted folder: one join on the normalised name."""
     wanted = folders.withColumn("folder_norm", normalize_name(F.col("folder"))).filter("folder_norm <> ''")
-    return folder_hits(corpus, **kw).join(wanted, "folder_norm").drop("folder_norm")
+    return folder_hits(corpus, **kw).join(apart(wanted), "folder_norm").drop("folder_norm")
 
 
 def related_folders(seeds: DataFrame, folders: DataFrame, noise: Sequence[str] = rules.CATEGORY_NOISE_WORDS) -> DataFrame:

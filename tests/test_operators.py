@@ -620,3 +620,17 @@ def test_store_listing_stream_resumes_at_its_cursor(spark, tmp_path):
     (root / "b").mkdir()
     (root / "b" / "2.txt").write_text("2")
     assert run() == ["a/1.txt", "b/2.txt"] and run() == ["a/1.txt", "b/2.txt"]
+
+
+# ---- larger tables
+
+
+def test_joins_of_files_broadcast_neither_side(spark, tmp_path):
+    # Small on disk, so that a plan made from sizes of files would broadcast it.
+    spark.range(1000).selectExpr("concat('store://corpus/a/b c/', id % 3, '.pdf') as uri", "concat('a/b c/', id % 3, '.pdf') as path",
+                                 "concat(id % 3, '.pdf') as name", "'deed' as doc_type").write.parquet(f"{tmp_path}/files")
+    files = spark.read.parquet(f"{tmp_path}/files")
+    wanted = files.selectExpr("split(path, '/')[1] as folder").distinct()
+    for df in (FO.with_doc_type(files.drop("doc_type"), files), FO.enumerate_folders(files, wanted)):
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+    assert FO.enumerate_folders(files, wanted).count() == 1000
