@@ -634,3 +634,19 @@ def test_joins_of_files_broadcast_neither_side(spark, tmp_path):
     for df in (FO.with_doc_type(files.drop("doc_type"), files), FO.enumerate_folders(files, wanted)):
         assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
     assert FO.enumerate_folders(files, wanted).count() == 1000
+
+
+def test_a_load_shuffles_its_lines_once(spark, tmp_path):
+    item = '{"label":"deed","bucket":"contract","status":"found"}'
+    lines = [event_line(str(i), f"2024-0{1 + i % 6}-05", [item, item]) for i in range(60)]
+    good = L.split_lines(L.parse_lines(spark.createDataFrame([(x,) for x in lines], "value string")))[0]
+    dealt = W.by_month(good)
+    assert sorted(r.line for r in dealt.select("line").collect()) == sorted(lines)
+    # What is shuffled holds the text and its time, not the parsed object beside it.
+    plan = dealt._jdf.queryExecution().optimizedPlan().toString()
+    below = plan[plan.index("RebalancePartitions"):].splitlines()[1].strip()
+    assert "v#" not in below.split("AS _month")[0]
+    root = str(tmp_path)
+    W.load(spark, good, root)
+    parts = spark.read.parquet(f"{root}/open_items")
+    assert parts.count() == 120 and len(parts.inputFiles()) <= 6
