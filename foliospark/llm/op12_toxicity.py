@@ -1,4 +1,4 @@
-"""Toxicity from two class-conditional Kneser-Ney models, toxic and ordinary."""
+"""Toxicity from two class-conditional Kneser-Ney models of word pairs, toxic and ordinary."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._arrays import mix
 from ._registry import keep, query, table
 from ._tokens import byte_set, hashes, tokens
 
@@ -48,26 +49,42 @@ def _words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return ids, hashes(distinct), np.searchsorted(starts, begin)
 
 
+def _before(word: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """The word before each one, 0 for the first of a text."""
+    before = np.concatenate((np.zeros(1, word.dtype), word[:-1])) if word.size else word.copy()
+    before[bounds[:-1][np.diff(bounds) > 0]] = 0
+    return before
+
+
+def _first(n: int, *columns: np.ndarray) -> list[np.ndarray]:
+    """Sorted rows, the first of those that agree in the ``n`` leading columns."""
+    order = np.lexsort(columns[::-1])
+    rows = [c[order] for c in columns]
+    new = np.ones(order.size, bool)
+    new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in rows[:n]])
+    return [c[new] for c in rows]
+
+
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Distinct ``(part, word, word before)`` of some texts; the first word of a text has 0 before it."""
+    """Distinct ``(part, word, word before, word before that)`` of some texts; 0 stands before the first word of a text.
+
+    A text names a pair once, however often it repeats it.
+    """
     for batch in batches:
         marks, at = batch.column("part").to_numpy(zero_copy_only=False), 0
         for texts in _parts(batch.column("text").to_pylist()):
             ids, names, bounds = _words(texts)
-            part = np.repeat(marks[at : at + len(texts)], np.diff(bounds))
+            text = np.repeat(np.arange(at, at + len(texts)), np.diff(bounds))
             at += len(texts)
             word = names[ids].view(np.int64) if ids.size else np.empty(0, np.int64)
-            before = np.concatenate(([0], word[:-1])) if ids.size else word.copy()
-            before[bounds[:-1][np.diff(bounds) > 0]] = 0
-            order = np.lexsort((before, word, part))
-            t, w, b = part[order], word[order], before[order]
-            new = np.ones(order.size, bool)
-            new[1:] = (t[1:] != t[:-1]) | (w[1:] != w[:-1]) | (b[1:] != b[:-1])
-            yield pa.RecordBatch.from_arrays([pa.array(t[new], pa.int32()), pa.array(w[new]), pa.array(b[new])], ["part", "w", "v"])
+            before = _before(word, bounds)
+            _, word, before, ahead, part = _first(3, text, word, before, _before(before, bounds), marks[text])
+            part, word, before, ahead = _first(4, part, word, before, ahead)
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(word), pa.array(before), pa.array(ahead)], ["part", "w", "v", "u"])
 
 
-def kneser_ney(counts: np.ndarray, rare: np.ndarray, discount: float = DISCOUNT) -> tuple[np.ndarray, float]:
-    """Log-ratio of each word's probability in the two models, and that of an unseen word.
+def words_given_class(counts: np.ndarray, rare: np.ndarray, discount: float = DISCOUNT) -> tuple[np.ndarray, np.ndarray]:
+    """Probability of each word in the two models, and what either gives the shared backoff.
 
     ``counts`` (words x 2, ordinary and toxic) are continuation counts, the
     numbers of different words seen before a word; ``rare`` sums those of the
@@ -83,17 +100,75 @@ def kneser_ney(counts: np.ndarray, rare: np.ndarray, discount: float = DISCOUNT)
     cut = np.minimum(scaled, discount)
     weight = np.maximum(cut.sum(0) + rare * scale, 1e-9)
     p = scaled - cut + (cut.sum(1, keepdims=True) + 1e-9) / weight.sum() * weight
+    return p / total.min(), weight
+
+
+def kneser_ney(counts: np.ndarray, rare: np.ndarray, discount: float = DISCOUNT) -> tuple[np.ndarray, float]:
+    """Log-ratio of each word's probability in the two models, and that of an unseen word."""
+    p, weight = words_given_class(counts, rare, discount)
     return np.log(p[:, 1] / p[:, 0]), float(np.log(weight[1] / weight[0]))
 
 
-class Model:
-    """Words that are no part of the shared backoff alone, with their log-ratios."""
+def pairs_given_class(
+    counts: np.ndarray, context: np.ndarray, totals: np.ndarray, lower: np.ndarray, discount: float = DISCOUNT
+) -> tuple[np.ndarray, np.ndarray]:
+    """Weight of each pair's second word after the first in the two models, and the backoff weight of every context.
+
+    ``counts`` (pairs x 2) are continuation counts, the numbers of different
+    words before a pair, ``context`` is the number of a pair's first word among ``totals`` (contexts x 2), the sums over all second
+    words, and ``lower`` (pairs x 2) the probability of the second word by
+    itself. The discount is taken off every pair. As with words, what it takes
+    off a pair in either class is shared by both, here in the proportion in
+    which the classes have the second word by itself; pairs that no class has
+    more often than the discount therefore differ as their words do, and may
+    be left out. A class that never had a context backs off whole.
+    """
+    kept = np.maximum(counts - discount, 0)
+    held = np.stack([np.bincount(context, kept[:, c], totals.shape[0]) for c in (0, 1)], 1)
+    back = np.maximum(totals - held, 1e-9)
+    weight = np.where(totals > 0, back / np.maximum(totals, 1e-9), 1.0)
+    # A pair that the folds at hand never had is like any other unseen one: its words alone tell.
+    share = np.where(counts.any(1), (counts - kept).sum(1) / back.sum(1)[context], 1.0)
+    lean = lower / lower.mean(1, keepdims=True)
+    return kept / np.maximum(totals, 1e-9)[context] + weight[context] * share[:, None] * lean, weight
+
+
+def _pair_keys(before: np.ndarray, word: np.ndarray) -> np.ndarray:
+    return mix(mix(before) + word)
 
-    def __init__(self, words: np.ndarray, ratio: np.ndarray, unseen: float):
-        order = np.argsort(words)
-        self.words, self.ratio, self.unseen = words[order], ratio[order], unseen
+
+def _found(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray, default) -> np.ndarray:
+    """Values of the wanted ones of some sorted keys, or the default."""
+    if not keys.size:
+        return np.broadcast_to(default, wanted.shape)
+    at = np.minimum(np.searchsorted(keys, wanted), keys.size - 1)
+    return np.where(keys[at] == wanted, values[at], default)
+
+
+class Model:
+    """Log-ratios of words, of contexts' backoff weights, and of pairs; what is not held backs off."""
+
+    def __init__(self, words, ratio, unseen: float, contexts=(), weights=(), pairs=(), pair_ratio=()):
+        for name, keys, values in (("word", words, ratio), ("context", contexts, weights), ("pair", pairs, pair_ratio)):
+            keys = np.asarray(keys, np.uint64)
+            order = np.argsort(keys)
+            setattr(self, name, (keys[order], np.asarray(values, float)[order]))
+        self.unseen = unseen
         self.slope, self.base = 0.0, 0.0
 
+    def each(self, ids: np.ndarray, names: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        """Log-ratio of every word after the one before it."""
+        if not ids.size:
+            return np.empty(0)
+        alone = _found(*self.word, names, self.unseen)[ids]
+        word = names[ids]
+        before = _before(word, bounds)
+        back = np.concatenate((_found(*self.context, names, np.nan), _found(*self.context, np.zeros(1, np.uint64), np.nan)))
+        weight = back[np.where(before == 0, names.size, _before(ids, bounds))]
+        after = np.flatnonzero(~np.isnan(weight))
+        alone[after] = _found(*self.pair, _pair_keys(before[after], word[after]), alone[after] + weight[after])
+        return alone
+
     def means(self, texts: list[str | None]) -> np.ndarray:
         """Difference of the two log-likelihoods per word, above what the text's ordinary words have.
 
@@ -104,12 +179,7 @@ class Model:
         out = []
         for part in _parts(texts):
             ids, names, bounds = _words(part)
-            value = np.full(names.size, self.unseen)
-            if self.words.size:
-                at = np.minimum(np.searchsorted(self.words, names), self.words.size - 1)
-                hit = self.words[at] == names
-                value[hit] = self.ratio[at[hit]]
-            each = value[ids] if ids.size else np.empty(0)
+            each = self.each(ids, names, bounds)
             for a, b in zip(bounds[:-1], bounds[1:], strict=True):
                 x = each[a:b]
                 if not x.size:
@@ -144,8 +214,10 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model |
     At most about ``max_rows`` texts of either class are drawn by a hash of
     their id; equal texts of a class count once. Of repeated labels the larger
     mark counts, null ones are left out. Counts are made in Spark; the words
-    of the sample that some class holds more often than the discount come to
-    the driver, so what moves is bounded by the sample.
+    and pairs of the sample that some class holds more often than the discount
+    come to the driver, so what moves is bounded by the sample. A word after
+    another one backs off to its continuation counts, these to the distribution
+    that both classes share.
     """
     marks = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     marks = marks.withColumn("toxic", (F.col("toxic") == 1).cast("int"))
@@ -154,29 +226,56 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model |
         return None
     place = F.pmod(F.xxhash64(F.lit("toxicity"), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
     share = F.when(F.col("toxic") == 1, F.lit(min(1.0, max_rows / sizes[1]))).otherwise(F.lit(min(1.0, max_rows / sizes[0])))
-    texts = docs.filter("doc_id is not null and text is not null").select("doc_id", "text").join(marks.filter(place < share), "doc_id")
+    texts = docs.filter("doc_id is not null and text is not null").select("doc_id", "text").join(F.broadcast(marks.filter(place < share)), "doc_id")  # ids of the sample alone
     once = texts.groupBy("toxic", F.xxhash64("text").alias("h"), F.length("text").alias("size")).agg(F.min_by("text", "doc_id").alias("text"))
     # A part is a class within a fold: fold * 2 + class.
     fold = F.pmod(F.xxhash64(F.lit("fold"), "h"), F.lit(FOLDS)).cast("int")
     sample = keep(once.select((fold * 2 + F.col("toxic")).alias("part"), "text"), "toxicity")
-    pairs = sample.mapInArrow(_pairs, "part int, w bigint, v bigint").distinct()
-    names = [f"c{i}" for i in range(2 * FOLDS)]
-    counts = keep(pairs.groupBy("w").agg(*[F.count_if(F.col("part") == i).alias(c) for i, c in enumerate(names)]), "toxicity-words")
-    often = F.greatest(*[sum((F.col(c) for c in names[side::2]), F.lit(0)) for side in (0, 1)]) > DISCOUNT
-    rest = counts.filter(~often).agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in names]).first()
-    known = counts.filter(often).toArrow()
-    words = known.column("w").to_numpy().view(np.uint64)
-    each = np.stack([known.column(c).to_numpy() for c in names], 1).astype(float).reshape(-1, FOLDS, 2)
+    parts = range(2 * FOLDS)
+    names, sums = [f"c{i}" for i in parts], [f"n{i}" for i in parts]
+    # Both orders count continuations; dealt by the pair, repeats go and pairs are counted in one shuffle.
+    found = sample.mapInArrow(_pairs, "part int, w bigint, v bigint, u bigint").repartition("w", "v").distinct()
+    pairs = keep(found.groupBy("w", "v").agg(*[F.count_if(F.col("part") == i).alias(c) for i, c in enumerate(sums)]), "toxicity-pairs")
+    counts = keep(pairs.groupBy("w").agg(*[F.count_if(F.col(n) > 0).alias(c) for n, c in zip(sums, names, strict=True)]), "toxicity-words")
+    # Counts of either class are scaled to the smaller one, for each set of folds that is learned from.
+    sets = [np.arange(FOLDS) != f for f in range(FOLDS)] + [np.arange(FOLDS) >= 0]
+    size = np.array(pairs.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in sums]).first(), float).reshape(FOLDS, 2)
+    scales = [size[s].sum(0).min() / np.maximum(size[s].sum(0), 1) for s in sets]
+    most = np.max(scales, 0)
+    class_sum = lambda columns, side: sum((F.col(c) for c in columns[side::2]), F.lit(0))
+    pair_often = F.greatest(*[class_sum(sums, side) * F.lit(float(most[side])) for side in (0, 1)]) > DISCOUNT
+    known_pairs = keep(pairs.filter(pair_often), "toxicity-often")
+    contexts = pairs.join(known_pairs.select("v").distinct(), "v", "left_semi").groupBy("v").agg(*[F.sum(c).alias(c) for c in sums]).toArrow()
+    often = F.greatest(*[class_sum(names, side) for side in (0, 1)]) > DISCOUNT
+    marked = counts.join(known_pairs.select("w", F.lit(True).alias("paired")).distinct(), "w", "left")
+    marked = marked.select("w", *names, (often | F.coalesce("paired", F.lit(False))).alias("often"))
+    rest = marked.filter("not often").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in names]).first()
+    known, linked = marked.filter("often").toArrow(), known_pairs.toArrow()
+
+    def numbers(rows: pa.Table, columns: list[str]) -> np.ndarray:
+        return np.stack([rows.column(c).to_numpy() for c in columns], 1).astype(float).reshape(-1, FOLDS, 2)
+
+    hashes_of = lambda rows, c: rows.column(c).to_numpy().astype(np.int64).view(np.uint64)
+    words, each = hashes_of(known, "w"), numbers(known, names)
+    heads, head_sums = hashes_of(contexts, "v"), numbers(contexts, sums)
+    second, first, pair_sums = hashes_of(linked, "w"), hashes_of(linked, "v"), numbers(linked, sums)
+    by_word, by_head = np.argsort(words), np.argsort(heads)
+    word_at = by_word[np.searchsorted(words, second, sorter=by_word)]
+    head_at = by_head[np.searchsorted(heads, first, sorter=by_head)]
+    keys = _pair_keys(first, second)
     rare = np.array(rest, float).reshape(FOLDS, 2)
     if not (each.sum((0, 1)) + rare.sum(0)).all():
         return None
 
-    def learn(folds: np.ndarray) -> Model:
-        ratio, unseen = kneser_ney(each[:, folds].sum(1), rare[folds].sum(0))
+    def learn(s: int) -> Model:
+        folds, scale = sets[s], scales[s]
+        p, weight = words_given_class(each[:, folds].sum(1), rare[folds].sum(0))
+        ratio, unseen = np.log(p[:, 1] / p[:, 0]), float(np.log(weight[1] / weight[0]))
         tells = np.abs(ratio - unseen) > 1e-12
-        return Model(words[tells], ratio[tells], unseen)
+        after, back = pairs_given_class(pair_sums[:, folds].sum(1) * scale, head_at, head_sums[:, folds].sum(1) * scale, p[word_at])
+        return Model(words[tells], ratio[tells], unseen, heads, np.log(back[:, 1] / back[:, 0]), keys, np.log(after[:, 1] / after[:, 0]))
 
-    others = [learn(np.arange(FOLDS) != f) for f in range(FOLDS)]
+    others = [learn(f) for f in range(FOLDS)]
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -192,7 +291,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model |
     order = np.lexsort((x, y))
     weight = np.where(y == 1, max(1.0, sizes[1] / max_rows), max(1.0, sizes[0] / max_rows))
     slope, base = calibrate(x[order], y[order], weight[order])
-    model = learn(np.arange(FOLDS) >= 0)
+    model = learn(FOLDS)
     model.slope, model.base = max(float(slope), 1e-6), float(base)
     return model
 

@@ -133,6 +133,34 @@ def test_kneser_ney_by_hand():
     assert unseen == pytest.approx(np.log(weight[1] / weight[0]))
 
 
+def test_pairs_back_off_to_what_the_classes_share():
+    """By hand: context 0 holds pair 0 9 times in toxic texts and once in ordinary ones, pair 1 once in either, and rare ones 2 and 4 times."""
+    lower = np.array([[0.1, 0.1], [0.1, 0.3]])
+    p, weight = toxicity.pairs_given_class(np.array([[1.0, 9.0], [1.0, 1.0]]), np.array([0, 0]), np.array([[6.0, 12.0]]), lower, 2.0)
+    assert weight.tolist() == [[1.0, pytest.approx(5 / 12)]]
+    share = 3 / 11  # cut off pair 0: 1 and 2 of 6 and 5
+    assert p[0] == pytest.approx([share, 7 / 12 + 5 / 12 * share])
+    # No class holds pair 1 more often than the discount: the ratio is that of backoff weight and words.
+    assert p[1, 1] / p[1, 0] == pytest.approx(5 / 12 * 3)
+
+
+def test_the_word_before_tells(spark):
+    """Both classes have the same words after as many different ones; only which follows which differs."""
+    rng = np.random.default_rng(5)
+    filler = lambda n: " ".join(f"f{i}" for i in rng.integers(0, 300, n))
+    a, b = ["rotten", "kind"], ["egg", "hat"]
+    rows = []
+    for i in range(300):
+        toxic = i % 2
+        said = [f"{a[k]} {b[k if toxic else 1 - k]} {filler(3)}" for k in (0, 1) for _ in range(3)]
+        rows.append((i, f"{filler(6)} {' '.join(said)}", toxic))
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, m) for i, _, m in rows], "doc_id long, toxic int")
+    model = toxicity.fit(docs.filter("doc_id < 200"), labels.filter("doc_id < 200"))
+    got = {r["doc_id"]: r["predicted"] for r in toxicity.score_toxicity(docs.filter("doc_id >= 200"), model).collect()}
+    assert sum(got[i] == m for i, _, m in rows if i >= 200) >= 95
+
+
 @pytest.fixture(scope="module")
 def toxic_table(spark):
     rng = random.Random(6)
