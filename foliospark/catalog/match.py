@@ -196,8 +196,9 @@ _WANT = "CASE item_id % 3 WHEN 0 THEN 'de' WHEN 1 THEN 'en' ELSE 'xx' END"
 def filtered_search(spark, sf):
     b = table(spark, sf, "benchmark").select("item_id", col("text").alias("query"), F.expr(_WANT).alias("want"))
     docs = table(spark, sf, "documents").select("doc_id", "text", "lang")
-    scores = cut(S.text_scores(b, docs, carry=["lang"], own=["item_id", "want"]))
-    kept = S.best_hits(b, scores, keep=col("lang") == col("want"), own=["item_id", "want"])
+    wanted = col("lang") == col("want")
+    scores = cut(S.text_scores(b, docs, carry=["lang"], own=["item_id", "want"], n=10, keep=wanted))
+    kept = S.best_hits(b, scores, keep=wanted, own=["item_id", "want"])
     return b, scores, kept.select("item_id", "doc_id", "score", "rank")
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import computed
-from ..session import cut
+from ..session import cut, spread
 from .match import top_n
 
 K1, B = 1.2, 0.75
@@ -19,21 +19,33 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda t: t != "")
 
 
-def text_scores(queries: DataFrame, docs: DataFrame, query: str = "query", text: str = "text", doc: str = "doc_id",
-                carry: Sequence[str] = (), own: Sequence[str] = ()) -> DataFrame:
-    """BM25 scores over whole texts: ``query``, ``own``, the document id, ``carry`` and score of every hit.
+def numbered(queries: DataFrame, query: str, own: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """Distinct queries with a number ``_q``, and the terms of each number."""
+    asked = cut(queries.select(query, *own).distinct().withColumn("_q", F.monotonically_increasing_id()))
+    return asked, asked.select("_q", F.explode(F.array_distinct(tokens(F.col(query)))).alias("term"))
+
 
-    Documents are read and their words taken once: the words meet the query
-    vocabulary before anything is shuffled, so only words somebody asked for
-    move on, and one mark per document that carries its length. These term
-    counts are written; statistics, document frequencies and scores come from
-    them. Queries are numbered, and only numbers go through the joins.
+def weigh(tf: DataFrame, terms: DataFrame, stats: Column, doc: str, carry: Sequence[str] = ()) -> DataFrame:
+    """BM25 scores ``_q``, document, ``carry``, ``score`` from term counts of documents.
+
+    Counts are dealt by document, so a word that every document holds makes no
+    task larger than another, and a document's sums need no further shuffle.
     """
-    asked = cut(queries.select(query, *own).distinct().withColumn("_q", F.monotonically_increasing_id()))
-    terms = asked.select("_q", F.explode(F.array_distinct(tokens(F.col(query)))).alias("term"))
+    df = tf.groupBy("term").agg(F.count("*").alias("df"))
+    weighted = cut(terms.join(df, "term").withColumn("s", stats).withColumn(
+        "idf", F.log(1 + (F.col("s.docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    ).select("_q", "term", "idf", F.col("s.avg_len").alias("avg_len")))
+    norm = F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len"))
+    part = F.col("idf") * F.col("tf") * (K1 + 1) / norm
+    return spread(tf, doc).join(weighted, "term").groupBy("_q", doc, *carry).agg(F.round(F.sum(part), 6).alias("score"))
+
+
+def _scored(terms: DataFrame, docs: DataFrame, text: str, doc: str, carry: Sequence[str]) -> DataFrame:
+    """Scores of the numbered queries over whole texts."""
     mark = F.lit("")
     vocabulary = terms.select("term").unionByName(terms.sparkSession.range(1).select(mark.alias("term"))).distinct()
-    base = computed(docs.select(doc, text, *carry), _t=tokens(F.col(text))).select(doc, *carry, "_t", F.size("_t").alias("len"))
+    dealt = spread(docs.select(doc, text, *carry), doc)
+    base = computed(dealt, _t=tokens(F.col(text))).select(doc, *carry, "_t", F.size("_t").alias("len"))
     counts = cut(
         base.select(doc, "len", *carry, F.explode(F.concat("_t", F.array(mark))).alias("term"))
         .join(vocabulary, "term", "left_semi")
@@ -42,14 +54,37 @@ def text_scores(queries: DataFrame, docs: DataFrame, query: str = "query", text:
     )
     marks, tf = counts.filter("term = ''"), counts.filter("term <> ''")
     stats = marks.agg(F.struct(F.sum("tf").alias("docs"), (F.sum(F.col("len") * F.col("tf")) / F.sum("tf")).alias("avg_len")).alias("s")).scalar()
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    weighted = terms.join(df, "term").withColumn("s", stats).withColumn(
-        "idf", F.log(1 + (F.col("s.docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    ).select("_q", "term", "idf", F.col("s.avg_len").alias("avg_len"))
-    norm = F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len"))
-    part = F.col("idf") * F.col("tf") * (K1 + 1) / norm
-    scored = tf.join(weighted, "term").groupBy("_q", doc, *carry).agg(F.round(F.sum(part), 6).alias("score"))
-    return scored.join(asked, "_q").drop("_q")
+    return weigh(tf, terms, stats, doc, carry)
+
+
+def front(scored: DataFrame, asked: DataFrame, n: int, doc: str, keep: Column | None = None, query: str = "query",
+          either: bool = False) -> DataFrame:
+    """The ``n`` best rows of every numbered query, with the query; ``either`` gives those that ``keep`` holds for and those it does not."""
+    order = [F.col("score").desc(), F.col(doc)]
+    if keep is None:
+        return top_n(scored, ["_q"], order, n, "_rank").drop("_rank").join(asked, "_q").drop("_q")
+    rows = scored.join(asked.drop(query), "_q").withColumn("_kept", F.coalesce(keep, F.lit(False)))
+    rows = rows if either else rows.filter("_kept")
+    best = top_n(rows, ["_q", "_kept"], order, n, "_rank").drop("_rank", "_kept")
+    return best.join(asked.select("_q", query), "_q").drop("_q")
+
+
+def text_scores(queries: DataFrame, docs: DataFrame, query: str = "query", text: str = "text", doc: str = "doc_id",
+                carry: Sequence[str] = (), own: Sequence[str] = (), n: int | None = None, keep: Column | None = None) -> DataFrame:
+    """BM25 scores over whole texts: ``query``, ``own``, the document id, ``carry`` and score of every hit.
+
+    With ``n`` only rows that ``best_hits`` may need come out: the ``n`` best
+    of every query, and with ``keep`` also the ``n`` best of those it holds for.
+
+    Documents are dealt by their id, read and their words taken once: the words
+    meet the query vocabulary before they are counted, so only words somebody
+    asked for move on, and one mark per document that carries its length. These
+    term counts are written; statistics, document frequencies and scores come
+    from them. Queries are numbered, and only numbers go through the joins.
+    """
+    asked, terms = numbered(queries, query, own)
+    scored = _scored(terms, docs, text, doc, carry)
+    return scored.join(asked, "_q").drop("_q") if n is None else front(scored, asked, n, doc, keep, query, True)
 
 
 def text_search(queries: DataFrame, docs: DataFrame, n: int = 10, query: str = "query", text: str = "text",
@@ -62,7 +97,7 @@ def text_search(queries: DataFrame, docs: DataFrame, n: int = 10, query: str = "
     apart.
     """
     own = [c for c in queries.columns if keep is not None and c != query]
-    return best_hits(queries, text_scores(queries, docs, query, text, doc, carry, own), n, query, doc, keep, own)
+    return best_hits(queries, text_scores(queries, docs, query, text, doc, carry, own, n, keep), n, query, doc, keep, own)
 
 
 def best_hits(queries: DataFrame, scores: DataFrame, n: int = 10, query: str = "query", doc: str = "doc_id",

@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 from ..functions.text import computed
 from ..plans import commits
 from ..plans.warehouse import read_table
-from ..session import cut
-from .search import B, K1, best_hits, tokens
+from ..session import cut, spread
+from .search import best_hits, front, numbered, tokens, weigh
 
 #: Folders the terms are dealt to.
 BUCKETS = 64
@@ -55,7 +55,7 @@ class TextIndex:
                 if not again.isEmpty():
                     most = kept.join(again, self.doc, "left_semi").groupBy(self.doc).agg(F.max(F.struct("_text", *self.carry)).alias("r"))
                     kept = kept.join(again, self.doc, "left_anti").unionByName(most.select(self.doc, "r.*"))
-                base = computed(kept, _t=tokens(F.col("_text")))
+                base = computed(spread(kept, self.doc), _t=tokens(F.col("_text")))
                 words = base.select(self.doc, F.explode("_t").alias("term"))
                 postings = words.withColumn("bucket", _bucket("term")).groupBy("bucket", "term", self.doc).agg(F.count("*").cast("int").alias("tf"))
                 lengths = base.select(self.doc, F.size("_t").alias("len"), *self.carry)
@@ -118,10 +118,11 @@ class TextIndex:
         newest = marks.groupBy(self.doc).agg(F.max(F.struct("ord", "there")).alias("m")).filter("m.there = 1")
         return added.join(newest.select(self.doc, F.col("m.ord").alias("ord")), [self.doc, "ord"])
 
-    def scores(self, queries: DataFrame, query: str = "query", own: Sequence[str] = ()) -> DataFrame:
+    def scores(self, queries: DataFrame, query: str = "query", own: Sequence[str] = (), n: int | None = None,
+               keep: Column | None = None) -> DataFrame:
         """BM25 scores like ``search.text_scores``: ``query``, ``own``, the id, ``carry`` and score of every hit."""
-        asked = cut(queries.select(query, *own).distinct().withColumn("_q", F.monotonically_increasing_id()))
-        terms = cut(asked.select("_q", F.explode(F.array_distinct(tokens(F.col(query)))).alias("term")).withColumn("bucket", _bucket("term")))
+        asked, terms = numbered(queries, query, own)
+        terms = cut(terms.withColumn("bucket", _bucket("term")))
         upto = commits.last(self.spark, self.root)
         live, postings = self._live(upto), self._postings(upto)
         if live is None or postings is None:
@@ -132,16 +133,10 @@ class TextIndex:
         wanted = postings.filter(F.col("bucket").isin(buckets)).join(terms.select("term", "bucket").distinct(), ["term", "bucket"], "left_semi")
         tf = cut(wanted.join(live.drop("ord"), [self.doc, "load"]).drop("load", "bucket"))
         stats = live.agg(F.struct(F.count("*").alias("docs"), (F.sum("len") / F.count("*")).alias("avg_len")).alias("s")).scalar()
-        df = tf.groupBy("term").agg(F.count("*").alias("df"))
-        weighted = terms.join(df, "term").withColumn("s", stats).withColumn(
-            "idf", F.log(1 + (F.col("s.docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-        ).select("_q", "term", "idf", F.col("s.avg_len").alias("avg_len"))
-        norm = F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len"))
-        part = F.col("idf") * F.col("tf") * (K1 + 1) / norm
-        scored = tf.join(weighted, "term").groupBy("_q", self.doc, *self.carry).agg(F.round(F.sum(part), 6).alias("score"))
-        return scored.join(asked, "_q").drop("_q")
+        scored = weigh(tf, terms.drop("bucket"), stats, self.doc, self.carry)
+        return scored.join(asked, "_q").drop("_q") if n is None else front(scored, asked, n, self.doc, keep, query, True)
 
     def search(self, queries: DataFrame, n: int = 10, query: str = "query", keep: Column | None = None) -> DataFrame:
         """Best ``n`` documents per query, like ``search.text_search`` over the texts that were indexed."""
         own = [c for c in queries.columns if keep is not None and c != query]
-        return best_hits(queries, self.scores(queries, query, own), n, query, self.doc, keep, own)
+        return best_hits(queries, self.scores(queries, query, own, n, keep), n, query, self.doc, keep, own)

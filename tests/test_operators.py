@@ -185,6 +185,20 @@ def test_search_orders_and_filters(spark):
     assert {r.doc_id for r in S.text_search(q.drop("want"), d).filter("query_id = 8").collect()} == {1, 2}
 
 
+def test_scores_are_summed_where_the_document_is(spark):
+    """Every document holds "the": its counts are not dealt by word, and the rows handed on are those the cut needs."""
+    docs = spark.createDataFrame([(i, f"the {'alder' if i % 3 else 'birch'} {i % 7}", "de" if i % 5 else "en") for i in range(300)], "doc_id long, text string, lang string")
+    q = spark.createDataFrame([(1, "the alder 3", "en"), (2, "the birch", "xx")], "item_id int, query string, want string")
+    own, keep = ["item_id", "want"], F.col("lang") == F.col("want")
+    whole = S.text_scores(q, docs, carry=["lang"], own=own)
+    plan = whole._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(doc_id" in plan and "hashpartitioning(term" not in plan.split("hashpartitioning(doc_id")[0]
+    few = S.text_scores(q, docs, carry=["lang"], own=own, n=5, keep=keep)
+    assert few.count() <= 20 < whole.count()
+    rows = lambda scores, k: sorted(map(tuple, S.best_hits(q, scores, 5, keep=k, own=own).collect()))
+    assert rows(few, keep) == rows(whole, keep) != [] and rows(few, None) == rows(whole, None)
+
+
 def test_scan_lists_files_without_reading_them(spark, tmp_path):
     (tmp_path / "a").mkdir()
     (tmp_path / "a" / "f.TXT").write_text("hello")
