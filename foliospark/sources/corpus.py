@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .. import rules
 from ..functions.classify import doc_type_from_name
 from ..functions.names import doc_id, doc_sha1, extract_date, extract_property, repair_title, suffix
-from ..functions.text import bind, first_hit, nonempty, strip
+from ..functions.text import bind, computed, first_hit, nonempty, strip
 from ..functions.values import get, is_object, truthy_at
 from ..session import cut
 
@@ -148,13 +148,10 @@ def _record(v: Column) -> Column:
 
 def parse_manifest(lines: DataFrame, column: str = "value") -> DataFrame:
     """Manifest records of either envelope with their struct data, path and kinds."""
-    return (
-        lines.select(strip(F.col(column)).alias("line"))
-        .filter("line <> ''")
-        .withColumn("r", bind(F.try_parse_json("line"), lambda v: F.when(v.isNotNull(), _record(v))))
-        .filter("r is not null")
-        .select("r.*", "line")
-    )
+    # Behind a generator both filters stay here; pushed down they would read every line a second time, in the scan's tasks.
+    stripped = computed(lines.select(F.col(column).alias("_raw")), line=strip(F.col("_raw"))).select("line").filter("line <> ''")
+    record = bind(F.try_parse_json("line"), lambda v: F.when(v.isNotNull(), _record(v)))
+    return computed(stripped, r=record).filter("r is not null").select("r.*", "line")
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:

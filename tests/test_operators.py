@@ -185,6 +185,15 @@ def test_search_orders_and_filters(spark):
     assert {r.doc_id for r in S.text_search(q.drop("want"), d).filter("query_id = 8").collect()} == {1, 2}
 
 
+def test_manifest_lines_are_read_where_they_were_dealt(spark):
+    """No filter on the parsed line goes down to the few tasks before the shuffle."""
+    rows = spark.createDataFrame([(i, f'  {{"id": "a{i}", "structData": {{"title": "t"}}}}' if i % 3 else " ") for i in range(9)], "n int, value string")
+    parsed = CO.parse_manifest(rows.repartition(3, "n").select("value"))
+    below = parsed._jdf.queryExecution().optimizedPlan().toString().split("RepartitionByExpression")[1]
+    assert "parse_json" not in below and "Filter" not in below
+    assert sorted(r["id"] for r in parsed.collect()) == [f"a{i}" for i in (1, 2, 4, 5, 7, 8)]
+
+
 def test_scores_are_summed_where_the_document_is(spark):
     """Every document holds "the": its counts are not dealt by word, and the rows handed on are those the cut needs."""
     docs = spark.createDataFrame([(i, f"the {'alder' if i % 3 else 'birch'} {i % 7}", "de" if i % 5 else "en") for i in range(300)], "doc_id long, text string, lang string")
