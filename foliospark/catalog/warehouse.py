@@ -7,7 +7,7 @@ from ..plans import event_rows as ER
 from ..plans import queries as Q
 from ..plans import warehouse as W
 from ..sources import events_log as L
-from .base import EVENTS_SQL, FIELDS_SQL, ITEMS_SQL, KIND_SQL, PURPOSE_SQL, events, fields, items, query, run_dir, table, views
+from .base import EVENTS_SQL, FIELDS_SQL, ITEMS_SQL, KIND_SQL, PURPOSE_SQL, events, fields, items, order_views, query, run_dir, table, views
 
 col = F.col
 
@@ -169,7 +169,7 @@ def _(spark, sf):
 
 def event_lines(spark, sf, day="o_orderdate"):
     """Log lines of the orders with their line items, some broken or blank."""
-    views(spark, sf, "orders", "lineitem")
+    order_views(spark, sf)
     objects = spark.sql(
         f"""
         WITH e AS (SELECT o_orderkey, o_custkey, o_totalprice, o_orderstatus, o_orderpriority, {KIND_SQL} AS kind, {PURPOSE_SQL} AS purpose,

@@ -35,7 +35,8 @@ def strip(c: Column) -> Column:
 
 
 def blank_to_null(c: Column) -> Column:
-    return F.when(c.rlike(r"(?U)\S"), c)
+    # Most values begin with a visible ASCII character, which needs no search.
+    return F.when(F.ascii(c).between(33, 126) | c.rlike(r"(?U)\S"), c)
 
 
 def nonempty(c: Column) -> Column:

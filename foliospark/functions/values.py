@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import blank_to_null, strip
+from .text import bind, blank_to_null, strip
 
 _STAMP = (
     r"^([0-9]{4}-[0-9]{2}-[0-9]{2})"
@@ -55,15 +55,25 @@ def int_at(v: Column, path: str = "$") -> Column:
 
 def bool_at(v: Column, path: str = "$") -> Column:
     """False for null, zero, empty and the usual words for no; else true."""
-    word = F.lower(strip(F.coalesce(get(v, path, "string"), F.lit(""))))
+    return is_yes(get(v, path, "string"))
+
+
+def is_yes(text: Column) -> Column:
+    """``bool_at`` of a value's string."""
+    word = F.lower(strip(F.coalesce(text, F.lit(""))))
     return ~word.isin("", "false", "0", "0.0", "no", "none", "null", "[]", "{}")
 
 
 def truthy_at(v: Column, path: str) -> Column:
     """True for any non-empty string and for non-zero, non-empty other values."""
-    word = F.coalesce(get(v, path, "string"), F.lit(""))
-    is_text = F.coalesce(F.schema_of_variant(get(v, path, "variant")) == "STRING", F.lit(False))
-    return (word != "") & (is_text | ~word.isin("false", "0", "0.0", "[]", "{}"))
+    return truthy(get(v, path, "variant"))
+
+
+def truthy(value: Column) -> Column:
+    """``truthy_at`` of a VARIANT."""
+    is_text = F.coalesce(F.schema_of_variant(value) == "STRING", F.lit(False))
+    word = F.coalesce(get(value, "$", "string"), F.lit(""))
+    return bind(word, lambda w: (w != "") & (~w.isin("false", "0", "0.0", "[]", "{}") | is_text))
 
 
 def is_object(v: Column) -> Column:

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import rules
 from ..functions.classify import is_placeholder
-from ..functions.text import any_of, bind, computed, explode_once, first_hit, nonempty, rx, strip
-from ..functions.values import bool_at, event_id, get, int_at, objects_at, text_at, truthy_at
+from ..functions.text import any_of, bind, blank_to_null, computed, explode_once, first_hit, nonempty, rx, strip
+from ..functions.values import bool_at, event_id, get, int_at, is_yes, objects_at, text_at, truthy
 
 FACT_TYPE = "array<struct<label:string,value:string,confidence:string,sources:array<string>>>"
 TIMELINE_TYPE = "array<struct<date:string,event:string,confidence:string,sources:array<string>>>"
@@ -18,6 +21,10 @@ OPEN_ITEM_TYPE = (
     "array<struct<label:string,bucket:string,status:string,strict_count:bigint,total_count:bigint,"
     "checklist_name:string>>"
 )
+# Lists as they are read from a line: every item at once, what is no object or of another kind is NULL.
+_ITEMS = "struct<name:string,uri:string,doc_type:string,bucket:string,is_marker:string>"
+_LOOSE_ITEMS = "struct<name:string,uri:string,doc_type:string,is_marker:variant>"
+_OPEN_ITEMS = "struct<label:string,bucket:string,status:string,strict_count:bigint,total_count:bigint,checklist_name:string>"
 TRIPLE_TYPE = "struct<value:string,confidence:string,source_file:string>"
 
 _V = "v"
@@ -113,37 +120,40 @@ def field_rows(good: DataFrame) -> DataFrame:
     )
 
 
+def _listed(good: DataFrame, path: str, kind: str, *names: str, **more: Column) -> DataFrame:
+    """Keys of every line beside the rows of one of its lists; both are taken once per line."""
+    folder = F.coalesce(text_at(F.col(_V), "$.folder_name"), F.lit(""))
+    lines = computed(_dated(good), folder_key=folder, _list=_v(path, kind), **more)
+    return lines.select("event_id", F.col("generated_ts").alias("generated_at"), "folder_key", *more, F.explode("_list").alias(*names))
+
+
 def inventory_rows(good: DataFrame) -> DataFrame:
     """One row per named document; the bucket defaults to the group it is in."""
-    item = F.col("item")
+    keys = ("event_id", "generated_at", "folder_key")
     return (
-        explode_once(_dated(good), _v("$.document_inventory", "map<string,variant>"), "group", "items")
-        .select(*_keys(), "group", "items")
-        .transform(lambda df: explode_once(df, objects_at(F.col("items"), "$"), "item"))
-        .transform(lambda df: computed(df, doc_name=text_at(item, "$.name")))
+        _listed(good, "$.document_inventory", f"map<string,array<{_ITEMS}>>", "group", "items")
+        .select(*keys, "group", F.explode("items").alias("item"))
+        .transform(lambda df: computed(df, doc_name=blank_to_null(F.col("item.name"))))
         .filter("doc_name is not null")
         .select(
-            "event_id", "generated_at", "folder_key", "doc_name",
-            text_at(item, "$.uri").alias("doc_uri"),
-            text_at(item, "$.doc_type").alias("doc_type"),
-            F.coalesce(text_at(item, "$.bucket"), F.col("group")).alias("bucket"),
-            bool_at(item, "$.is_marker").alias("is_marker"),
+            *keys, "doc_name",
+            blank_to_null(F.col("item.uri")).alias("doc_uri"),
+            blank_to_null(F.col("item.doc_type")).alias("doc_type"),
+            F.coalesce(blank_to_null(F.col("item.bucket")), F.col("group")).alias("bucket"),
+            is_yes(F.col("item.is_marker")).alias("is_marker"),
         )
     )
 
 
 def open_item_rows(good: DataFrame) -> DataFrame:
     """One row per checklist line that has a label and a status."""
-    item = F.col("item")
+    item = lambda name: F.col(f"item.{name}")
     return (
-        explode_once(_dated(good), objects_at(F.col(_V), "$.open_items"), "item")
-        .select(*_keys(), text_at(F.col(_V), "$.checklist_name").alias("checklist_name"), "item")
+        _listed(good, "$.open_items", f"array<{_OPEN_ITEMS}>", "item", checklist_name=text_at(F.col(_V), "$.checklist_name"))
         .select(
             "event_id", "generated_at", "folder_key", "checklist_name",
-            text_at(item, "$.label").alias("label"), text_at(item, "$.bucket").alias("bucket"),
-            text_at(item, "$.status").alias("status"),
-            int_at(item, "$.strict_count").alias("strict_count"),
-            int_at(item, "$.total_count").alias("total_count"),
+            *[blank_to_null(item(n)).alias(n) for n in ("label", "bucket", "status")],
+            item("strict_count").alias("strict_count"), item("total_count").alias("total_count"),
         )
         .filter("label is not null and status is not null")
     )
@@ -194,28 +204,31 @@ def normalize_summary(loose: DataFrame, summary: str = "v", generated_at: Column
             F.filter(F.transform(objects_at(v, path), shape), lambda x: ~both_empty(x)), F.expr(f"cast(array() as {kind})")
         )
 
+    text = lambda c: F.coalesce(c, F.lit(""))
+    objects = lambda c: F.filter(c, lambda x: x.isNotNull())
+
     def items(bucket, group):
         return F.transform(
-            objects_at(group, "$"),
+            objects(group),
             lambda x: F.struct(
-                _str(x, "$.name").alias("name"), _str(x, "$.uri").alias("uri"), _str(x, "$.doc_type").alias("doc_type"),
+                text(x["name"]).alias("name"), text(x["uri"]).alias("uri"), text(x["doc_type"]).alias("doc_type"),
                 bucket.alias("bucket"),
-                truthy_at(x, "$.is_marker").alias("is_marker"),
+                truthy(x["is_marker"]).alias("is_marker"),
             ),
         )
 
     inventory = F.map_filter(
-        F.transform_values(get(v, "$.document_inventory", "map<string,variant>"), items),
+        F.transform_values(get(v, "$.document_inventory", f"map<string,array<{_LOOSE_ITEMS}>>"), items),
         lambda k, x: F.size(x) > 0,
     )
     open_items = F.transform(
-        objects_at(v, "$.open_items"),
+        objects(get(v, "$.open_items", f"array<{_OPEN_ITEMS}>")),
         lambda x: F.struct(
-            _str(x, "$.label").alias("label"), _str(x, "$.bucket").alias("bucket"),
-            _enum(F.lower(_str(x, "$.status")), rules.OPEN_ITEM_STATUSES, "not_found").alias("status"),
-            F.coalesce(int_at(x, "$.strict_count"), F.lit(0)).alias("strict_count"),
-            F.coalesce(int_at(x, "$.total_count"), F.lit(0)).alias("total_count"),
-            F.coalesce(get(x, "$.checklist_name", "string"), F.lit("unknown")).alias("checklist_name"),
+            text(x["label"]).alias("label"), text(x["bucket"]).alias("bucket"),
+            _enum(F.lower(text(x["status"])), rules.OPEN_ITEM_STATUSES, "not_found").alias("status"),
+            F.coalesce(x["strict_count"], F.lit(0)).alias("strict_count"),
+            F.coalesce(x["total_count"], F.lit(0)).alias("total_count"),
+            F.coalesce(x["checklist_name"], F.lit("unknown")).alias("checklist_name"),
         ),
     )
     sources = F.transform(
@@ -305,11 +318,8 @@ def best_statuses(open_items: Column, buckets=rules.STATUS_FIELD_BUCKETS) -> dic
     out = {}
     for field, bucket in buckets.items():
         seen = F.transform(F.filter(open_items, lambda o: (o["bucket"] == bucket) & (o["status"] != "")), lambda o: o["status"])
-        best = None
-        for status in sorted(rules.STATUS_RANK, key=rules.STATUS_RANK.get, reverse=True):
-            cond = F.array_contains(seen, status)
-            best = F.when(cond, status) if best is None else best.when(cond, status)
-        out[field] = best
+        ranked = sorted(rules.STATUS_RANK, key=rules.STATUS_RANK.get, reverse=True)
+        out[field] = bind(seen, lambda s: first_hit([(F.array_contains(s, status), F.lit(status)) for status in ranked]))
     return out
 
 
@@ -365,40 +375,34 @@ def structured_fields(folder_name: Column, purpose: Column, key_facts: Column, t
 def conformance(parsed: DataFrame, expected_kind: Column | None = None) -> DataFrame:
     """Contract report per event object ``v``: ok, failures, missing and extra keys."""
     v = F.col(_V)
-    keys = F.map_keys(get(v, "$", "map<string,variant>"))
+    parsed = computed(parsed.filter("v is not null"), _keys=F.map_keys(get(v, "$", "map<string,variant>")))
+    keys = F.col("_keys")
     contract = F.array(*[F.lit(k) for k in rules.EVENT_KEYS])
     missing, extra = F.array_except(contract, keys), F.array_except(keys, contract)
     kind = get(v, "$.response_kind", "string")
     kind_ok = kind.isin(*rules.RESPONSE_KINDS) if expected_kind is None else kind.eqNullSafe(expected_kind)
     stamp = F.coalesce(get(v, "$.generated_at", "string"), F.lit(""))
 
+    shape = lambda names: "struct<" + ",".join(f"{n}:variant" for n in names) + ">"
+    # A key that is there with null is a VARIANT; an item that is no object has no key.
+    short_of = lambda x, names: reduce(or_, [x[n].isNull() for n in names])
+
     def lacks(path: str, needed: tuple[str, ...]) -> Column:
         """Some list item is no object or lacks a key."""
-        want = F.array(*[F.lit(n) for n in needed])
-        fields = lambda x: F.map_keys(get(x, "$", "map<string,variant>"))
-        return F.exists(
-            F.coalesce(get(v, path, "array<variant>"), F.expr("cast(array() as array<variant>)")),
-            lambda x: F.coalesce(F.size(F.array_except(want, fields(x))) > 0, F.lit(True)),
-        )
+        return F.exists(F.coalesce(get(v, path, f"array<{shape(needed)}>"), F.expr(f"cast(array() as array<{shape(needed)}>)")), lambda x: short_of(x, needed))
 
-    groups = F.map_entries(
-        F.coalesce(get(v, "$.document_inventory", "map<string,variant>"), F.expr("cast(map() as map<string,variant>)"))
-    )
-    item_want = F.array(*[F.lit(n) for n in ("name", "uri", "doc_type", "bucket")])
+    item_want = ("name", "uri", "doc_type", "bucket")
+    groups = F.map_entries(get(v, "$.document_inventory", f"map<string,array<{shape(item_want)}>>"))
     bad_group = lambda e: F.coalesce(
         F.exists(
-            get(e["value"], "$", "array<variant>"),
-            lambda x: F.coalesce(
-                (F.size(F.array_except(item_want, F.map_keys(get(x, "$", "map<string,variant>")))) > 0)
-                | ~F.coalesce(get(x, "$.bucket", "string") == e["key"], F.lit(False)),
-                F.lit(True),
-            ),
+            e["value"],
+            lambda x: short_of(x, item_want) | ~F.coalesce(get(x["bucket"], "$", "string") == e["key"], F.lit(False)),
         ),
         F.lit(True),
     )
     bad_status = F.exists(
-        F.coalesce(get(v, "$.open_items", "array<variant>"), F.expr("cast(array() as array<variant>)")),
-        lambda x: ~F.coalesce(get(x, "$.status", "string").isin(*rules.OPEN_ITEM_STATUSES), F.lit(False)),
+        F.coalesce(get(v, "$.open_items", "array<struct<status:string>>"), F.expr("cast(array() as array<struct<status:string>>)")),
+        lambda x: ~F.coalesce(x["status"].isin(*rules.OPEN_ITEM_STATUSES), F.lit(False)),
     )
     sf = get(v, "$.structured_fields", "map<string,variant>")
     sf_missing = F.size(F.array_except(F.array(*[F.lit(f) for f in rules.FIELD_NAMES]), F.map_keys(sf)))
@@ -416,14 +420,14 @@ def conformance(parsed: DataFrame, expected_kind: Column | None = None) -> DataF
         ("checklist_name", ~F.coalesce(get(v, "$.checklist_name", "string").isin(*rules.CHECKLIST_NAMES), F.lit(False))),
         ("key_facts", lacks("$.key_facts", ("label", "value", "confidence", "sources"))),
         ("timeline", lacks("$.timeline", ("date", "event", "confidence", "sources"))),
-        ("document_inventory", F.exists(groups, bad_group)),
+        ("document_inventory", F.coalesce(F.exists(groups, bad_group), F.lit(False))),
         ("open_items", lacks("$.open_items", ("label", "bucket", "status", "strict_count", "total_count", "checklist_name"))),
         ("open_items status", bad_status),
         ("sources", lacks("$.sources", ("title", "uri", "subfolder"))),
         ("structured_fields", F.coalesce(sf_missing > 0, F.lit(True)) | F.coalesce(bad_triple, F.lit(False))),
     ]
     failures = F.array_compact(F.array(*[F.when(cond, F.lit(name)) for name, cond in checks]))
-    return parsed.filter("v is not null").select(
+    return parsed.select(
         "line", missing.alias("missing"), extra.alias("extra"), failures.alias("failures"),
         (F.size(failures) == 0).alias("ok"),
     )

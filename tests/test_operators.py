@@ -194,6 +194,36 @@ def test_manifest_lines_are_read_where_they_were_dealt(spark):
     assert sorted(r["id"] for r in parsed.collect()) == [f"a{i}" for i in (1, 2, 4, 5, 7, 8)]
 
 
+def test_orders_are_dealt_to_tasks_of_bounded_size(spark, tmp_path, monkeypatch):
+    """As many tasks as the rows ask for, however few bytes they are; joined and grouped without another shuffle."""
+    from foliospark.catalog import base
+
+    spark.range(400).selectExpr("id as o_orderkey", "id % 7 as o_custkey", "'F' as o_orderstatus", "1.5 as o_totalprice",
+                                "timestamp'2024-01-01' as o_orderdate", "'3-MEDIUM' as o_orderpriority").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.range(1600).selectExpr("id % 400 as l_orderkey", "id as l_partkey", "id % 9 as l_suppkey", "cast(id div 400 as int) as l_linenumber", "'R' as l_returnflag",
+                                 "'O' as l_linestatus").write.parquet(f"{tmp_path}/lineitem.parquet")
+    monkeypatch.setattr(base, "ROWS_A_TASK", 50)
+    rows = base.items(spark, str(tmp_path))
+    assert spark.table("lineitem").rdd.getNumPartitions() >= 32 and rows.count() == 1600
+    plan = rows.hint("merge").groupBy("event_id").count()._jdf.queryExecution().executedPlan().toString()
+    assert "ENSURE_REQUIREMENTS" not in plan.replace("BroadcastExchange", "")
+
+
+def test_lists_keep_only_objects(spark):
+    """Items that are none, keys with null and lists that are none, read in one go."""
+    line = """{"generated_at": "2024-01-02T03:04:05Z", "folder_name": "F", "query": "q", "response_kind": "folder_summary",
+      "document_inventory": {"A": [{"name": "x", "is_marker": 0, "bucket": null}, 3, null, {"uri": "u"}, {"name": " "}], "B": 5, "C": null, "D": [{"name": 7, "is_marker": "0", "uri": {"a": 1}}]},
+      "open_items": [{"label": "l", "status": "found", "strict_count": "4", "total_count": "z"}, "s", {"label": "l"}]}"""
+    good = ER.with_event_id(L.split_lines(L.parse_lines(spark.createDataFrame([(line.replace("\n", " "),)], "value string")))[0])
+    got = sorted(tuple(r)[3:] for r in ER.inventory_rows(good).collect())
+    assert got == [("7", '{"a":1}', None, "D", False), ("x", None, None, "A", False)]
+    assert [tuple(r)[3:] for r in ER.open_item_rows(good).collect()] == [(None, "l", None, "found", 4, None)]
+    loose = good.selectExpr("'q' as query", "'folder_summary' as response_kind", "'high' as confidence", "parse_json('[]') as sources", "v")
+    n = ER.normalize_summary(loose).first()
+    assert {k: [(x["name"], x["is_marker"]) for x in v] for k, v in n["document_inventory"].items()} == {"A": [("x", False), ("", False), (" ", False)], "D": [("7", True)]}
+    assert "document_inventory" in ER.conformance(good).first()["failures"]
+
+
 def test_scores_are_summed_where_the_document_is(spark):
     """Every document holds "the": its counts are not dealt by word, and the rows handed on are those the cut needs."""
     docs = spark.createDataFrame([(i, f"the {'alder' if i % 3 else 'birch'} {i % 7}", "de" if i % 5 else "en") for i in range(300)], "doc_id long, text string, lang string")
