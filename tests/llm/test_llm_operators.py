@@ -4,6 +4,7 @@ import gzip
 import hashlib
 import random
 import re
+import zlib
 
 import numpy as np
 import pytest
@@ -275,6 +276,41 @@ def test_packed_grams_come_back():
         assert (backoff._decode(backoff._encode(values)) == values).all()
 
 
+def test_packed_counts_come_back():
+    rng = np.random.default_rng(2)
+    for values in (np.ones(1000, np.int64), rng.integers(1, 2**40, 300), np.array([2**63], np.uint64), np.empty(0, np.uint64)):
+        assert backoff._loosen(backoff._squeeze(values)).tolist() == values.tolist()
+    few = rng.geometric(0.5, 10000)
+    assert len(backoff._squeeze(few)) < 0.5 * len(zlib.compress(few.astype(np.uint64).tobytes(), 1))
+
+
+def test_ngrams_that_hold_one_that_occurs_once_are_not_asked_for():
+    """In "a b c a b c d b c e": a b, b c and c e, say, occur 2, 3 and 1 times; only a b c can occur twice."""
+    words, doc = backoff._tokens(["a b c a b c d", "b c e"])
+    count = np.zeros((3, words.size + 1))
+    count[2, [1, 2, 3, 4, 5, 6, 8, 9]] = [2, 3, 1, 2, 3, 1, 3, 1]
+    asked, once = backoff._asked(words, doc, count, 3, 1)
+    assert [(n, ends.tolist(), len(set(hashes))) for n, ends, hashes in asked] == [(3, [2, 5], 1)]
+    assert once.tolist() == [3, 4, 6, 9]
+    asked, once = backoff._asked(words, doc, count, 3, 2)
+    assert (asked[0][1].tolist(), once.tolist()) == ([2, 5], [])
+
+
+def test_backoff_of_longer_ngrams_than_three(spark):
+    texts = ["a b c d e", "a b c d f", "b c d f a b c d", "x", ""]
+    grams = [tuple(t.split()[i : i + n]) for t in texts for n in (1, 2, 3, 4) for i in range(len(t.split()) - n + 1)]
+    count, total = {g: grams.count(g) for g in grams}, sum(len(t.split()) for t in texts)
+    want = []
+    for t in texts:
+        log, w = 0.0, t.split()
+        for at in range(len(w)):
+            gram = tuple(w[max(0, at - 3) : at + 1])
+            log += np.log(count[gram] / (count[gram[:-1]] if gram[1:] else total))
+        want.append(log)
+    got = backoff.score_documents(docs_of(spark, list(enumerate(texts))), order=4).collect()
+    assert [r["log_score"] for r in sorted(got, key=lambda r: r["doc_id"])] == pytest.approx(want)
+
+
 # ---- 5
 
 
