@@ -19,8 +19,10 @@ from ..session import apart
 
 
 def folder_set(corpus: DataFrame, prefix: str = "mirror/") -> DataFrame:
-    """Distinct folder names anywhere below the prefix."""
-    return explode_once(corpus.select("path"), path_folders(F.col("path"), prefix), "folder").select("folder").distinct()
+    """Distinct folder names anywhere below the prefix; files of one folder share its path, which is taken apart once."""
+    file = F.substring_index("path", "/", -1)
+    above = corpus.select(F.left("path", F.length("path") - F.length(file)).alias("path")).distinct()
+    return explode_once(above, path_folders(F.col("path"), prefix), "folder").select("folder").distinct()
 
 
 def folder_word_counts(folders: DataFrame) -> DataFrame:

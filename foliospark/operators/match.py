@@ -16,7 +16,7 @@ from .. import rules
 from ..functions.classify import query_intent
 from ..functions.names import core_query, distinctive, ext_flags, is_distinctive, normalize_address, normalize_name, strip_filler
 from ..functions.text import bind, computed, explode_once, nonempty, string_array, words
-from ..session import cut
+from ..session import apart, cut
 
 PIECE = 8
 
@@ -25,19 +25,15 @@ def _word_rows(df: DataFrame, text: str, out: str = "word") -> DataFrame:
     return explode_once(df, F.array_distinct(words(F.col(text))), out)
 
 
-def word_pieces(vocabulary: DataFrame, word: str = "word", size: int = PIECE) -> DataFrame:
-    """Every run of up to ``size`` letters of each word: (piece, word).
+def word_pieces(vocabulary: DataFrame, sizes: Column, word: str = "word") -> DataFrame:
+    """Every run of letters of each word that is as long as one of ``sizes``: (word, piece).
 
-    The vocabulary is distinct words, and pieces grow linearly with word length.
+    The vocabulary is distinct words, and pieces grow linearly with word
+    length. A run that occurs twice in a word comes twice.
     """
-    starts = F.sequence(F.lit(1), F.length(word))
-    per_start = F.transform(
-        starts,
-        lambda s: F.transform(
-            F.sequence(F.lit(1), F.least(F.lit(size), F.length(word) - s + 1)), lambda n: F.substring(F.col(word), s, n)
-        ),
-    )
-    return explode_once(vocabulary.select(word), F.array_distinct(F.flatten(per_start)), "piece")
+    starts = vocabulary.select(word, F.explode(F.sequence(F.lit(1), F.length(word))).alias("_at"), sizes.alias("_sizes"))
+    runs = starts.select(word, "_at", F.explode("_sizes").alias("_n")).filter(F.col("_at") + F.col("_n") <= F.length(word) + 1)
+    return runs.select(word, F.substring(F.col(word), F.col("_at"), F.col("_n")).alias("piece"))
 
 
 def contained_pairs(probes: DataFrame, targets: DataFrame, probe: str = "probe", target: str = "target") -> DataFrame:
@@ -47,31 +43,46 @@ def contained_pairs(probes: DataFrame, targets: DataFrame, probe: str = "probe",
     lies inside one word of the target, so a probe is looked up by one of its
     words: the one that is in the fewest targets, then the longest. That word
     meets the target vocabulary through its first letters, and the pairs found
-    are checked in full.
+    are checked in full. Only as many letters as some key has are cut out of
+    the target words.
     """
     target_words = _word_rows(targets.select(target), target)
     spread = target_words.groupBy("word").agg(F.count("*").alias("df"))
     probe_words = _word_rows(probes.select(probe), probe).join(spread, "word", "left")
-    key_word = (
+    key_word = cut(
         probe_words.groupBy(probe)
         .agg(F.min_by("word", F.struct(F.coalesce("df", F.lit(0)), -F.length("word"), "word")).alias("key_word"))
     )
     keys = key_word.select("key_word").distinct().withColumn("piece", F.substring("key_word", 1, PIECE))
     found = (
-        word_pieces(spread.select("word"))
+        word_pieces(spread.select("word"), keys.agg(F.collect_set(F.length("piece"))).scalar())
         .join(keys, "piece")
         .filter(F.col("word").contains(F.col("key_word")))
-        .select("word", "key_word")
+        .select("word", "key_word").distinct()
     )
     return (
         key_word.join(found, "key_word")
-        .join(target_words, "word")
+        .join(apart(target_words), "word")
         .filter(F.col(target).contains(F.col(probe)))
         .select(probe, target)
         .distinct()
     )
 
 
+def containable(probes: DataFrame, targets: DataFrame, probe: str, target: str) -> DataFrame:
+    """Probes without those that can be in no target: what stands between the first and the last word must be whole words there.
+
+    A probe goes when no target has one of these words, or two that follow each other.
+    """
+    asked_words = words(F.col(probe))
+    between = F.array_join(F.slice(asked_words, 2, F.greatest(F.size(asked_words) - 2, F.lit(0))), " ")
+    runs = explode_once(probes.select(probe), word_runs(between, F.lit(2)), "run")
+    asked = runs.select("run").distinct()
+    there = explode_once(targets.select(target), word_runs(F.col(target), F.lit(2)), "run").select("run").join(asked, "run", "left_semi").distinct()
+    gone = runs.join(asked.join(there, "run", "left_anti"), "run").select(probe).distinct()
+    return probes.join(gone, probe, "left_anti")
+
+
 def query_side(norm_q: Column, core_q: Column) -> Column:
     """What scoring needs of a query, computed once per query."""
     asked, core = F.array_distinct(words(norm_q)), F.array_distinct(words(core_q))
@@ -177,8 +188,8 @@ def list_bound(q: Column, words_: Column, name_strong: Column) -> Column:
     return F.when(F.size(words_) < LIST_WORDS, exact).otherwise(most)
 
 
-def name_matches(queries: DataFrame, corpus: DataFrame, n: int = 5, query: str = "query") -> DataFrame:
-    """Best ``n`` files per query by name: columns of ``queries``, name, uri, score, rank.
+def name_matches(queries: DataFrame, corpus: DataFrame, n: int = 5, query: str = "query", carry: Sequence[str] = ()) -> DataFrame:
+    """Best ``n`` files per query by name: columns of ``queries``, name, uri, those of ``carry`` from the corpus, score, rank.
 
     Scores depend on the normalised name only, so distinct queries are scored
     against distinct names and cut to ``n`` names before files come back in.
@@ -196,7 +207,7 @@ def name_matches(queries: DataFrame, corpus: DataFrame, n: int = 5, query: str =
     asked = queries.withColumn("norm_q", normalize_name(F.col(query))).filter("norm_q <> ''")
     distinct_q = cut(asked.select("norm_q").distinct().withColumn("core_q", core_query(F.col("norm_q"))))
     query_sides = distinct_q.select("norm_q", query_side(F.col("norm_q"), F.col("core_q")).alias("_q"))
-    files = corpus.withColumn("norm", normalize_name(F.col("name"))).filter("norm <> ''").select("norm", "name", "uri")
+    files = cut(computed(corpus.select("name", "uri", *carry), norm=normalize_name(F.col("name"))).filter("norm <> ''"))
     names = cut(files.groupBy("norm").agg(F.min("uri").alias("first_uri")).withColumn("_n", name_side(F.col("norm"))))
 
     name_words = explode_once(names, F.col("_n.words"), "word").select("norm", "word")
@@ -208,7 +219,7 @@ def name_matches(queries: DataFrame, corpus: DataFrame, n: int = 5, query: str =
 
     phrases = distinct_q.select("norm_q", F.explode(F.array_distinct(F.array("norm_q", "core_q"))).alias("phrase"))
     distinct_phrases = phrases.select("phrase").distinct()
-    inside = contained_pairs(distinct_phrases, names.select("norm"), "phrase", "norm").join(names.select("norm", "first_uri"), "norm")
+    inside = contained_pairs(cut(containable(distinct_phrases, names, "phrase", "norm")), names.select("norm"), "phrase", "norm").join(names.select("norm", "first_uri"), "norm")
     inside = top_n(inside, ["phrase"], [F.length("norm"), F.col("first_uri")], n, "_r").join(phrases, "phrase")
     around = contained_pairs(names.select("norm"), distinct_phrases, "norm", "phrase").join(phrases, "phrase")
 
@@ -249,8 +260,8 @@ def name_matches(queries: DataFrame, corpus: DataFrame, n: int = 5, query: str =
         open_lists = cut(after.join(worst, "norm_q", "left").filter(F.col("score").isNull() | ~sure).drop("score", "at"))
         block *= 4
 
-    best = top_n(scored, ["norm_q"], [F.col("score").desc(), F.col("first_uri")], n).select("norm_q", "norm", "score")
-    held = top_n(files, ["norm"], [F.col("uri")], n, "_r").drop("_r")
+    best = cut(top_n(scored, ["norm_q"], [F.col("score").desc(), F.col("first_uri")], n).select("norm_q", "norm", "score"))
+    held = top_n(files.join(best.select("norm").distinct(), "norm", "left_semi"), ["norm"], [F.col("uri")], n, "_r").drop("_r")
     ranked = top_n(best.join(held, "norm"), ["norm_q"], [F.col("score").desc(), F.col("uri")], n)
     return asked.join(ranked, "norm_q").drop("norm_q", "norm")
 
@@ -295,7 +306,7 @@ def detect_folders(queries: DataFrame, folders: DataFrame, query: str = "query",
     Ties go to the longer name, then the smaller one.
     """
     named = cut(folders.select("folder").distinct().withColumn("f_norm", normalize_name(F.col("folder"))).filter("f_norm <> ''"))
-    asked = queries.withColumn("norm_q", normalize_name(F.col(query)))
+    asked = cut(queries.withColumn("norm_q", normalize_name(F.col(query))))
     q = cut(asked.filter("norm_q <> ''").select("norm_q").distinct())
 
     equal_keys = q.select("norm_q", F.explode(F.array_distinct(F.array("norm_q", strip_filler(F.col("norm_q"))))).alias("f_norm"))
@@ -349,7 +360,7 @@ def route_matters(queries: DataFrame, corpus: DataFrame, folders: DataFrame, que
     A question that names a file strongly does not inherit the context.
     """
     keys = [query, context]
-    asked = queries.select(*keys).distinct()
+    asked, folders = queries.select(*keys).distinct(), cut(folders.select("folder").distinct())
     direct = cut(detect_folders(asked, folders, query).withColumnRenamed("folder", "direct").drop("pass"))
     open_ = direct.filter(F.col("direct").isNull() & F.col(context).isNotNull()).select(*keys)
     named = name_matches(open_.select(query).distinct(), corpus, 1, query).filter(F.col("score") >= strong).select(query)
@@ -402,7 +413,7 @@ def name_union(queries: DataFrame, corpus: DataFrame, n: int = 50) -> DataFrame:
     ``queries`` has ``query_id, query, folder``.
     """
     subject = cut(queries.withColumn("subject", folder_subject(F.col("folder"), F.col("query"))))
-    hits = name_matches(subject, corpus, n, "subject").join(corpus.select("uri", "path"), "uri")
+    hits = name_matches(subject, corpus, n, "subject", carry=["path"])
     parts = F.split("path", "/")
     flags = ext_flags(F.col("name"))
     return (

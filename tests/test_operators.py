@@ -44,6 +44,23 @@ def test_contained_pairs_with_long_words(spark):
     assert got == {(a, b) for a in probes for b in targets if a in b}
 
 
+def test_probes_whose_inner_words_no_target_has_are_dropped(spark):
+    probes, targets = strings(3, 80), strings(4, 80)
+    p = spark.createDataFrame([(x,) for x in probes], "probe string")
+    t = spark.createDataFrame([(x,) for x in targets], "target string")
+    left = {r.probe for r in M.containable(p, t, "probe", "target").collect()}
+    assert {a for a in probes if any(a in b for b in targets)} <= left
+    p = spark.createDataFrame([(x,) for x in ("t invoice estimate 1", "t invoice 1", "t 1", "1", "")], "probe string")
+    t = spark.createDataFrame([("hot invoice 12",), ("hot estimate 21",)], "target string")
+    assert {r.probe for r in M.containable(p, t, "probe", "target").collect()} == {"t invoice 1", "t 1", "1", ""}
+
+
+def test_name_union_of_a_uri_that_comes_twice_has_its_rows_once(spark):
+    c = spark.createDataFrame([("u", "mirror/Birch/birch.pdf", "birch.pdf")] * 2, "uri string, path string, name string")
+    q = spark.createDataFrame([(1, "birch", "Birch")], "query_id int, query string, folder string")
+    assert [(r.uri, r.subfolder) for r in M.name_union(q, c).collect()] == [("u", "Birch")] * 2
+
+
 def test_name_matches_cut_is_exact_with_equal_names(spark):
     files = [(f"u{i:02d}", "Alder invoice.pdf" if i % 2 else "alder-invoice.docx") for i in range(20)] + [("z", "alder notes.pdf")]
     c = spark.createDataFrame(files, "uri string, name string")
