@@ -16,7 +16,7 @@ from .. import rules
 from ..functions.classify import query_intent
 from ..functions.names import core_query, distinctive, ext_flags, is_distinctive, normalize_address, normalize_name, strip_filler
 from ..functions.text import bind, computed, explode_once, nonempty, string_array, words
-from ..session import apart, cut
+from ..session import apart, cut, measured
 
 PIECE = 8
 
@@ -47,22 +47,24 @@ def contained_pairs(probes: DataFrame, targets: DataFrame, probe: str = "probe",
     the target words.
     """
     target_words = _word_rows(targets.select(target), target)
-    spread = target_words.groupBy("word").agg(F.count("*").alias("df"))
-    probe_words = _word_rows(probes.select(probe), probe).join(spread, "word", "left")
+    spread = cut(target_words.groupBy("word").agg(F.count("*").alias("df")))
+    probe_words = measured(cut(_word_rows(probes.select(probe), probe)))
+    known = spread.join(probe_words.select("word").distinct(), "word", "left_semi")
     key_word = cut(
-        probe_words.groupBy(probe)
+        probe_words.join(known, "word", "left").groupBy(probe)
         .agg(F.min_by("word", F.struct(F.coalesce("df", F.lit(0)), -F.length("word"), "word")).alias("key_word"))
     )
     keys = key_word.select("key_word").distinct().withColumn("piece", F.substring("key_word", 1, PIECE))
-    found = (
-        word_pieces(spread.select("word"), keys.agg(F.collect_set(F.length("piece"))).scalar())
-        .join(keys, "piece")
+    firsts = keys.agg(F.array_join(F.array_sort(F.collect_set(F.left("key_word", F.lit(1)))), "")).scalar()
+    held = spread.select("word").filter(F.call_function("translate", F.col("word"), firsts, F.lit("")) != F.col("word"))
+    found = cut(
+        word_pieces(held, keys.agg(F.collect_set(F.length("piece"))).scalar())
+        .join(measured(cut(keys)), "piece")
         .filter(F.col("word").contains(F.col("key_word")))
         .select("word", "key_word").distinct()
     )
     return (
-        key_word.join(found, "key_word")
-        .join(apart(target_words), "word")
+        target_words.join(measured(cut(key_word.join(found, "key_word"))), "word")
         .filter(F.col(target).contains(F.col(probe)))
         .select(probe, target)
         .distinct()
@@ -75,14 +77,35 @@ def containable(probes: DataFrame, targets: DataFrame, probe: str, target: str)
     A probe goes when no target has one of these words, or two that follow each other.
     """
     asked_words = words(F.col(probe))
-    between = F.array_join(F.slice(asked_words, 2, F.greatest(F.size(asked_words) - 2, F.lit(0))), " ")
-    runs = explode_once(probes.select(probe), word_runs(between, F.lit(2)), "run")
-    asked = runs.select("run").distinct()
-    there = explode_once(targets.select(target), word_runs(F.col(target), F.lit(2)), "run").select("run").join(asked, "run", "left_semi").distinct()
+    between = F.slice(asked_words, 2, F.greatest(F.size(asked_words) - 2, F.lit(0)))
+    runs = cut(_word_pairs(probes.select(probe), between))
+    asked = cut(runs.select("run").distinct())
+    there = cut(_word_pairs(targets.select(target), words(F.col(target))).select("run").join(measured(asked), "run", "left_semi").distinct())
     gone = runs.join(asked.join(there, "run", "left_anti"), "run").select(probe).distinct()
     return probes.join(gone, probe, "left_anti")
 
 
+def _word_pairs(df: DataFrame, found: Column) -> DataFrame:
+    """Rows of words and of every two that follow each other, as ``run``."""
+    follow = F.zip_with("_words", F.slice("_words", 2, F.greatest(F.size("_words"), F.lit(1))), lambda a, b: F.concat(a, F.lit(" "), b))
+    return explode_once(computed(df, _words=found), F.concat("_words", F.filter(follow, lambda p: p.isNotNull())), "run").drop("_words")
+
+
+def endable(probes: DataFrame, targets: DataFrame, probe: str, target: str) -> DataFrame:
+    """Probes without those that can be in no target: the last word must begin a word there, or be in one if it is the only word.
+
+    Meant for many probes and few targets: a probe is looked up by the first
+    PIECE letters of its last word, without a shuffle while the targets' words are few.
+    """
+    vocabulary = cut(_word_rows(targets.select(target), target).select("word").distinct())
+    sizes = F.sequence(F.lit(1), F.lit(PIECE))
+    begin = vocabulary.select(F.explode(F.transform(sizes, lambda k: F.left("word", k))).alias("_end"), F.lit(False).alias("_only"))
+    inside = word_pieces(vocabulary, sizes).select(F.col("piece").alias("_end"), F.lit(True).alias("_only"))
+    ends = measured(cut(begin.unionByName(inside).distinct()))
+    end = F.left(F.substring_index(probe, " ", -1), F.lit(PIECE))
+    return probes.withColumn("_end", end).withColumn("_only", ~F.col(probe).contains(" ")).join(ends, ["_end", "_only"], "left_semi").drop("_end", "_only")
+
+
 def query_side(norm_q: Column, core_q: Column) -> Column:
     """What scoring needs of a query, computed once per query."""
     asked, core = F.array_distinct(words(norm_q)), F.array_distinct(words(core_q))
@@ -153,26 +176,34 @@ FRONT = 4
 LIST_WORDS = 4
 
 
-def word_lists(names: DataFrame, name_words: DataFrame, items: DataFrame) -> DataFrame:
-    """``(words, key, strong, norm, at)``: each name in the lists of all sets of up to LIST_WORDS items in it.
+def name_items(name_words: DataFrame, items: DataFrame) -> DataFrame:
+    """``(items, strong, norm, at)``: the items of each name that has a distinctive one, and where it stands in every list.
 
-    ``items (word, distinctive, df)`` are the words that lists are made of; a
-    list holds a distinctive one and is known by its words and the number of
-    distinctive words in its names. ``key`` is its rarest word.
+    ``items (word, distinctive, df)`` are the words that lists are made of.
     """
-    held = (
-        name_words.join(items, "word").groupBy("norm")
-        .agg(F.array_sort(F.collect_list("word")).alias("items"), F.collect_list(F.when(F.col("distinctive"), F.col("word"))).alias("strong_items"),
-             F.map_from_entries(F.collect_list(F.struct("word", "df"))).alias("dfs"))
-        .filter(F.size("strong_items") > 0)
+    return (
+        name_words.join(items, "word").groupBy("norm", "first_uri", "strong")
+        .agg(F.array_sort(F.collect_list(F.struct("word", "distinctive", "df"))).alias("items"))
+        .filter(F.exists("items", lambda i: i["distinctive"]))
+        .select("items", "strong", "norm", _place().alias("at"))
     )
+
+
+def word_lists(held: DataFrame) -> DataFrame:
+    """``(items, strong, names, words, key)``: the lists that names with these items are in, all sets of up to LIST_WORDS items.
+
+    Names that hold the same items are in the same lists, so sets are made once
+    for all of them. A list holds a distinctive word and is known by its words
+    and the number of distinctive words in its names. ``key`` is its rarest word.
+    """
+    alike = held.groupBy("items", "strong").agg(F.count("*").alias("names"))
     grown = F.aggregate(
-        "items", F.expr("array(cast(array() as array<string>))"),
-        lambda sets, w: F.concat(sets, F.transform(F.filter(sets, lambda x: F.size(x) < LIST_WORDS), lambda x: F.array_append(x, w))),
+        "items", F.array(F.slice("items", 1, 0)),
+        lambda sets, i: F.concat(sets, F.transform(F.filter(sets, lambda x: F.size(x) < LIST_WORDS), lambda x: F.array_append(x, i))),
     )
-    lists = explode_once(held, F.filter(grown, lambda x: F.arrays_overlap(x, F.col("strong_items"))), "words")
-    key = F.array_min(F.transform("words", lambda w: F.struct(F.col("dfs")[w].alias("df"), w.alias("w"))))["w"]
-    return lists.withColumn("key", key).join(names, "norm").select("words", "key", F.col("_n.strong").alias("strong"), "norm", _place().alias("at"))
+    lists = explode_once(alike, F.filter(grown, lambda x: F.exists(x, lambda i: i["distinctive"])), "_set")
+    key = F.array_min(F.transform("_set", lambda i: F.struct(i["df"].alias("df"), i["word"].alias("w"))))["w"]
+    return lists.select("items", "strong", "names", F.transform("_set", lambda i: i["word"]).alias("words"), key.alias("key"))
 
 
 def _place() -> Column:
@@ -188,9 +219,13 @@ def list_bound(q: Column, words_: Column, name_strong: Column) -> Column:
     return F.when(F.size(words_) < LIST_WORDS, exact).otherwise(most)
 
 
-def name_matches(queries: DataFrame, corpus: DataFrame, n: int = 5, query: str = "query", carry: Sequence[str] = ()) -> DataFrame:
+def name_matches(queries: DataFrame, corpus: DataFrame, n: int = 5, query: str = "query", carry: Sequence[str] = (), least: float = 0.0) -> DataFrame:
     """Best ``n`` files per query by name: columns of ``queries``, name, uri, those of ``carry`` from the corpus, score, rank.
 
+    Files that score below ``least`` are no matches; they would rank behind all
+    others, so the rows are those of a filter on the score, and lists that
+    cannot reach it are not made.
+
     Scores depend on the normalised name only, so distinct queries are scored
     against distinct names and cut to ``n`` names before files come back in.
     A name in the cut brings its first ``n`` files, which makes the final cut,
@@ -210,40 +245,46 @@ def name_matches(queries: DataFrame, corpus: DataFrame, n: int = 5, query: str =
     files = cut(computed(corpus.select("name", "uri", *carry), norm=normalize_name(F.col("name"))).filter("norm <> ''"))
     names = cut(files.groupBy("norm").agg(F.min("uri").alias("first_uri")).withColumn("_n", name_side(F.col("norm"))))
 
-    name_words = explode_once(names, F.col("_n.words"), "word").select("norm", "word")
+    name_words = explode_once(names.select("norm", "first_uri", "_n"), F.col("_n.words"), "word").select("norm", "first_uri", F.col("_n.strong").alias("strong"), "word")
     asked_words = explode_once(query_sides, F.col("_q.words"), "word").select("norm_q", "word", F.array_contains("_q.strong", F.col("word")).alias("distinctive"))
     vocabulary = asked_words.select("word", "distinctive").distinct()
-    spread = cut(name_words.join(vocabulary, "word").groupBy("word", "distinctive").agg(F.count("*").alias("df")))
+    spread = cut(name_words.join(measured(cut(vocabulary)), "word").groupBy("word", "distinctive").agg(F.count("*").alias("df")))
     rare = spread.filter(F.col("distinctive") & (F.col("df") <= RARE_NAMES))
     items = spread.filter(~F.col("distinctive") | (F.col("df") > RARE_NAMES))
 
     phrases = distinct_q.select("norm_q", F.explode(F.array_distinct(F.array("norm_q", "core_q"))).alias("phrase"))
     distinct_phrases = phrases.select("phrase").distinct()
-    inside = contained_pairs(cut(containable(distinct_phrases, names, "phrase", "norm")), names.select("norm"), "phrase", "norm").join(names.select("norm", "first_uri"), "norm")
+    inside = contained_pairs(cut(containable(distinct_phrases, names, "phrase", "norm")), names.select("norm"), "phrase", "norm")
+    inside = names.select("norm", "first_uri").join(measured(cut(inside)), "norm")
     inside = top_n(inside, ["phrase"], [F.length("norm"), F.col("first_uri")], n, "_r").join(phrases, "phrase")
-    around = contained_pairs(names.select("norm"), distinct_phrases, "norm", "phrase").join(phrases, "phrase")
+    around = contained_pairs(cut(endable(names.select("norm"), distinct_phrases, "norm", "phrase")), distinct_phrases, "norm", "phrase").join(phrases, "phrase")
 
     def score(pairs: DataFrame) -> DataFrame:
         return cut(
-            pairs.join(query_sides, "norm_q").join(names, "norm")
+            names.join(measured(cut(pairs)), "norm").join(query_sides, "norm_q")
             .transform(lambda df: computed(df, score=side_score(F.col("_q"), F.col("_n"))))
-            .filter("score > 0").select("norm_q", "norm", "first_uri", "score")
+            .filter((F.col("score") > 0) & (F.col("score") >= least)).select("norm_q", "norm", "first_uri", "score")
         )
 
+    by_rare = cut(asked_words.select("norm_q", "word").join(rare.select("word"), "word"))
     pairs = (
-        asked_words.join(rare.select("word"), "word").join(name_words, "word").select("norm_q", "norm")
+        name_words.join(measured(by_rare), "word").select("norm_q", "norm")
         .unionByName(inside.select("norm_q", "norm")).unionByName(around.select("norm_q", "norm")).distinct()
     )
     scored = score(pairs)
-    lists = cut(word_lists(names, name_words, items))
-    sizes = lists.groupBy("words", "key", "strong").agg(F.count("*").alias("rows"))
+    held = name_items(name_words, measured(items))
+    sets = cut(word_lists(held))
+    sizes = sets.groupBy("words", "key", "strong").agg(F.sum("names").alias("rows"))
     # What a query may take from a list, and up to where the list has been read for all queries so far.
     open_lists = cut(
         sizes.join(asked_words.select("norm_q", F.col("word").alias("key")), "key").join(query_sides, "norm_q")
         .filter(F.size(F.array_except("words", F.col("_q.words"))) == 0)
         .select("norm_q", "words", "strong", "rows", list_bound(F.col("_q"), F.col("words"), F.col("strong")).alias("bound"))
-        .filter("bound > 0").withColumn("read", F.lit(0)).withColumn("last", F.lit(""))
+        .filter((F.col("bound") > 0) & (F.col("bound") >= least)).withColumn("read", F.lit(0)).withColumn("last", F.lit(""))
     )
+    if not open_lists.isEmpty():
+        wanted = sets.join(open_lists.select("words", "strong").distinct(), ["words", "strong"])
+        lists = cut(held.join(measured(cut(wanted.select("items", "strong", "words"))), ["items", "strong"]).select("words", "strong", "norm", "at"))
     block = n * FRONT
     while not open_lists.isEmpty():
         wanted = open_lists.groupBy("words", "strong").agg(F.max("last").alias("last"), F.max("read").alias("read"))
@@ -261,8 +302,8 @@ def name_matches(queries: DataFrame, corpus: DataFrame, n: int = 5, query: str =
         block *= 4
 
     best = cut(top_n(scored, ["norm_q"], [F.col("score").desc(), F.col("first_uri")], n).select("norm_q", "norm", "score"))
-    held = top_n(files.join(best.select("norm").distinct(), "norm", "left_semi"), ["norm"], [F.col("uri")], n, "_r").drop("_r")
-    ranked = top_n(best.join(held, "norm"), ["norm_q"], [F.col("score").desc(), F.col("uri")], n)
+    first = top_n(files.join(best.select("norm").distinct(), "norm", "left_semi"), ["norm"], [F.col("uri")], n, "_r").drop("_r")
+    ranked = top_n(best.join(first, "norm"), ["norm_q"], [F.col("score").desc(), F.col("uri")], n)
     return asked.join(ranked, "norm_q").drop("norm_q", "norm")
 
 
@@ -363,7 +404,7 @@ def route_matters(queries: DataFrame, corpus: DataFrame, folders: DataFrame, que
     asked, folders = queries.select(*keys).distinct(), cut(folders.select("folder").distinct())
     direct = cut(detect_folders(asked, folders, query).withColumnRenamed("folder", "direct").drop("pass"))
     open_ = direct.filter(F.col("direct").isNull() & F.col(context).isNotNull()).select(*keys)
-    named = name_matches(open_.select(query).distinct(), corpus, 1, query).filter(F.col("score") >= strong).select(query)
+    named = name_matches(open_.select(query).distinct(), corpus, 1, query, least=strong).select(query)
     carried = open_.join(named, query, "left_anti").withColumn("_both", F.concat_ws(" ", context, query))
     inherited = detect_folders(carried, folders, "_both").select(*keys, F.col("folder").alias("inherited"))
     same = (F.col(f"d.{query}") == F.col(f"i.{query}")) & F.col(f"d.{context}").eqNullSafe(F.col(f"i.{context}"))

@@ -55,6 +55,51 @@ def test_probes_whose_inner_words_no_target_has_are_dropped(spark):
     assert {r.probe for r in M.containable(p, t, "probe", "target").collect()} == {"t invoice 1", "t 1", "1", ""}
 
 
+def test_probes_whose_last_word_begins_no_target_word_are_dropped(spark):
+    probes, targets = strings(5, 80), strings(6, 30)
+    p = spark.createDataFrame([(x,) for x in probes], "probe string")
+    t = spark.createDataFrame([(x,) for x in targets], "target string")
+    left = {r.probe for r in M.endable(p, t, "probe", "target").collect()}
+    assert {a for a in probes if any(a in b for b in targets)} <= left
+    p = spark.createDataFrame([(x,) for x in ("hot invoice 1", "hot invoice 21", "hot invoice 2", "voice", "hot voice", "hot invoicesandmore", "invoiceforms")], "probe string")
+    t = spark.createDataFrame([("hot invoice 12",), ("invoiceformat",)], "target string")
+    assert {r.probe for r in M.endable(p, t, "probe", "target").collect()} == {"hot invoice 1", "voice", "invoiceforms"}
+
+
+@pytest.mark.parametrize("sent, least", [(4_000_000, 25.0), (-1, 0.0)])
+def test_a_least_score_gives_the_rows_of_a_filter(spark, monkeypatch, sent, least):
+    """Against all pairs, with names in lists, and with joins that send tables to the tasks or shuffle both sides."""
+    from foliospark import session
+
+    monkeypatch.setattr(session, "SENT", sent)
+    monkeypatch.setattr(M, "RARE_NAMES", 3)
+    rnd = random.Random(7)
+    some = "alder birch invoice estimate roof 12 27 red survey".split()
+    files = [(f"u{i:03d}", " ".join(rnd.choice(some) for _ in range(rnd.randint(1, 4))) + f" {i}.pdf") for i in range(150)]
+    asked = sorted({" ".join(rnd.choice(some) for _ in range(rnd.randint(1, 5))) for _ in range(12)})
+    c = spark.createDataFrame(files, "uri string, name string")
+    q = spark.createDataFrame([(x,) for x in asked], "query string")
+    norm = normalize_name(F.col("query"))
+    pairs = q.crossJoin(c).withColumn("score", M.match_score(norm, M.core_query(norm), normalize_name(F.col("name")))).filter("score > 0")
+    best = M.top_n(pairs.filter(F.col("score") >= least), ["query"], [F.col("score").desc(), F.col("uri")], 4)
+    want = sorted((r["query"], r["uri"], round(r["score"], 6), r["rank"]) for r in best.collect())
+    got = M.name_matches(q, c, 4, least=least).collect()
+    assert sorted((r["query"], r["uri"], round(r["score"], 6), r["rank"]) for r in got) == want and want
+
+
+def test_routing_makes_no_lists_of_names_that_cannot_score_enough(spark, monkeypatch):
+    monkeypatch.setattr(M, "RARE_NAMES", 3)
+    written = []
+    cut = M.cut
+    monkeypatch.setattr(M, "cut", lambda df: written.append(set(df.columns)) or cut(df))
+    files = [(f"u{i}", f"mirror/27 Birch Road/alder {i}.pdf", f"alder {i}.pdf") for i in range(20)]
+    c = spark.createDataFrame(files, "uri string, path string, name string")
+    q = spark.createDataFrame([("alder of which", "27 Birch Road"), ("alder 7", "27 Birch Road")], "query string, context string")
+    got = {r["query"]: (r["folder"], r["source"]) for r in M.route_matters(q, c, FO.folder_set(c)).collect()}
+    assert got == {"alder of which": ("27 Birch Road", "context"), "alder 7": (None, None)}
+    assert written and not any("at" in columns for columns in written)
+
+
 def test_name_union_of_a_uri_that_comes_twice_has_its_rows_once(spark):
     c = spark.createDataFrame([("u", "mirror/Birch/birch.pdf", "birch.pdf")] * 2, "uri string, path string, name string")
     q = spark.createDataFrame([(1, "birch", "Birch")], "query_id int, query string, folder string")
