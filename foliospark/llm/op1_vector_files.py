@@ -9,10 +9,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import apart
 from ._registry import keep, query, table
 
 #: Vectors in a block of the file, and queries in a block that scans it.
 BLOCK, QUERY_BLOCK = 2048, 512
+#: Bytes of queries, about, that a task holds beside one block of the file.
+LOT_BYTES = 32 << 20
 CELLS = 256
 K = 5
 
@@ -98,19 +101,26 @@ def _matrices(row, edges):
 
 
 def _lower_bounds(edges, k: int):
-    """First scan: of every query, the ``k`` largest lower bounds in a block."""
+    """First scan: of every query, the ``k`` largest lower bounds in the blocks of a task."""
+
+    def largest(bounds: np.ndarray) -> np.ndarray:
+        rest = max(0, bounds.shape[1] - k)
+        return np.partition(bounds, rest, axis=1)[:, rest:] if rest else bounds
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[bytes, np.ndarray] = {}
         for batch in batches:
             for at in range(batch.num_rows):
                 asked, _, queries, ids, cells, lo, hi = _matrices(batch.slice(at, 1).to_pylist()[0], edges)
                 lower, _ = _bounds(queries.astype(float), cells, lo, hi)
                 lower[asked[:, None] == ids[None, :]] = -np.inf
-                n = min(k, len(ids))
-                best = np.partition(lower, len(ids) - n, axis=1)[:, len(ids) - n :]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(asked, n)), pa.array(best.reshape(-1))], ["query_id", "bound"]
-                )
+                key, found = asked.tobytes(), largest(lower)
+                best[key] = largest(np.hstack([best[key], found])) if key in best else found
+        for key, found in best.items():
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.repeat(np.frombuffer(key, np.int64), found.shape[1])), pa.array(found.reshape(-1))],
+                ["query_id", "bound"],
+            )
 
     return scan
 
@@ -159,9 +169,12 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     bound over all blocks is a score that k vectors are sure to reach. The
     second reads exact vectors of a block in the order of their bounds, best
     first, and stops where no bound reaches that score or the k-th exact one
-    found so far. The file is dealt over groups of blocks by key, and the
-    query blocks are repeated for each group, so every pair of blocks meets in
-    an equi-join and no task holds more than one pair at a time.
+    found so far. The file is dealt over groups of blocks by key, the query
+    blocks are repeated for each group, and every pair of blocks meets in an
+    equi-join of shuffled rows: nothing is broadcast, since the repeated query
+    blocks grow with the queries, however small their files are. A task holds
+    one block of the file and the query blocks of one lot, about ``LOT_BYTES``;
+    only where queries fill several lots is the file repeated for each.
     """
     spark = vectors.sparkSession
     vectors = vectors.filter("id is not null").select("id", "v", F.lit(None).cast("double").alias("least"))
@@ -170,16 +183,19 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     file = keep(vectors.mapInArrow(_blocks(edges, BLOCK), _BLOCK_SCHEMA), "vector-file")
     groups = max(1, min(file.count(), 8 * spark.sparkContext.defaultParallelism))
     dealt = file.drop("least").withColumn("group", F.pmod("place", F.lit(groups)))
+    asked = keep(queries, "vector-queries")
+    lots = 1 + asked.count() * 8 * max(edges, default=0) // LOT_BYTES
+    numbers = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
 
     def pairs(asked: DataFrame, columns: list[str]) -> DataFrame:
         packed = asked.mapInArrow(_blocks(edges, QUERY_BLOCK), _BLOCK_SCHEMA).select(
             "dim", F.col("ids").alias("query_ids"), F.col("least").alias("query_least"), F.col("exact").alias("query_values"),
-            F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))).alias("group"),
+            F.pmod("place", F.lit(lots)).alias("lot"), numbers(groups).alias("group"),
         )
-        return dealt.select("dim", "group", "ids", *columns).join(packed, ["dim", "group"])
+        parts = dealt.select("dim", "group", numbers(lots).alias("lot"), "ids", *columns)
+        return parts.join(apart(packed), ["dim", "group", "lot"]).drop("group", "lot")
 
-    asked = keep(queries, "vector-queries")
-    bounds = pairs(asked.withColumn("least", F.lit(0.0)), ["cells"]).drop("group").mapInArrow(
+    bounds = pairs(asked.withColumn("least", F.lit(0.0)), ["cells"]).mapInArrow(
         _lower_bounds(edges, k), "query_id long, bound double"
     )
     top = Window.partitionBy("query_id").orderBy(F.desc("bound"))
@@ -193,7 +209,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
             "id", "v", F.coalesce(least, F.lit(float("-inf"))).alias("least")
         ), "vector-armed",
     )
-    scored = pairs(armed, ["cells", "exact"]).drop("group").mapInArrow(
+    scored = pairs(armed, ["cells", "exact"]).mapInArrow(
         _exact_scores(edges, k), "query_id long, id long, score long"
     )
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")

@@ -76,6 +76,24 @@ def test_top_k_is_exact(spark):
     assert got == want
 
 
+def test_top_k_broadcasts_no_blocks_and_deals_queries_in_lots(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    rows = [(i, [int(x) for x in rng.integers(-9, 10, 6)]) for i in range(150)]
+    df = spark.createDataFrame(rows, "id long, v array<long>").repartition(5)
+    monkeypatch.setattr(vectors, "BLOCK", 16)
+    monkeypatch.setattr(vectors, "QUERY_BLOCK", 4)
+    monkeypatch.setattr(vectors, "LOT_BYTES", 8 * 6 * 10)
+    found = vectors.top_k(df, df.filter("id % 5 = 0"), 3)
+    # Repeated for every group, query blocks are larger than their files tell.
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    want = {}
+    for q, v in rows[::5]:
+        best = sorted((-sum(map(int.__mul__, v, w)), i) for i, w in rows if i != q)[:3]
+        want |= {(q, n): (i, -s) for n, (s, i) in enumerate(best, 1)}
+    assert {(r[0], r[1]): (r[2], r[3]) for r in found.collect()} == want
+
+
 def test_top_k_of_large_values_and_no_rows(spark):
     big = 10**9
     df = spark.createDataFrame([(1, [big, -big]), (2, [big, 1]), (3, [-big, 0])], "id long, v array<long>")
