@@ -765,3 +765,48 @@ def test_a_load_shuffles_its_lines_once(spark, tmp_path):
     W.load(spark, good, root)
     parts = spark.read.parquet(f"{root}/open_items")
     assert parts.count() == 120 and len(parts.inputFiles()) <= 6
+
+
+def test_a_load_reads_an_object_once_for_all_tables(spark, tmp_path, monkeypatch):
+    item = '{"label":"deed","bucket":"contract","status":"found"}'
+    lines = [event_line(str(i), f"2024-0{1 + i % 6}-05", [item]) for i in range(30)]
+    good = L.split_lines(L.parse_lines(spark.createDataFrame([(x,) for x in lines], "value string")))[0]
+    written, cut = [], W.cut
+    monkeypatch.setattr(W, "cut", lambda df: written.append(df.schema.simpleString()) or cut(df))
+    W.load(spark, good, f"{tmp_path}/a")
+    # What is written between a line and its tables are their values, not the parsed object, which each table would search again.
+    assert written and not any("variant" in schema for schema in written)
+    # Lines that came already are found by their ids before anything is read out of them.
+    shapes, shaped = [], W.rows.shaped
+    monkeypatch.setattr(W.rows, "shaped", lambda df, *how: shapes.append(df.count()) or shaped(df, *how))
+    again = spark.createDataFrame([(x,) for x in lines[:29]] + [(lines[29].replace("found", "needs_review"),)], "value string")
+    W.load(spark, L.split_lines(L.parse_lines(again))[0], f"{tmp_path}/a", only_changed=True)
+    assert shapes == [1] and sorted(r.status for r in W.current(spark, f"{tmp_path}/a", "open_items").collect()) == ["found"] * 29 + ["needs_review"]
+
+
+def test_lines_dealt_before_they_are_parsed_give_the_same_tables(spark, tmp_path):
+    odd = ['{"generated_at": 5}', '{"x":"\\"generated_at\\":\\"2024-01"}', "not json", "", '  {"generated_at" : " 2024-02-03T00:00:00Z "}']
+    items = ['{"label":"deed","bucket":"contract","status":"found"}']
+    lines = spark.createDataFrame([(x,) for x in odd + [event_line(str(i), f"2024-0{1 + i % 6}-05", items) for i in range(20)]], "value string")
+    dealt = W.dealt_lines(lines)
+    assert sorted(r.value for r in dealt.collect()) == sorted(r.value for r in lines.collect()) and dealt.columns == ["value"]
+    good = L.split_lines(L.parse_lines(dealt))[0]
+    plan = good._jdf.queryExecution().optimizedPlan().toString()
+    assert "parse" in plan[: plan.index("RebalancePartitions")] and "parse" not in plan[plan.index("RebalancePartitions"):]
+    W.load(spark, L.split_lines(L.parse_lines(lines))[0], f"{tmp_path}/a")
+    W.load(spark, good, f"{tmp_path}/b", dealt=True)
+    for name in ("events", "open_items"):
+        a, b = (sorted(str(r) for r in W.current(spark, f"{tmp_path}/{x}", name).drop("load", "loaded_at").collect()) for x in "ab")
+        assert a == b
+
+
+def test_values_of_another_kind_are_empty_by_themselves(spark):
+    line = ('{"generated_at":"2024-01-02","folder_name":7,"file_count_total":"12","file_count_in_dossier":"many","show_open_items":"No",'
+            '"observations":["a",null," ",3],"key_facts":[5,{"label":"L","value":1.50,"sources":"s"},{"label":" ","sources":["s",null]}],"timeline":{},'
+            '"structured_fields":{"contract_status":"signed","inspection_status":{"value":true},"x":{"value":{"a":1}}}}')
+    good = W.rows.with_event_id(L.split_lines(L.parse_lines(spark.createDataFrame([(line,)], "value string")))[0])
+    row = ER.event_rows(good).first()
+    assert (row.folder_key, row.file_count_total, row.file_count_in_dossier, row.show_open_items) == ("7", 12, None, False)
+    assert row.observations == ["a", "3"] and row.timeline == [] and (row.contract_status, row.inspection_status) == (None, "true")
+    assert [tuple(f) for f in row.key_facts] == [("L", "1.5", None, []), (None, None, None, ["s"])]
+    assert {(r.field_name, r.field_value) for r in ER.field_rows(good).collect()} == {("inspection_status", "true"), ("x", '{"a":1}')}
