@@ -585,11 +585,11 @@ def _(spark, sf):
 def _(spark, sf):
     # The same events come again without documents and open items, then unchanged, then the tables are compacted.
     root = run_dir(spark, "reload")
-    lines = event_lines(spark, sf)
-    bare = lines.withColumn("value", F.regexp_replace("value", r'"document_inventory":\{.*?\},"open_items":\[.*?\]', '"document_inventory":{},"open_items":[]'))
+    lines = cut(event_lines(spark, sf))
+    bare = cut(lines.withColumn("value", F.regexp_replace("value", r'"document_inventory":\{.*?\},"open_items":\[.*?\]', '"document_inventory":{},"open_items":[]')))
     parse = lambda df: L.split_lines(L.parse_lines(df))[0]
-    W.load(spark, parse(lines), root)
-    W.load(spark, parse(bare), root)
+    W.load(spark, parse(W.dealt_lines(lines)), root, dealt=True)
+    W.load(spark, parse(W.dealt_lines(bare)), root, dealt=True)
     W.load(spark, parse(bare), root, only_changed=True)
     W.compact(spark, root)
     return loaded(spark, root)
