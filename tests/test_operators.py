@@ -810,3 +810,14 @@ def test_values_of_another_kind_are_empty_by_themselves(spark):
     assert row.observations == ["a", "3"] and row.timeline == [] and (row.contract_status, row.inspection_status) == (None, "true")
     assert [tuple(f) for f in row.key_facts] == [("L", "1.5", None, []), (None, None, None, ["s"])]
     assert {(r.field_name, r.field_value) for r in ER.field_rows(good).collect()} == {("inspection_status", "true"), ("x", '{"a":1}')}
+
+
+def test_steps_of_a_key_are_found_by_halving(spark):
+    for values, limits in (([None, 1, 2, 3, 5, 9], [2, 3, 7]), (["", "a", None, "b", "é"], ["a", "b"]), ([None, 4], [])):
+        df = spark.createDataFrame([(v,) for v in values], f"k {'string' if '' in values else 'int'}")
+        got = {r.k: r.s for r in df.select("k", W.bind(F.col("k"), W._step(limits, lambda n: 10 * n)).alias("s")).collect()}
+        assert got == {v: 0 if v is None else 10 * sum(x <= v for x in limits) for v in values}
+    # A row costs as many comparisons as a step has bits, not one for each limit.
+    rows = spark.range(500).selectExpr("cast(id as int) as a", "date_add(date'2024-01-01', cast(id % 90 as int)) as event_date")
+    plan = rows.select(W.z_value(rows, ["event_date", "a"]).alias("z"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "filter(" not in plan
